@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonalis.llm import exact_dedup, language_id, packing, quality, secret_scan, token_counts
+from tonalis.llm import embedding_dedup, exact_dedup, html_text, language_id, ngram_join, packing, quality, secret_scan, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nearest_url_extraction": html_text.op1_nearest_url_extraction,
     "op2_kneser_ney_language_id": language_id.op2_kneser_ney_language_id,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_concat_cut_packing": packing.op4_concat_cut_packing,
+    "op5_ngram_jaccard_join": ngram_join.op5_ngram_jaccard_join,
     "op6_multipart_secrets": secret_scan.op6_multipart_secrets,
     "op7_separator_scan": token_counts.op7_separator_scan,
     "op8_quality_trees": quality.op8_quality_trees,
+    "op10_lattice_near_dedup": embedding_dedup.op10_lattice_near_dedup,
 }
 ORACLE: dict[str, str] = {**exact_dedup.ORACLE}
