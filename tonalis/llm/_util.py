@@ -32,6 +32,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, for tables between stages."""
+    prepare(spark)
+    return spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+
+
 def assign(light: DataFrame, found: DataFrame, key: list[str], part: str = "part") -> DataFrame:
     """Left join the rows of ``light`` with ``found`` (one row per key, only keys that have something to say).
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonalis.llm import embedding_dedup, exact_dedup, html_text, language_id, ngram_join, packing, quality, secret_scan, token_counts
+from tonalis.llm import embedding_dedup, exact_dedup, html_text, language_id, mixing, ngram_join, packing, quality, secret_scan, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest_url_extraction": html_text.op1_nearest_url_extraction,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_multipart_secrets": secret_scan.op6_multipart_secrets,
     "op7_separator_scan": token_counts.op7_separator_scan,
     "op8_quality_trees": quality.op8_quality_trees,
+    "op9_raked_mixture": mixing.op9_raked_mixture,
     "op10_lattice_near_dedup": embedding_dedup.op10_lattice_near_dedup,
 }
-ORACLE: dict[str, str] = {**exact_dedup.ORACLE}
+ORACLE: dict[str, str] = {**exact_dedup.ORACLE, **mixing.ORACLE}
