@@ -25,7 +25,7 @@ def word_hashes(text: str, memory: dict[str, int]) -> np.ndarray:
     try:
         return np.fromiter(map(memory.__getitem__, words), np.uint64, len(words))
     except KeyError:
-        new = {w: xxhash.xxh64_intdigest(w) for w in set(words) - memory.keys()}
+        new = {w: xxhash.xxh64_intdigest(w) for w in set(words) if w not in memory}
         if len(memory) + len(new) <= REMEMBERED:
             memory.update(new)
             return np.fromiter(map(memory.__getitem__, words), np.uint64, len(words))
