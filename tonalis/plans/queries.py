@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from tonalis.plans import gram_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**gram_queries.Q}
+ORACLE: dict[str, str] = {**gram_queries.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    """Normalise, and find the peaks."""
+    return gram_queries.w4_peaks_2d(spark, sf_dir)

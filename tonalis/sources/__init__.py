@@ -1,0 +1 @@
+"""Readers: audio trees, annotations, manifests, score tables. All listings and parses are distributed."""
