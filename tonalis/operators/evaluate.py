@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tonalis.functions import columns as C
@@ -25,32 +25,29 @@ def match_lines(preds: DataFrame, truths: DataFrame, key: str, resolution: float
     """Optimal one-to-one matching per patch: rows (key, pred_id, truth_id, iou); an unmatched prediction or truth has null on the other side.
 
     The assignment minimises the sum of 1 - IoU; pairs under ``threshold`` are undone afterwards.
+    Pairs without overlap add nothing to the optimum, so only overlapping pairs are made; a patch
+    in which no line has two of them needs no solver, and only the rest goes to the kernel.
     """
-    kinds = dict(preds.dtypes)
-
-    def run(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        k = (p if len(p) else t)[key].iloc[0]
-        p, t = p.sort_values("id"), t.sort_values("id")
-        iou = _iou(p, t, resolution)
+    kind = dict(preds.dtypes)[key]
+    pairs = line_iou_pairs(preds, truths, key, resolution)
+    per = lambda side: F.count("*").over(Window.partitionBy(key, side))
+    pairs = pairs.withColumn("_k", F.greatest(per("pred_id"), per("truth_id"))).withColumn("_k", F.max("_k").over(Window.partitionBy(key)))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        p, i = np.unique(pdf["pred_id"], return_inverse=True)
+        t, j = np.unique(pdf["truth_id"], return_inverse=True)
+        iou = np.zeros((len(p), len(t)))
+        iou[i, j] = pdf["iou"]
         a, b = K.assign(1 - iou)
-        good = iou[a, b] >= threshold if len(a) else np.zeros(0, bool)
-        a, b = a[good], b[good]
-        rows = [(k, p["id"].iloc[i], t["id"].iloc[j], iou[i, j]) for i, j in zip(a, b, strict=True)]
-        rows += [(k, x, None, None) for x in np.delete(p["id"].to_numpy(), a)]
-        rows += [(k, None, x, None) for x in np.delete(t["id"].to_numpy(), b)]
-        return pd.DataFrame(rows, columns=[key, "pred_id", "truth_id", "iou"]).astype({"pred_id": "Int64", "truth_id": "Int64", "iou": float})
-
-    own = [key, "id", "freq_hz", "t_start", "t_end"]
-    return preds.select(own).groupBy(key).cogroup(truths.select(own).groupBy(key)).applyInPandas(run, f"{key} {kinds[key]}, pred_id long, truth_id long, iou double")
-
-
-def _iou(p: pd.DataFrame, t: pd.DataFrame, resolution: float) -> np.ndarray:
-    f, a, b = (p[c].to_numpy(float)[:, None] for c in ("freq_hz", "t_start", "t_end"))
-    g, x, y = (t[c].to_numpy(float)[None, :] for c in ("freq_hz", "t_start", "t_end"))
-    both, union = np.minimum(b, y) - np.maximum(a, x), np.maximum(b, y) - np.minimum(a, x)
-    overlap = np.where((both <= 0) | (union <= 0), 0.0, both / np.where(union == 0, 1, union))
-    d = np.abs(f - g)
-    return overlap * np.where(d <= 2 * resolution, 1.0, np.where(d <= 4 * resolution, 0.5, 0.0))
+        return pd.DataFrame({key: pdf[key].iloc[0], "pred_id": p[a], "truth_id": t[b], "iou": iou[a, b]})
+
+    names = [key, "pred_id", "truth_id", "iou"]
+    hard = pairs.filter("_k > 1").select(names).groupBy(key).applyInPandas(solve, f"{key} {kind}, pred_id long, truth_id long, iou double")
+    good = pairs.filter("_k = 1").select(names).unionByName(hard).filter((F.col("iou") >= threshold) & (F.col("iou") > 0))
+    none = lambda t, a: F.lit(None).cast(t).alias(a)
+    loose_p = preds.select(key, F.col("id").alias("pred_id")).join(good.select(key, "pred_id"), [key, "pred_id"], "left_anti").select(key, "pred_id", none("long", "truth_id"), none("double", "iou"))
+    loose_t = truths.select(key, F.col("id").alias("truth_id")).join(good.select(key, "truth_id"), [key, "truth_id"], "left_anti").select(key, none("long", "pred_id"), "truth_id", none("double", "iou"))
+    return good.unionByName(loose_p).unionByName(loose_t)
 
 
 def bucket_table(spark: SparkSession, buckets: Sequence = C.SNR_BUCKETS) -> DataFrame:

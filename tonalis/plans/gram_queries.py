@@ -219,11 +219,8 @@ SQL["a29_display_ceiling"] = f"WITH {X.GRAM} SELECT rec, round(quantile_cont(x,
 
 
 def p3_peak_relative(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     c = N.cells(X.gram(spark, d), ["rec", "t"], "power", "x").withColumn("p", F.pow(F.lit(10.0), F.col("x") / 10.0))
     top = c.groupBy("rec").agg(F.max("p").alias("top"))
-    del Window
     return c.join(F.broadcast(top), "rec").select("rec", "t", F.col("freq_bin").alias("f"), (F.round(C.peak_relative_db(F.col("p"), F.col("top")), 5) + 0.0).alias("db"))
 
 
