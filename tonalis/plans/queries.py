@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonalis.plans import gram_queries, score_queries, table_queries
+from tonalis.plans import gram_queries, score_queries, synth_queries, table_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**gram_queries.Q, **score_queries.Q, **table_queries.Q}
-ORACLE: dict[str, str] = {**gram_queries.SQL, **score_queries.SQL, **table_queries.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**gram_queries.Q, **score_queries.Q, **synth_queries.Q, **table_queries.Q}
+ORACLE: dict[str, str] = {**gram_queries.SQL, **score_queries.SQL, **synth_queries.SQL, **table_queries.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -182,3 +182,16 @@ def recordings(table: DataFrame, dataset: str | None = None, class_label: str |
         table = table if v is None else table.filter(F.col(c) == v)
     return table.orderBy("recording_id").limit(limit)
 
+
+
+def confuser_library(spark: SparkSession, path: str) -> DataFrame:
+    """Clips of a confuser library manifest: clip_id, species, path, sample_rate_hz, duration_s, low_hz, high_hz."""
+    clip = "array<struct<clip_id:string,species:string,path:string,sample_rate_hz:int,duration_s:double,low_hz:double,high_hz:double>>"
+    return spark.read.schema(f"species_counts map<string,int>, clips {clip}").option("multiLine", "true").json(path).select(F.explode("clips").alias("c")).select("c.*")
+
+
+def siblings(left: DataFrame, right: DataFrame, path: str = "path") -> DataFrame:
+    """Rows of ``left`` whose file has a sibling of the same stem in ``right`` (wav, truth, gram); others are left out."""
+    stem = lambda c: F.regexp_replace(c, r"\.[^./]*(\.json)?$", "")
+    r = right.select(stem(path).alias("_stem"), F.col(path).alias("sibling"))
+    return left.withColumn("_stem", stem(path)).join(r, "_stem").drop("_stem")
