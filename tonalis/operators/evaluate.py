@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -110,16 +111,20 @@ def component_lines(masks: DataFrame, key: str, h: str, w: str, p: str, threshol
     """4-connected components of cells above ``threshold`` per patch: median row (truncated), column extent, mean probability, size. A patch is one bounded group."""
     kind = dict(masks.dtypes)[key]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, cols, v = pdf[h].to_numpy(), pdf[w].to_numpy(), pdf[p].to_numpy(float)
+    def run(t: pa.Table) -> pa.Table:
+        rows, cols, v = t[h].to_numpy(), t[w].to_numpy(), t[p].to_numpy()
         img = np.zeros((rows.max() + 1, cols.max() + 1), bool)
         img[rows, cols] = True
         lab, n = K.label_4(img)
         own = lab[rows, cols]
-        out = [(pdf[key].iloc[0], int(np.median(rows[own == k])), int(cols[own == k].min()), int(cols[own == k].max()), float(v[own == k].mean()), int((own == k).sum())) for k in range(1, n + 1)]
-        return pd.DataFrame([r for r in out if r[5] >= least], columns=[key, "row", "col_min", "col_max", "confidence", "n_cells"])
-
-    return masks.filter(F.col(p) > threshold).select(key, h, w, p).groupBy(key).applyInPandas(run, f"{key} {kind}, row int, col_min int, col_max int, confidence double, n_cells int")
+        out = [(int(np.median(rows[own == k])), int(cols[own == k].min()), int(cols[own == k].max()), float(v[own == k].mean()), int((own == k).sum())) for k in range(1, n + 1)]
+        out = [r for r in out if r[4] >= least]
+        parts = list(zip(*out, strict=True)) or [()] * 5
+        kinds = [pa.int32()] * 3 + [pa.float64(), pa.int32()]
+        first = pa.array([t[key][0].as_py()] * len(out), t.schema.field(key).type)
+        return pa.table([first, *(pa.array(c, k) for c, k in zip(parts, kinds, strict=True))], names=[key, "row", "col_min", "col_max", "confidence", "n_cells"])
+
+    return masks.filter(F.col(p) > threshold).select(key, h, w, F.col(p).cast("double").alias(p)).groupBy(key).applyInArrow(run, f"{key} {kind}, row int, col_min int, col_max int, confidence double, n_cells int")
 
 
 def stitch(patches: DataFrame, key: str, f_start: str, t_start: str, h: str, w: str, p: str, n_freq: int, n_time: int) -> DataFrame:

@@ -6,10 +6,10 @@ them: thinning, tracking and merging share the one shuffle on the recording.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,24 +57,25 @@ def peaks_per_bin(cell: DataFrame, recording: str, time: str, freq: str, value:
     kinds = dict(cell.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in (recording, freq, time, value))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(time)
-        return pdf.iloc[K.find_peaks(pdf[value].to_numpy(), threshold, separation)]
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by(time)
+        return t.take(pa.array(K.find_peaks(t[value].to_numpy(), threshold, separation)))
 
-    return cell.select(recording, freq, time, value).groupBy(recording, freq).applyInPandas(run, schema)
+    return cell.select(recording, freq, time, value).groupBy(recording, freq).applyInArrow(run, schema)
 
 
 def persistent_lines(peaks: DataFrame, recording: str, time: str, freq: str, value: str, hop_s: float, config: PersistenceConfig = PersistenceConfig()) -> DataFrame:
     """Tracks per recording, from sparse peak rows."""
     kind = dict(peaks.dtypes)[recording]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = K.track(pdf[time].to_numpy(), pdf[freq].to_numpy(), pdf[value].to_numpy(), config.max_drift_bins, config.max_gap_bins, config.min_persistence_s / hop_s)
-        out = pd.DataFrame(got, columns=[c.split()[0] for c in TRACK.split(", ")])
-        out.insert(0, recording, pdf[recording].iloc[0] if len(pdf) else None)
-        return out
+    def run(t: pa.Table) -> pa.Table:
+        got = K.track(t[time].to_numpy(), t[freq].to_numpy(), t[value].to_numpy(), config.max_drift_bins, config.max_gap_bins, config.min_persistence_s / hop_s)
+        cols = list(zip(*got, strict=True)) or [()] * 7
+        kinds = [pa.int32()] * 5 + [pa.float64(), pa.int32()]
+        first = pa.array([t[recording][0].as_py()] * len(got), t.schema.field(recording).type)
+        return pa.table([first, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[recording, *(c.split()[0] for c in TRACK.split(", "))])
 
-    return peaks.select(recording, time, freq, value).groupBy(recording).applyInPandas(run, f"{recording} {kind}, {TRACK}")
+    return peaks.select(recording, time, freq, value).groupBy(recording).applyInArrow(run, f"{recording} {kind}, {TRACK}")
 
 
 def to_lines(tracks: DataFrame, array_id: Column, beam_id: Column, start: Column, first_hz: float, bin_hz: float, hop_s: float, first_s: float = 0.0, method: str = "classical") -> DataFrame:
@@ -115,7 +116,7 @@ def _joined(a: dict, b: dict) -> dict:
     top = b if b["snr_db"] > a["snr_db"] else a
     start = min(a["start"], b["start"])
     end = max(x["start"] + x["persistence_s"] for x in (a, b))
-    half = lambda x: (0.0 if x["bandwidth_hz"] is None or np.isnan(x["bandwidth_hz"]) else x["bandwidth_hz"]) / 2
+    half = lambda x: (x["bandwidth_hz"] if x["bandwidth_hz"] == x["bandwidth_hz"] and x["bandwidth_hz"] else 0.0) / 2  # noqa: E731  null and NaN count as 0
     wide = max(x["frequency_hz"] + half(x) for x in (a, b)) - min(x["frequency_hz"] - half(x) for x in (a, b))
     return {**top, "start": start, "persistence_s": end - start, "bandwidth_hz": wide, "confidence": None, "ids": sorted(a.get("ids", [a["correlation_id"]]) + b.get("ids", [b["correlation_id"]]))}
 
@@ -124,21 +125,21 @@ def merge_nearby(lines: DataFrame, tolerance: float, keys: tuple[str, ...] = ("a
     """Cluster merge of line rows per (array, beam); a merged row has an identifier derived from its parts and a null confidence."""
     if tolerance < 0:
         raise ValueError(f"the tolerance can't be negative: {tolerance}")
-    import hashlib
-
     columns = [c.split()[0] for c in LINE.split(", ")]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        zero = pdf["timestamp"].min()
-        pdf = pdf.assign(start=(pdf["timestamp"] - zero).dt.total_seconds()).astype({"confidence": object})
-        got = merge_rows(pdf.to_dict("records"), tolerance)
+    def run(t: pa.Table) -> pa.Table:
+        rows = t.to_pylist()
+        zero = min(r["timestamp"] for r in rows)
+        got = merge_rows([{**r, "start": (r["timestamp"] - zero) / 1e6} for r in rows], tolerance)
         for r in got:
             if "ids" in r:
                 r["correlation_id"] = hashlib.md5("+".join(r["ids"]).encode()).hexdigest()
-            r["timestamp"] = zero + pd.to_timedelta(round(r["start"] * 1e6), unit="us")
-        return pd.DataFrame(got, columns=columns).astype({"confidence": float})
+            r["timestamp"] = zero + round(r["start"] * 1e6)
+        return pa.table({c: pa.array([r[c] for r in got], t.schema.field(c).type) for c in columns})
 
-    return lines.select(*columns).groupBy(*keys).applyInPandas(run, LINE)
+    # Times cross to the kernel as whole microseconds.
+    own = lines.select(*columns).withColumn("timestamp", F.unix_micros("timestamp")).groupBy(*keys)
+    return own.applyInArrow(run, LINE.replace("timestamp timestamp", "timestamp long")).withColumn("timestamp", F.timestamp_micros("timestamp"))
 
 
 def anchor_dedupe(preds: DataFrame, keys: list[str], tolerance: float = 5.0, freq: str = "freq_hz", start: str = "t_start", end: str = "t_end", conf: str = "confidence") -> DataFrame:
