@@ -43,7 +43,7 @@ def find(text: str, scope: int = SCOPE) -> list[tuple[int, int, int]]:
     weak = [(m.start(), 3, m.end()) for m in IDENT.finditer(text)]
     weak += [(m.start(), 4, m.end()) for m in SECRET.finditer(text) if _mixed(m[0])]
     weak += [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)] if base or weak else []
-    weak = [w for w in weak if not any(b[0] < w[2] and w[0] < b[2] for b in _near(base, w))]
+    weak = _apart(weak, base)
     if not weak or len(base) + len(weak) < 2:
         return base
     return sorted([*base, *_linked(text, base, weak, scope)])
@@ -53,8 +53,14 @@ def _mixed(s: str) -> bool:
     return any(c.isdigit() for c in s) and any(c.islower() for c in s) and any(c.isupper() for c in s)
 
 
-def _near(base: list[tuple[int, int, int]], w: tuple[int, int, int]) -> list[tuple[int, int, int]]:
-    return [b for b in base if b[0] < w[2] and b[2] > w[0]]
+def _apart(weak: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Weak parts that overlap no base span: the furthest end of the base spans that start before a part's end must not exceed its start."""
+    if not weak or not base:
+        return weak
+    start = np.array([b[0] for b in base], np.int64)
+    end = np.maximum.accumulate(np.array([b[2] for b in base], np.int64))
+    before = np.searchsorted(start, [w[2] for w in weak])
+    return [w for w, k in zip(weak, before.tolist(), strict=True) if not k or end[k - 1] <= w[0]]
 
 
 def _linked(text: str, base: list[tuple[int, int, int]], weak: list[tuple[int, int, int]], scope: int) -> list[tuple[int, int, int]]:
