@@ -134,6 +134,8 @@ def test_exact_dedup_against_brute_force(spark, fan):
             r = got[i]
             assert (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) == (keep, len(g), i == keep, hashlib.sha256(k.encode()).hexdigest())
     assert exact_dedup.exact_dedup(docs(spark, [])).count() == 0
+    odd = exact_dedup.exact_dedup(docs(spark, [(None, "ab"), (4, "a b"), (5, "ab"), (None, "zz")])).collect()
+    assert sorted((str(r["doc_id"]), str(r["keep_id"]), r["kept"]) for r in odd) == [("4", "4", True), ("5", "4", False), ("None", "4", False), ("None", "None", True)]
 
 
 # 4, 7: tokens
@@ -229,6 +231,7 @@ def test_ngram_join_against_brute_force(spark):
         assert got[i]["n_links"] == links
     assert all(got[i]["group_id"] == root[i] and got[i]["kept"] == (root[i] == i) for i in range(len(rows)))
     assert ngram_join.ngram_join(docs(spark, [])).count() == 0
+    assert ngram_join.ngram_join(docs(spark, [(None, "one two"), (None, "x y z"), (3, "one two"), (None, None)])).count() == 4
 
 
 def test_banding_meets_its_recall():

@@ -33,14 +33,14 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def merge_runs(light: DataFrame, n_parts: int, fan: int = 16) -> DataFrame:
-    """One row per digest: KEY, n, best (struct neg_len, doc_id: the smallest stays)."""
+    """One row per digest: KEY, n, best (struct neg_len, unnamed, doc_id: the smallest stays)."""
     rounds = 1
     while fan**rounds < n_parts:
         rounds += 1
     k = max(2, round(n_parts ** (1 / rounds) + 0.499999))
     while k**rounds < n_parts:
         k += 1
-    runs = light.select(F.col("part").cast("long").alias("node"), *KEY, F.lit(1).cast("long").alias("n"), F.struct((-F.col("n_text")).alias("neg_len"), "doc_id").alias("best"))
+    runs = light.select(F.col("part").cast("long").alias("node"), *KEY, F.lit(1).cast("long").alias("n"), F.struct((-F.col("n_text")).alias("neg_len"), F.col("doc_id").isNull().alias("unnamed"), "doc_id").alias("best"))
     slot = F.pmod(F.xxhash64("digest"), F.lit(k**rounds))
     for r in range(rounds):
         digit = lambda c: F.pmod(F.floor(c / F.lit(k**r)), F.lit(k))  # noqa: B023, E731
@@ -54,7 +54,8 @@ def exact_dedup(docs: DataFrame, fan: int = 16) -> DataFrame:
 
     Null and empty texts are equal to each other and to texts of white space only, and form a
     group like any other. Rows that repeat a doc_id are rows of their own: each is counted,
-    and ``kept`` is true for those whose doc_id is keep_id. An empty table gives no rows.
+    and ``kept`` is true for those whose doc_id is keep_id. A null doc_id yields to any other of
+    the same length. An empty table gives no rows.
     Other columns of ``docs`` are ignored, whatever their names.
     """
     light = cut(digests(docs))
@@ -62,7 +63,7 @@ def exact_dedup(docs: DataFrame, fan: int = 16) -> DataFrame:
     found = merged.select(*KEY, "n", F.col("best.doc_id").alias("_keep"))
     keep = F.coalesce("_keep", "doc_id")
     return assign(light, found, KEY).select(
-        "doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), (keep == F.col("doc_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
+        "doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
 
 

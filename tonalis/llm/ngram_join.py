@@ -82,8 +82,9 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall
     doc_id reachable by links; kept: doc_id = group_id. Words are runs of letters, digits and
     underscores in lower case. Texts without words (null and empty ones too) link with nothing;
     a text of fewer than n words has one n-gram of all its words. Rows that repeat a doc_id are
-    copies of one another if their texts are equal, and all count as links. An empty table
-    gives no rows. Other columns are ignored.
+    copies of one another if their texts are equal, and all count as links. Rows with a null
+    doc_id belong to their text's class if that has a named row, and link with nothing else. An
+    empty table gives no rows. Other columns are ignored.
     """
     bands, rows = banding(threshold, recall)
     light = cut(fingerprints(docs, n, bands, rows))
@@ -100,7 +101,7 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall
     found = classes.select(*KEY, "rep", "copies").join(links, "rep", "left").join(near.withColumnRenamed("id", "rep"), "rep", "left").filter("copies > 1 or others is not null")
     out = assign(light, found, KEY)
     group = F.coalesce("component", "rep", "doc_id")
-    return out.select("doc_id", F.coalesce("rep", "doc_id").alias("class_id"), (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("others", F.lit(0))).cast("long").alias("n_links"), group.alias("group_id"), (group == F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", F.coalesce("rep", "doc_id").alias("class_id"), (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("others", F.lit(0))).cast("long").alias("n_links"), group.alias("group_id"), group.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def _verified(docs: DataFrame, members: DataFrame, n: int, threshold: float, block: int) -> DataFrame:
