@@ -24,7 +24,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents of these ids; rows that repeat both doc_id and text are one."""
+    """The documents of these ids; rows that repeat both doc_id and text are one, and rows without a doc_id go."""
     return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
 
 
