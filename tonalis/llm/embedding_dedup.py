@@ -160,9 +160,11 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int =
 
     keyed = classes.select("rep", "copies", "unit").mapInArrow(hashed, "rep long, copies long, unit binary, cells array<long>")
     # Each vector goes to its own cell of each table and to the neighbouring ones; only cells where one is at home and another comes matter. These rows are light; vectors follow for what is left.
-    spread = keyed.select("rep", F.posexplode("cells").alias("at", "cell")).select("rep", "cell", (F.pmod("at", F.lit(1 + probes)) == 0).alias("home"))
+    spread = keyed.select("rep", F.posexplode("cells").alias("at", "cell")).select("rep", "cell", (F.pmod("at", F.lit(1 + probes)) == 0).alias("home"), (F.floor(F.col("at") / (1 + probes)) + 1).cast("int").alias("upto"))
     lived = spread.groupBy("cell").agg(F.max("home").alias("lived"), F.count("*").alias("m")).filter("lived and m > 1").select("cell")
     tasks = block_tasks(spread.join(lived, "cell"), ["cell"], "rep", block).join(keyed, "rep")
+    # A pair's first meeting is in this table or before: later tables' cells stay behind.
+    tasks = tasks.withColumn("cells", F.slice("cells", F.lit(1), F.col("upto") * (1 + probes)))
     per = 1 + probes
 
     def compare(t: pa.Table) -> pa.Table:
