@@ -16,6 +16,7 @@ from tonalis.functions import columns as C
 AUDIO = r"\.(wav|flac)$"
 #: Names of the second layout: number, class word, vessel word, with dashes or underscores between.
 FLAT_NAME = r"^(\d+)[_-]+([A-Za-z]+)[_-]+([A-Za-z0-9]+)"
+#: Folder names of a sweep: seed and ratio; a fixed format.
 CELL_DIR = r"unet_seed(\d+)_ratio([\d.]+)$"
 
 
