@@ -38,6 +38,16 @@ def test_html_structure_and_entities():
     assert html_text.parse('<div class="has-sidebar"><p>Body <span class="ad">x <span>y</span> z</span> more</p></div>')[0] == ["Body more"]
 
 
+@pytest.mark.parametrize("tag", ["embed", "object", "svg", "math", "canvas", "video", "audio", "noscript"])
+def test_html_goes_on_after_elements_without_end(tag):
+    assert html_text.parse(f"<p>one</p><{tag} src='x'><p>two</p>")[0] == ["one", "two"]
+    assert html_text.parse(f"<p>one</p><{tag}><p>two</p><{tag}/><p>three</p>")[0] == ["one", "two", "three"]
+    if tag != "embed":
+        assert html_text.parse(f"<p>one</p><{tag}><p>two</p><{tag}>no</{tag}><p>three</p>")[0] == ["one", "two", "three"]
+        assert html_text.parse(f"<p>one</p><{tag}>a<{tag}>b</{tag}>c</{tag}><p>two</p>")[0] == ["one", "two"]
+    assert html_text.parse("<p>one</p><script>var t = 1;<p>two</p>")[0] == ["one"]
+
+
 def _lcs(a, b):
     t = np.zeros((len(a) + 1, len(b) + 1), int)
     for i in range(len(a)):

@@ -30,7 +30,9 @@ from tonalis.llm._util import cut, prepare, table
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 #: Elements whose content is not text at all, up to their own end tag.
-RAW = frozenset("script style noscript template svg math iframe object embed canvas audio video textarea xmp plaintext".split())
+RAW = frozenset("script style noscript template svg math iframe object canvas audio video textarea xmp plaintext".split())
+#: Those of them that hold the rest of the page if they have no end tag; of the others only the start tag then goes.
+GREEDY = frozenset("script style textarea xmp iframe plaintext".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul head title".split()
 )
@@ -60,12 +62,26 @@ def _boiler(name: str, attrs: str, inside: bool) -> bool:
     return any(not inside or not re.search("head", h[0], re.I) for h in said)
 
 
+def _ends(page: str, name: str) -> dict[int, int]:
+    """Where elements of this name start, and where their own end tag ends; those without one are left out."""
+    out: dict[int, int] = {}
+    held: list[int] = []
+    for m in re.finditer(rf"<(/?){name}(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", page, re.I):
+        if not m[1]:
+            if not m[0].endswith("/>"):
+                held.append(m.start())
+        elif held:
+            out[held.pop()] = m.end()
+    return out
+
+
 def parse(page: str) -> tuple[list[str], list[bool]]:
     """Lines of the page, without those that markup rules out, and which of them stand inside the article."""
     lines: list[str] = []
     sure: list[bool] = []
     piece: list[str] = []
     stack: list[tuple[str, bool]] = []  # open block or boilerplate elements: name, and whether it is ruled out
+    ends: dict[str, dict[int, int]] = {}
     out = inside = at = 0
 
     def flush() -> None:
@@ -94,8 +110,13 @@ def parse(page: str) -> tuple[list[str], list[bool]]:
         name, closing = m[2].lower(), bool(m[1])
         if name in RAW and not closing:
             if not m[3].endswith("/"):
-                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                if name in GREEDY:
+                    end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+                    at = end.end() if end else len(page)
+                else:
+                    if name not in ends:
+                        ends[name] = _ends(page, name)
+                    at = ends[name].get(m.start(), at)
             continue
         if name == "br":
             piece.append(" ")
