@@ -18,14 +18,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonalis.llm import exact_dedup, mixing, ngram_join, packing, quality
-from tonalis.llm._util import shared_dir
+from tonalis.llm._util import ROW, row_hashes, shared_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents of these ids; rows that repeat both doc_id and text are one, and rows without a doc_id go."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+def _only(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The documents of these rows (doc_id, which may be null, and ROW); rows that repeat both doc_id and text are one."""
+    rows = rows.select(F.col("doc_id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in ROW]).distinct()
+    own = docs.select("*", *row_hashes())
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2"))
+    return own.join(rows, same, "left_semi").dropDuplicates(["doc_id", *ROW]).drop(*ROW)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,12 +39,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of equal texts."""
-    return _only(docs.select(*COLUMNS), exact_dedup.exact_dedup(docs).filter("kept"))
+    return _only(docs.select(*COLUMNS), exact_dedup.kept_rows(docs))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each near-duplicate group; documents without links stay."""
-    return _only(docs.select(*COLUMNS), ngram_join.ngram_join(docs).filter("kept"))
+    """Keeps the first document (by doc_id, null last) of each near-duplicate group; documents without links stay."""
+    return _only(docs.select(*COLUMNS), ngram_join.decided(docs).filter("kept"))
 
 
 def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -244,6 +244,28 @@ def test_ngram_join_against_brute_force(spark):
     assert ngram_join.ngram_join(docs(spark, [(None, "one two"), (None, "x y z"), (3, "one two"), (None, None)])).count() == 4
 
 
+def test_ngram_join_of_repeated_and_null_ids(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    got = ngram_join.ngram_join(docs(spark, [(1, a), (1, b), (2, a + " x"), (3, b + " x"), (None, c), (None, c + " x"), (None, c), (4, c + " y"), (None, "lone words"), (None, "lone words")])).collect()
+    rows = sorted((str(r["doc_id"]), str(r["class_id"]), r["n_links"], str(r["group_id"]), r["kept"]) for r in got)
+    assert rows == sorted([("1", "1", 1, "1", rows[0][4]), ("1", "1", 1, "1", rows[1][4]), ("2", "2", 1, "1", False), ("3", "3", 1, "1", False), ("4", "4", 3, "4", True), *[("None", "None", 3, "4", False)] * 3, *[("None", "None", 1, "None", True)] * 2])
+    assert rows[0][4] and rows[1][4]  # two groups of the same doc_id, each with its own first row
+
+
+def test_pipeline_decides_by_row(spark):
+    import corpus_pipeline as P
+
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(60)) for k in "abcd")
+    rows = [(1, "a a"), (1, "bb"), (2, "b b b"), (2, "aa"), (0, "bbb"), (None, "zz"), (None, "zz"), (None, "yy"), (None, "bb"), (None, None), (7, "q"), (7, "q")]
+    kept = P.exact_stage(spark, docs(spark, rows), "").collect()
+    # "a a" and "aa", "bb" twice, "b b b" and "bbb", "zz" twice, "q" twice
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept) == [("1", "a a"), ("1", "bb"), ("2", "b b b"), ("7", "q"), ("None", "None"), ("None", "yy"), ("None", "zz")]
+    rows = [(1, a), (1, b), (0, b + " x"), (2, a + " x"), (None, c), (None, c + " x"), (None, d), (None, "..")]
+    kept = {(r["doc_id"], r["text"]) for r in P.near_stage(spark, docs(spark, rows), "").collect()}
+    assert kept - {(None, c), (None, c + " x")} == {(1, a), (0, b + " x"), (None, d), (None, "..")}
+    assert len(kept) == 5
+
+
 def test_banding_meets_its_recall():
     for threshold, recall in ((0.8, 0.999), (0.5, 0.9)):
         bands, rows = ngram_join.banding(threshold, recall)

@@ -114,5 +114,14 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+#: With doc_id, what tells rows apart: two hashes of the text as it stands; null and empty texts differ.
+ROW = ["t1", "t2"]
+
+
+def row_hashes(name: str = "text") -> list[Column]:
+    """ROW: rows that repeat both doc_id and text have the same, others don't."""
+    return [F.xxhash64(F.col(name), F.col(name).isNull()).alias("t1"), F.xxhash64(F.lit(1), F.col(name)).alias("t2")]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

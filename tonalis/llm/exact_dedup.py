@@ -17,30 +17,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonalis.llm._util import assign, cut, table, text_or_empty, with_part
+from tonalis.llm._util import ROW, assign, cut, row_hashes, table, text_or_empty, with_part
 
 #: Deleted before texts are compared: the characters of [\x20\x09-\x0D].
 SPACE = " \t\n\x0b\x0c\r"
 KEY = ["digest", "check", "n_norm"]
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, part, digest (binary SHA-256), check, n_norm, n_text; null text counts as empty."""
+def digests(docs: DataFrame, rows: bool = False) -> DataFrame:
+    """doc_id, part, digest (binary SHA-256), check, n_norm, n_text, and with ``rows`` ROW; null text counts as empty."""
     norm = F.translate(text_or_empty(), SPACE, "")
-    return with_part(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(text_or_empty()).cast("long").alias("n_text"), norm.alias("norm"))).select(
-        "doc_id", "part", F.unhex(F.sha2("norm", 256)).alias("digest"), F.xxhash64("norm").alias("check"), F.length("norm").cast("long").alias("n_norm"), "n_text"
+    return with_part(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(text_or_empty()).cast("long").alias("n_text"), norm.alias("norm"), *(row_hashes() if rows else []))).select(
+        "doc_id", "part", *(ROW if rows else []), F.unhex(F.sha2("norm", 256)).alias("digest"), F.xxhash64("norm").alias("check"), F.length("norm").cast("long").alias("n_norm"), "n_text"
     )
 
 
-def merge_runs(light: DataFrame, n_parts: int, fan: int = 16) -> DataFrame:
-    """One row per digest: KEY, n, best (struct neg_len, unnamed, doc_id: the smallest stays)."""
+def merge_runs(light: DataFrame, n_parts: int, fan: int = 16, rows: bool = False) -> DataFrame:
+    """One row per digest: KEY, n, best (struct neg_len, unnamed, doc_id, and with ``rows`` ROW: the smallest stays)."""
     rounds = 1
     while fan**rounds < n_parts:
         rounds += 1
     k = max(2, round(n_parts ** (1 / rounds) + 0.499999))
     while k**rounds < n_parts:
         k += 1
-    runs = light.select(F.col("part").cast("long").alias("node"), *KEY, F.lit(1).cast("long").alias("n"), F.struct((-F.col("n_text")).alias("neg_len"), F.col("doc_id").isNull().alias("unnamed"), "doc_id").alias("best"))
+    runs = light.select(F.col("part").cast("long").alias("node"), *KEY, F.lit(1).cast("long").alias("n"), F.struct((-F.col("n_text")).alias("neg_len"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", *(ROW if rows else [])).alias("best"))
     slot = F.pmod(F.xxhash64("digest"), F.lit(k**rounds))
     for r in range(rounds):
         digit = lambda c: F.pmod(F.floor(c / F.lit(k**r)), F.lit(k))  # noqa: B023, E731
@@ -67,6 +67,15 @@ def exact_dedup(docs: DataFrame, fan: int = 16) -> DataFrame:
     )
 
 
+def kept_rows(docs: DataFrame, fan: int = 16) -> DataFrame:
+    """doc_id and ROW of one row of each group of equal texts, named or not; rows that repeat both doc_id and text are all listed."""
+    light = cut(digests(docs, rows=True))
+    merged = merge_runs(light, max(1, light.rdd.getNumPartitions()), fan, rows=True).filter("n > 1")
+    out = assign(light, merged.select(*KEY, "best"), KEY)
+    first = F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.t1") == F.col("t1")) & (F.col("best.t2") == F.col("t2"))
+    return out.filter(F.col("best").isNull() | first).select("doc_id", *ROW)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonalis.llm._components import components
-from tonalis.llm._util import assign, block_tasks, cut, grouped, prepare, table, with_part
+from tonalis.llm._util import ROW, assign, block_tasks, cut, grouped, row_hashes, table, with_part
 from tonalis.llm._words import mixed, shingles, word_hashes
 
 N, THRESHOLD, RECALL, BLOCK = 5, 0.8, 0.999, 384
@@ -42,23 +42,23 @@ def banding(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 12
 
 
 def fingerprints(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, part, h1, h2 (of the set), size, bands array<long> (null without words)."""
+    """doc_id, part, t1, t2 (ROW), h1, h2 (of the set), size, bands array<long> (null without words)."""
     seeds = np.random.default_rng(7).integers(1, 2**63, bands * rows, dtype=np.uint64) | np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory: dict[str, int] = {}
         for b in batches:
             h1, h2, size, keys = [], [], [], []
-            for t in b.column(2).to_pylist():
+            for t in b.column(4).to_pylist():
                 s = shingles(word_hashes(t or "", memory), n)
                 h1.append(int(s.sum(dtype=np.uint64).view(np.int64)))
                 h2.append(int(mixed(s ^ np.uint64(0x5BD1E995)).sum(dtype=np.uint64).view(np.int64)))
                 size.append(len(s))
                 keys.append(_bands(s, seeds, bands, rows) if len(s) else None)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(h1), pa.array(h2), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "part", *KEY, "bands"])
+            yield pa.record_batch([*b.columns[:4], pa.array(h1), pa.array(h2), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "part", *ROW, *KEY, "bands"])
 
-    own = with_part(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "part", "text")
-    return own.mapInArrow(run, "doc_id long, part int, h1 long, h2 long, size long, bands array<long>")
+    own = with_part(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "part", *row_hashes(), "text")
+    return own.mapInArrow(run, "doc_id long, part int, t1 long, t2 long, h1 long, h2 long, size long, bands array<long>")
 
 
 def _bands(s: np.ndarray, seeds: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -79,35 +79,49 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall
 
     class_id: smallest doc_id whose set of n-grams is the same; n_links: number of other
     documents of Jaccard similarity >= threshold found, equal ones included; group_id: smallest
-    doc_id reachable by links; kept: doc_id = group_id. Words are runs of letters, digits and
-    underscores in lower case. Texts without words (null and empty ones too) link with nothing;
-    a text of fewer than n words has one n-gram of all its words. Rows that repeat a doc_id are
-    copies of one another if their texts are equal, and all count as links. Rows with a null
-    doc_id belong to their text's class if that has a named row, and link with nothing else. An
-    empty table gives no rows. Other columns are ignored.
+    doc_id reachable by links; kept: the row is its group's first by doc_id (null last), then by
+    a hash of the text. Words are runs of letters, digits and underscores in lower case. Texts
+    without words (null and empty ones too) link with nothing; a text of fewer than n words has
+    one n-gram of all its words. Rows are told apart by doc_id and text: of a doc_id that
+    repeats with other texts each links for itself, and rows that repeat both count as links and
+    are kept or not together. Rows with a null doc_id link like any other. An empty table gives
+    no rows. Other columns are ignored.
     """
+    return decided(docs, n, threshold, recall, block).drop(*ROW)
+
+
+def decided(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """The columns of ``ngram_join``, and ROW."""
     bands, rows = banding(threshold, recall)
     light = cut(fingerprints(docs, n, bands, rows))
     some = light.filter("size > 0")
-    classes = cut(some.groupBy(*KEY).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", *ROW)).alias("lead")
+    # A class has a number of its own (rep), written once to the checkpoint: a doc_id may be null or stand for several texts.
+    classes = cut(some.groupBy(*KEY).agg(lead, F.count("*").alias("copies"), F.first("bands").alias("bands")).withColumn("rep", F.monotonically_increasing_id()))
     keyed = classes.select("rep", F.posexplode("bands").alias("band", "h"))
     lowest = keyed.groupBy("band", "h").agg(F.min("rep").alias("low"), F.count("*").alias("m")).filter("m > 1")
     ties = keyed.join(lowest, ["band", "h"]).filter("rep != low").select(F.col("rep").alias("u"), F.col("low").alias("v"))
     groups = components(ties).select(F.col("id").alias("rep"), F.col("component").alias("cand"))
-    members = classes.join(groups, "rep").select("rep", "cand", "copies")
+    members = classes.join(groups, "rep").select("lead.doc_id", "lead.t1", "lead.t2", "rep", "cand", "copies")
     verified = cut(_verified(docs, members, n, threshold, block))
     links = verified.filter("n > 0").groupBy("rep").agg(F.sum("n").alias("others"))
-    near = components(verified.filter("to is not null").select(F.col("rep").alias("u"), F.col("to").alias("v")))
-    found = classes.select(*KEY, "rep", "copies").join(links, "rep", "left").join(near.withColumnRenamed("id", "rep"), "rep", "left").filter("copies > 1 or others is not null")
+    near = components(verified.filter("to is not null").select(F.col("rep").alias("u"), F.col("to").alias("v"))).withColumnRenamed("id", "rep")
+    first = classes.select("rep", "lead").join(near, "rep").groupBy("component").agg(F.min("lead").alias("first"))
+    found = classes.select(*KEY, "rep", "lead", "copies").join(links, "rep", "left").join(near.join(first, "component").drop("component"), "rep", "left").filter("copies > 1 or others is not null")
+    found = found.select(*KEY, F.col("lead.doc_id").alias("class_id"), F.coalesce("first", "lead").alias("first"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
     out = assign(light, found, KEY)
-    group = F.coalesce("component", "rep", "doc_id")
-    return out.select("doc_id", F.coalesce("rep", "doc_id").alias("class_id"), (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("others", F.lit(0))).cast("long").alias("n_links"), group.alias("group_id"), group.eqNullSafe(F.col("doc_id")).alias("kept"))
+    alone = F.col("first").isNull()
+    own = lambda x: F.when(alone, F.col("doc_id")).otherwise(F.col(x))
+    kept = alone | F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.t1") == F.col("t1")) & (F.col("first.t2") == F.col("t2"))
+    return out.select("doc_id", own("class_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), own("first.doc_id").alias("group_id"), kept.alias("kept"), *ROW)
 
 
 def _verified(docs: DataFrame, members: DataFrame, n: int, threshold: float, block: int) -> DataFrame:
     """Rows rep, n (linked documents of other classes, from one task) and rep, to (an edge of a spanning forest)."""
-    # A doc_id may repeat: one row of each class representative is enough.
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members, "rep")
+    # Rows may repeat doc_id and text: one of each class is enough.
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), *[c.alias(f"_{k}") for k, c in zip(ROW, row_hashes(), strict=True)], "text")
+    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_t1") == F.col("t1")) & (F.col("_t2") == F.col("t2"))
+    texts = texts.join(members, same).groupBy("rep").agg(F.first("text").alias("text"), F.first("cand").alias("cand"), F.first("copies").alias("copies"))
     num, den = _ratio(threshold)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,9 +135,7 @@ def _verified(docs: DataFrame, members: DataFrame, n: int, threshold: float, blo
 
     def compare(t: pa.Table) -> pa.Table:
         rep, b = t["rep"].to_numpy(), t["b"].to_numpy()
-        _, first = np.unique(rep, return_index=True)
-        t = t.take(pa.array(first))
-        rep, b, copies = rep[first], b[first], t["copies"].to_numpy()
+        copies = t["copies"].to_numpy()
         own = [np.frombuffer(x, np.uint64) for x in t["set"].to_pylist()]
         i, j = t["bi"][0].as_py(), t["bj"][0].as_py()
         left, right = (np.flatnonzero(b == i), np.flatnonzero(b == j)) if i != j else (np.arange(len(rep)),) * 2
