@@ -201,6 +201,19 @@ def test_separator_scan_stitches_blocks(spark, tmp_path):
     assert got == want
 
 
+def test_blocks_are_read_without_the_whole_file(spark, tmp_path):
+    ids = np.where(np.arange(1000) % 37 == 36, 7, 1).astype("<u2")
+    (tmp_path / "a file").write_bytes(ids.tobytes())
+    (tmp_path / "none").write_bytes(b"")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "100")  # as 2 GB is for large files
+    try:
+        got = token_counts.read_blocks(spark, str(tmp_path), block=64).orderBy("block").collect()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert [r["block"] for r in got] == list(range(16)) and b"".join(r["ids"] for r in got) == ids.tobytes()
+    assert max(len(r["ids"]) for r in got) == 128
+
+
 def test_separator_scan_of_documents(spark, tmp_path):
     texts = [(i, t) for i, t in enumerate([None, "", "one two", "x " * 4000, "end"])]
     docs(spark, texts, 2).write.parquet(str(tmp_path / "documents.parquet"))

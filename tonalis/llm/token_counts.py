@@ -9,10 +9,12 @@ documents that cross blocks and numbers them: within a file, over the per-block
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,17 +26,34 @@ BLOCK, END = 1 << 18, 50256
 
 
 def read_blocks(spark: SparkSession, path: str, width: int = 2, block: int = BLOCK) -> DataFrame:
-    """Flat token files under ``path`` as blocks: file string, block long, ids binary. Files of up to 2 GB."""
+    """Flat token files under ``path`` as blocks: file string, block long, ids binary. Files of any size.
+
+    Spark only lists the files. Each block is a row of its own, whose task reads its bytes: from
+    the shared file system, or from a store that ``pyarrow.fs`` opens by URI.
+    """
     prepare(spark)
+    step = block * width
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                buf = raw.as_buffer()
-                for k, at in enumerate(range(0, buf.size, block * width)):
-                    yield pa.record_batch([pa.array([name]), pa.array([k], pa.int64()), pa.array([buf[at : at + block * width].to_pybytes()], pa.binary())], names=["file", "block", "ids"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(split, "file string, block long, ids binary")
+            for name, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                yield pa.record_batch([pa.array([name]), pa.array([k], pa.int64()), pa.array([_bytes(name, k * step, step)], pa.binary())], names=["file", "block", "ids"])
+
+    # Without the content column no file is opened, so none is too large.
+    files = spark.read.format("binaryFile").load(path).select("path", "length").filter("length > 0")
+    blocks = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / step).cast("long"))).alias("block"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return blocks.repartition(n, "path", "block").mapInArrow(read, "file string, block long, ids binary")
+
+
+def _bytes(name: str, at: int, n: int) -> bytes:
+    """n bytes of the file from ``at``, fewer at its end."""
+    if name.startswith("file:"):
+        fs, path = pafs.LocalFileSystem(), re.sub("^file:/*", "/", name)
+    else:
+        fs, path = pafs.FileSystem.from_uri(name)
+    with fs.open_input_file(path) as f:
+        return f.read_at(min(n, f.size() - at), at)
 
 
 def flat_blocks(docs: DataFrame, end_id: int = END, block: int = BLOCK, path: str | None = None, pattern: str | None = None) -> DataFrame:
