@@ -270,3 +270,20 @@ def test_live_tracks_equal_batch(spark, tmp_path):
     q.awaitTermination(20)
     q.stop()
     assert {tuple(r) for r in spark.sql("select * from live").collect()} == want
+
+
+def test_whole_tables_of_grids_and_times(spark):
+    from tonalis.plans import inputs as X
+    from tonalis.plans import queries
+
+    d = "/root/testdata/sf0.001"
+    got = {}
+    for r in queries.QUERIES["w7_patch_grid_all"](spark, d).collect():
+        got.setdefault(r["o_orderkey"], []).append((r["f_start"], r["t_start"]))
+    for r in X.read(spark, d, "orders").collect():
+        nt = r["o_custkey"] % 40 + 4
+        times = sorted({*range(0, nt - 7, 5), nt - 8}) if nt >= 8 else []
+        assert sorted(got.get(r["o_orderkey"], [])) == [(f, t) for f in (0, 5, 10, 12) for t in times]
+    times = {r["event_id"]: r["s"] for r in queries.QUERIES["p10_relative_time_all"](spark, d).collect()}
+    events = X.read(spark, d, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).collect()
+    assert times == {r["event_id"]: int((r["us"] - X.EPOCH * 1_000_000) / 1_000_000) for r in events}

@@ -245,3 +245,12 @@ Q["w7_patch_grid"] = w7_patch_grid
 SQL["w7_patch_grid"] = """WITH c AS (SELECT o_orderkey, o_custkey % 40 + 4 AS nt FROM orders WHERE o_orderkey % 50 = 0), f(f_start) AS (VALUES (0), (5), (10), (12)),
 t AS (SELECT o_orderkey, k * 5 AS t_start FROM c, range(0, 20) r(k) WHERE k * 5 + 8 <= nt UNION SELECT o_orderkey, nt - 8 FROM c WHERE nt >= 8)
 SELECT o_orderkey, CAST(f_start AS INTEGER) AS f_start, CAST(t_start AS INTEGER) AS t_start FROM t, f"""
+
+
+def w7_patch_grid_all(spark: SparkSession, d: str) -> DataFrame:
+    """The grid of every order; w7_patch_grid has the part that its SQL covers."""
+    clips = X.read(spark, d, "orders").select("o_orderkey", F.lit(20).alias("nf"), (F.pmod("o_custkey", F.lit(40)) + 4).cast("int").alias("nt"))
+    return E.patch_grid(clips, "o_orderkey", "nf", "nt", 8, 5)
+
+
+Q["w7_patch_grid_all"] = w7_patch_grid_all
