@@ -287,3 +287,51 @@ def test_whole_tables_of_grids_and_times(spark):
     times = {r["event_id"]: r["s"] for r in queries.QUERIES["p10_relative_time_all"](spark, d).collect()}
     events = X.read(spark, d, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).collect()
     assert times == {r["event_id"]: int((r["us"] - X.EPOCH * 1_000_000) / 1_000_000) for r in events}
+
+
+def test_totals_of_patches_with_many_lines(spark, tmp_path):
+    from itertools import permutations
+
+    from tonalis.plans import inputs as X
+    from tonalis.plans import queries
+
+    rng = np.random.default_rng(5)
+    rows = [(k, u, ("click", "view")[k % 2], pd.Timestamp(X.EPOCH + int(rng.integers(0, 20_000)), unit="s").to_pydatetime(), float(rng.integers(0, 70))) for k, u in enumerate([1] * 12 + [2] * 4 + [3])]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp_ntz, value double").write.parquet(str(tmp_path / "events.parquet"))
+    pairs = {(r["pred_id"], r["truth_id"]): r["iou"] for r in E.line_iou_pairs(X.spans(spark, str(tmp_path), "click"), X.spans(spark, str(tmp_path), "view"), "patch", 15.0).collect()}
+    want = {}
+    for u in (1, 2):
+        a, b = ([r[0] for r in rows if r[1] == u and r[2] == k] for k in ("click", "view"))
+        want[u * 100] = max(sum(pairs.get(x, 0.0) for x in zip(a, o, strict=True)) for o in permutations(b))
+    got = {r["patch"]: r["total"] for r in queries.QUERIES["j4_match_totals_all"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(want, abs=1e-5)
+
+
+def test_masks_of_every_member(spark):
+    from tonalis.plans import inputs as X
+    from tonalis.plans import queries
+
+    d = "/root/testdata/sf0.001"
+    cells, gram = {}, {}
+    for r in X.masks(spark, d).collect():
+        cells.setdefault((r["patch_id"], r["member"]), {})[r["h"], r["w"]] = r["p"]
+        f, t = r["patch_id"] % 5 * 2 + r["h"], r["patch_id"] % 7 * 2 + r["w"]
+        if f < 11 and t < 14:
+            k = (r["patch_id"] % 50, r["member"], f, t)
+            gram[k] = max(gram.get(k, 0), round(r["p"], 8))
+    want = []
+    for key, m in cells.items():
+        left = {c for c, p in m.items() if p > 0.5}
+        while left:
+            part, todo = [], [left.pop()]
+            while todo:
+                h, w = todo.pop()
+                part.append((h, w))
+                near = left & {(h + 1, w), (h - 1, w), (h, w + 1), (h, w - 1)}
+                left -= near
+                todo += near
+            if len(part) > 1:
+                want.append((*key, int(np.median([h for h, _ in part])), min(w for _, w in part), max(w for _, w in part), len(part)))
+    got = [(r["patch_id"], r["member"], r["row"], r["col_min"], r["col_max"], r["n_cells"]) for r in queries.QUERIES["a25_components_all"](spark, d).collect()]
+    assert sorted(got) == sorted(want) and {r[1] for r in got} == {0, 1, 2, 3}
+    assert {(r["rec"], r["member"], r["freq_bin"], r["time_bin"]): r["p"] for r in queries.QUERIES["a27_stitch_all"](spark, d).collect()} == pytest.approx(gram)

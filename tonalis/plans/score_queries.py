@@ -172,6 +172,15 @@ k AS (SELECT patch_id, id, min(root) AS root FROM r GROUP BY ALL)
 SELECT patch_id, CAST(floor(quantile_cont(h, 0.5)) AS INTEGER) AS row, min(w) AS col_min, max(w) AS col_max, round(avg(p), 8) AS confidence, CAST(count(*) AS INTEGER) AS n_cells FROM k JOIN c USING (patch_id, id) GROUP BY patch_id, root HAVING count(*) >= 2"""
 
 
+def a25_components_all(spark: SparkSession, d: str) -> DataFrame:
+    """The components of every member; a25_components has the part that its SQL covers."""
+    m = X.masks(spark, d).withColumn("_k", F.col("patch_id") * 4 + F.col("member"))
+    return E.component_lines(m, "_k", "h", "w", "p", 0.5, 2).select(F.shiftright("_k", 2).alias("patch_id"), F.pmod("_k", F.lit(4)).cast("int").alias("member"), "row", "col_min", "col_max", _r("confidence"), "n_cells")
+
+
+Q["a25_components_all"] = a25_components_all
+
+
 def a26_heatmap_lines(spark: SparkSession, d: str) -> DataFrame:
     h = X.read(spark, d, "embeddings").select(F.col("vec_id").alias("patch"), (1.0 / (1.0 + F.exp(-8.0 * F.col("embedding")[0].cast("double")))).alias("cls"), F.transform("embedding", lambda v: 1.0 / (1.0 + F.exp(-8.0 * v.cast("double")))).alias("heat"))
     return E.heatmap_lines(h, "patch", "cls", "heat", 3.0, 2.0, 0.0, 32.0, 0.5, 0.7).select("patch", "freq_hz", "t_start", "t_end", _r("confidence"))
@@ -190,6 +199,16 @@ def a27_stitch(spark: SparkSession, d: str) -> DataFrame:
 Q["a27_stitch"] = a27_stitch
 SQL["a27_stitch"] = f"WITH {X.MASKS} SELECT patch_id % 50 AS rec, CAST(patch_id % 5 * 2 + h AS INTEGER) AS freq_bin, CAST(patch_id % 7 * 2 + w AS INTEGER) AS time_bin, round(max(p), 8) AS p FROM m WHERE member = 1 AND patch_id % 5 * 2 + h < 11 AND patch_id % 7 * 2 + w < 14 GROUP BY ALL"
 
+
+
+def a27_stitch_all(spark: SparkSession, d: str) -> DataFrame:
+    """The grams of every member; a27_stitch has the part that its SQL covers."""
+    m = X.masks(spark, d).select((F.col("patch_id") % 50 * 4 + F.col("member")).alias("_k"), ((F.col("patch_id") % 5) * 2).cast("int").alias("f0"), ((F.col("patch_id") % 7) * 2).cast("int").alias("t0"), "h", "w", "p")
+    return E.stitch(m, "_k", "f0", "t0", "h", "w", "p", 11, 14).select(F.shiftright("_k", 2).alias("rec"), F.pmod("_k", F.lit(4)).cast("int").alias("member"), "freq_bin", "time_bin", _r("p"))
+
+
+Q["a27_stitch_all"] = a27_stitch_all
+
 _IOU = """CASE WHEN abs(p.freq_hz - t.freq_hz) <= 2 * 15.0 THEN 1.0::DOUBLE WHEN abs(p.freq_hz - t.freq_hz) <= 4 * 15.0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END * greatest(0.0::DOUBLE, (least(p.t_end, t.t_end) - greatest(p.t_start, t.t_start)) / (greatest(p.t_end, t.t_end) - least(p.t_start, t.t_start)))"""
 _LINES = f"{X.sql_spans('p', 'click')}, {X.sql_spans('t', 'view')}"
 
@@ -231,6 +250,17 @@ s AS (SELECT patch, 0 AS k, [0]::BIGINT[] AS used, 0.0::DOUBLE AS total FROM few
 SELECT patch, round(max(total), 6) AS total FROM s GROUP BY patch"""
 
 
+def j4_match_totals_all(spark: SparkSession, d: str) -> DataFrame:
+    """The best total of IoU of every patch with lines on both sides; j4_match_totals has the part that its SQL covers."""
+    p, t = X.spans(spark, d, "click"), X.spans(spark, d, "view")
+    both = p.select("patch").intersect(t.select("patch"))
+    m = E.match_lines(p.join(both, "patch", "left_semi"), t.join(both, "patch", "left_semi"), "patch", 15.0, 0.0)
+    return m.groupBy("patch").agg(F.round(F.coalesce(F.sum("iou"), F.lit(0.0)), 6).alias("total"))
+
+
+Q["j4_match_totals_all"] = j4_match_totals_all
+
+
 def a1_recall_by_snr(spark: SparkSession, d: str) -> DataFrame:
     p, t = X.spans(spark, d, "click"), X.spans(spark, d, "view")
     iou = E.line_iou_pairs(p, t, "patch", 15.0).filter("iou >= 0.1")
