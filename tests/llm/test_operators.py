@@ -342,6 +342,14 @@ def test_trees_learn_and_flatten():
     assert np.allclose(_trees.fit(x[:0], y[:0]).score(one), 0.5)
 
 
+def test_the_top_word_is_counted_over_the_whole_text():
+    top = quality.NAMES.index("top")
+    a = ["stop", "top", *[f"w{i}" for i in range(7)], "top"]  # 640 words: every place at a stride of 10 holds "stop"
+    assert quality.statistics([" ".join(a * 64)])[0, top] == pytest.approx(0.2)
+    assert quality.statistics(["a b c a"])[0, top] == 0.5  # most words are distinct
+    assert quality.statistics([" \n"])[0, top] == 0
+
+
 def test_quality_rows(spark):
     rng = np.random.default_rng(7)
     good = lambda: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(40)) + "."
