@@ -78,6 +78,14 @@ def test_differencing_deletes_templates_and_spares_copies(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_differencing_looks_past_long_runs_of_copies(spark):
+    page = lambda k, more="": f"<div>Site name and menu</div><div>own words {k} and more of them here, so many</div>{more}<div>All rights</div>"
+    rows = [(0, "http://h.com/a/00", page(0)), (99, "http://h.com/a/99", page(99))]
+    rows += [(k, f"http://h.com/a/50?{k:02d}", page(50, f"<div>Session {k}</div>" if k > 30 else "")) for k in range(1, 61)]
+    got = by_id(html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)), "page_id")
+    assert all(got[k]["text"] == f"own words {k if k in (0, 99) else 50} and more of them here, so many" + (f"\nSession {k}" if 30 < k < 61 else "") for k in got)
+
+
 # 2: language
 
 

@@ -5,17 +5,20 @@
    Lines inside an article element stay, and if they are most of the text, the others go.
    Every other line is open.
 2. Pages are put in order of host and URL path by a range shuffle of light rows (hashes of
-   lines, no text), so that the nearest pages by path stand next to each other; the first and
-   last pages of each partition go to its neighbours (two rows per partition).
-3. Each page's lines are aligned with those of the nearest page before and after on its host
-   by longest common subsequence; open lines in the common subsequence are the site's template
-   and are deleted. A neighbour with the same article (most of the other page's text shared)
-   says nothing about templates: the next nearest one is then asked.
+   lines, no text), so that the nearest pages by path stand next to each other; the pages at
+   the ends of each partition go to the driver and its neighbours (four light rows a partition).
+3. Pages that follow one another on a host and share most of their own text are a run of
+   copies. Own text is what isn't among the lines common to the two neighbours of the host
+   that have least in common; a host all of whose neighbours share over 0.9 of the text is one
+   run, as nothing tells its template from its text. Each page's lines are aligned with those of the page before and the page
+   after its run, however far, by longest common subsequence; open lines in the common
+   subsequence are the site's template and are deleted.
 """
 
 from __future__ import annotations
 
 import html as entities
+import pickle
 import re
 from collections.abc import Iterator
 from urllib.parse import urlsplit
@@ -220,85 +223,150 @@ def _row_key(url: str | None, page: str | None) -> int:
     return xxhash.xxh64_intdigest(f"{url}\0{page}".encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _template(me: dict, others: list[dict], copy: float) -> np.ndarray:
-    """Open lines of ``me`` shared with its nearest pages."""
-    a, sure, size = (np.asarray(me[k]) for k in ("lines", "sure", "size"))
-    out = np.zeros(len(a), bool)
-    if not len(a) or sure.all():
-        return out
-    for other in others:
-        hit = common(a, np.asarray(other["lines"]))
-        body = sure if sure.any() else np.ones(len(a), bool)
-        if size[hit & body].sum() <= copy * size[body].sum():
-            return hit & ~sure.astype(bool)
-    return out
+Page = tuple[np.ndarray, np.ndarray, np.ndarray]  # hashes of lines, which are sure, their sizes
+
+
+def _body(p: Page) -> np.ndarray:
+    return p[1] if p[1].any() else np.ones(len(p[0]), bool)
+
+
+def _share(x: Page, y: Page, hit: np.ndarray, template: np.ndarray) -> float:
+    """Part of the smaller one's own text (lines that are no template) in the lines of x that y has too."""
+    own = _body(x) & ~np.isin(x[0], template)
+    least = min(x[2][own].sum(), y[2][_body(y) & ~np.isin(y[0], template)].sum())
+    return float(x[2][hit & own].sum() / least) if least else 0.0
+
+
+def _copies(x: Page, y: Page, template: np.ndarray, copy: float) -> bool:
+    return np.array_equal(x[0], y[0]) or _share(x, y, common(x[0], y[0]), template) > copy
+
 
+Least = tuple[float, np.ndarray]  # of a host: the least share of two neighbours, and their common lines
 
-def templates(pages: DataFrame, reach: int = 3, copy: float = 0.5) -> DataFrame:
-    """page_id, row, drop array<int>: places of template lines, for pages that have some.
 
-    reach: so many pages before and after are asked, nearest first, until one isn't a copy.
+def _least(known: Least, x: Page, y: Page, hit: np.ndarray, nearly: float = 0.9) -> Least:
+    """Pairs with nothing in common or nearly all say nothing, nor do pages that are all article."""
+    s = _share(x, y, hit, x[0][:0])
+    return (s, np.unique(x[0][hit])) if 0 < s <= nearly and s < known[0] and not x[1].all() and not y[1].all() else known
+
+
+NONE: Least = (1.0, np.empty(0, np.int64))
+
+
+class _Part:
+    """A partition of light rows, in order, in runs of copies that follow one another on a host.
+
+    ``least`` has what its neighbours say of each host; ``given`` the same for hosts that other partitions have too.
     """
-    light = _light(pages)
+
+    def __init__(self, batches: Iterator[pa.RecordBatch], copy: float, given: dict[int, dict[str, Least]] | None = None) -> None:
+        held = [b for b in batches if b.num_rows]
+        self.n = sum(b.num_rows for b in held)
+        if not self.n:
+            return
+        column = {k: pa.concat_arrays([b.column(k) for b in held]) for k in held[0].schema.names}
+        self.ids, self.rows, self.host, self.part = (column[k].to_pylist() for k in ("page_id", "row", "host", "part"))
+        at = column["lines"].offsets.to_numpy()
+        flat = [column[k].flatten().to_numpy(zero_copy_only=False) for k in ("lines", "sure", "size")]
+        self.page = lambda i: tuple(v[at[i] : at[i + 1]] for v in flat)
+        self.least: dict[str, Least] = {}
+        hits: list[np.ndarray | None] = [None] * self.n
+        for i in range(1, self.n):
+            h, x, y = self.host[i], self.page(i - 1), self.page(i)
+            if h == self.host[i - 1] and not np.array_equal(x[0], y[0]):
+                hits[i] = np.packbits(hit := common(x[0], y[0]))
+                self.least[h] = _least(self.least.get(h, NONE), x, y, hit)
+        self.least.update((given or {}).get(self.part[0], {}))
+        self.start = [0]  # of each run
+        for i in range(1, self.n):
+            x, y = self.page(i - 1), self.page(i)
+            if self.host[i] != self.host[i - 1] or hits[i] is not None and _share(x, y, np.unpackbits(hits[i], count=len(x[0])).astype(bool), self.known(i)) <= copy:
+                self.start.append(i)
+
+    def known(self, i: int) -> np.ndarray:
+        return self.least.get(self.host[i], NONE)[1]
+
+    def ends(self) -> dict:
+        """What the partitions before and after need to know."""
+        s, z = [*self.start, self.n], self.n - 1
+        return {
+            "hosts": (self.host[0], self.host[z]), "pages": (self.page(0), self.page(z)), "known": (self.known(0), self.known(z)), "least": {self.host[i]: self.least.get(self.host[i], NONE) for i in (0, z)}, "whole": len(self.start) == 1,
+            "next": (self.page(s[-2] - 1) if s[-2] and self.host[s[-2] - 1] == self.host[z] else None, self.page(s[1]) if s[1] < self.n and self.host[s[1]] == self.host[0] else None),
+        }
+
+
+def _beyond(parts: list[dict], p: int, side: int, copy: float) -> Page | None:
+    """The nearest page before (side -1) or after (1) partition p on its host that is no copy of the run at p's end, however far it lies."""
+    me, it = int(side > 0), p
+    while 0 <= it + side < len(parts):
+        mine, other = parts[it], parts[it + side]
+        if other["hosts"][1 - me] != mine["hosts"][me]:
+            return None
+        page = other["pages"][1 - me]
+        if not _copies(mine["pages"][me], page, np.union1d(mine["known"][me], other["known"][1 - me]), copy):
+            return page
+        if other["next"][me] is not None or not other["whole"]:
+            return other["next"][me]
+        it += side
+    return None
+
+
+def templates(pages: DataFrame, copy: float = 0.5) -> DataFrame:
+    """page_id, row, drop array<int>: places of template lines, for pages that have some."""
+    light = _light(pages).filter("size(lines) > 0")
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     near = light.repartitionByRange(n, "host", "path", "page_id", "row").sortWithinPartitions("host", "path", "page_id", "row").withColumn("part", F.spark_partition_id())
     near = cut(near)
 
-    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, last = [], []
-        for b in batches:
-            if len(first) < reach:
-                first += b.slice(0, reach - len(first)).to_pylist()
-            last = (last + b.slice(max(0, b.num_rows - reach)).to_pylist())[-reach:]
-        if first:
-            yield pa.RecordBatch.from_pylist([{**r, "head": h} for h, rows in ((True, first), (False, last)) for r in rows], schema=_BORDER)
-
-    border = near.mapInArrow(ends, LIGHT + ", part int, head boolean").collect()  # 2 * reach light rows per partition
-    heads: dict[int, list[dict]] = {}
-    tails: dict[int, list[dict]] = {}
-    for r in border:
-        (heads if r["head"] else tails).setdefault(r["part"], []).append(r.asDict())
-    parts = sorted(heads)
-    sent = pages.sparkSession.sparkContext.broadcast(({p: tails[q] for q, p in zip(parts, parts[1:], strict=False)}, {p: heads[q] for p, q in zip(parts, parts[1:], strict=False)}))
+    def ends(given: dict[int, dict[str, Least]]) -> list[tuple[int, dict]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = _Part(batches, copy, given)
+            if t.n:
+                yield pa.record_batch([pa.array([t.part[0]], pa.int32()), pa.array([pickle.dumps(t.ends())], pa.binary())], names=["part", "ends"])
+
+        return sorted(((r["part"], pickle.loads(bytes(r["ends"]))) for r in near.mapInArrow(run, "part int, ends binary").collect()), key=lambda x: x[0])  # four light pages per partition
+
+    border = ends({})
+    least: dict[str, Least] = {}
+    for k, (_, e) in enumerate(border):
+        for h, v in e["least"].items():
+            least[h] = min(least.get(h, NONE), v, key=lambda v: v[0])
+        if k and border[k - 1][1]["hosts"][1] == (h := e["hosts"][0]):
+            x, y = border[k - 1][1]["pages"][1], e["pages"][0]
+            least[h] = _least(least[h], x, y, common(x[0], y[0]))
+    given = {p: {h: least[h] for h in e["least"]} for p, e in border}
+    border = ends(given)
+    parts = [x for _, x in border]
+    beyond = {p: (_beyond(parts, k, -1, copy), _beyond(parts, k, 1, copy), given[p]) for k, (p, _) in enumerate(border)}
+    sent = pages.sparkSession.sparkContext.broadcast(beyond)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: list[dict] | None = None  # the window: up to reach before, the page, up to reach after
-        done = 0
-        for b in batches:
-            rows = b.to_pylist()
-            if rows and seen is None:
-                seen = list(sent.value[0].get(rows[0]["part"], []))
-                done = len(seen)
-            yield from emit(seen, rows, False, done) if rows else ()
-            if rows:
-                seen = (seen + rows)[-2 * reach :] if len(seen) + len(rows) > 2 * reach else seen + rows
-                done = max(0, len(seen) - reach)
-        if seen and done < len(seen):
-            yield from emit(seen, list(sent.value[1].get(seen[-1]["part"], [])), True, done)
-
-    def emit(seen: list[dict], rows: list[dict], last: bool, done: int) -> Iterator[pa.RecordBatch]:
-        every = seen + rows
-        stop = len(seen) if last else max(done, len(every) - reach)
+        t = _Part(batches, copy, {p: x[2] for p, x in sent.value.items()})
         out = []
-        for i in range(done, stop):
-            me = every[i]
-            about = [(d, every[i + s * d]) for d in range(1, reach + 1) for s in (-1, 1) if 0 <= i + s * d < len(every) and every[i + s * d]["host"] == me["host"]]
-            drop = np.zeros(len(me["lines"]), bool)
-            for side in (-1, 1):
-                drop |= _template(me, [every[i + side * d] for d in range(1, reach + 1) if 0 <= i + side * d < len(every) and every[i + side * d]["host"] == me["host"]], copy) if about else False
-            if drop.any():
-                out.append((me["page_id"], me["row"], np.flatnonzero(drop).tolist()))
-        if out:
-            ids, keys, places = zip(*out, strict=True)
+        stops = [*t.start[1:], t.n] if t.n else []
+        for a, z in zip(t.start if t.n else [], stops, strict=True):
+            left = sent.value[t.part[0]][0] if not a else t.page(a - 1) if t.host[a - 1] == t.host[a] else None
+            right = sent.value[t.part[0]][1] if z == t.n else t.page(z) if t.host[z] == t.host[a] else None
+            last = drop = None
+            for i in range(a, z):
+                me = t.page(i)
+                if last is None or not (np.array_equal(me[0], last[0]) and np.array_equal(me[1], last[1])):
+                    drop = np.zeros(len(me[0]), bool)
+                    for other in (left, right):
+                        if other is not None and not me[1].all():
+                            drop |= common(me[0], other[0])
+                    drop = np.flatnonzero(drop & ~me[1]).tolist()
+                last = me
+                if drop:
+                    out.append((t.ids[i], t.rows[i], drop))
+        for k in range(0, len(out), 1000):
+            ids, keys, places = zip(*out[k : k + 1000], strict=True)
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(places, pa.list_(pa.int32()))], names=["page_id", "row", "drop"])
 
     return near.mapInArrow(run, "page_id long, row long, drop array<int>")
 
 
-_BORDER = pa.schema([("page_id", pa.int64()), ("row", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.list_(pa.int64())), ("sure", pa.list_(pa.bool_())), ("size", pa.list_(pa.int32())), ("part", pa.int32()), ("head", pa.bool_())])
-
-
-def extract(pages: DataFrame, reach: int = 3, copy: float = 0.5) -> DataFrame:
+def extract(pages: DataFrame, copy: float = 0.5) -> DataFrame:
     """Per page: page_id, url, text, n_chars.
 
     Character references are decoded, white space inside a block is one space, blocks are joined
@@ -309,7 +377,7 @@ def extract(pages: DataFrame, reach: int = 3, copy: float = 0.5) -> DataFrame:
     """
     prepare(pages.sparkSession)
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    drop = templates(own, reach, copy)
+    drop = templates(own, copy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
