@@ -86,6 +86,13 @@ def test_differencing_looks_past_long_runs_of_copies(spark):
     assert all(got[k]["text"] == f"own words {k if k in (0, 99) else 50} and more of them here, so many" + (f"\nSession {k}" if 30 < k < 61 else "") for k in got)
 
 
+def test_differencing_of_pages_that_are_mostly_template(spark):
+    page = lambda k: "".join(f"<div>menu entry {i} of the site</div>" for i in range(6)) + f"<div>short text {k}</div><div>All rights reserved by us</div>"
+    rows = [(k, f"http://t.com/{k:02d}", page(f"{k} " * 20)) for k in range(20)] + [(50, "http://t.com/05x", page("5 " * 20))]
+    got = by_id(html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)), "page_id")
+    assert all(r["text"] == "short text " + ("5 " * 20 if k == 50 else f"{k} " * 20).strip() for k, r in got.items())
+
+
 # 2: language
 
 
