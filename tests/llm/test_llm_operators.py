@@ -418,18 +418,58 @@ def test_lattice_points():
     assert (((y - p) ** 2).sum(axis=1) <= 1 + 1e-9).all()  # the covering radius
 
 
-@pytest.mark.parametrize("cosine", [0.9, 0.93])
-def test_lattice_recall(cosine):
+@pytest.mark.parametrize("layout", [p for _, p in embedding_dedup.PLANS])
+def test_lattice_recall(layout):
     rng = np.random.default_rng(10)
     x = rng.standard_normal((800, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
     z = rng.standard_normal((800, 64))
     z -= (z * x).sum(axis=1)[:, None] * x
     z /= np.linalg.norm(z, axis=1)[:, None]
-    lat = embedding_dedup.Lattice(64)
-    a, b = lat.cells(x), lat.cells(cosine * x + np.sqrt(1 - cosine**2) * z)
+    lat = embedding_dedup.Lattice(64, *layout)
+    near = 0.9 * x + np.sqrt(1 - 0.81) * z
+    a, b = lat.cells(x), lat.cells(near)
     met = ((a == b[:, :, :1]).any(axis=2) | (b == a[:, :, :1]).any(axis=2)).any(axis=1)
-    assert met.mean() >= 0.95
+    assert met.mean() >= 0.96
+    far = np.bitwise_count(lat.sketches(x) ^ lat.sketches(near)).sum(axis=1)
+    assert far.max() <= embedding_dedup.far_apart(0.9) < 80
+
+
+def _brute_links(x):
+    """n_links and the smallest index of each component, of rows that are all proper vectors."""
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    hit = u @ u.T >= 0.9
+    np.fill_diagonal(hit, False)
+    root = np.arange(len(x))
+    for _ in range(len(x)):
+        new = np.array([min(root[i], *root[hit[i]]) if hit[i].any() else root[i] for i in range(len(x))])
+        if (new == root).all():
+            break
+        root = new
+    return hit.sum(axis=1), root
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_near_vectors_of_repeated_and_null_ids(spark, kind):
+    rng = np.random.default_rng(13)
+    a, c = rng.standard_normal((2, 32))
+    a2, a3 = a + 0.05 * rng.standard_normal(32), a + 0.05 * rng.standard_normal(32)
+    c2 = c + 0.05 * rng.standard_normal(32)
+    rows = [(1, a), (1, a2), (3, a3), (1, c), (None, c2), (None, c2 * 2), (None, rng.standard_normal(32)), (7, c * 3)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], f"vec_id long, embedding array<{kind}>").repartition(3)
+    got = sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in embedding_dedup.near_vectors(df).collect())
+    assert got == sorted([("1", 2, "1", True), ("1", 2, "1", True), ("3", 2, "1", False), ("1", 3, "1", True), *[("None", 3, "1", False)] * 2, ("None", 0, "None", True), ("7", 3, "1", False)])
+
+
+def test_near_vectors_of_a_large_group(spark):
+    rng = np.random.default_rng(14)
+    x = np.r_[rng.standard_normal(24) + 0.18 * rng.standard_normal((150, 24)), rng.standard_normal((150, 24))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = by_id(embedding_dedup.near_vectors(df, block=20), "vec_id")
+    n, root = _brute_links(x)
+    found = np.array([got[i]["n_links"] for i in range(300)])
+    assert (found <= n).all() and found.sum() >= 0.97 * n.sum()
+    assert np.mean([got[i]["component_id"] == root[i] for i in range(300)]) > 0.98
 
 
 def test_near_vectors_against_brute_force(spark):

@@ -2,11 +2,17 @@
 
 Unit vectors are projected at random to a few times 8 dimensions; each 8 are decoded to the
 nearest point of the E8 lattice, and the lattice points together are the cell. Several tables
-with projections of their own are used. A vector is stored in its cell and also looks into
-neighbouring cells (the next nearest lattice points, by the 240 shortest lattice vectors).
-Vectors that meet in a cell are compared in blocks of bounded size by one matrix product in
-double precision; a pair counts in the first table and cell where it meets, so no table of pairs
-is made: a task returns counts of links and a spanning forest.
+with projections of their own are used. A vector is stored in its cell of each table and also
+looks into neighbouring cells (the next nearest lattice points, by the 240 shortest lattice
+vectors). The number of vectors chooses lattices, scale and tables (``plan``), so that cells
+stay small at any size with the same recall.
+
+1. Light rows (own cells, a sketch of sign bits, no vectors) meet in the cells, dealt in pairs of
+   bounded blocks. Pairs that met at home in an earlier table, or whose sketches are further
+   apart than a pair at the threshold ever is, need no vectors; most rows end here.
+2. The vectors follow to the cells where something is left, and the cosine in double precision
+   decides. A pair counts in the first table and cell where it meets, so no table of pairs is
+   made: a task returns counts of links and a spanning forest.
 
 Equal vectors are one class from the start, aggregated before any shuffle.
 """
@@ -14,6 +20,7 @@ Equal vectors are one class from the start, aggregated before any shuffle.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,15 +28,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonalis.llm._components import components
-from tonalis.llm._util import assign, block_tasks, cut, grouped, prepare, table, with_part
+from tonalis.llm._util import LINKS, assign, block_tasks, cut, grouped, links, lists, pairs_within, prepare, table, with_part
 from tonalis.llm._words import mixed
-from tonalis.llm.ngram_join import _forest
 
-#: With these a pair at cosine 0.9 meets with probability 0.98 (measured in tests), and 40,000 random vectors leave 0.03 others to a cell.
-THRESHOLD, TABLES, LATTICES, PROBES, SCALE, BLOCK = 0.9, 16, 2, 8, 1.7, 1024
+
+class Plan(NamedTuple):
+    tables: int
+    lattices: int
+    probes: int
+    scale: float
+
+
+THRESHOLD, BLOCK = 0.9, 1024
+#: Up to so many classes of vectors. In each a pair at cosine 0.9 meets with probability 0.98 (measured in tests), and a random pair with 6e-4, 1.3e-4, 5e-5 and less than 1e-5.
+PLANS = [(100_000, Plan(14, 2, 4, 1.5)), (1_000_000, Plan(33, 2, 2, 1.7)), (10_000_000, Plan(40, 3, 2, 1.3)), (None, Plan(80, 3, 2, 1.5))]
+#: Sign bits of a sketch, and deviations above the mean distance of a pair at the threshold that are let through.
+BITS, SPREAD = 256, 6.0
 KEY = ["h1", "h2"]
 
 
+def plan(n: int) -> Plan:
+    return next(p for most, p in PLANS if most is None or n <= most)
+
+
+def far_apart(threshold: float) -> int:
+    """Differing sign bits that a pair at the threshold exceeds with a probability below 1e-8."""
+    share = np.arccos(np.clip(threshold, -1.0, 1.0)) / np.pi
+    return int(np.ceil(BITS * share + SPREAD * np.sqrt(BITS * share * (1 - share)))) + 1
+
+
 def short_vectors() -> np.ndarray:
     """The 240 shortest vectors of E8, doubled so that all are whole numbers."""
     out = []
@@ -65,7 +92,7 @@ def decode(y: np.ndarray) -> np.ndarray:
 
 
 class Lattice:
-    def __init__(self, dim: int, tables: int = TABLES, lattices: int = LATTICES, probes: int = PROBES, scale: float = SCALE, seed: int = 11):
+    def __init__(self, dim: int, tables: int, lattices: int, probes: int, scale: float, seed: int = 11):
         rng = np.random.default_rng(seed)
         self.tables, self.lattices, self.probes, self.scale = tables, lattices, probes, scale
         # Rows are orthonormal where the dimension allows it.
@@ -74,10 +101,15 @@ class Lattice:
             g = rng.standard_normal((max(dim, 8 * lattices), 8 * lattices))
             self.project.append(np.linalg.qr(g)[0][:dim] * np.sqrt(max(dim, 8 * lattices) / 8))
         self.short = short_vectors()
+        self.signs = rng.standard_normal((dim, BITS))
+
+    def sketches(self, x: np.ndarray) -> np.ndarray:
+        """Rows of BITS / 64 words: the signs of random projections."""
+        return np.packbits(x @ self.signs > 0, axis=1).view(np.uint64)
 
     def cells(self, x: np.ndarray) -> np.ndarray:
-        """x: unit rows. Returns hashes (rows, tables, 1 + probes): the own cell first, then neighbouring ones, nearest first."""
-        out = np.empty((len(x), self.tables, 1 + self.probes), np.int64)
+        """x: unit rows. Returns 32-bit hashes (rows, tables, 1 + probes): the own cell first, then neighbouring ones, nearest first. Cells of one hash are one cell."""
+        out = np.empty((len(x), self.tables, 1 + self.probes), np.int32)
         for t in range(self.tables):
             y = (x @ self.project[t] * self.scale).reshape(len(x), self.lattices, 8)
             own = np.stack([decode(y[:, k]) for k in range(self.lattices)], axis=1)
@@ -97,137 +129,148 @@ class Lattice:
         h = np.full(len(points), np.uint64(t + 1))
         for k in range(flat.shape[1]):
             h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + flat[:, k])
-        return h.view(np.int64)
+        return (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def _unit(raw: np.ndarray) -> np.ndarray:
+    """Rows as unit vectors in double precision."""
+    x = raw.astype(np.float64)
+    x = x / np.abs(x).max(axis=-1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=-1, keepdims=True))
 
 
 def _vectors(col: pa.Array) -> list[np.ndarray | None]:
-    """Unit vectors in double precision; None for what links with nothing."""
+    """Vectors as they are; None for what links with nothing."""
     out: list[np.ndarray | None] = []
     for v in col:
         values = v.values if v.is_valid else None
-        if values is None or not len(values) or values.null_count:
-            out.append(None)
-            continue
-        x = values.to_numpy(zero_copy_only=False).astype(np.float64)
-        if not np.isfinite(x).all() or not x.any():
-            out.append(None)
-            continue
-        x = x / np.abs(x).max()
-        out.append(x / np.sqrt((x * x).sum()))
+        x = None if values is None or not len(values) or values.null_count else values.to_numpy(zero_copy_only=False)
+        out.append(x if x is not None and np.isfinite(x).all() and x.any() else None)
     return out
 
 
-def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, lattices: int = LATTICES, probes: int = PROBES, scale: float = SCALE, block: int = BLOCK) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, layout: Plan | None = None, block: int = BLOCK) -> DataFrame:
     """Per vector: vec_id, n_links, component_id, kept.
 
     Pairs found with cosine >= threshold are links, equal vectors and positive multiples
     included. Vectors that are null, empty, zero or hold null or non-finite components link with
-    nothing; vectors of different lengths never link. Rows that repeat a vec_id count as vectors
-    of their own. Ties go to the smaller vec_id. An empty table gives no rows. Other columns
-    are ignored.
+    nothing; vectors of different lengths never link. Rows that repeat a vec_id, with the same
+    vector or another, are vectors of their own and count as such; kept is true for all of them
+    whose vec_id is the component's smallest. A null vec_id links like any other, but names a
+    component only if all in it are null, and is then kept. An empty table gives no rows. Other
+    columns are ignored. ``layout`` overrides what ``plan`` chooses for the number of vectors.
     """
+    prepare(vectors.sparkSession)
+    narrow = dict(vectors.dtypes)["embedding"] == "array<float>"
+    kind = np.dtype("<f4" if narrow else "<f8")
+    own = with_part(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if narrow else "array<double>").alias("embedding"))).select("vec_id", "part", "embedding")
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h1, h2, unit = [], [], []
-            for u in _vectors(b.column(2)):
+            h1, h2, raw = [], [], []
+            for v in _vectors(b.column(2)):
                 # Multiples of a vector differ in the last bits at most: equal after rounding.
-                k = None if u is None else np.r_[np.rint(u * (1 << 40)).astype(np.int64), len(u)].view(np.uint64)
+                k = None if v is None else np.r_[np.rint(_unit(v) * (1 << 40)).astype(np.int64), len(v)].view(np.uint64)
                 place = None if k is None else np.arange(1, len(k) + 1, dtype=np.uint64)
-                h1.append(0 if k is None else int(mixed(k ^ mixed(place)).sum(dtype=np.uint64).view(np.int64)))
-                h2.append(0 if k is None else int(mixed(mixed(k + place * np.uint64(0xC2B2AE3D27D4EB4F))).sum(dtype=np.uint64).view(np.int64)))
-                unit.append(None if u is None else u.tobytes())
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(unit, pa.binary())], names=["vec_id", "part", *KEY, "unit"])
-
-    prepare(vectors.sparkSession)
-    own = with_part(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))).select("vec_id", "part", "embedding")
-    light = cut(own.mapInArrow(prints, "vec_id long, part int, h1 long, h2 long, unit binary"))
-    classes = cut(light.filter("unit is not null").groupBy(*KEY).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min("unit").alias("unit")))
+                h1.append(None if k is None else int(mixed(k ^ mixed(place)).sum(dtype=np.uint64).view(np.int64)))
+                h2.append(None if k is None else int(mixed(mixed(k + place * np.uint64(0xC2B2AE3D27D4EB4F))).sum(dtype=np.uint64).view(np.int64)))
+                raw.append(None if v is None else v.astype(kind).tobytes())
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(raw, pa.binary())], names=["vec_id", "part", *KEY, "raw"])
+
+    printed = own.mapInArrow(prints, "vec_id long, part int, h1 long, h2 long, raw binary")
+    light = cut(printed.drop("raw"))  # again below: cheaper than to keep the vectors twice
+    # A class of equal vectors has a number of its own (rep): a vec_id may be null or stand for several vectors.
+    grouped_rows = printed.filter("raw is not null").groupBy(*KEY).agg(F.min("vec_id").alias("lead"), F.count("*").alias("copies"), F.min("raw").alias("raw"))
+    classes = cut(grouped_rows.withColumn("rep", F.monotonically_increasing_id()))
+    layout = layout or plan(classes.count())
+    verified = cut(_verified(classes, threshold, layout, kind, block))
+    counts = verified.filter("n > 0").groupBy("rep").agg(F.sum("n").alias("others"))
+    near = with_part(cut(components(verified.filter("to is not null").select(F.col("rep").alias("u"), F.col("to").alias("v"))).withColumnRenamed("id", "rep")))
+    first = classes.select("rep", "lead").join(near, "rep").groupBy("component").agg(F.min("lead").alias("first"))
+    firsts = assign(near, first, ["component"]).select("rep", "first")
+    found = classes.select(*KEY, "rep", "lead", "copies").join(counts, "rep", "left").join(firsts, "rep", "left").filter("copies > 1 or others is not null")
+    out = assign(light.filter("h1 is not null"), found, KEY)
+    alone = light.filter("h1 is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    group = F.coalesce("first", "lead", "vec_id")
+    return out.select("vec_id", (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("others", F.lit(0))).cast("long").alias("n_links"), group.alias("component_id"), group.eqNullSafe(F.col("vec_id")).alias("kept")).unionByName(alone)
+
+
+TASK = ["t", "cell", "bi", "bj"]
+
+
+def _verified(classes: DataFrame, threshold: float, layout: Plan, kind: np.dtype, block: int) -> DataFrame:
+    """LINKS between the classes, from tasks that each saw a part of them."""
+    per, far = 1 + layout.probes, far_apart(threshold)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, Lattice] = {}
         for b in batches:
-            raw = b.column(2).to_pylist()
-            cells: list[list[int] | None] = [None] * len(raw)
+            raw = b.column(1).to_pylist()
+            cells, sketch = np.empty((len(raw), layout.tables * per), np.int32), np.empty((len(raw), BITS // 64), np.uint64)
             for n in {len(x) for x in raw}:
                 at = [i for i, x in enumerate(raw) if len(x) == n]
-                if n // 8 not in made:
-                    made[n // 8] = Lattice(n // 8, tables, lattices, probes, scale)
-                got = made[n // 8].cells(np.stack([np.frombuffer(raw[i]) for i in at]))
-                for i, c in zip(at, got.reshape(len(at), -1).tolist(), strict=True):
-                    cells[i] = c
-            yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(cells, pa.list_(pa.int64()))], names=["rep", "copies", "unit", "cells"])
-
-    keyed = classes.select("rep", "copies", "unit").mapInArrow(hashed, "rep long, copies long, unit binary, cells array<long>")
-    # Each vector goes to its own cell of each table and to the neighbouring ones; only cells where one is at home and another comes matter. These rows are light; vectors follow for what is left.
-    spread = keyed.select("rep", F.posexplode("cells").alias("at", "cell")).select("rep", "cell", (F.pmod("at", F.lit(1 + probes)) == 0).alias("home"), (F.floor(F.col("at") / (1 + probes)) + 1).cast("int").alias("upto"))
-    lived = spread.groupBy("cell").agg(F.max("home").alias("lived"), F.count("*").alias("m")).filter("lived and m > 1").select("cell")
-    tasks = block_tasks(spread.join(lived, "cell"), ["cell"], "rep", block).join(keyed, "rep")
-    # A pair's first meeting is in this table or before: later tables' cells stay behind.
-    tasks = tasks.withColumn("cells", F.slice("cells", F.lit(1), F.col("upto") * (1 + probes)))
-    per = 1 + probes
-
-    def compare(t: pa.Table) -> pa.Table:
-        b, rep, copies, home = (t[k].to_numpy() for k in ("b", "rep", "copies", "home"))
-        i, j, cell = t["bi"][0].as_py(), t["bj"][0].as_py(), t["cell"][0].as_py()
-        raw = t["unit"].to_pylist()
-        size = np.array([len(x) for x in raw])
-        empty = pa.table({"rep": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "to": pa.array([], pa.int64())})
-        ids, counts, edges = [], [], []
-        for n in np.unique(size):
-            x, y = np.flatnonzero((b == i) & (size == n)), np.flatnonzero((b == j) & (size == n))
-            if not len(x) or not len(y) or not (home[x].any() or home[y].any()):
-                continue
-            a, c = (np.stack([np.frombuffer(raw[r]) for r in z]) for z in (x, y))
-            p, q = np.nonzero(a @ c.T >= threshold)
-            p, q = x[p], y[q]
-            ok = (rep[p] < rep[q]) if i == j else (rep[p] != rep[q])
-            ok &= home[p] | home[q]
+                dim = n // kind.itemsize
+                if dim not in made:
+                    made[dim] = Lattice(dim, *layout)
+                unit = _unit(np.stack([np.frombuffer(raw[i], kind) for i in at]))
+                cells[at], sketch[at] = made[dim].cells(unit).reshape(len(at), -1), made[dim].sketches(unit)
+            flat = lambda x, t: pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], pa.array(x.ravel(), t))
+            homes = np.ascontiguousarray(cells[:, ::per])
+            yield pa.record_batch([*b.columns, pa.array([len(x) for x in raw], pa.int32()), flat(cells, pa.int32()), flat(homes, pa.int32()), flat(sketch.view(np.int64), pa.int64())], names=["rep", "raw", "copies", "width", "cells", "homes", "sketch"])
+
+    keyed = cut(classes.select("rep", "raw", "copies").mapInArrow(hashed, "rep long, raw binary, copies long, width int, cells array<int>, homes array<int>, sketch array<long>"))
+    place = (F.floor(F.col("at") / per).cast("int").alias("t"), "cell", (F.pmod("at", F.lit(per)) == 0).alias("home"))
+    spread = keyed.select("rep", "homes", "sketch", "width", F.posexplode("cells").alias("at", "cell")).select("rep", "homes", "sketch", "width", *place)
+    # Only cells where one is at home and another comes matter.
+    tasks = block_tasks(spread, ["t", "cell"], "rep", block, lives="home")
+
+    def wanted(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        homes, sketch = lists(t["homes"], layout.tables), lists(t["sketch"], BITS // 64).view(np.uint64)
+        at, home, width, b, bi, bj = (t[k].to_numpy() for k in ("t", "home", "width", "b", "bi", "bj"))
+        some = np.zeros(t.num_rows, bool)
+        before = np.arange(layout.tables)
+        for p, q in pairs_within(starts, b, bi, bj):
+            ok = (home[p] | home[q]) & (width[p] == width[q])
+            p, q = p[ok], q[ok]
+            ok = np.bitwise_count(sketch[p] ^ sketch[q]).sum(axis=1, dtype=np.int64) <= far
+            p, q = p[ok], q[ok]
+            ok = ~((homes[p] == homes[q]) & (before < at[p][:, None])).any(axis=1)
+            some[p[ok]] = some[q[ok]] = True
+        return t.select([*TASK, "b", "home", "rep"]).filter(pa.array(some))
+
+    sent = cut(grouped(tasks, TASK, wanted, "t int, cell int, bi int, bj int, b int, home boolean, rep long"))
+
+    def compare(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        cells = lists(t["cells"], layout.tables * per).reshape(t.num_rows, layout.tables, per)
+        at, cell, home, b, bi, bj = (t[k].to_numpy() for k in ("t", "cell", "home", "b", "bi", "bj"))
+        raw = t["raw"].to_pylist()
+        width = np.array([len(x) for x in raw])
+        unit = np.zeros((t.num_rows, int(width.max()) // kind.itemsize))
+        for i, x in enumerate(raw):
+            unit[i, : len(x) // kind.itemsize] = np.frombuffer(x, kind)
+        unit = _unit(unit)  # zeros at the end of shorter ones change nothing
+        found = []
+        for p, q in pairs_within(starts, b, bi, bj, 20_000):
+            ok = (home[p] | home[q]) & (width[p] == width[q])
+            p, q = p[ok], q[ok]
+            ok = np.einsum("ij,ij->i", unit[p], unit[q]) >= threshold
             p, q = p[ok], q[ok]
-            if len(p):
-                p, q = _first_met(t["cells"], p, q, rep, cell, per)
-            ids += [rep[p], rep[q]]
-            counts += [copies[q], copies[p]]
-            edges.append((p, q))
-        if not ids:
-            return empty
-        who, at = np.unique(np.concatenate(ids), return_inverse=True)
-        n = np.bincount(at, np.concatenate(counts), len(who)).astype(np.int64)
-        p, q = (np.concatenate(z) for z in zip(*edges, strict=True))
-        low = {int(r): k for k, r in enumerate(who)}
-        f, to = _forest(len(who), np.array([low[int(r)] for r in rep[p]], int), np.array([low[int(r)] for r in rep[q]], int))
-        return pa.table({"rep": np.r_[who, who[f]], "n": np.r_[n, np.zeros(len(f), np.int64)], "to": pa.array([None] * len(who) + who[to].tolist(), pa.int64())})
-
-    verified = cut(grouped(tasks.select("cell", "bi", "bj", "b", "rep", "copies", "home", "unit", "cells"), ["cell", "bi", "bj"], compare, "rep long, n long, to long"))
-    links = verified.filter("n > 0").groupBy("rep").agg(F.sum("n").alias("others"))
-    near = components(verified.filter("to is not null").select(F.col("rep").alias("u"), F.col("to").alias("v")))
-    found = classes.select(*KEY, "rep", "copies").join(links, "rep", "left").join(near.withColumnRenamed("id", "rep"), "rep", "left").filter("copies > 1 or others is not null")
-    out = assign(light.filter("unit is not null").drop("unit"), found, KEY)
-    alone = light.filter("unit is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    group = F.coalesce("component", "rep", "vec_id")
-    return out.select("vec_id", (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("others", F.lit(0))).cast("long").alias("n_links"), group.alias("component_id"), (group == F.col("vec_id")).alias("kept")).unionByName(alone)
-
-
-def _first_met(cells: pa.ChunkedArray, p: np.ndarray, q: np.ndarray, rep: np.ndarray, cell: int, per: int) -> tuple[np.ndarray, np.ndarray]:
-    """Those pairs for which this cell is the first, by table and then by value, in which they meet."""
-    used = np.unique(np.r_[p, q])
-    rows = np.stack([np.array(cells[int(r)].as_py(), np.int64) for r in used]).reshape(len(used), -1, per)
-    keep, left = np.zeros(len(p), bool), np.arange(len(p))
-    a, b = np.searchsorted(used, p), np.searchsorted(used, q)
-    for t in range(rows.shape[1]):  # near pairs meet in the first tables, so few are left soon
-        own = rows[:, t]
-        for k in range(0, len(left), 200_000) if len(left) else ():
-            n = left[k : k + 200_000]
-            home_a, home_b = own[a[n], 0], own[b[n], 0]
-            at_b = (own[a[n]] == home_b[:, None]).any(axis=1)
-            at_a = (own[b[n]] == home_a[:, None]).any(axis=1)
-            first = np.where(at_a & at_b, np.minimum(home_a, home_b), np.where(at_a, home_a, home_b))
-            keep[n] = (at_a | at_b) & (first == cell)
-            left[k : k + 200_000] = np.where(at_a | at_b, -1, n)
-        left = left[left >= 0]
-        if not len(left):
-            break
-    return p[keep], q[keep]
+            ok = _first_met(cells, p, q, at, cell)
+            found.append((p[ok], q[ok]))
+        return links(t["rep"].to_numpy(), t["copies"].to_numpy(), found)
+
+    return grouped(sent.join(keyed.select("rep", "raw", "copies", "cells"), "rep"), TASK, compare, LINKS)
+
+
+def _first_met(cells: np.ndarray, p: np.ndarray, q: np.ndarray, at: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """Whether a pair's table and cell are the first, by table and then by value, in which it meets."""
+    a, b = cells[p], cells[q]
+    at_b, at_a = (a == b[:, :, :1]).any(axis=2), (b == a[:, :, :1]).any(axis=2)  # pairs by tables
+    t = (at_a | at_b).argmax(axis=1)
+    rows = np.arange(len(p))
+    home_a, home_b = a[rows, t, 0], b[rows, t, 0]
+    first = np.where(at_a[rows, t] & at_b[rows, t], np.minimum(home_a, home_b), np.where(at_a[rows, t], home_a, home_b))
+    return (t == at[p]) & (first == cell[p])
 
 
 def op10_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,12 +5,13 @@
    with at least the target recall.
 2. Documents with equal sets are one class (aggregated before the shuffle); only one
    representative of a class goes on.
-3. Representatives are shuffled on band hashes. A bucket gives no pairs: each member is tied to
-   the bucket's smallest, and the components of these ties are the candidate groups. All
-   documents that share a band with one another so stand in one group.
-4. Within a group all sets are held against one another, in blocks of bounded size
-   (``block_tasks``): an incidence matrix product counts the common n-grams of every pair, the
-   full sets decide, and a task returns counts of links and a spanning forest, not the pairs.
+3. Representatives are shuffled on band hashes as light rows (their bands and size, no n-grams).
+   A bucket is dealt in pairs of bounded blocks (``block_tasks``). A pair is a candidate in the
+   first band that it shares, and only if its sizes allow the similarity; representatives that
+   have no candidate in a bucket go no further there. No pairs leave the task.
+4. The full n-gram sets go to the buckets where they have candidates, and decide: a pair is
+   verified once, in its first shared band, and pairs that share no band are never compared. A
+   task returns counts of links and a spanning forest, not the pairs.
 5. Components of the verified links are the near-duplicate groups.
 """
 
@@ -24,10 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonalis.llm._components import components
-from tonalis.llm._util import ROW, assign, block_tasks, cut, grouped, row_hashes, table, with_part
+from tonalis.llm._util import LINKS, ROW, assign, block_tasks, cut, grouped, links, lists, pairs_within, row_hashes, table, with_part
 from tonalis.llm._words import mixed, shingles, word_hashes
 
-N, THRESHOLD, RECALL, BLOCK = 5, 0.8, 0.999, 384
+#: A block of a bucket has about BLOCK representatives, or fewer of about WEIGHT n-grams in all.
+N, THRESHOLD, RECALL, BLOCK, WEIGHT = 5, 0.8, 0.999, 768, 400_000
 KEY = ["h1", "h2", "size"]
 
 
@@ -98,16 +100,12 @@ def decided(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: f
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", *ROW)).alias("lead")
     # A class has a number of its own (rep), written once to the checkpoint: a doc_id may be null or stand for several texts.
     classes = cut(some.groupBy(*KEY).agg(lead, F.count("*").alias("copies"), F.first("bands").alias("bands")).withColumn("rep", F.monotonically_increasing_id()))
-    keyed = classes.select("rep", F.posexplode("bands").alias("band", "h"))
-    lowest = keyed.groupBy("band", "h").agg(F.min("rep").alias("low"), F.count("*").alias("m")).filter("m > 1")
-    ties = keyed.join(lowest, ["band", "h"]).filter("rep != low").select(F.col("rep").alias("u"), F.col("low").alias("v"))
-    groups = components(ties).select(F.col("id").alias("rep"), F.col("component").alias("cand"))
-    members = classes.join(groups, "rep").select("lead.doc_id", "lead.t1", "lead.t2", "rep", "cand", "copies")
-    verified = cut(_verified(docs, members, n, threshold, block))
-    links = verified.filter("n > 0").groupBy("rep").agg(F.sum("n").alias("others"))
-    near = components(verified.filter("to is not null").select(F.col("rep").alias("u"), F.col("to").alias("v"))).withColumnRenamed("id", "rep")
+    verified = cut(_verified(docs, classes, n, threshold, bands, block))
+    counts = verified.filter("n > 0").groupBy("rep").agg(F.sum("n").alias("others"))
+    near = with_part(cut(components(verified.filter("to is not null").select(F.col("rep").alias("u"), F.col("to").alias("v"))).withColumnRenamed("id", "rep")))
     first = classes.select("rep", "lead").join(near, "rep").groupBy("component").agg(F.min("lead").alias("first"))
-    found = classes.select(*KEY, "rep", "lead", "copies").join(links, "rep", "left").join(near.join(first, "component").drop("component"), "rep", "left").filter("copies > 1 or others is not null")
+    firsts = assign(near, first, ["component"]).select("rep", "first")
+    found = classes.select(*KEY, "rep", "lead", "copies").join(counts, "rep", "left").join(firsts, "rep", "left").filter("copies > 1 or others is not null")
     found = found.select(*KEY, F.col("lead.doc_id").alias("class_id"), F.coalesce("first", "lead").alias("first"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
     out = assign(light, found, KEY)
     alone = F.col("first").isNull()
@@ -116,43 +114,64 @@ def decided(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: f
     return out.select("doc_id", own("class_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), own("first.doc_id").alias("group_id"), kept.alias("kept"), *ROW)
 
 
-def _verified(docs: DataFrame, members: DataFrame, n: int, threshold: float, block: int) -> DataFrame:
-    """Rows rep, n (linked documents of other classes, from one task) and rep, to (an edge of a spanning forest)."""
-    # Rows may repeat doc_id and text: one of each class is enough.
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), *[c.alias(f"_{k}") for k, c in zip(ROW, row_hashes(), strict=True)], "text")
-    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_t1") == F.col("t1")) & (F.col("_t2") == F.col("t2"))
-    texts = texts.join(members, same).groupBy("rep").agg(F.first("text").alias("text"), F.first("cand").alias("cand"), F.first("copies").alias("copies"))
+TASK = ["band", "h", "bi", "bj"]
+
+
+def _verified(docs: DataFrame, classes: DataFrame, n: int, threshold: float, bands: int, block: int) -> DataFrame:
+    """LINKS between the representatives, from tasks that each saw a part of them."""
     num, den = _ratio(threshold)
+    keyed = classes.select("rep", "size", "bands", F.posexplode("bands").alias("band", "h"))
+    tasks = block_tasks(keyed, ["band", "h"], "rep", block, "size", WEIGHT)
+
+    def candidates(t: pa.Table, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        own, size, band, b, bi, bj = lists(t["bands"], bands), *(t[k].to_numpy() for k in ("size", "band", "b", "bi", "bj"))
+        for p, q in pairs_within(starts, b, bi, bj):
+            fit = np.minimum(size[p], size[q]) * den >= np.maximum(size[p], size[q]) * num
+            p, q = p[fit], q[fit]
+            first = (own[p] == own[q]).argmax(axis=1) == band[p]
+            yield p[first], q[first]
+
+    def wanted(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        some = np.zeros(t.num_rows, bool)
+        for p, q in candidates(t, starts):
+            some[p] = some[q] = True
+        return t.select([*TASK, "b", "rep"]).filter(pa.array(some))
+
+    sent = cut(grouped(tasks, TASK, wanted, "band int, h long, bi int, bj int, b int, rep long"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory: dict[str, int] = {}
         for b in batches:
             got = [shingles(word_hashes(t or "", memory), n).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), b.column(2), b.column(3), pa.array(got, pa.binary())], names=["rep", "cand", "copies", "set"])
-
-    with_sets = texts.select("rep", "text", "cand", "copies").mapInArrow(sets, "rep long, cand long, copies long, set binary")
-    tasks = block_tasks(with_sets, ["cand"], "rep", block)
-
-    def compare(t: pa.Table) -> pa.Table:
-        rep, b = t["rep"].to_numpy(), t["b"].to_numpy()
-        copies = t["copies"].to_numpy()
-        own = [np.frombuffer(x, np.uint64) for x in t["set"].to_pylist()]
-        i, j = t["bi"][0].as_py(), t["bj"][0].as_py()
-        left, right = (np.flatnonzero(b == i), np.flatnonzero(b == j)) if i != j else (np.arange(len(rep)),) * 2
-        hit = _similar(own, left, right, num, den)
-        if i == j:
-            np.fill_diagonal(hit, False)
-            count = hit @ copies[right]
-            at, to = _forest(len(rep), *np.nonzero(np.triu(hit)))
-            ids, sums = rep, count
-        else:
-            ids, sums = np.r_[rep[left], rep[right]], np.r_[hit @ copies[right], copies[left] @ hit]
-            x, y = np.nonzero(hit)
-            at, to = _forest(len(rep), left[x], right[y])
-        some = np.flatnonzero(sums)
-        return pa.table({"rep": np.r_[ids[some], rep[at]].astype(np.int64), "n": np.r_[sums[some], np.zeros(len(at))].astype(np.int64), "to": pa.array([None] * len(some) + rep[to].tolist(), pa.int64())})
-
-    return grouped(tasks, ["cand", "bi", "bj"], compare, "rep long, n long, to long")
+            yield pa.record_batch([b.column(0), pa.array(got, pa.binary()), *b.columns[2:]], names=["rep", "set", "copies", "size", "bands"])
+
+    members = classes.select("rep", "lead.doc_id", "lead.t1", "lead.t2", "copies", "size", "bands").join(sent.select("rep").distinct(), "rep")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), *[c.alias(f"_{k}") for k, c in zip(ROW, row_hashes(), strict=True)], "text")
+    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_t1") == F.col("t1")) & (F.col("_t2") == F.col("t2"))
+    own = texts.join(members, same).select("rep", "text", "copies", "size", "bands").mapInArrow(sets, "rep long, set binary, copies long, size long, bands array<long>")
+    one = own.groupBy("rep").agg(*[F.first(c).alias(c) for c in ("set", "copies", "size", "bands")])  # rows may repeat doc_id and text
+
+    def compare(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        held = [np.frombuffer(x, np.uint64) for x in t["set"].to_pylist()]
+        group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        found = []
+        for p, q in candidates(t, starts):
+            hit = np.zeros(len(p), bool)
+            for at in np.split(np.arange(len(p)), np.flatnonzero(np.diff(group[p])) + 1) if len(p) else ():
+                x, y = np.unique(p[at]), np.unique(q[at])
+                if len(at) > 2 * (len(x) + len(y)):
+                    hit[at] = _similar(held, x, y, num, den)[np.searchsorted(x, p[at]), np.searchsorted(y, q[at])]
+                else:
+                    hit[at] = [_alike(held[i], held[j], num, den) for i, j in zip(p[at].tolist(), q[at].tolist(), strict=True)]
+            found.append((p[hit], q[hit]))
+        return links(t["rep"].to_numpy(), t["copies"].to_numpy(), found)
+
+    return grouped(sent.join(one, "rep"), TASK, compare, LINKS)
+
+
+def _alike(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both * den >= (len(a) + len(b) - both) * num
 
 
 def _ratio(threshold: float) -> tuple[int, int]:
@@ -185,21 +204,5 @@ def _similar(own: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: in
     return (both * den >= union * num) & (both > 0)
 
 
-def _forest(n: int, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges node -> smallest node of its part, for the parts that the edges x, y join."""
-    root = np.arange(n)
-    while len(x):
-        low = np.minimum(root[x], root[y])
-        new = root.copy()
-        np.minimum.at(new, root[x], low)
-        np.minimum.at(new, root[y], low)
-        new = new[new[root]]
-        if (new == root).all():
-            break
-        root = new
-    at = np.flatnonzero(root != np.arange(n))
-    return at, root[at]
-
-
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
