@@ -41,6 +41,12 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ours that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def assign(light: DataFrame, found: DataFrame, key: list[str], part: str = "part") -> DataFrame:
     """Left join the rows of ``light`` with ``found`` (one row per key, only keys that have something to say).
 

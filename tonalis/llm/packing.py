@@ -26,13 +26,13 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def encode(docs: DataFrame, end_id: int = END, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id, ids (binary, little-endian unsigned 16-bit, with the end id). Null text counts as empty: the end id alone."""
+    """doc_id, ids (binary, with the end id; little-endian unsigned, of the encoder's 16 or 32 bits). Null text counts as empty: the end id alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)
-        end = np.array([end_id], "<u2").tobytes()
+        end = np.array([end_id], e.dtype).tobytes()
         for b in batches:
-            ids = [e.ids(t or "").astype("<u2", copy=False).tobytes() + end for t in b.column(1).to_pylist()]
+            ids = [e.ids(t or "").tobytes() + end for t in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
@@ -44,10 +44,11 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END, keep_ids: boo
     Documents follow the order of the input's partitions and rows; each id lies in one piece;
     sequences are full but for the last, to be padded by ``window`` minus its length. A null or
     empty text is the end id alone; a very long one is cut into as many windows as it needs.
-    Repeated rows are packed each. An empty table gives no pieces. Other columns are ignored.
+    Repeated rows and rows with a null doc_id are packed each. An empty table gives no pieces. Other columns are ignored.
     """
+    kind = encoder(path, pattern).dtype
     coded = cut(with_part(encode(docs, end_id, path, pattern)))
-    totals = dict(coded.groupBy("part").agg(F.sum(F.length("ids") / 2).cast("long").alias("n")).collect())
+    totals = dict(coded.groupBy("part").agg(F.sum(F.length("ids") / kind.itemsize).cast("long").alias("n")).collect())
     starts, at = {}, 0
     for p in sorted(totals):
         starts[p], at = at, at + totals[p]
@@ -62,7 +63,7 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END, keep_ids: boo
             if pos is None:
                 pos = sent.value[b.column(2)[0].as_py()]
             raw = b.column(1).to_pylist()
-            n = np.array([len(x) // 2 for x in raw], np.int64)
+            n = np.array([len(x) // kind.itemsize for x in raw], np.int64)
             first = pos + np.cumsum(n) - n
             pos += int(n.sum())
             pieces = (first + n - 1) // window - first // window + 1
@@ -71,7 +72,7 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END, keep_ids: boo
             begin = np.where(k == 0, first[row], (first[row] // window + k) * window)
             stop = np.minimum((begin // window + 1) * window, first[row] + n[row])
             start, length = begin - first[row], stop - begin
-            wide = [np.frombuffer(x, "<u2").astype("<u4") for x in raw]
+            wide = [np.frombuffer(x, kind).astype("<u4", copy=False) for x in raw]
             cuts = [wide[r][s : s + m] for r, s, m in zip(row.tolist(), start.tolist(), length.tolist(), strict=True)]
             cols = [b.column(0).take(pa.array(row)), start, length, np.array([zlib.crc32(c) for c in cuts], np.int64), n[row], begin // window, begin % window]
             if keep_ids:

@@ -3,7 +3,8 @@
 Three base patterns always count. Weaker parts (client identifiers, bare secrets, endpoints)
 are too common to report alone: they are interval-joined with the other parts of the same
 document, and a weak part counts only where complementary parts lie in its scope, i.e. start
-within ``scope`` code points of it in the same paragraph (no empty line between). A document is
+within ``scope`` code points of it in the same paragraph (no empty line between) and are
+reported themselves. A document is
 one row, so the join runs inside the row, over sorted starts; nothing is shuffled.
 """
 
@@ -64,29 +65,35 @@ def _apart(weak: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -
 
 
 def _linked(text: str, base: list[tuple[int, int, int]], weak: list[tuple[int, int, int]], scope: int) -> list[tuple[int, int, int]]:
-    """Weak parts with a complementary part in scope. Parts are marked until nothing changes, so that a weak pair can carry each other but a lone part can't."""
+    """Weak parts with a complementary part in scope that is reported itself.
+
+    Weak parts without one are dropped until nothing changes: an identifier and a secret can
+    carry each other, but a part can't rest on one that goes itself.
+    """
     parts = sorted([*base, *weak])
-    gaps = np.array([m.start() for m in re.finditer(r"\n\s*\n", text)], np.int64)
+    gaps = np.array([-1, *[m.start() for m in re.finditer(r"\n\s*\n", text)], len(text)], np.int64)
     start = np.array([p[0] for p in parts], np.int64)
     kind = np.array([p[1] for p in parts])
-    para = np.searchsorted(gaps, start)
-    lo, hi = np.searchsorted(start, start - scope), np.searchsorted(start, start + scope, "right")
-    out = []
-    for i, p in enumerate(parts):
-        if p[1] < 3:
-            continue
-        a, b = int(lo[i]), int(hi[i])
-        if np.any(np.isin(kind[a:b], NEEDS[p[1]]) & (para[a:b] == para[i])):
-            out.append(p)
-    return out
+    para = np.searchsorted(gaps, start)  # the paragraph lies behind one gap, up to the next
+    lo = np.searchsorted(start, np.maximum(start - scope, gaps[para - 1] + 1))
+    hi = np.searchsorted(start, np.minimum(start + scope, gaps[para]), "right")
+    left = np.ones(len(parts), bool)
+    while True:
+        keep = left.copy()
+        for k, needs in NEEDS.items():
+            upto = np.r_[0, np.cumsum(left & np.isin(kind, needs))]
+            keep &= (kind != k) | (upto[hi] > upto[lo])
+        if (keep == left).all():
+            return [p for p, ok in zip(parts, keep.tolist(), strict=True) if ok and p[1] > 2]
+        left = keep
 
 
 def secret_scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked.
 
     Offsets are code points, ends exclusive. Null text counts as empty: zero counts, the digest
-    of the empty string, no spans. Whole texts are scanned, however long. Repeated rows each
-    give their row; an empty table gives none. Other columns are ignored.
+    of the empty string, no spans. Whole texts are scanned, however long. A null doc_id stays
+    null. Repeated rows each give their row; an empty table gives none. Other columns are ignored.
     """
     prepare(docs.sparkSession)
 

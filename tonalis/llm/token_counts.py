@@ -9,7 +9,9 @@ documents that cross blocks and numbers them: within a file, over the per-block
 
 from __future__ import annotations
 
+import os
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tonalis.llm._tokens import encoder
-from tonalis.llm._util import cut, prepare, table, with_part
+from tonalis.llm._util import cut, prepare, remove, shared_dir, table, with_part
 
 #: Ids per block, and the end-of-document id of the byte-level vocabulary.
 BLOCK, END = 1 << 18, 50256
@@ -28,7 +30,8 @@ BLOCK, END = 1 << 18, 50256
 def read_blocks(spark: SparkSession, path: str, width: int = 2, block: int = BLOCK) -> DataFrame:
     """Flat token files under ``path`` as blocks: file string, block long, ids binary. Files of any size.
 
-    Spark only lists the files. Each block is a row of its own, whose task reads its bytes: from
+    Empty files have no blocks, and of a file whose length is no multiple of ``width`` the odd
+    bytes at the end say nothing. Spark only lists the files. Each block is a row of its own, whose task reads its bytes: from
     the shared file system, or from a store that ``pyarrow.fs`` opens by URI.
     """
     prepare(spark)
@@ -46,49 +49,63 @@ def read_blocks(spark: SparkSession, path: str, width: int = 2, block: int = BLO
     return blocks.repartition(n, "path", "block").mapInArrow(read, "file string, block long, ids binary")
 
 
+def _open(name: str) -> tuple[pafs.FileSystem, str]:
+    if name.startswith(("file:", "/")):
+        return pafs.LocalFileSystem(), re.sub("^file:/*", "/", name)
+    return pafs.FileSystem.from_uri(name)
+
+
 def _bytes(name: str, at: int, n: int) -> bytes:
     """n bytes of the file from ``at``, fewer at its end."""
-    if name.startswith("file:"):
-        fs, path = pafs.LocalFileSystem(), re.sub("^file:/*", "/", name)
-    else:
-        fs, path = pafs.FileSystem.from_uri(name)
+    fs, path = _open(name)
     with fs.open_input_file(path) as f:
         return f.read_at(min(n, f.size() - at), at)
 
 
-def flat_blocks(docs: DataFrame, end_id: int = END, block: int = BLOCK, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Documents written as one flat stream per partition and cut into blocks where no document minds: part, block, ids binary."""
+def write_flat(docs: DataFrame, at: str, end_id: int = END, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """Tokenize documents into flat files of 16-bit ids in the shared folder ``at``, one per partition; returns doc_id, file, doc_no.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, held, n, k, part = encoder(path, pattern), [], 0, 0, None
-        end = np.array([end_id], np.uint16)
-
-        def out(upto: int) -> Iterator[pa.RecordBatch]:
-            nonlocal held, n, k
-            flat = np.concatenate(held)
-            stop = len(flat) // upto * upto if upto else len(flat)
-            for at in range(0, stop, block):
-                yield pa.record_batch([pa.array([part], pa.int32()), pa.array([k], pa.int64()), pa.array([flat[at : at + block].astype("<u2").tobytes()], pa.binary())], names=["part", "block", "ids"])
-                k += 1
-            held, n = [flat[stop:]], len(flat) - stop
+    Each text is followed by ``end_id`` and nothing else marks it: special strings inside a text
+    are read as plain text, so that no other end id gets in. A null or empty text is the end id
+    alone. A task writes under a name of its own and renames, so that attempts don't mix; they
+    write the same. Repeated rows are written each; an empty table writes nothing. Other
+    columns are ignored.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e, n, f, own = encoder(path, pattern), 0, None, ""
+        end = np.array([end_id], "<u2").tobytes()
+        fs, folder = _open(at)
         for b in batches:
-            for part, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):  # noqa: B007, B020
-                held += [e.ids(t or ""), end]
-                n += len(held[-2]) + 1
-                if n >= block:
-                    yield from out(block)
-        if n:
-            yield from out(0)
-
-    return with_part(docs).select("part", "text").mapInArrow(run, "part int, block long, ids binary")
+            if not b.num_rows:
+                continue
+            name = f"{b.column(1)[0].as_py():06d}.ids"
+            if f is None:
+                own = f"{folder}/.{name}-{uuid.uuid4().hex}"
+                f = fs.open_output_stream(own)
+            for t in b.column(2).to_pylist():
+                f.write(e.ordinary_ids(t or "").astype("<u2", copy=False).tobytes() + end)
+            yield pa.record_batch([b.column(0), pa.array([name] * b.num_rows), pa.array(np.arange(n, n + b.num_rows))], names=["doc_id", "file", "doc_no"])
+            n += b.num_rows
+        if f is not None:
+            f.close()
+            fs.move(own, os.path.join(folder, name))
+
+    if encoder(path, pattern).dtype.itemsize != 2:
+        raise ValueError("the vocabulary doesn't fit 16 bits")
+    fs, folder = _open(at)
+    fs.create_dir(folder)
+    own = with_part(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "part", "text")
+    return cut(own.mapInArrow(run, "doc_id long, file string, doc_no long"))
 
 
 def separator_scan(blocks: DataFrame, file: str = "file", end_id: int = END, width: int = 2) -> DataFrame:
     """Per document of each file: <file>, doc_no long (from 0), start long (its first id in the file), n_tokens long (with the end id), closed boolean.
 
     Ids after the last end of a file form a last document with ``closed`` false. Empty blocks
-    and null ids say nothing. No row of ids leaves the scan: only lengths do.
+    and null ids say nothing. No row of ids leaves the scan: only lengths do. A document may
+    span any number of blocks; repeated documents are counted each; an empty table gives no
+    rows; other columns are ignored.
     """
     kind = {2: "<u2", 4: "<u4"}[width]
     types = dict(blocks.dtypes)
@@ -122,16 +139,12 @@ def _scan(ids: np.ndarray, end_id: int) -> tuple[int, np.ndarray]:
 
 
 def op7_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as flat streams (one per partition), scanned; the order of documents is kept aside only to name them again."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    prepare(spark)
-    found = separator_scan(flat_blocks(docs), file="part")
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = 0
-        for b in batches:
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(np.arange(at, at + b.num_rows))], names=["doc_id", "part", "doc_no"])
-            at += b.num_rows
-
-    names = with_part(docs).select("doc_id", "part").mapInArrow(number, "doc_id long, part int, doc_no long")
-    return found.join(names, ["part", "doc_no"]).select("doc_id", "n_tokens", F.col("part").alias("file_no"), "doc_no", "start")
+    """documents as flat token files, one per partition, and those scanned; the documents' order is kept aside only to name them again."""
+    at = f"{shared_dir(spark)}/flat-{uuid.uuid4().hex}"
+    names = write_flat(table(spark, sf_dir, "documents").select("doc_id", "text"), at)
+    if not names.limit(1).count():
+        return names.select("doc_id", F.lit(0).cast("long").alias("n_tokens"), "file", "doc_no", F.lit(0).cast("long").alias("start"))
+    blocks = read_blocks(spark, at).withColumn("file", F.substring_index("file", "/", -1))
+    found = separator_scan(blocks)
+    remove(spark, at)  # the scan's lengths are in the checkpoint
+    return found.join(names, ["file", "doc_no"]).select("doc_id", "n_tokens", "file", "doc_no", "start")
