@@ -93,6 +93,42 @@ def test_differencing_of_pages_that_are_mostly_template(spark):
     assert all(r["text"] == "short text " + ("5 " * 20 if k == 50 else f"{k} " * 20).strip() for k, r in got.items())
 
 
+def _brute_pages(rows):
+    """Texts by the definition, of pages none of which is a copy of another: each is aligned with the page before and after it on its host."""
+    at = sorted((html_text._address(u), i, u, h) for i, u, h in rows)
+    page = {i: html_text.scan(h or "") for _, i, _, h in at}
+    out = {}
+    for k, (where, i, _, _) in enumerate(at):
+        lines, marks = page[i]
+        gone = [m == html_text.OUT for m in marks]
+        for o in (k - 1, k + 1):
+            if 0 <= o < len(at) and at[o][0][0] == where[0]:
+                code = {x: n for n, x in enumerate({*lines, *page[at[o][1]][0]})}
+                hit = html_text.common(*(np.array([code[x] for x in z], int) for z in (lines, page[at[o][1]][0])))
+                gone = [g or h and m != html_text.INSIDE for g, h, m in zip(gone, hit, marks, strict=True)]
+        out[i] = "\n".join(x for x, g in zip(lines, gone, strict=True) if not g)
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_extraction_against_brute_force(spark, parts):
+    rng = np.random.default_rng(16)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 5000, n))
+    menu = [f"menu entry {k}" for k in range(12)]
+    rows = []
+    for i in range(80):
+        own = [f"<p>{word(30)}</p>" for _ in range(rng.integers(1, 5))]
+        shared = [f"<div>{m}</div>" for m in menu if rng.random() < 0.7]
+        inside = [f"<article><p>{word(30)}</p><p>menu entry 3</p><div class='ad'>{word(3)}</div></article>"] if i % 3 == 0 else []
+        rows.append((i, f"http://h{i % 4}.com/{rng.integers(0, 30):02d}/{i}", f"<nav>{word(1)}<li>home</nav>{''.join(shared[:5])}{''.join(own)}{''.join(inside)}{''.join(shared[5:])}<footer>by us</footer>"))
+    rows += [(900, None, None), (901, "http://[bad", ""), (902, "http://lone.net/x", "<p>menu entry 1</p>" + "".join(f"<p>line {k % 40}</p>" for k in range(3000)))]
+    got = by_id(html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("row", F.lit(1)).repartition(parts)), "page_id")
+    want = _brute_pages(rows)
+    assert {i: r["text"] for i, r in got.items()} == want
+    assert all("menu entry 3" in want[i].split("\n") for i in range(0, 80, 3))
+    assert sum(r["n_shared"] > 0 for r in got.values()) == 80
+
+
 # 2: language
 
 

@@ -1,11 +1,12 @@
 """Exact dedup: tree-merge of sorted digest runs.
 
-Every input partition turns its documents into a run of digests (one record per digest:
-count and best document). Runs then meet in binomial rounds: partitions are nodes of a
-``fan``-ary hypercube, and in round r a record goes to the node whose r-th digit is that of
-its digest. A node so merges at most ``fan`` runs a round, and after the last round each
-digest has met all its records at one node. Rounds are sort-merged aggregations on
-(node, digest): associative, spilling, and rerun from shuffle files if an executor is lost.
+Every input partition sorts its digests into runs: one record per digest, with the count and the
+best document. Runs then meet in binomial rounds: partitions are nodes of a ``fan``-ary hypercube,
+and in round r a record goes to the node whose r-th digit is that of its digest. A node is one
+task, which gets at most ``fan`` nodes' runs a round, merges them by Spark's external sort and
+folds neighbours of one digest into one record; after the last round each digest has met all its
+records at one node. A digest that a third of all documents share is one record a run from the
+start. Each round is rerun from shuffle files if an executor is lost.
 
 A record counts as the same text only if the SHA-256, a second 64-bit hash and the length of
 the normalised text all agree (the verification at every level). Of equal texts the one with
@@ -14,6 +15,10 @@ the most code points stays, then the smallest identifier.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +27,8 @@ from tonalis.llm._util import ROW, assign, cut, row_hashes, table, text_or_empty
 #: Deleted before texts are compared: the characters of [\x20\x09-\x0D].
 SPACE = " \t\n\x0b\x0c\r"
 KEY = ["digest", "check", "n_norm"]
+#: Documents of a partition that are sorted into one run.
+RUN = 200_000
 
 
 def digests(docs: DataFrame, rows: bool = False) -> DataFrame:
@@ -32,6 +39,35 @@ def digests(docs: DataFrame, rows: bool = False) -> DataFrame:
     )
 
 
+def sorted_runs(light: DataFrame, rows: bool = False, size: int = RUN) -> DataFrame:
+    """Each partition's records as sorted runs: node, KEY, n, best. ``size`` bounds the documents of a run, so that a partition of any size fits."""
+    names = [*KEY, "neg_len", "unnamed", "doc_id", *(ROW if rows else [])]
+
+    def fold(t: pa.Table) -> pa.RecordBatch:
+        digest = np.frombuffer(b"".join(t["digest"].to_pylist()), ">u8").reshape(-1, 4).astype(np.uint64)
+        plain = [c.to_numpy() for c in (t["check"], t["n_norm"])]
+        order = np.lexsort([*(t[c].to_numpy() for c in (ROW[::-1] if rows else [])), t["doc_id"].fill_null(0).to_numpy(), t["unnamed"].to_numpy(), t["neg_len"].to_numpy(), *plain[::-1], *digest.T[::-1]])
+        key = np.column_stack([digest, *(c.view(np.uint64) for c in plain)])[order]
+        first = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1]
+        best = t.take(pa.array(order[first])).combine_chunks()
+        n = np.diff(np.r_[first, len(order)])
+        return pa.record_batch([best["part"].cast(pa.int64()).combine_chunks(), *(best[c].combine_chunks() for c in names), pa.array(n, pa.int64())], names=["node", *names, "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= size:
+                yield fold(pa.Table.from_batches(held))
+                held = []
+        if sum(x.num_rows for x in held):
+            yield fold(pa.Table.from_batches(held))
+
+    own = light.select("part", *KEY, (-F.col("n_text")).alias("neg_len"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", *(ROW if rows else []))
+    schema = "node long, digest binary, check long, n_norm long, neg_len long, unnamed boolean, doc_id long" + (", t1 long, t2 long" if rows else "") + ", n long"
+    return own.mapInArrow(run, schema).select("node", *KEY, "n", F.struct(*names[len(KEY) :]).alias("best"))
+
+
 def merge_runs(light: DataFrame, n_parts: int, fan: int = 16, rows: bool = False) -> DataFrame:
     """One row per digest: KEY, n, best (struct neg_len, unnamed, doc_id, and with ``rows`` ROW: the smallest stays)."""
     rounds = 1
@@ -40,12 +76,14 @@ def merge_runs(light: DataFrame, n_parts: int, fan: int = 16, rows: bool = False
     k = max(2, round(n_parts ** (1 / rounds) + 0.499999))
     while k**rounds < n_parts:
         k += 1
-    runs = light.select(F.col("part").cast("long").alias("node"), *KEY, F.lit(1).cast("long").alias("n"), F.struct((-F.col("n_text")).alias("neg_len"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", *(ROW if rows else [])).alias("best"))
+    runs = sorted_runs(light, rows)
     slot = F.pmod(F.xxhash64("digest"), F.lit(k**rounds))
     for r in range(rounds):
         digit = lambda c: F.pmod(F.floor(c / F.lit(k**r)), F.lit(k))  # noqa: B023, E731
         to = F.col("node") + (digit(slot) - digit(F.col("node"))) * F.lit(k**r)
-        runs = runs.withColumn("node", to.cast("long")).groupBy("node", *KEY).agg(F.sum("n").alias("n"), F.min("best").alias("best"))
+        sent = runs.withColumn("node", to.cast("int")).repartitionById(k**rounds, "node")
+        # The node's runs are in one task, sorted; no further shuffle.
+        runs = sent.sortWithinPartitions("node", *KEY).groupBy("node", *KEY).agg(F.sum("n").alias("n"), F.min("best").alias("best"))
     return runs.drop("node")
 
 

@@ -1,9 +1,8 @@
 """HTML extraction: nearest-URL page differencing.
 
-1. Each page is parsed into text lines, one per block, in page order. Markup says what some are:
-   menus, headers, footers, sidebars, notices, adverts, forms and reader comments go at once.
-   Lines inside an article element stay, and if they are most of the text, the others go.
-   Every other line is open.
+1. Each page is parsed into text lines, one per block, in page order, menus and footers and all.
+   Markup gives hints: a line stands inside an article element, or in an element that says it
+   is a menu, header, footer, sidebar, notice, advert, form or reader comment, or neither (open).
 2. Pages are put in order of host and URL path by a range shuffle of light rows (hashes of
    lines, no text), so that the nearest pages by path stand next to each other; the pages at
    the ends of each partition go to the driver and its neighbours (four light rows a partition).
@@ -11,8 +10,11 @@
    copies. Own text is what isn't among the lines common to the two neighbours of the host
    that have least in common; a host all of whose neighbours share over 0.9 of the text is one
    run, as nothing tells its template from its text. Each page's lines are aligned with those of the page before and the page
-   after its run, however far, by longest common subsequence; open lines in the common
-   subsequence are the site's template and are deleted.
+   after its run, however far, by longest common subsequence; lines in the common subsequence
+   are the site's template and are deleted, but for those inside the article.
+4. Of the lines that no neighbour shares, those that markup calls a menu, advert, comment and so
+   on go as well: adverts, comments and related links differ from page to page. (On the test
+   pages, whose menus differ on every page, most lines go by this.)
 """
 
 from __future__ import annotations
@@ -78,21 +80,33 @@ def _ends(page: str, name: str) -> dict[int, int]:
     return out
 
 
+#: What markup says of a line: nothing, inside the article, ruled out.
+OPEN, INSIDE, OUT = 0, 1, 2
+
+
 def parse(page: str) -> tuple[list[str], list[bool]]:
     """Lines of the page, without those that markup rules out, and which of them stand inside the article."""
+    lines, marks = scan(page)
+    return [x for x, m in zip(lines, marks, strict=True) if m != OUT], [m == INSIDE for m in marks if m != OUT]
+
+
+def scan(page: str) -> tuple[list[str], list[int]]:
+    """All lines of the page, and what markup says of each. What is ruled out inside a line is a line of its own, behind it."""
     lines: list[str] = []
-    sure: list[bool] = []
+    marks: list[int] = []
     piece: list[str] = []
+    aside: list[str] = []
     stack: list[tuple[str, bool]] = []  # open block or boilerplate elements: name, and whether it is ruled out
     ends: dict[str, dict[int, int]] = {}
     out = inside = at = 0
 
     def flush() -> None:
-        if piece:
-            if s := " ".join(entities.unescape("".join(piece)).split()):
-                lines.append(s)
-                sure.append(inside > 0)
-            piece.clear()
+        for held, mark in ((piece, INSIDE if inside else OPEN), (aside, OUT)):
+            if held:
+                if s := " ".join(entities.unescape("".join(held)).split()):
+                    lines.append(s)
+                    marks.append(mark)
+                held.clear()
 
     def pop() -> None:
         nonlocal out, inside
@@ -103,12 +117,12 @@ def parse(page: str) -> tuple[list[str], list[bool]]:
     for m in TOKEN.finditer(page):
         if m.start() < at:
             continue
-        if not out and m.start() > at:
-            piece.append(page[at : m.start()])
+        if m.start() > at:
+            (aside if out else piece).append(page[at : m.start()])
         at = m.end()
         if not m[2]:
-            if m[0].startswith("<![CDATA[") and not out:
-                piece.append(entities.escape(m[0][9:].removesuffix("]]>")))
+            if m[0].startswith("<![CDATA["):
+                (aside if out else piece).append(entities.escape(m[0][9:].removesuffix("]]>")))
             continue
         name, closing = m[2].lower(), bool(m[1])
         if name in RAW and not closing:
@@ -122,7 +136,7 @@ def parse(page: str) -> tuple[list[str], list[bool]]:
                     at = ends[name].get(m.start(), at)
             continue
         if name == "br":
-            piece.append(" ")
+            (aside if out else piece).append(" ")
             continue
         block = name in BLOCK
         if block:
@@ -142,13 +156,10 @@ def parse(page: str) -> tuple[list[str], list[bool]]:
                 stack.append((name, bad))
                 out += bad
                 inside += name in MAIN and not bad
-    if not out and at < len(page):
-        piece.append(page[at:])
+    if at < len(page):
+        (aside if out else piece).append(page[at:])
     flush()
-    if 2 * sum(len(x) for x, ok in zip(lines, sure, strict=True) if ok) >= sum(map(len, lines)) and any(sure):
-        lines = [x for x, ok in zip(lines, sure, strict=True) if ok]
-        return lines, [True] * len(lines)
-    return lines, sure
+    return lines, marks
 
 
 def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -200,19 +211,19 @@ def _address(url: str | None) -> tuple[str, str]:
         return "", url or ""
 
 
-LIGHT = "page_id long, row long, host string, path string, lines array<long>, sure array<boolean>, size array<int>"
+LIGHT = "page_id long, row long, host string, path string, lines array<long>, marks array<tinyint>, size array<int>"
 
 
 def _light(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, url, page = (b.column(k).to_pylist() for k in range(3))
-            got = [parse(p or "") for p in page]
+            got = [scan(p or "") for p in page]
             where = [_address(u) for u in url]
             key = [_row_key(u, p) for u, p in zip(url, page, strict=True)]
             yield pa.record_batch(
-                [pa.array(ids, pa.int64()), pa.array(key, pa.int64()), pa.array([w[0] for w in where]), pa.array([w[1] for w in where]), pa.array([[xxhash.xxh64_intdigest(s) - (1 << 63) for s in g[0]] for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.list_(pa.bool_())), pa.array([[len(s) for s in g[0]] for g in got], pa.list_(pa.int32()))],
-                names=["page_id", "row", "host", "path", "lines", "sure", "size"],
+                [pa.array(ids, pa.int64()), pa.array(key, pa.int64()), pa.array([w[0] for w in where]), pa.array([w[1] for w in where]), pa.array([[xxhash.xxh64_intdigest(s) - (1 << 63) for s in g[0]] for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.list_(pa.int8())), pa.array([[len(s) for s in g[0]] for g in got], pa.list_(pa.int32()))],
+                names=["page_id", "row", "host", "path", "lines", "marks", "size"],
             )
 
     return pages.mapInArrow(run, LIGHT)
@@ -223,11 +234,14 @@ def _row_key(url: str | None, page: str | None) -> int:
     return xxhash.xxh64_intdigest(f"{url}\0{page}".encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-Page = tuple[np.ndarray, np.ndarray, np.ndarray]  # hashes of lines, which are sure, their sizes
+Page = tuple[np.ndarray, np.ndarray, np.ndarray]  # hashes of lines, their marks, their sizes
 
 
 def _body(p: Page) -> np.ndarray:
-    return p[1] if p[1].any() else np.ones(len(p[0]), bool)
+    for own in (p[1] == INSIDE, p[1] == OPEN):
+        if own.any():
+            return own
+    return np.ones(len(p[0]), bool)
 
 
 def _share(x: Page, y: Page, hit: np.ndarray, template: np.ndarray) -> float:
@@ -245,9 +259,9 @@ Least = tuple[float, np.ndarray]  # of a host: the least share of two neighbours
 
 
 def _least(known: Least, x: Page, y: Page, hit: np.ndarray, nearly: float = 0.9) -> Least:
-    """Pairs with nothing in common or nearly all say nothing, nor do pages that are all article."""
+    """Pairs with nothing in common or nearly all say nothing, nor do pages without open lines."""
     s = _share(x, y, hit, x[0][:0])
-    return (s, np.unique(x[0][hit])) if 0 < s <= nearly and s < known[0] and not x[1].all() and not y[1].all() else known
+    return (s, np.unique(x[0][hit])) if 0 < s <= nearly and s < known[0] and (x[1] == OPEN).any() and (y[1] == OPEN).any() else known
 
 
 NONE: Least = (1.0, np.empty(0, np.int64))
@@ -267,7 +281,7 @@ class _Part:
         column = {k: pa.concat_arrays([b.column(k) for b in held]) for k in held[0].schema.names}
         self.ids, self.rows, self.host, self.part = (column[k].to_pylist() for k in ("page_id", "row", "host", "part"))
         at = column["lines"].offsets.to_numpy()
-        flat = [column[k].flatten().to_numpy(zero_copy_only=False) for k in ("lines", "sure", "size")]
+        flat = [column[k].flatten().to_numpy(zero_copy_only=False) for k in ("lines", "marks", "size")]
         self.page = lambda i: tuple(v[at[i] : at[i + 1]] for v in flat)
         self.least: dict[str, Least] = {}
         hits: list[np.ndarray | None] = [None] * self.n
@@ -312,8 +326,8 @@ def _beyond(parts: list[dict], p: int, side: int, copy: float) -> Page | None:
 
 
 def templates(pages: DataFrame, copy: float = 0.5) -> DataFrame:
-    """page_id, row, drop array<int>: places of template lines, for pages that have some."""
-    light = _light(pages).filter("size(lines) > 0")
+    """page_id, row, drop array<int>, n_shared: places of template lines among those that markup doesn't rule out, and the number of all template lines, for pages that have some."""
+    light = cut(_light(pages).filter("size(lines) > 0"))  # parsed once, not once more for the bounds of the ranges
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     near = light.repartitionByRange(n, "host", "path", "page_id", "row").sortWithinPartitions("host", "path", "page_id", "row").withColumn("part", F.spark_partition_id())
     near = cut(near)
@@ -353,27 +367,30 @@ def templates(pages: DataFrame, copy: float = 0.5) -> DataFrame:
                 if last is None or not (np.array_equal(me[0], last[0]) and np.array_equal(me[1], last[1])):
                     drop = np.zeros(len(me[0]), bool)
                     for other in (left, right):
-                        if other is not None and not me[1].all():
+                        if other is not None:
                             drop |= common(me[0], other[0])
-                    drop = np.flatnonzero(drop & ~me[1]).tolist()
+                    drop &= me[1] != INSIDE
+                    shared, drop = int(drop.sum()), np.flatnonzero(drop[me[1] != OUT]).tolist()
                 last = me
-                if drop:
-                    out.append((t.ids[i], t.rows[i], drop))
+                if shared:
+                    out.append((t.ids[i], t.rows[i], drop, shared))
         for k in range(0, len(out), 1000):
-            ids, keys, places = zip(*out[k : k + 1000], strict=True)
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(places, pa.list_(pa.int32()))], names=["page_id", "row", "drop"])
+            ids, keys, places, n = zip(*out[k : k + 1000], strict=True)
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(n, pa.int64())], names=["page_id", "row", "drop", "n_shared"])
 
-    return near.mapInArrow(run, "page_id long, row long, drop array<int>")
+    return near.mapInArrow(run, "page_id long, row long, drop array<int>, n_shared long")
 
 
 def extract(pages: DataFrame, copy: float = 0.5) -> DataFrame:
-    """Per page: page_id, url, text, n_chars.
+    """Per page: page_id, url, text, n_chars, n_shared (lines that page differencing deleted).
 
     Character references are decoded, white space inside a block is one space, blocks are joined
-    by a line feed; nothing is capped. A null or empty page, or one without article text, gives
-    an empty text. A null url belongs to the host "". Repeated rows are rows of their own and
-    may be each other's neighbours (they count as copies). An empty table gives no rows. Other
-    columns are ignored.
+    by a line feed; nothing is capped: a page of any length is aligned whole. A null or empty
+    page, or one without article text, gives an empty text. A null url belongs to the host "".
+    Pages of one path are in order of page_id and content, so that the nearest page is always
+    the same; a null page_id comes first. Repeated rows are rows of their own and may be each
+    other's neighbours (they count as copies, and get the same text). A page alone on its host
+    has no template. An empty table gives no rows. Other columns are ignored.
     """
     prepare(pages.sparkSession)
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
@@ -385,12 +402,12 @@ def extract(pages: DataFrame, copy: float = 0.5) -> DataFrame:
             text = ["\n".join(parse(p or "")[0]) for p in page]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(text), pa.array([_row_key(u, p) for u, p in zip(url, page, strict=True)], pa.int64())], names=["page_id", "url", "text", "row"])
 
-    text = own.mapInArrow(run, "page_id long, url string, text string, row long")
-    drop = drop.groupBy("page_id", "row").agg(F.first("drop").alias("drop"))
+    text = own.mapInArrow(run, "page_id long, url string, text string, row long").withColumn("_id", F.coalesce("page_id", F.lit(0)))
+    drop = drop.groupBy(F.coalesce("page_id", F.lit(0)).alias("_id"), "row").agg(F.first("drop").alias("drop"), F.first("n_shared").alias("n_shared"))
     left = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("drop", i))
-    joined = text.join(drop, ["page_id", "row"], "left")
-    body = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return joined.select("page_id", "url", body.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    joined = text.join(drop, ["_id", "row"], "left")
+    body = F.when(F.coalesce(F.size("drop"), F.lit(0)) == 0, F.col("text")).otherwise(F.array_join(left, "\n"))
+    return joined.select("page_id", "url", body.alias("text"), F.coalesce("n_shared", F.lit(0)).cast("long").alias("n_shared")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared")
 
 
 def op1_nearest_url_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
