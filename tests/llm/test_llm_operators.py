@@ -166,6 +166,8 @@ def test_language_of_small_corpus(spark):
     rng = np.random.default_rng(1)
     word = {"aa": ["taro", "kilo", "mano"], "bb": ["schwer", "knecht", "pflicht"]}
     rows = [(i, " ".join(rng.choice(word[k], 20)), k, "s") for i, k in enumerate(["aa", "bb"] * 40)]
+    unnamed = spark.createDataFrame([*rows, (None, "kilo mano taro", "aa", "s")], "doc_id long, text string, lang string, source string")
+    assert [(r["lang_pred"], r["held_out"]) for r in language_id.language_id(unnamed).filter("doc_id is null").collect()] == [("aa", None)]
     rows += [(100, None, "aa", "s"), (101, "", None, "s"), (102, "123 ++", "bb", "s"), (103, "knecht " * 5000, None, None), (103, "knecht " * 5000, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("score", F.lit(1))
     got = language_id.language_id(df).collect()
@@ -446,10 +448,10 @@ def test_the_top_word_is_counted_over_the_whole_text():
 def test_quality_rows(spark):
     rng = np.random.default_rng(7)
     good = lambda: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(40)) + "."
-    texts = [(i, good() if i % 2 else "SPAM!! " * 30) for i in range(400)] + [(900, None), (901, ""), (902, "w " * 60_000)]
+    texts = [(i, good() if i % 2 else "SPAM!! " * 30) for i in range(400)] + [(900, None), (901, ""), (902, "w " * 60_000), (902, "w " * 60_000), (None, "SPAM!! " * 30)]
     labels = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(5, None), (77_777, 1), (3, 7)], "doc_id long, quality int").withColumn("text", F.lit("x"))
     got = by_id(quality.quality(docs(spark, texts), labels))
-    assert len(got) == 403 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got.values())
+    assert len(got) == 404 and got[None]["held_out"] is None and got[None]["predicted"] == 0 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got.values())
     held = [i for i in range(400) if got[i]["held_out"]]
     assert held == [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
     assert np.mean([got[i]["predicted"] == i % 2 for i in held]) > 0.95
@@ -466,7 +468,7 @@ def test_raking_meets_the_marginals(spark):
     rows = [(i, "w " * int(rng.integers(5, 60)), str(rng.choice(["en", "de"], p=[0.8, 0.2])), str(rng.choice(["a", "b", "c"], p=[0.6, 0.3, 0.1]))) for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     targets = {"source": {"a": 0.4, "b": 0.4, "c": 0.2}, "lang": {"en": 0.6, "de": 0.4}, "topic": {"x": 1.0}}
-    cells = mixing.rake(mixing.stratified(df, F.lit("x")), targets, rounds=30).toPandas()
+    cells = mixing.rake(mixing.stratified(df, F.lit("x")), targets).toPandas()
     total = cells["weight"].sum()
     for dim, col in (("source", "_source"), ("lang", "_lang")):
         for k, v in targets[dim].items():
@@ -474,6 +476,32 @@ def test_raking_meets_the_marginals(spark):
     assert (cells["tokens"] * cells["probability"]).sum() == pytest.approx(0.8 * cells["tokens"].sum(), rel=0.02) and cells["probability"].max() <= 1
 
 
+def test_raking_against_brute_force(spark):
+    rng = np.random.default_rng(17)
+    rows = [(i, "w " * int(rng.integers(1, 90)), str(rng.choice(["en", "de", "fr"])), str(rng.choice(list("abcde"), p=[0.6, 0.2, 0.1, 0.06, 0.04]))) for i in range(1500)]
+    topic = F.when(F.pmod(F.col("doc_id"), F.lit(3)) == 0, "x").otherwise("y")
+    cells = mixing.rake(mixing.stratified(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), topic)).toPandas().sort_values(["_source", "_lang", "_topic"])
+    names = ["_source", "_lang", "_topic"]
+    w, goal = cells["tokens"].to_numpy().copy(), {}
+    for d in names:
+        g = cells.groupby(d)["tokens"].sum() ** 0.7
+        goal[d] = cells[d].map(g / g.sum()).to_numpy() * w.sum()
+    for _ in range(300):
+        for d in names:
+            w = w * goal[d] / cells.assign(w=w).groupby(d)["w"].transform("sum").to_numpy()
+    assert np.allclose(cells["weight"], w, rtol=1e-6)
+    far = mixing.marginals(spark.createDataFrame(cells)).toPandas()
+    assert np.allclose(far["goal"], far["reached"], rtol=1e-6) and len(far) == 10
+
+
+def test_raking_says_when_targets_cannot_be_met(spark):
+    df = spark.createDataFrame([(1, "a b c", "en", "x"), (2, "a b", "de", "y")], "doc_id long, text string, lang string, source string")
+    with pytest.warns(UserWarning, match="off by"):
+        mixing.rake(mixing.stratified(df, F.lit("t")), {"source": {"x": 0.9, "y": 0.1}, "lang": {"en": 0.1, "de": 0.9}}, most_rounds=8).collect()
+    own = mixing.mix(df, tokens=F.col("doc_id") * 10).collect()
+    assert {r["_tokens"] for r in own} == {10, 20}
+
+
 def test_mixing_edge_cases(spark):
     df = spark.createDataFrame([(1, None, None, None, 4), (2, "", "en", "a", 4), (3, "x y", "en", "a", 4), (3, "x y", "en", "a", 4), (None, "z", "en", "a", 4)], "doc_id long, text string, lang string, source string, _kept int")
     got = mixing.mix(df).collect()

@@ -39,7 +39,7 @@ class Plan(NamedTuple):
     scale: float
 
 
-THRESHOLD, BLOCK = 0.9, 1024
+THRESHOLD, BLOCK = 0.9, 384
 #: Up to so many classes of vectors. In each a pair at cosine 0.9 meets with probability 0.98 (measured in tests), and a random pair with 6e-4, 1.3e-4, 5e-5 and less than 1e-5.
 PLANS = [(100_000, Plan(14, 2, 4, 1.5)), (1_000_000, Plan(33, 2, 2, 1.7)), (10_000_000, Plan(40, 3, 2, 1.3)), (None, Plan(80, 3, 2, 1.5))]
 #: Sign bits of a sketch, and deviations above the mean distance of a pair at the threshold that are let through.

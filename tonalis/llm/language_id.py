@@ -279,8 +279,9 @@ def language_id(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score, rejected, n_chars_scored.
 
     Every whole text is scored, however long. A null or empty text, or one without letters, is
-    ``und``. Repeated rows give equal answers; ties go to the first language by name. An empty
-    table gives no rows. Other columns are ignored.
+    ``und``. Repeated rows give equal answers; ties go to the first language by name. A null
+    doc_id is scored, teaches nothing and has a null held_out. An empty table gives no rows.
+    Other columns are ignored.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2

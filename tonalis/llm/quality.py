@@ -9,6 +9,7 @@ labels are broadcast, and their number is bounded by the parameter.
 from __future__ import annotations
 
 import operator
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,8 +22,10 @@ from tonalis.llm import _trees
 from tonalis.llm._util import prepare, table
 
 MAX_ROWS, THRESHOLD = 20_000, 0.3
+#: Words of marks alone, and runs of one mark.
+LONE, DOUBLE = re.compile(r"(?<!\S)[^\w\s]+(?!\S)"), re.compile(r"([^\w\s])\1+")
 MARKS = "!|#*%$&.,;:?\"'()[]{}<>=_/\\-@0123456789"
-NAMES = ["log_chars", "log_words", "mean_word", "per_line", "lines", "distinct", "again", "top", "upper", "letters", "white", "tabular", "shout", "symbol", "longest", *[f"mark_{ord(c)}" for c in MARKS]]
+NAMES = ["log_chars", "log_words", "mean_word", "per_line", "lines", "distinct", "again", "top", "upper", "letters", "white", "lone", "double", "longest", *[f"mark_{ord(c)}" for c in MARKS]]
 
 
 def statistics(texts: list[str]) -> np.ndarray:
@@ -39,12 +42,12 @@ def statistics(texts: list[str]) -> np.ndarray:
         counts = Counter(words)
         distinct, most = len(counts), max(counts.values(), default=0)
         again = sum(map(operator.eq, words, words[1:]))
-        row[:15] = (
+        row[:14] = (
             np.log1p(n), np.log1p(w), n / w, n / lines, lines / w, distinct / w, again / w, most / w, upper / (upper + lower + 1), (upper + lower + len(cp) - len(small)) / n, (w - 1) / n,
-            t.count(" | ") / w, t.count("!! ") / w, sum(map(t.count, ("### ", "*** ", "%%% ", "$$$ ", "&&& "))) / w, max(map(len, words), default=0),
+            len(LONE.findall(t)) / w, len(DOUBLE.findall(t)) / w, max(map(len, words), default=0),
         )
-        row[15:] = [t.count(c) for c in MARKS]
-        row[15:] /= w
+        row[14:] = [t.count(c) for c in MARKS]
+        row[14:] /= w
     return out
 
 
@@ -72,7 +75,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: str = "pmod(crc32(cast(doc
 
 
 def score(docs: DataFrame, forest: _trees.Forest) -> DataFrame:
-    """Adds ``score`` double to ``docs``: 0 to 1, higher where label 1 is likelier. ``docs`` has a column text; its other columns pass through."""
+    """Adds ``score`` double to ``docs``: 0 to 1, higher where label 1 is likelier. ``docs`` has a column text; its other columns pass through, but for one named score, which is replaced."""
     names = [c for c in docs.columns if c != "score"]
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in names]).schema)
     at, sent = names.index("text"), docs.sparkSession.sparkContext.broadcast(forest)
@@ -91,8 +94,8 @@ def quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Dat
 
     Null text counts as empty and gets a score too. Labels that are null, other than 0 and 1 or
     of unknown documents teach nothing; if a document has several, the larger counts. Without
-    labels of both kinds every score is the base rate. Repeated rows score alike; an empty table
-    gives no rows. Other columns are ignored.
+    labels of both kinds every score is the base rate. Repeated rows score alike; a null doc_id is
+    scored, and its held_out is null; an empty table gives no rows. Other columns are ignored.
     """
     forest = fit(docs, labels, max_rows=max_rows)
     scored = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), forest)
