@@ -29,7 +29,7 @@ from tonalis.llm._util import LINKS, ROW, assign, block_tasks, cut, grouped, lin
 from tonalis.llm._words import mixed, shingles, word_hashes
 
 #: A block of a bucket has about BLOCK representatives, or fewer of about WEIGHT n-grams in all.
-N, THRESHOLD, RECALL, BLOCK, WEIGHT = 5, 0.8, 0.999, 768, 400_000
+N, THRESHOLD, RECALL, BLOCK, WEIGHT = 5, 0.8, 0.999, 384, 400_000
 KEY = ["h1", "h2", "size"]
 
 
