@@ -220,9 +220,9 @@ def _verified(classes: DataFrame, threshold: float, layout: Plan, kind: np.dtype
 
     keyed = cut(classes.select("rep", "raw", "copies").mapInArrow(hashed, "rep long, raw binary, copies long, width int, cells array<int>, homes array<int>, sketch array<long>"))
     place = (F.floor(F.col("at") / per).cast("int").alias("t"), "cell", (F.pmod("at", F.lit(per)) == 0).alias("home"))
-    spread = keyed.select("rep", "homes", "sketch", "width", F.posexplode("cells").alias("at", "cell")).select("rep", "homes", "sketch", "width", *place)
-    # Only cells where one is at home and another comes matter.
-    tasks = block_tasks(spread, ["t", "cell"], "rep", block, lives="home")
+    spread = keyed.select("rep", F.posexplode("cells").alias("at", "cell")).select("rep", *place)
+    # Only cells where one is at home and another comes matter; sketches follow for what is left.
+    tasks = block_tasks(spread, ["t", "cell"], "rep", block, lives="home").join(keyed.select("rep", "homes", "sketch", "width"), "rep")
 
     def wanted(t: pa.Table, starts: np.ndarray) -> pa.Table:
         homes, sketch = lists(t["homes"], layout.tables), lists(t["sketch"], BITS // 64).view(np.uint64)

@@ -120,8 +120,9 @@ TASK = ["band", "h", "bi", "bj"]
 def _verified(docs: DataFrame, classes: DataFrame, n: int, threshold: float, bands: int, block: int) -> DataFrame:
     """LINKS between the representatives, from tasks that each saw a part of them."""
     num, den = _ratio(threshold)
-    keyed = classes.select("rep", "size", "bands", F.posexplode("bands").alias("band", "h"))
-    tasks = block_tasks(keyed, ["band", "h"], "rep", block, "size", WEIGHT)
+    keyed = classes.select("rep", "size", F.posexplode("bands").alias("band", "h"))
+    # Most rows are alone in their bucket: the bands follow for what is left.
+    tasks = block_tasks(keyed, ["band", "h"], "rep", block, "size", WEIGHT).join(classes.select("rep", "bands"), "rep")
 
     def candidates(t: pa.Table, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         own, size, band, b, bi, bj = lists(t["bands"], bands), *(t[k].to_numpy() for k in ("size", "band", "b", "bi", "bj"))
