@@ -221,14 +221,18 @@ def find_peaks(x: np.ndarray, height: float, distance: float) -> np.ndarray:
     top = np.flatnonzero((v[1:-1] > v[:-2]) & (v[1:-1] > v[2:])) + 1
     at = (change[top] + stop[top]) // 2
     at = at[x[at] >= height]
-    gap = math.ceil(distance)
+    return at[thin(at, x[at], math.ceil(distance))]
+
+
+def thin(at: np.ndarray, height: np.ndarray, gap: int) -> np.ndarray:
+    """Which of the peaks at sorted places stay: the tallest first (of equal ones the later), unless one that stays is nearer than ``gap``."""
     keep = np.ones(len(at), bool)
-    for i in np.argsort(x[at], kind="stable")[::-1]:
+    for i in np.argsort(height, kind="stable")[::-1]:
         if keep[i]:
             a, b = np.searchsorted(at, [at[i] - gap + 1, at[i] + gap])
             keep[a:b] = False
             keep[i] = True
-    return at[keep]
+    return np.flatnonzero(keep)
 
 
 def track(time: np.ndarray, freq: np.ndarray, snr: np.ndarray, drift_bins: int, gap_bins: int, least_bins: float) -> list[tuple[int, int, int, int, int, float, int]]:

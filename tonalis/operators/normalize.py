@@ -112,12 +112,20 @@ def peaks_2d(frames: DataFrame, recording: str, time: str, power: str, threshold
     return df_.select(recording, time, F.explode(hits).alias("_s")).select(recording, time, "_s.freq_bin", "_s.value")
 
 
-def peak_candidates(cell: DataFrame, recording: str, time: str, freq: str, value: str, threshold: float = 8.0) -> DataFrame:
-    """Local maxima along time per frequency bin, before distance suppression: a plateau counts once, at its middle (the left one of two); ends of the series never."""
-    w = Window.partitionBy(recording, freq).orderBy(time)
-    run = F.sum(F.when(F.lag(value).over(w) == F.col(value), 0).otherwise(1)).over(w)
-    runs = cell.withColumn("_run", run).groupBy(recording, freq, "_run").agg(F.min(time).alias("_a"), F.max(time).alias("_b"), F.first(value).alias(value))
-    r = Window.partitionBy(recording, freq).orderBy("_run")
-    runs = runs.withColumn("_l", F.lag(value).over(r)).withColumn("_r", F.lead(value).over(r))
-    top = (F.col("_l") < F.col(value)) & (F.col("_r") < F.col(value)) & (F.col(value) >= F.lit(threshold))
-    return runs.filter(top).select(recording, freq, F.floor((F.col("_a") + F.col("_b")) / 2).cast("long").alias(time), value)
+def peak_candidates(frames: DataFrame, recording: str, time: str, power: str, threshold: float = 8.0, chunk: int = CHUNK) -> DataFrame:
+    """Local maxima (recording, freq_bin, time, value) along time per frequency bin, before distance suppression: a plateau counts once, at its middle (the left one of two); ends of the series never.
+
+    Each frame is held against the one before and after as arrays, in chunks with a halo; only
+    cells at or above the threshold that no neighbour exceeds leave the frames, so that plateaus
+    are joined over few rows. Time bins of a recording count frames without gaps.
+    """
+    d = _chunked(frames.select(recording, time, power), time, 1, chunk)
+    w = Window.partitionBy(recording, "_chunk").orderBy(time)
+    d = d.withColumns({"_p": F.lag(power).over(w), "_q": F.lead(power).over(w)}).filter("_own and _p is not null and _q is not null")
+    cell = F.transform(power, lambda v, i: F.struct(i.alias("freq_bin"), v.alias("value"), F.get("_p", i).alias("p"), F.get("_q", i).alias("q")))
+    high = F.filter(cell, lambda c: (c["value"] >= F.lit(threshold)) & (c["value"] >= c["p"]) & (c["value"] >= c["q"]))
+    flat = d.select(recording, time, F.explode(high).alias("_c")).select(recording, time, "_c.*")
+    own = Window.partitionBy(recording, "freq_bin").orderBy(time)
+    goes_on = (F.lag(time).over(own) == F.col(time) - 1) & (F.col("p") == F.col("value"))
+    runs = flat.withColumn("_run", F.sum(F.when(goes_on, 0).otherwise(1)).over(own)).groupBy(recording, "freq_bin", "_run").agg(F.min(time).alias("_a"), F.max(time).alias("_b"), F.first("value").alias("value"), F.min_by("p", time).alias("_l"), F.max_by("q", time).alias("_r"))
+    return runs.filter("_l < value and _r < value").select(recording, "freq_bin", F.floor((F.col("_a") + F.col("_b")) / 2).cast("long").alias(time), "value")

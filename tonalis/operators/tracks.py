@@ -1,16 +1,19 @@
 """From peaks to lines: thinning, persistence tracking, cluster merge, anchor dedupe, and the whole detection.
 
-Tracking and merging follow an order and are grouped kernels, one Arrow boundary for all of
-them: thinning, tracking and merging share the one shuffle on the recording.
+Thinning, tracking and merging follow an order and are grouped kernels. None of them can see past
+a pause: peaks further apart than the distance or the gap, or lines that don't meet in time, have
+nothing to do with each other. So a recording (or beam) is cut at its pauses first, natively, and a
+group is one stretch between two of them, not a whole recording.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonalis.functions import columns as C
@@ -52,20 +55,35 @@ class DetectionConfig:
             raise ValueError(f"unknown peak method {self.method!r}; one of per_bin, two_d")
 
 
-def peaks_per_bin(cell: DataFrame, recording: str, time: str, freq: str, value: str, threshold: float = 8.0, separation: float = 4) -> DataFrame:
-    """Peaks along time per frequency bin, thinned so that none is nearer than ``separation`` to a taller one. A group is one bin of one recording."""
-    kinds = dict(cell.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in (recording, freq, time, value))
+def _stretches(df: DataFrame, keys: list[str], starts: Column, order: list[str]) -> DataFrame:
+    """Adds ``_stretch``: how many rows up to this one, in order, start a stretch of the keys."""
+    return df.withColumn("_stretch", F.sum(F.when(starts, 1).otherwise(0)).over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def peaks_per_bin(frames: DataFrame, recording: str, time: str, power: str, threshold: float = 8.0, separation: float = 4) -> DataFrame:
+    """Peaks (recording, freq_bin, time, value) along time per frequency bin, thinned so that none is nearer than ``separation`` to a taller one.
+
+    Candidates are found natively; only stretches of several within the separation are thinned.
+    """
+    found = N.peak_candidates(frames, recording, time, power, threshold)
+    keys = [recording, "freq_bin"]
+    gap = -int(-separation // 1)
+    before = F.lag(time).over(Window.partitionBy(*keys).orderBy(time))
+    cut = _stretches(found, keys, before.isNull() | (F.col(time) - before >= gap), [time])
+    cut = cut.withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "_stretch")))
+    names = [*keys, time, "value"]
+    kinds = dict(found.dtypes)
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by(time)
-        return t.take(pa.array(K.find_peaks(t[value].to_numpy(), threshold, separation)))
+        return t.take(pa.array(K.thin(t[time].to_numpy(), t["value"].to_numpy(), gap))).select(names)
 
-    return cell.select(recording, freq, time, value).groupBy(recording, freq).applyInArrow(run, schema)
+    crowded = cut.filter("_n > 1").select(*names, "_stretch").groupBy(*keys, "_stretch").applyInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names))
+    return cut.filter("_n = 1").select(*names).unionByName(crowded)
 
 
 def persistent_lines(peaks: DataFrame, recording: str, time: str, freq: str, value: str, hop_s: float, config: PersistenceConfig = PersistenceConfig()) -> DataFrame:
-    """Tracks per recording, from sparse peak rows."""
+    """Tracks per recording, from sparse peak rows. A group is a stretch of peaks without a pause longer than the gap, which no run can cross."""
     kind = dict(peaks.dtypes)[recording]
 
     def run(t: pa.Table) -> pa.Table:
@@ -75,7 +93,9 @@ def persistent_lines(peaks: DataFrame, recording: str, time: str, freq: str, val
         first = pa.array([t[recording][0].as_py()] * len(got), t.schema.field(recording).type)
         return pa.table([first, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[recording, *(c.split()[0] for c in TRACK.split(", "))])
 
-    return peaks.select(recording, time, freq, value).groupBy(recording).applyInArrow(run, f"{recording} {kind}, {TRACK}")
+    before = F.lag(time).over(Window.partitionBy(recording).orderBy(time, freq))
+    cut = _stretches(peaks.select(recording, time, freq, value), [recording], before.isNull() | (F.col(time) - before > config.max_gap_bins), [time, freq])
+    return cut.groupBy(recording, "_stretch").applyInArrow(run, f"{recording} {kind}, {TRACK}")
 
 
 def to_lines(tracks: DataFrame, array_id: Column, beam_id: Column, start: Column, first_hz: float, bin_hz: float, hop_s: float, first_s: float = 0.0, method: str = "classical") -> DataFrame:
@@ -97,7 +117,7 @@ def merge_rows(rows: list[dict], tolerance: float) -> list[dict]:
         return rows
     while True:
         out: list[dict] = []
-        for r in sorted(rows, key=lambda x: (x["start"], x["frequency_hz"])):
+        for r in sorted(rows, key=lambda x: (x["start"], x["frequency_hz"], x["correlation_id"])):
             if out and _touch(out[-1], r, tolerance):
                 out[-1] = _joined(out[-1], r)
             else:
@@ -122,7 +142,11 @@ def _joined(a: dict, b: dict) -> dict:
 
 
 def merge_nearby(lines: DataFrame, tolerance: float, keys: tuple[str, ...] = ("array_id", "beam_id")) -> DataFrame:
-    """Cluster merge of line rows per (array, beam); a merged row has an identifier derived from its parts and a null confidence."""
+    """Cluster merge of line rows per (array, beam); a merged row has an identifier derived from its parts and a null confidence.
+
+    Lines of one start and frequency are taken in order of identifier. A group is a stretch of
+    lines that meet in time: what starts after all before it has ended merges with none of them.
+    """
     if tolerance < 0:
         raise ValueError(f"the tolerance can't be negative: {tolerance}")
     columns = [c.split()[0] for c in LINE.split(", ")]
@@ -138,8 +162,12 @@ def merge_nearby(lines: DataFrame, tolerance: float, keys: tuple[str, ...] = ("a
         return pa.table({c: pa.array([r[c] for r in got], t.schema.field(c).type) for c in columns})
 
     # Times cross to the kernel as whole microseconds.
-    own = lines.select(*columns).withColumn("timestamp", F.unix_micros("timestamp")).groupBy(*keys)
-    return own.applyInArrow(run, LINE.replace("timestamp timestamp", "timestamp long")).withColumn("timestamp", F.timestamp_micros("timestamp"))
+    own = lines.select(*columns).withColumn("timestamp", F.unix_micros("timestamp")).withColumn("_end", F.col("timestamp") + F.round(F.col("persistence_s") * 1e6).cast("long"))
+    order = ["timestamp", "frequency_hz", "correlation_id"]
+    ended = F.max("_end").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    # A microsecond of slack, as the kernel compares seconds.
+    cut = _stretches(own, list(keys), ended.isNull() | (F.col("timestamp") > ended + 1), order)
+    return cut.drop("_end").groupBy(*keys, "_stretch").applyInArrow(run, LINE.replace("timestamp timestamp", "timestamp long")).withColumn("timestamp", F.timestamp_micros("timestamp"))
 
 
 def anchor_dedupe(preds: DataFrame, keys: list[str], tolerance: float = 5.0, freq: str = "freq_hz", start: str = "t_start", end: str = "t_end", conf: str = "confidence") -> DataFrame:
@@ -163,19 +191,20 @@ def anchor_dedupe(preds: DataFrame, keys: list[str], tolerance: float = 5.0, fre
     return groups.select(*keys, (F.col("g.s") / F.col("g.n")).alias(freq), F.col("g.a").alias(start), F.col("g.b").alias(end), F.col("g.c").alias(conf), F.col("g.n").alias("n"))
 
 
-def detect(frames: DataFrame, recording: str, time: str, power: str, first_hz: float, bin_hz: float, hop_s: float, config: DetectionConfig = DetectionConfig(), start: Column | None = None, first_s: float = 0.0) -> DataFrame:
-    """Frames to merged line rows: background, peaks, tracks, projection, merge."""
+def detect(frames: DataFrame, recording: str, time: str, power: str, first_hz: float, bin_hz: float, hop_s: float, config: DetectionConfig = DetectionConfig(), start: Column | None = None, first_s: float = 0.0, publish: Callable[[DataFrame], object] | None = None) -> DataFrame:
+    """Frames to merged line rows: background, peaks, tracks, projection, merge. ``publish`` gets the result too (``Topics.publish`` of a topic, say)."""
     normal = N.tpsw(frames, power, "_snr", config.train, config.central, config.gap, config.mask_db, config.least)
     if config.method == "two_d":
         peaks = N.peaks_2d(normal, recording, time, "_snr", config.snr_db, config.neighbourhood)
     else:
-        peaks = peaks_per_bin(N.cells(normal, [recording, time], "_snr"), recording, time, "freq_bin", "value", config.snr_db, config.separation)
+        peaks = peaks_per_bin(normal, recording, time, "_snr", config.snr_db, config.separation)
     tracks = persistent_lines(peaks, recording, time, "freq_bin", "value", hop_s, config.persistence)
     lines = to_lines(tracks, F.col(recording).cast("string"), F.lit("0"), start if start is not None else F.timestamp_micros(F.lit(0).cast("long")), first_hz, bin_hz, hop_s, first_s)
-    if not config.merge:
-        return lines
-    tolerance = C.merge_tolerance(config.persistence.max_drift_bins, bin_hz, 2) if config.tolerance_hz is None else config.tolerance_hz
-    return merge_nearby(lines, tolerance)
+    if config.merge:
+        lines = merge_nearby(lines, C.merge_tolerance(config.persistence.max_drift_bins, bin_hz, 2) if config.tolerance_hz is None else config.tolerance_hz)
+    if publish is not None:
+        publish(lines)
+    return lines
 
 
 def false_alarm_grid(normal: DataFrame, recording: str, time: str, power: str, hop_s: float, snrs: list[float], persistences: list[float], first_hz: float, bin_hz: float, config: DetectionConfig = DetectionConfig()) -> DataFrame:
@@ -183,7 +212,7 @@ def false_alarm_grid(normal: DataFrame, recording: str, time: str, power: str, h
     hours = normal.agg((F.count("*") * F.lit(hop_s) / 3600.0).alias("hours"))
     out = None
     for snr in snrs:
-        peaks = peaks_per_bin(N.cells(normal, [recording, time], power), recording, time, "freq_bin", "value", snr, config.separation)
+        peaks = peaks_per_bin(normal, recording, time, power, snr, config.separation)
         every = persistent_lines(peaks, recording, time, "freq_bin", "value", hop_s, PersistenceConfig(min(persistences), config.persistence.max_drift_bins, config.persistence.max_gap_bins))
         grid = every.join(F.broadcast(normal.sparkSession.createDataFrame([(float(p),) for p in persistences], "persistence_s double")), (F.col("t_end_bin") - F.col("t_start_bin")) >= F.col("persistence_s") / hop_s)
         lines = to_lines(grid, F.concat_ws("|", F.col(recording).cast("string"), F.col("persistence_s").cast("string")), F.lit("0"), F.timestamp_micros(F.lit(0).cast("long")), first_hz, bin_hz, hop_s)

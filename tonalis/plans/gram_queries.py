@@ -11,6 +11,7 @@ from tonalis.operators import grams as G
 from tonalis.operators import intervals as I
 from tonalis.operators import normalize as N
 from tonalis.operators import tracks as T
+from tonalis.plans import fold_sql as S
 from tonalis.plans import inputs as X
 
 Q, SQL = {}, {}
@@ -54,41 +55,63 @@ SELECT rec, t, f, round(x, 5) + 0.0::DOUBLE AS x FROM tm WHERE x >= 8 AND x = b"
 
 
 def w3_peak_candidates(spark: SparkSession, d: str) -> DataFrame:
-    g = N.cells(N.tpsw(X.gram(spark, d), "power", "n"), ["rec", "t"], "n", "x")
-    return N.peak_candidates(g, "rec", "t", "freq_bin", "x").select("rec", "t", F.col("freq_bin").alias("f"), _r("x"))
+    return N.peak_candidates(N.tpsw(X.gram(spark, d), "power", "n"), "rec", "t", "n").select("rec", "t", F.col("freq_bin").alias("f"), _r_value())
 
 
-Q["w3_peak_candidates"] = w3_peak_candidates
-SQL["w3_peak_candidates"] = f"""WITH {X.GRAM}, {X.OFFSETS}, {X.PASS_1}, {X.PASS_2},
+_CANDIDATES = f"""{X.GRAM}, {X.OFFSETS}, {X.PASS_1}, {X.PASS_2},
 l AS (SELECT *, CASE WHEN lag(x) OVER v = x THEN 0 ELSE 1 END AS new FROM w2 WINDOW v AS (PARTITION BY rec, f ORDER BY t)),
 g AS (SELECT *, sum(new) OVER (PARTITION BY rec, f ORDER BY t) AS run FROM l),
 r AS (SELECT rec, f, run, min(t) AS a, max(t) AS b, any_value(x) AS x FROM g GROUP BY rec, f, run),
-n AS (SELECT *, lag(x) OVER v AS p, lead(x) OVER v AS q FROM r WINDOW v AS (PARTITION BY rec, f ORDER BY run))
-SELECT rec, CAST((a + b) // 2 AS BIGINT) AS t, f, round(x, 5) + 0.0::DOUBLE AS x FROM n WHERE p < x AND q < x AND x >= 8"""
+n AS (SELECT *, lag(x) OVER v AS p, lead(x) OVER v AS q FROM r WINDOW v AS (PARTITION BY rec, f ORDER BY run)),
+candidate AS MATERIALIZED (SELECT rec, CAST((a + b) // 2 AS BIGINT) AS t, f, x FROM n WHERE p < x AND q < x AND x >= {{least}})"""
+Q["w3_peak_candidates"] = w3_peak_candidates
+SQL["w3_peak_candidates"] = f"WITH {_CANDIDATES.format(least=8)} SELECT rec, t, f, round(x, 5) + 0.0::DOUBLE AS x FROM candidate"
 
 
 def w3_peaks_per_bin(spark: SparkSession, d: str) -> DataFrame:
-    g = N.cells(N.tpsw(X.gram(spark, d), "power", "n"), ["rec", "t"], "n", "x")
-    return T.peaks_per_bin(g, "rec", "t", "freq_bin", "x").select("rec", "t", F.col("freq_bin").alias("f"), _r("x"))
+    return T.peaks_per_bin(N.tpsw(X.gram(spark, d), "power", "n"), "rec", "t", "n").select("rec", "t", F.col("freq_bin").alias("f"), _r_value())
 
 
 Q["w3_peaks_per_bin"] = w3_peaks_per_bin
+SQL["w3_peaks_per_bin"] = f"WITH RECURSIVE {_CANDIDATES.format(least=8)}, {S.thin('peak', 'candidate', 'rec, f', 4)} SELECT rec, t, f, round(x, 5) + 0.0::DOUBLE AS x FROM peak"
 
 
 def w5_persistent_lines(spark: SparkSession, d: str) -> DataFrame:
     return T.persistent_lines(X.event_peaks(spark, d), "user_id", "t", "f", "v", 1.0, T.PersistenceConfig(2.0, 5, 12))
 
 
+_EVENT_PEAKS = f"ep AS MATERIALIZED (SELECT user_id, CAST(floor((floor(epoch(ts)) - {X.EPOCH}) / 3600) AS INTEGER) AS t, CAST(floor(value / 10) AS INTEGER) AS f, max(value) AS v FROM events GROUP BY ALL)"
+_EVENT_TRACKS = f"{_EVENT_PEAKS}, {S.tracks('tr', 'ep', 'user_id', 5, 12, 2.0)}"
 Q["w5_persistent_lines"] = w5_persistent_lines
+SQL["w5_persistent_lines"] = f"WITH RECURSIVE {_EVENT_TRACKS} SELECT * FROM tr"
+
+
+def _seconds(lines: DataFrame) -> DataFrame:
+    """Lines with their start in seconds of the epoch, rounded."""
+    return lines.select("correlation_id", "array_id", "beam_id", F.unix_seconds("timestamp").alias("start_s"), *[(F.round(c, 6) + 0.0).alias(c) for c in ("frequency_hz", "bandwidth_hz", "snr_db", "persistence_s")], "detection_method", "confidence")
+
+
+_LINE_ROWS = "SELECT id AS correlation_id, CAST({array} AS VARCHAR) AS array_id, '0' AS beam_id, CAST({zero} + start AS BIGINT) AS start_s, round(freq, 6) + 0.0::DOUBLE AS frequency_hz, round(bw, 6) + 0.0::DOUBLE AS bandwidth_hz, round(snr, 6) + 0.0::DOUBLE AS snr_db, round(persist, 6) + 0.0::DOUBLE AS persistence_s, 'classical' AS detection_method, NULL::DOUBLE AS confidence FROM {source}"
 
 
 def a7_merge_nearby(spark: SparkSession, d: str) -> DataFrame:
     t = w5_persistent_lines(spark, d)
     lines = T.to_lines(t, F.col("user_id").cast("string"), F.lit("0"), F.timestamp_seconds(F.lit(X.EPOCH)), 0.0, 10.0, 3600.0)
-    return T.merge_nearby(lines, 100.0)
+    return _seconds(T.merge_nearby(lines, 100.0))
 
 
 Q["a7_merge_nearby"] = a7_merge_nearby
+SQL["a7_merge_nearby"] = f"WITH RECURSIVE {_EVENT_TRACKS}, {S.lines('li', 'tr', 'user_id', 'user_id', 0.0, 10.0, 3600.0)}, {S.merged('me', 'li', 'user_id', 100.0)} " + _LINE_ROWS.format(array="user_id", zero=X.EPOCH, source="me")
+
+
+def p9_track_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Projection of tracks to physical units."""
+    t = w5_persistent_lines(spark, d)
+    return _seconds(T.to_lines(t, F.col("user_id").cast("string"), F.lit("0"), F.timestamp_seconds(F.lit(X.EPOCH)), 5.0, 10.0, 3600.0))
+
+
+Q["p9_track_rows"] = p9_track_rows
+SQL["p9_track_rows"] = f"WITH RECURSIVE {_EVENT_TRACKS}, {S.lines('li', 'tr', 'user_id', 'user_id', 5.0, 10.0, 3600.0)} " + _LINE_ROWS.format(array="user_id", zero=X.EPOCH, source="li")
 
 
 def p9_line_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -120,18 +143,41 @@ SELECT patch, round(sum(freq_hz) / count(*), 6) AS freq_hz, min(t_start) AS t_st
 
 def c3_detect_lines(spark: SparkSession, d: str) -> DataFrame:
     cfg = T.DetectionConfig(method="two_d", snr_db=6.0, persistence=T.PersistenceConfig(2.0, 3, 4), tolerance_hz=4.0)
-    return T.detect(X.gram(spark, d), "rec", "t", "power", 0.0, 1.0, 1.0, cfg)
+    return _seconds(T.detect(X.gram(spark, d), "rec", "t", "power", 0.0, 1.0, 1.0, cfg))
 
 
+_PEAKS_2D = f"""{X.GRAM}, {X.OFFSETS}, {X.PASS_1}, {X.PASS_2},
+fm AS (SELECT *, max(x) OVER (PARTITION BY rec, t ORDER BY f ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS a FROM w2),
+tm AS (SELECT *, max(a) OVER (PARTITION BY rec, f ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS b FROM fm),
+pk AS MATERIALIZED (SELECT rec, t, f, x AS v FROM tm WHERE x >= 6 AND x = b)"""
 Q["c3_detect_lines"] = c3_detect_lines
+SQL["c3_detect_lines"] = f"WITH RECURSIVE {_PEAKS_2D}, {S.tracks('tr', 'pk', 'rec', 3, 4, 2.0)}, {S.lines('li', 'tr', 'rec', 'rec', 0.0, 1.0, 1.0)}, {S.merged('me', 'li', 'rec', 4.0)} " + _LINE_ROWS.format(array="rec", zero=0, source="me")
+
+
+def c3_detect_per_bin(spark: SparkSession, d: str) -> DataFrame:
+    """Detection by thinned peaks per bin, with the default tolerance."""
+    cfg = T.DetectionConfig(snr_db=6.0, persistence=T.PersistenceConfig(2.0, 3, 4))
+    return _seconds(T.detect(X.gram(spark, d), "rec", "t", "power", 0.0, 1.0, 1.0, cfg))
+
+
+Q["c3_detect_per_bin"] = c3_detect_per_bin
+SQL["c3_detect_per_bin"] = f"WITH RECURSIVE {_CANDIDATES.format(least=6)}, {S.thin('thinned', 'candidate', 'rec, f', 4)}, pk AS MATERIALIZED (SELECT rec, t, f, x AS v FROM thinned), {S.tracks('tr', 'pk', 'rec', 3, 4, 2.0)}, {S.lines('li', 'tr', 'rec', 'rec', 0.0, 1.0, 1.0)}, {S.merged('me', 'li', 'rec', C.merge_tolerance(3, 1.0, 2))} " + _LINE_ROWS.format(array="rec", zero=0, source="me")
+
+_SNRS, _PERSISTENCES = (6.0, 8.0, 10.0), (2.0, 4.0)
 
 
 def a12_far_grid(spark: SparkSession, d: str) -> DataFrame:
     g = N.tpsw(X.gram(spark, d), "power", "n").select("rec", "t", "n")
-    return T.false_alarm_grid(g, "rec", "t", "n", 1.0, [6.0, 8.0, 10.0], [2.0, 4.0], 0.0, 1.0, T.DetectionConfig(persistence=T.PersistenceConfig(2.0, 3, 4)))
+    out = T.false_alarm_grid(g, "rec", "t", "n", 1.0, list(_SNRS), list(_PERSISTENCES), 0.0, 1.0, T.DetectionConfig(persistence=T.PersistenceConfig(2.0, 3, 4)))
+    return out.select("snr_db", "persistence_s", "n_lines", F.round("per_hour", 6).alias("per_hour"))
 
 
 Q["a12_far_grid"] = a12_far_grid
+SQL["a12_far_grid"] = f"""WITH RECURSIVE {_CANDIDATES.format(least=6)}, {S.thin('thinned', 'candidate', 'rec, f', 4)}, gs(snr_db) AS (VALUES {", ".join(f"({x}::DOUBLE)" for x in _SNRS)}), gp(persistence_s) AS (VALUES {", ".join(f"({x}::DOUBLE)" for x in _PERSISTENCES)}),
+pk AS MATERIALIZED (SELECT snr_db, rec, t, f, x AS v FROM thinned, gs WHERE x >= snr_db), {S.tracks('tr', 'pk', 'snr_db, rec', 3, 4, 2.0)},
+tp AS MATERIALIZED (SELECT persistence_s, tr.* FROM tr, gp WHERE t_end_bin - t_start_bin >= persistence_s), {S.lines('li', 'tp', 'persistence_s, snr_db, rec', 'rec', 0.0, 1.0, 1.0)}, {S.merged('me', 'li', 'persistence_s, snr_db, rec', C.merge_tolerance(3, 1.0, 2))},
+c AS (SELECT snr_db, persistence_s, count(*) AS n FROM me GROUP BY ALL), h AS (SELECT count(*) / 3600.0::DOUBLE AS hours FROM embeddings)
+SELECT snr_db, persistence_s, coalesce(n, 0) AS n_lines, round(coalesce(n, 0) / hours, 6) AS per_hour FROM gs CROSS JOIN gp CROSS JOIN h LEFT JOIN c USING (snr_db, persistence_s)"""
 
 
 def w6_dft(spark: SparkSession, d: str) -> DataFrame:
@@ -221,7 +267,7 @@ SQL["a29_display_ceiling"] = f"WITH {X.GRAM} SELECT rec, round(quantile_cont(x,
 def p3_peak_relative(spark: SparkSession, d: str) -> DataFrame:
     c = N.cells(X.gram(spark, d), ["rec", "t"], "power", "x").withColumn("p", F.pow(F.lit(10.0), F.col("x") / 10.0))
     top = c.groupBy("rec").agg(F.max("p").alias("top"))
-    return c.join(F.broadcast(top), "rec").select("rec", "t", F.col("freq_bin").alias("f"), (F.round(C.peak_relative_db(F.col("p"), F.col("top")), 5) + 0.0).alias("db"))
+    return c.join(top, "rec").select("rec", "t", F.col("freq_bin").alias("f"), (F.round(C.peak_relative_db(F.col("p"), F.col("top")), 5) + 0.0).alias("db"))
 
 
 Q["p3_peak_relative"] = p3_peak_relative
@@ -237,20 +283,11 @@ SQL["w11_top_snr"] = f"WITH {X.sql_spans('p', 'view')} SELECT id, round(peak_snr
 
 
 def w7_patch_grid(spark: SparkSession, d: str) -> DataFrame:
-    clips = X.read(spark, d, "orders").filter("o_orderkey % 50 = 0").select("o_orderkey", F.lit(20).alias("nf"), (F.pmod("o_custkey", F.lit(40)) + 4).cast("int").alias("nt"))
+    clips = X.read(spark, d, "orders").select("o_orderkey", F.lit(20).alias("nf"), (F.pmod("o_custkey", F.lit(40)) + 4).cast("int").alias("nt"))
     return E.patch_grid(clips, "o_orderkey", "nf", "nt", 8, 5)
 
 
 Q["w7_patch_grid"] = w7_patch_grid
-SQL["w7_patch_grid"] = """WITH c AS (SELECT o_orderkey, o_custkey % 40 + 4 AS nt FROM orders WHERE o_orderkey % 50 = 0), f(f_start) AS (VALUES (0), (5), (10), (12)),
+SQL["w7_patch_grid"] = """WITH c AS (SELECT o_orderkey, o_custkey % 40 + 4 AS nt FROM orders), f(f_start) AS (VALUES (0), (5), (10), (12)),
 t AS (SELECT o_orderkey, k * 5 AS t_start FROM c, range(0, 20) r(k) WHERE k * 5 + 8 <= nt UNION SELECT o_orderkey, nt - 8 FROM c WHERE nt >= 8)
 SELECT o_orderkey, CAST(f_start AS INTEGER) AS f_start, CAST(t_start AS INTEGER) AS t_start FROM t, f"""
-
-
-def w7_patch_grid_all(spark: SparkSession, d: str) -> DataFrame:
-    """The grid of every order; w7_patch_grid has the part that its SQL covers."""
-    clips = X.read(spark, d, "orders").select("o_orderkey", F.lit(20).alias("nf"), (F.pmod("o_custkey", F.lit(40)) + 4).cast("int").alias("nt"))
-    return E.patch_grid(clips, "o_orderkey", "nf", "nt", 8, 5)
-
-
-Q["w7_patch_grid_all"] = w7_patch_grid_all
