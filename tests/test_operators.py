@@ -75,6 +75,49 @@ def test_merge_pair_chain_and_apart(spark):
         T.merge_nearby(spark.createDataFrame(chain, T.LINE), -1.0)
 
 
+def test_peaks_per_bin_against_brute_force_across_chunks(spark):
+    from tonalis.functions import kernels as B
+
+    rng = np.random.default_rng(20)
+    x = rng.integers(0, 14, (400, 5)).astype(float)
+    x[50:56, 1] = 13
+    x[0, 2] = x[399, 2] = 50
+    for gap in (1, 4, 6.5):
+        got = {(r["t"], r["freq_bin"], r["value"]) for r in T.peaks_per_bin(_frames(spark, x), "rec", "t", "power", 8.0, gap).collect()}
+        assert got == {(int(t), f, x[t, f]) for f in range(5) for t in B.find_peaks(x[:, f], 8.0, gap)}
+    assert {tuple(r) for r in N.peak_candidates(_frames(spark, x), "rec", "t", "power", 8.0, chunk=7).collect()} == {tuple(r) for r in N.peak_candidates(_frames(spark, x), "rec", "t", "power", 8.0).collect()}
+
+
+def test_tracks_and_merging_by_stretches_equal_the_whole(spark):
+    from tonalis.functions import kernels as B
+
+    rng = np.random.default_rng(21)
+    rows = sorted({(int(k), int(t), int(f)) for k, t, f in zip(rng.integers(0, 3, 900), rng.integers(0, 500, 900), rng.integers(0, 25, 900), strict=True)})
+    rows = [(*r, float(v)) for r, v in zip(rows, rng.random(len(rows)) * 9, strict=True)]
+    cfg = T.PersistenceConfig(2.0, 2, 3)
+    tracks = T.persistent_lines(spark.createDataFrame(rows, "k int, t int, f int, v double").repartition(3), "k", "t", "f", "v", 1.0, cfg)
+    want = [(k, *r) for k in range(3) for r in B.track(*(np.array([r[c] for r in rows if r[0] == k]) for c in (1, 2, 3)), 2, 3, 2.0)]
+    assert sorted(tuple(r) for r in tracks.collect()) == sorted(want) and len(want) > 50
+    lines = T.to_lines(tracks, F.col("k").cast("string"), F.lit("0"), F.timestamp_micros(F.lit(0).cast("long")), 0.0, 1.0, 0.1)
+    got = sorted((r["array_id"], r["correlation_id"], round(r["persistence_s"], 6)) for r in T.merge_nearby(lines, 3.0).collect())
+    whole = []
+    for k in "012":
+        own = [{**r.asDict(), "start": r["timestamp"].timestamp()} for r in lines.filter(F.col("array_id") == k).collect()]
+        for r in T.merge_rows(own, 3.0):
+            name = __import__("hashlib").md5("+".join(r["ids"]).encode()).hexdigest() if "ids" in r else r["correlation_id"]
+            whole.append((k, name, round(r["persistence_s"], 6)))
+    assert got == sorted(whole) and len(whole) < lines.count()
+
+
+def test_detection_publishes_its_lines(spark):
+    topics, seen = L.Topics(), []
+    topics.subscribe("line.detected", lambda df: seen.append(df.count()))
+    x = np.zeros((60, 64))
+    x[10:50, 30] = 30.0
+    got = T.detect(_frames(spark, x), "rec", "t", "power", 0.0, 1.0, 1.0, T.DetectionConfig(method="two_d"), publish=lambda df: topics.publish("line.detected", df))
+    assert seen == [got.count()] == [1]
+
+
 def test_anchor_dedupe_compares_with_the_head(spark):
     p = spark.createDataFrame([(0, 10.0, 0.0, 1.0, 0.5), (0, 14.0, 2.0, 3.0, 0.9), (0, 18.0, 0.0, 1.0, 0.1)], "k int, freq_hz double, t_start double, t_end double, confidence double")
     got = T.anchor_dedupe(p, ["k"], 5.0).orderBy("freq_hz").collect()
@@ -187,6 +230,30 @@ def test_weighted_draws_follow_the_weights(spark):
     assert abs(got.filter("id < 10").count() / 4000 - 0.75) < 0.04
 
 
+def test_draws_of_uneven_weights_meet_few_rows(spark):
+    df = spark.createDataFrame([(i, 1e6 if i == 7 else 1.0 if i % 2 else 0.0) for i in range(3000)], "id long, w double")
+    got = S.draw_with_replacement(df, "w", "id", 2000, 3).groupBy("id").count().collect()
+    n = {r["id"]: r["count"] for r in got}
+    assert sum(n.values()) == 2000 and n[7] > 1980 and all(i % 2 for i in n)
+
+
+def test_species_draws(spark):
+    clips = spark.createDataFrame([(f"a{i}", "a") for i in range(100)] + [(f"b{i}", "b") for i in range(4)], "clip_id string, species string")
+    got = S.species_draws(clips, 3000, seed=4).toPandas()
+    assert len(got) == 3000 and abs((got["species"] == "a").mean() - 10 / 12) < 0.03
+    assert got[got["species"] == "b"]["clip_id"].value_counts().between(80, 170).all()
+    assert (got["clip_id"].str[0] == got["species"]).all()
+
+
+def test_ranks_by_bucket_are_ranks(spark):
+    u = spark.range(500).withColumn("c", F.when(F.col("id") % 5 == 0, None).otherwise((F.col("id") % 2).cast("string")))
+    for by in (None, "c"):
+        got = S._ranked(u, "id", 3, by).withColumn("d", S.draw(3, "id")).toPandas()
+        for _, g in got.groupby(got["c"].fillna("?") if by else [0] * 500):
+            assert sorted(g["_r"]) == list(range(1, len(g) + 1)) and (g["_n"] == len(g)).all()
+            assert g.sort_values("_r")["d"].is_monotonic_increasing
+
+
 def test_wav_tree_round_trip(spark, tmp_path):
     for p in ("Cargo/v1/a.wav", "Cargo/v2/b.WAV", "Tug/c.wav"):
         f = tmp_path / p
@@ -215,6 +282,9 @@ def test_truth_manifest_and_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
     h = K.manifest(df, str(tmp_path / "out"), ["id", "v"]).first()
     assert len(h["manifest_sha256"]) == 64 and h["n_files"] == 2
+    assert spark.read.json(str(tmp_path / "out.sha256")).first()["manifest_sha256"] == h["manifest_sha256"]
+    assert K.digest_of_rows(df.orderBy(F.desc("id")).repartition(3), ["id", "v"]).first()["manifest_sha256"] == h["manifest_sha256"] != K.digest_of_rows(df.limit(1), ["id", "v"]).first()["manifest_sha256"]
+    assert K.digest_of_rows(df.limit(0), ["id", "v"]).first()["n_files"] == 0
     both = K.metrics_csv(spark.createDataFrame([(1, 0.5)], "epoch int, loss double"), spark.createDataFrame([(2, 0.1)], "epoch int, recall double"), str(tmp_path / "csv"))
     assert both.columns == ["epoch", "loss", "recall"]
 
@@ -278,13 +348,13 @@ def test_whole_tables_of_grids_and_times(spark):
 
     d = "/root/testdata/sf0.001"
     got = {}
-    for r in queries.QUERIES["w7_patch_grid_all"](spark, d).collect():
+    for r in queries.QUERIES["w7_patch_grid"](spark, d).collect():
         got.setdefault(r["o_orderkey"], []).append((r["f_start"], r["t_start"]))
     for r in X.read(spark, d, "orders").collect():
         nt = r["o_custkey"] % 40 + 4
         times = sorted({*range(0, nt - 7, 5), nt - 8}) if nt >= 8 else []
         assert sorted(got.get(r["o_orderkey"], [])) == [(f, t) for f in (0, 5, 10, 12) for t in times]
-    times = {r["event_id"]: r["s"] for r in queries.QUERIES["p10_relative_time_all"](spark, d).collect()}
+    times = {r["event_id"]: r["s"] for r in queries.QUERIES["p10_relative_time"](spark, d).collect()}
     events = X.read(spark, d, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).collect()
     assert times == {r["event_id"]: int((r["us"] - X.EPOCH * 1_000_000) / 1_000_000) for r in events}
 
@@ -303,7 +373,7 @@ def test_totals_of_patches_with_many_lines(spark, tmp_path):
     for u in (1, 2):
         a, b = ([r[0] for r in rows if r[1] == u and r[2] == k] for k in ("click", "view"))
         want[u * 100] = max(sum(pairs.get(x, 0.0) for x in zip(a, o, strict=True)) for o in permutations(b))
-    got = {r["patch"]: r["total"] for r in queries.QUERIES["j4_match_totals_all"](spark, str(tmp_path)).collect()}
+    got = {r["patch"]: r["total"] for r in queries.QUERIES["j4_match_totals"](spark, str(tmp_path)).collect()}
     assert got == pytest.approx(want, abs=1e-5)
 
 
@@ -332,6 +402,6 @@ def test_masks_of_every_member(spark):
                 todo += near
             if len(part) > 1:
                 want.append((*key, int(np.median([h for h, _ in part])), min(w for _, w in part), max(w for _, w in part), len(part)))
-    got = [(r["patch_id"], r["member"], r["row"], r["col_min"], r["col_max"], r["n_cells"]) for r in queries.QUERIES["a25_components_all"](spark, d).collect()]
+    got = [(r["patch_id"], r["member"], r["row"], r["col_min"], r["col_max"], r["n_cells"]) for r in queries.QUERIES["a25_components"](spark, d).collect()]
     assert sorted(got) == sorted(want) and {r[1] for r in got} == {0, 1, 2, 3}
-    assert {(r["rec"], r["member"], r["freq_bin"], r["time_bin"]): r["p"] for r in queries.QUERIES["a27_stitch_all"](spark, d).collect()} == pytest.approx(gram)
+    assert {(r["rec"], r["member"], r["freq_bin"], r["time_bin"]): r["p"] for r in queries.QUERIES["a27_stitch"](spark, d).collect()} == pytest.approx(gram)

@@ -65,15 +65,19 @@ def conformal_fit(scores: DataFrame, alphas: Sequence[float] = (0.05, 0.10, 0.20
 
     Nonconformity is 1 - score for positives and score for negatives; the corrected quantile
     interpolates between the two order statistics around level * (n - 1), found by rank: no
-    scores are gathered. A class without rows gives nulls (``require_fit`` raises).
+    scores are gathered. Ranks come from counts of 4,096 cells a class, and only the scores of one
+    cell are sorted together. A class without rows gives nulls (``require_fit`` raises).
     """
     spark = scores.sparkSession
     grid = spark.createDataFrame([(float(a),) for a in sorted(set(alphas))], "alpha double")
     s = scores.select((F.col(label) == 1).alias("pos"), F.when(F.col(label) == 1, 1.0 - F.col(score)).otherwise(F.col(score)).alias("s"))
     # Ranks by counting: distinct scores are aggregated first, so that ties cost one row.
-    distinct = s.groupBy("pos", "s").agg(F.count("*").alias("m"))
-    w = Window.partitionBy("pos").orderBy("s")
-    ranked = distinct.withColumn("hi", F.sum("m").over(w)).withColumn("lo", F.col("hi") - F.col("m"))
+    cell = F.when(F.isnan("s") | (F.col("s") > 1), 4096).otherwise(F.floor(F.greatest(F.col("s"), F.lit(0.0)) * 4096)).cast("int")
+    distinct = s.groupBy("pos", "s").agg(F.count("*").alias("m")).withColumn("cell", cell)
+    counts = distinct.groupBy("pos", "cell").agg(F.sum("m").alias("c"))
+    counts = counts.withColumn("before", F.sum("c").over(Window.partitionBy("pos").orderBy("cell")) - F.col("c")).drop("c")  # at most 4,097 cells a class
+    w = Window.partitionBy("pos", "cell").orderBy("s")
+    ranked = distinct.join(counts, ["pos", "cell"]).withColumn("hi", F.col("before") + F.sum("m").over(w)).withColumn("lo", F.col("hi") - F.col("m"))
     n = s.groupBy("pos").agg(F.count("*").alias("n"))
     want = n.crossJoin(F.broadcast(grid))  # two rows by the grid
     at = quantile_level(F.col("n").cast("double"), F.col("alpha")) * (F.col("n") - 1)

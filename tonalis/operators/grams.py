@@ -85,7 +85,7 @@ def frames(samples: DataFrame, ident: str, index: str, value: str, length: int,
     out = samples.select(ident, index, value, F.explode(F.when(first <= last, F.sequence(first, last))).alias("time_bin"))
     n = samples.groupBy(ident).agg((F.max(index) + 1).alias("_n"))
     whole = F.floor((F.col("_n") - length) / hop)
-    return out.join(F.broadcast(n), ident).filter(F.col("time_bin") <= whole).select(ident, "time_bin", (F.col(index) - F.col("time_bin") * hop).cast("int").alias("pos"), value)
+    return out.join(n, ident).filter(F.col("time_bin") <= whole).select(ident, "time_bin", (F.col(index) - F.col("time_bin") * hop).cast("int").alias("pos"), value)
 
 
 def dft_power(framed: DataFrame, ident: str, value: str, n_fft: int, length: int, window: str = "hanning", bins: tuple[int, int] | None = None) -> DataFrame:

@@ -20,25 +20,40 @@ def check_ratios(train: float, val: float, test: float) -> None:
         raise ValueError(f"ratios must not be negative and sum to 1: {train}, {val}, {test}")
 
 
+def _ranked(units: DataFrame, key: str, seed: int, by: str | None = None) -> DataFrame:
+    """Adds ``_r``, the rank (from 1) of the row by its draw, and ``_n``, the number of rows, within each value of ``by`` or overall.
+
+    The draw's first three digits spread the rows evenly over 4,096 buckets: what lies in the
+    buckets before is a running sum over at most that many counts, and only the rows of one
+    bucket are sorted together.
+    """
+    own = units.withColumn("_d", draw(seed, key)).withColumn("_b", F.substring("_d", 1, 3))
+    group = [by] if by else []
+    counts = own.groupBy(*group, "_b").agg(F.count("*").alias("_m"))
+    over = Window.partitionBy(*(group or [F.lit(0)]))
+    counts = counts.withColumn("_n", F.sum("_m").over(over)).withColumn("_before", F.sum("_m").over(over.orderBy("_b")) - F.col("_m")).drop("_m")
+    same = own["_b"] == counts["_b"]
+    if by:
+        same &= own[by].eqNullSafe(counts[by])
+    joined = own.join(counts, same).drop(counts["_b"], *([counts[by]] if by else []))
+    return joined.withColumn("_r", F.col("_before") + F.row_number().over(Window.partitionBy(*group, "_b").orderBy("_d", key))).drop("_d", "_b", "_before")
+
+
 def split(units: DataFrame, key: str, ratios: tuple[float, float, float] = (0.7, 0.15, 0.15), seed: int = 0, by: str | None = None) -> DataFrame:
     """Adds ``partition``: train, val or test. Within each value of ``by`` (or overall) units are shuffled by hash; int(n * ratio) go to train and val, the rest to test.
 
     ``units`` has one row per unit (a vessel, not a recording), so that no unit is in two parts.
     """
     check_ratios(*ratios)
-    group = [by] if by else [F.lit(0)]
-    w = Window.partitionBy(*group)
-    n = F.count("*").over(w)
-    r = F.row_number().over(w.orderBy(draw(seed, key), key))
-    n_train, n_val = (F.floor(n.cast("double") * F.lit(x)) for x in ratios[:2])
-    return units.withColumn("partition", F.when(r <= n_train, "train").when(r <= n_train + n_val, "val").otherwise("test"))
+    n_train, n_val = (F.floor(F.col("_n").cast("double") * F.lit(x)) for x in ratios[:2])
+    part = F.when(F.col("_r") <= n_train, "train").when(F.col("_r") <= n_train + n_val, "val").otherwise("test")
+    return _ranked(units, key, seed, by).withColumn("partition", part).drop("_r", "_n")
 
 
 def holdout(units: DataFrame, key: str, fraction: float, seed: int = 0) -> DataFrame:
     """Adds ``partition``: max(1, int(n * fraction)) units to val, the rest to train."""
-    w = Window.partitionBy(F.lit(0))
-    n = F.greatest(F.lit(1), F.floor(F.count("*").over(w).cast("double") * F.lit(fraction)))
-    return units.withColumn("partition", F.when(F.row_number().over(w.orderBy(draw(seed, key), key)) <= n, "val").otherwise("train"))
+    n = F.greatest(F.lit(1), F.floor(F.col("_n").cast("double") * F.lit(fraction)))
+    return _ranked(units, key, seed).withColumn("partition", F.when(F.col("_r") <= n, "val").otherwise("train")).drop("_r", "_n")
 
 
 def sample_per(df: DataFrame, by: str, key: str, n: int, seed: int = 0) -> DataFrame:
@@ -65,22 +80,35 @@ def domain_weights(df: DataFrame, ratios: dict[str, float], domain: str = "domai
     return df.join(F.broadcast(counts), [domain, label]).crossJoin(F.broadcast(total)).withColumn("weight", w).drop("_n", "_t")
 
 
-def draw_with_replacement(df: DataFrame, weight: str, key: str, n: int, seed: int = 0, strata: int = 64) -> DataFrame:
+def draw_with_replacement(df: DataFrame, weight: str, key: str, n: int, seed: int = 0, strata: int = 1024) -> DataFrame:
     """n draws with probability in proportion to ``weight``: rows (draw, key).
 
     Cumulative weights are prefix sums within hash strata plus the strata's offsets, so that no
-    window runs over all rows; draws meet their interval on (stratum) only.
+    window runs over all rows. A stratum is divided into as many equal cells as it has rows; a row
+    stands in the cells that its interval touches (two a row on average) and a draw falls into one,
+    so that they meet by equality and a draw sees few rows, whatever the weights.
     """
-    s = df.withColumn("_s", F.pmod(F.xxhash64(key), F.lit(strata)))
-    sums = s.groupBy("_s").agg(F.sum(weight).alias("_w"))
+    s = df.withColumn("_s", F.pmod(F.xxhash64(key), F.lit(strata))).filter(F.col(weight) > 0)
+    sums = s.groupBy("_s").agg(F.sum(weight).cast("double").alias("_w"), F.count("*").alias("_m"))
     w0 = Window.partitionBy(F.lit(0)).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_from", F.coalesce(F.sum("_w").over(w0), F.lit(0.0)))  # ``strata`` rows
     w1 = Window.partitionBy("_s").orderBy(key)
-    cum = s.withColumn("_hi", F.sum(weight).over(w1)).withColumn("_lo", F.col("_hi") - F.col(weight))
+    cell = lambda x: F.least(F.floor(x / F.col("_w") * F.col("_m")), F.col("_m") - 1)
+    cum = s.withColumn("_hi", F.sum(weight).over(w1)).withColumn("_lo", F.col("_hi") - F.col(weight)).join(F.broadcast(sums), "_s")  # ``strata`` rows
+    last = F.lead(key).over(w1).isNull()  # ends where the draws do, whatever the rounding
+    cum = cum.withColumn("_hi", F.when(last, F.greatest("_hi", F.col("_w") * 2)).otherwise(F.col("_hi")))
+    cum = cum.select(key, "_s", "_lo", "_hi", F.explode(F.sequence(cell(F.col("_lo")), cell(F.col("_hi")))).alias("_c"))
     total = sums.agg(F.sum("_w").alias("_t"))
     draws = df.sparkSession.range(n).withColumnRenamed("id", "draw").crossJoin(F.broadcast(total)).withColumn("_u", uniform(seed, F.col("draw").cast("string")) * F.col("_t"))
-    at = draws.join(F.broadcast(sums), (F.col("_u") >= F.col("_from")) & (F.col("_u") < F.col("_from") + F.col("_w"))).withColumn("_v", F.col("_u") - F.col("_from"))
-    return at.join(cum, "_s").filter("_v >= _lo and _v < _hi").select("draw", key)
+    at = draws.join(F.broadcast(sums), (F.col("_u") >= F.col("_from")) & (F.col("_u") < F.col("_from") + F.col("_w"))).withColumn("_v", F.col("_u") - F.col("_from")).withColumn("_c", cell(F.col("_v")))
+    return at.select("draw", "_s", "_c", "_v").join(cum, ["_s", "_c"]).filter("_v >= _lo and _v < _hi").select("draw", key)
+
+
+def species_draws(clips: DataFrame, n: int, species: str = "species", key: str = "clip_id", seed: int = 0) -> DataFrame:
+    """n draws (draw, species, key): a species by the square root of its count, then one of its clips, each alike."""
+    w = clips.join(F.broadcast(species_weights(clips, species)), species)  # one row a species
+    each = w.withColumn("_each", F.col("weight") / F.col("n")).select(key, species, "_each")
+    return draw_with_replacement(each.withColumn("_key", F.col(key)), "_each", "_key", n, seed).join(each.withColumnRenamed(key, "_key"), "_key").select("draw", species, F.col("_key").alias(key))
 
 
 def species_weights(clips: DataFrame, species: str = "species") -> DataFrame:

@@ -83,3 +83,17 @@ def waveform(spark: SparkSession, d: str) -> DataFrame:
 
 
 WAVE = """wave AS MATERIALIZED (SELECT l_suppkey AS rec, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS i, CAST(l_extendedprice AS DOUBLE) / 10000.0::DOUBLE AS x FROM lineitem)"""
+
+
+def month_truth(spark: SparkSession, d: str) -> DataFrame:
+    """user_id, line_id, frame, bin, freq_hz, snr_db: all events as truth samples of a user's month of 120 quarter days by 64 bins of ten; the last bin takes what is above."""
+    frame = F.least(F.floor((F.unix_timestamp("ts") - EPOCH) / 21600), F.lit(119)).cast("int")
+    return read(spark, d, "events").select("user_id", F.col("event_type").alias("line_id"), frame.alias("frame"), F.least(F.floor(F.col("value") / 10), F.lit(63)).cast("int").alias("bin"), F.col("value").alias("freq_hz"), (hashed("snr/", F.col("event_id")) * 30.0 - 5.0).alias("snr_db"))
+
+
+def month_clips(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "events").select("user_id").distinct().select("user_id", F.lit(64).alias("nf"), F.lit(120).alias("nt"))
+
+
+MONTH_TRUTH = f"""mt AS (SELECT user_id, event_type AS line_id, CAST(least(floor((floor(epoch(ts)) - {EPOCH}) / 21600), 119) AS INTEGER) AS frame, CAST(least(floor(value / 10), 63) AS INTEGER) AS bin, value AS f, {sql_hashed("snr/", "event_id")} * 30.0::DOUBLE - 5.0::DOUBLE AS snr FROM events)"""
+MONTH_STARTS = "ms AS (SELECT CAST(a AS INTEGER) AS f_start, CAST(b AS INTEGER) AS t_start FROM (VALUES (0), (10), (20), (30), (40), (48)) x(a), (SELECT k * 10 AS b FROM range(0, 11) r(k) UNION SELECT 104) y)"

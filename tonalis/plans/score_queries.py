@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tonalis.functions import columns as C
 from tonalis.operators import calibrate as K
 from tonalis.operators import evaluate as E
+from tonalis.plans import fold_sql as S
 from tonalis.plans import inputs as X
 
 Q, SQL = {}, {}
@@ -161,24 +162,15 @@ SELECT round(avg(c), 8) AS mean_cosine, round(quantile_cont(c, 0.5), 8) AS media
 
 
 def a25_components(spark: SparkSession, d: str) -> DataFrame:
-    m = X.masks(spark, d).filter("member = 0")
-    return E.component_lines(m, "patch_id", "h", "w", "p", 0.5, 2).select("patch_id", "row", "col_min", "col_max", _r("confidence"), "n_cells")
-
-
-Q["a25_components"] = a25_components
-SQL["a25_components"] = f"""WITH RECURSIVE {X.MASKS}, c AS MATERIALIZED (SELECT patch_id, h, w, p, h * 4 + w AS id FROM m WHERE member = 0 AND p > 0.5),
-r AS (SELECT patch_id, id, id AS root FROM c UNION SELECT c.patch_id, c.id, r.root FROM r JOIN c o ON o.patch_id = r.patch_id AND o.id = r.id JOIN c ON c.patch_id = o.patch_id AND abs(c.h - o.h) + abs(c.w - o.w) = 1),
-k AS (SELECT patch_id, id, min(root) AS root FROM r GROUP BY ALL)
-SELECT patch_id, CAST(floor(quantile_cont(h, 0.5)) AS INTEGER) AS row, min(w) AS col_min, max(w) AS col_max, round(avg(p), 8) AS confidence, CAST(count(*) AS INTEGER) AS n_cells FROM k JOIN c USING (patch_id, id) GROUP BY patch_id, root HAVING count(*) >= 2"""
-
-
-def a25_components_all(spark: SparkSession, d: str) -> DataFrame:
-    """The components of every member; a25_components has the part that its SQL covers."""
     m = X.masks(spark, d).withColumn("_k", F.col("patch_id") * 4 + F.col("member"))
     return E.component_lines(m, "_k", "h", "w", "p", 0.5, 2).select(F.shiftright("_k", 2).alias("patch_id"), F.pmod("_k", F.lit(4)).cast("int").alias("member"), "row", "col_min", "col_max", _r("confidence"), "n_cells")
 
 
-Q["a25_components_all"] = a25_components_all
+Q["a25_components"] = a25_components
+SQL["a25_components"] = f"""WITH RECURSIVE {X.MASKS}, c AS MATERIALIZED (SELECT patch_id, member, h, w, p, h * 4 + w AS id FROM m WHERE p > 0.5),
+r AS (SELECT patch_id, member, id, id AS root FROM c UNION SELECT c.patch_id, c.member, c.id, r.root FROM r JOIN c o ON o.patch_id = r.patch_id AND o.member = r.member AND o.id = r.id JOIN c ON c.patch_id = o.patch_id AND c.member = o.member AND abs(c.h - o.h) + abs(c.w - o.w) = 1),
+k AS (SELECT patch_id, member, id, min(root) AS root FROM r GROUP BY ALL)
+SELECT patch_id, member, CAST(floor(quantile_cont(h, 0.5)) AS INTEGER) AS row, min(w) AS col_min, max(w) AS col_max, round(avg(p), 8) AS confidence, CAST(count(*) AS INTEGER) AS n_cells FROM k JOIN c USING (patch_id, member, id) GROUP BY patch_id, member, root HAVING count(*) >= 2"""
 
 
 def a26_heatmap_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -192,22 +184,12 @@ SELECT patch, 3.0::DOUBLE + (i - 1) * 2.0::DOUBLE AS freq_hz, 0.0::DOUBLE AS t_s
 
 
 def a27_stitch(spark: SparkSession, d: str) -> DataFrame:
-    m = X.masks(spark, d).filter("member = 1").select((F.col("patch_id") % 50).alias("rec"), ((F.col("patch_id") % 5) * 2).cast("int").alias("f0"), ((F.col("patch_id") % 7) * 2).cast("int").alias("t0"), "h", "w", "p")
-    return E.stitch(m, "rec", "f0", "t0", "h", "w", "p", 11, 14).select("rec", "freq_bin", "time_bin", _r("p"))
-
-
-Q["a27_stitch"] = a27_stitch
-SQL["a27_stitch"] = f"WITH {X.MASKS} SELECT patch_id % 50 AS rec, CAST(patch_id % 5 * 2 + h AS INTEGER) AS freq_bin, CAST(patch_id % 7 * 2 + w AS INTEGER) AS time_bin, round(max(p), 8) AS p FROM m WHERE member = 1 AND patch_id % 5 * 2 + h < 11 AND patch_id % 7 * 2 + w < 14 GROUP BY ALL"
-
-
-
-def a27_stitch_all(spark: SparkSession, d: str) -> DataFrame:
-    """The grams of every member; a27_stitch has the part that its SQL covers."""
     m = X.masks(spark, d).select((F.col("patch_id") % 50 * 4 + F.col("member")).alias("_k"), ((F.col("patch_id") % 5) * 2).cast("int").alias("f0"), ((F.col("patch_id") % 7) * 2).cast("int").alias("t0"), "h", "w", "p")
     return E.stitch(m, "_k", "f0", "t0", "h", "w", "p", 11, 14).select(F.shiftright("_k", 2).alias("rec"), F.pmod("_k", F.lit(4)).cast("int").alias("member"), "freq_bin", "time_bin", _r("p"))
 
 
-Q["a27_stitch_all"] = a27_stitch_all
+Q["a27_stitch"] = a27_stitch
+SQL["a27_stitch"] = f"WITH {X.MASKS} SELECT patch_id % 50 AS rec, member, CAST(patch_id % 5 * 2 + h AS INTEGER) AS freq_bin, CAST(patch_id % 7 * 2 + w AS INTEGER) AS time_bin, round(max(p), 8) AS p FROM m WHERE patch_id % 5 * 2 + h < 11 AND patch_id % 7 * 2 + w < 14 GROUP BY ALL"
 
 _IOU = """CASE WHEN abs(p.freq_hz - t.freq_hz) <= 2 * 15.0 THEN 1.0::DOUBLE WHEN abs(p.freq_hz - t.freq_hz) <= 4 * 15.0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END * greatest(0.0::DOUBLE, (least(p.t_end, t.t_end) - greatest(p.t_start, t.t_start)) / (greatest(p.t_end, t.t_end) - least(p.t_start, t.t_start)))"""
 _LINES = f"{X.sql_spans('p', 'click')}, {X.sql_spans('t', 'view')}"
@@ -226,61 +208,47 @@ def _matches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def j4_match_lines(spark: SparkSession, d: str) -> DataFrame:
-    return _matches(spark, d).withColumn("iou", F.round("iou", 8))
+    """Pairs, and lines without one: -1 stands for the missing side."""
+    return _matches(spark, d).select("patch", F.coalesce("pred_id", F.lit(-1)).alias("pred_id"), F.coalesce("truth_id", F.lit(-1)).alias("truth_id"), F.coalesce(F.round("iou", 8), F.lit(-1.0)).alias("iou"))
 
 
+_MATCH = f"""{_LINES}, i AS MATERIALIZED (SELECT * FROM (SELECT p.patch, p.id AS pred_id, t.id AS truth_id, {_IOU} AS iou FROM p JOIN t USING (patch)) WHERE iou > 0), {S.matched('best', 'i')},
+good AS MATERIALIZED (SELECT * FROM best WHERE iou >= 0.1),
+m AS MATERIALIZED (SELECT * FROM good UNION ALL SELECT patch, id, NULL, NULL FROM p ANTI JOIN good ON good.patch = p.patch AND good.pred_id = p.id UNION ALL SELECT patch, NULL, id, NULL FROM t ANTI JOIN good ON good.patch = t.patch AND good.truth_id = t.id)"""
 Q["j4_match_lines"] = j4_match_lines
+SQL["j4_match_lines"] = f"WITH RECURSIVE {_MATCH} SELECT patch, coalesce(pred_id, -1) AS pred_id, coalesce(truth_id, -1) AS truth_id, coalesce(round(iou, 8), -1.0::DOUBLE) AS iou FROM m"
 
 
 def j4_match_totals(spark: SparkSession, d: str) -> DataFrame:
-    """Patches of at most three lines on either side: the best total of IoU."""
-    p, t = X.spans(spark, d, "click"), X.spans(spark, d, "view")
-    few = lambda x: x.groupBy("patch").agg(F.count("*").alias("n")).filter("n <= 3").select("patch")
-    both = few(p).join(few(t), "patch")
-    m = E.match_lines(p.join(both, "patch", "left_semi"), t.join(both, "patch", "left_semi"), "patch", 15.0, 0.0)
-    return m.groupBy("patch").agg(F.round(F.coalesce(F.sum("iou"), F.lit(0.0)), 6).alias("total"))
-
-
-Q["j4_match_totals"] = j4_match_totals
-SQL["j4_match_totals"] = f"""WITH RECURSIVE {_LINES}, few AS (SELECT patch FROM p GROUP BY patch HAVING count(*) <= 3 INTERSECT SELECT patch FROM t GROUP BY patch HAVING count(*) <= 3),
-a AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY patch ORDER BY id) AS k FROM p SEMI JOIN few USING (patch)), b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY patch ORDER BY id) AS k FROM t SEMI JOIN few USING (patch)),
-i AS MATERIALIZED (SELECT p.patch, p.k AS pk, t.k AS tk, {_IOU} AS iou FROM a p JOIN b t USING (patch)),
-s AS (SELECT patch, 0 AS k, [0]::BIGINT[] AS used, 0.0::DOUBLE AS total FROM few
- UNION ALL SELECT s.patch, s.k + 1, CASE WHEN c.tk > 0 THEN list_append(s.used, c.tk) ELSE s.used END, s.total + c.iou FROM s JOIN (SELECT patch, pk, tk, iou FROM i UNION ALL SELECT patch, k, 0, 0.0::DOUBLE FROM a) c ON c.patch = s.patch AND c.pk = s.k + 1 AND (c.tk = 0 OR NOT list_contains(s.used, c.tk)))
-SELECT patch, round(max(total), 6) AS total FROM s GROUP BY patch"""
-
-
-def j4_match_totals_all(spark: SparkSession, d: str) -> DataFrame:
-    """The best total of IoU of every patch with lines on both sides; j4_match_totals has the part that its SQL covers."""
+    """The best total of IoU of every patch with lines on both sides, without a threshold."""
     p, t = X.spans(spark, d, "click"), X.spans(spark, d, "view")
     both = p.select("patch").intersect(t.select("patch"))
     m = E.match_lines(p.join(both, "patch", "left_semi"), t.join(both, "patch", "left_semi"), "patch", 15.0, 0.0)
     return m.groupBy("patch").agg(F.round(F.coalesce(F.sum("iou"), F.lit(0.0)), 6).alias("total"))
 
 
-Q["j4_match_totals_all"] = j4_match_totals_all
+Q["j4_match_totals"] = j4_match_totals
+SQL["j4_match_totals"] = f"WITH RECURSIVE {_MATCH}, z AS (SELECT patch, sum(iou) AS iou FROM best GROUP BY patch) SELECT patch, round(coalesce(iou, 0.0::DOUBLE), 6) AS total FROM (SELECT patch FROM p INTERSECT SELECT patch FROM t) LEFT JOIN z USING (patch)"
 
 
 def a1_recall_by_snr(spark: SparkSession, d: str) -> DataFrame:
-    p, t = X.spans(spark, d, "click"), X.spans(spark, d, "view")
-    iou = E.line_iou_pairs(p, t, "patch", 15.0).filter("iou >= 0.1")
-    # A truth counts as found if any prediction reaches it (a matching that SQL can say too).
-    m = iou.groupBy("patch", "truth_id").agg(F.min("pred_id").alias("pred_id")).select("patch", "pred_id", "truth_id")
-    return E.recall_by_bucket(m, t, "patch").select("ord", "bucket", "tp", "fn", _r("recall"), "all_tp", "all_fn", _r("gate_recall"), "passes")
+    return E.recall_by_bucket(_matches(spark, d), X.spans(spark, d, "view"), "patch").select("ord", "bucket", "tp", "fn", _r("recall"), "all_tp", "all_fn", _r("gate_recall"), "passes")
 
 
+_A1 = f"""WITH RECURSIVE {_MATCH}, x AS (SELECT t.*, good.pred_id IS NOT NULL AS hit FROM t LEFT JOIN good ON good.patch = t.patch AND good.truth_id = t.id), g AS (SELECT {_bucket("peak_snr_db")} AS bucket, count(*) FILTER (hit) AS tp, count(*) FILTER (NOT hit) AS fn FROM x GROUP BY 1),
+o(ord, bucket) AS (VALUES {", ".join(f"({k}, '{b[0]}')" for k, b in enumerate(C.SNR_BUCKETS))}), tot AS (SELECT count(*) FILTER (hit) AS a, count(*) FILTER (NOT hit) AS b, count(*) FILTER (hit AND peak_snr_db >= 8) / count(*) FILTER (peak_snr_db >= 8) AS g, (SELECT count(*) FROM m WHERE truth_id IS NULL) AS fp FROM x)
+SELECT ord, bucket, coalesce(tp, 0) AS tp, coalesce(fn, 0) AS fn, round(tp / (tp + fn), 8) AS recall, a AS all_tp, b AS all_fn, round(g, 8) AS gate_recall, g >= 0.8 AS passes"""
 Q["a1_recall_by_snr"] = a1_recall_by_snr
-SQL["a1_recall_by_snr"] = f"""WITH {_LINES}, i AS (SELECT DISTINCT patch, t.id AS id FROM p JOIN t USING (patch) WHERE {_IOU} >= 0.1),
-x AS (SELECT t.*, i.id IS NOT NULL AS hit FROM t LEFT JOIN i USING (patch, id)), g AS (SELECT {_bucket("peak_snr_db")} AS bucket, count(*) FILTER (hit) AS tp, count(*) FILTER (NOT hit) AS fn FROM x GROUP BY 1),
-o(ord, bucket) AS (VALUES {", ".join(f"({k}, '{b[0]}')" for k, b in enumerate(C.SNR_BUCKETS))}), tot AS (SELECT count(*) FILTER (hit) AS a, count(*) FILTER (NOT hit) AS b, count(*) FILTER (hit AND peak_snr_db >= 8) / count(*) FILTER (peak_snr_db >= 8) AS g FROM x)
-SELECT ord, bucket, coalesce(tp, 0) AS tp, coalesce(fn, 0) AS fn, round(tp / (tp + fn), 8) AS recall, a AS all_tp, b AS all_fn, round(g, 8) AS gate_recall, g >= 0.8 AS passes FROM o LEFT JOIN g USING (bucket), tot"""
+SQL["a1_recall_by_snr"] = _A1 + " FROM o LEFT JOIN g USING (bucket), tot"
 
 
 def a1_evaluate_matches(spark: SparkSession, d: str) -> DataFrame:
-    return E.recall_by_bucket(_matches(spark, d), X.spans(spark, d, "view"), "patch")
+    """The same with false positives, precision, recall and F1 of all."""
+    return E.recall_by_bucket(_matches(spark, d), X.spans(spark, d, "view"), "patch").select("ord", "bucket", "tp", "fn", _r("recall"), "all_tp", "all_fn", _r("gate_recall"), "passes", "all_fp", _r("precision_all"), _r("recall_all"), _r("f1_all"))
 
 
 Q["a1_evaluate_matches"] = a1_evaluate_matches
+SQL["a1_evaluate_matches"] = _A1 + ", fp AS all_fp, round(a / (a + fp), 8) AS precision_all, round(a / (a + b), 8) AS recall_all, round(2 * a / (2 * a + fp + b), 8) AS f1_all FROM o LEFT JOIN g USING (bucket), tot"
 
 
 def a10_seed_aggregate(spark: SparkSession, d: str) -> DataFrame:
@@ -293,6 +261,16 @@ Q["a10_seed_aggregate"] = a10_seed_aggregate
 SQL["a10_seed_aggregate"] = f"WITH {_A10} SELECT event_type, round(mean, 6) AS mean, round(std, 6) AS std, n FROM g"
 
 
+def a10_seed_values(spark: SparkSession, d: str) -> DataFrame:
+    """The seeds' own values, as the aggregate keeps them."""
+    runs = X.read(spark, d, "events").groupBy("event_type", (F.col("user_id") % 5).alias("seed")).agg(F.avg("value").alias("metric"))
+    return E.seed_aggregate(runs, ["event_type"], "seed", "metric").select("event_type", F.posexplode("per_seed").alias("place", "s")).select("event_type", "place", "s.seed", F.round("s.metric", 6).alias("metric"))
+
+
+Q["a10_seed_values"] = a10_seed_values
+SQL["a10_seed_values"] = "SELECT event_type, CAST(row_number() OVER (PARTITION BY event_type ORDER BY seed) - 1 AS INTEGER) AS place, seed, round(metric, 6) AS metric FROM (SELECT event_type, user_id % 5 AS seed, avg(value) AS metric FROM events GROUP BY ALL)"
+
+
 def a11_winner(spark: SparkSession, d: str) -> DataFrame:
     runs = X.read(spark, d, "events").groupBy("event_type", (F.col("user_id") % 5).alias("seed")).agg(F.avg("value").alias("metric"))
     return E.winner(E.seed_aggregate(runs, ["event_type"], "seed", "metric"), ["event_type"]).select("event_type", _r("mean", 6), _r("std", 6), "n_rivals")
@@ -303,17 +281,13 @@ SQL["a11_winner"] = f"WITH {_A10}, b AS (SELECT * FROM g ORDER BY mean DESC LIMI
 
 
 def j5_truth_in_patches(spark: SparkSession, d: str) -> DataFrame:
-    ev = X.read(spark, d, "events").filter("value < 320")
-    truth = ev.select("user_id", F.col("event_type").alias("line_id"), F.floor((F.unix_timestamp("ts") - X.EPOCH) / 21600).cast("int").alias("frame"), F.floor(F.col("value") / 10).cast("int").alias("bin"), F.col("value").alias("freq_hz"), (X.hashed("snr/", F.col("event_id")) * 30.0 - 5.0).alias("snr_db"))
-    clips = ev.select("user_id").distinct().select("user_id", F.lit(32).alias("nf"), F.lit(120).alias("nt"))
-    grid = E.patch_grid(clips, "user_id", "nf", "nt", 16, 10)
-    return E.truth_in_patches(truth, grid, "user_id", 16, 10, 2.0).select("user_id", "f_start", "t_start", "line_id", _r("freq_hz", 6), "t_start_s", "t_end_s", _r("peak_snr_db"), "n")
+    grid = E.patch_grid(X.month_clips(spark, d), "user_id", "nf", "nt", 16, 10)
+    return E.truth_in_patches(X.month_truth(spark, d), grid, "user_id", 16, 10, 2.0).select("user_id", "f_start", "t_start", "line_id", _r("freq_hz", 6), "t_start_s", "t_end_s", _r("peak_snr_db"), "n")
 
 
 Q["j5_truth_in_patches"] = j5_truth_in_patches
-SQL["j5_truth_in_patches"] = f"""WITH t AS (SELECT user_id, event_type AS line_id, CAST(floor((floor(epoch(ts)) - {X.EPOCH}) / 21600) AS INTEGER) AS frame, CAST(floor(value / 10) AS INTEGER) AS bin, value AS f, {X.sql_hashed("snr/", "event_id")} * 30.0::DOUBLE - 5.0::DOUBLE AS snr FROM events WHERE value < 320),
-g AS (SELECT CAST(a AS INTEGER) AS f_start, CAST(b AS INTEGER) AS t_start FROM (VALUES (0), (10), (16)) x(a), (SELECT k * 10 AS b FROM range(0, 11) r(k) UNION SELECT 104) y)
-SELECT user_id, f_start, t_start, line_id, round(avg(f), 6) AS freq_hz, min(frame) * 2.0::DOUBLE AS t_start_s, (max(frame) + 1) * 2.0::DOUBLE AS t_end_s, round(max(snr), 8) AS peak_snr_db, count(*) AS n FROM t JOIN g ON bin >= f_start AND bin < f_start + 16 AND frame >= t_start AND frame < t_start + 16 GROUP BY ALL"""
+SQL["j5_truth_in_patches"] = f"""WITH {X.MONTH_TRUTH}, {X.MONTH_STARTS}
+SELECT user_id, f_start, t_start, line_id, round(avg(f), 6) AS freq_hz, min(frame) * 2.0::DOUBLE AS t_start_s, (max(frame) + 1) * 2.0::DOUBLE AS t_end_s, round(max(snr), 8) AS peak_snr_db, count(*) AS n FROM mt JOIN ms ON bin >= f_start AND bin < f_start + 16 AND frame >= t_start AND frame < t_start + 16 GROUP BY ALL"""
 
 
 def l1_score_losses(spark: SparkSession, d: str) -> DataFrame:

@@ -36,23 +36,20 @@ Q["c11_inject_ambient"] = c11_inject_ambient
 
 
 def f22_patch_labels(spark: SparkSession, d: str) -> DataFrame:
-    ev = X.read(spark, d, "events").filter("value < 320 and event_type = 'purchase'")
-    truth = ev.select("user_id", F.col("event_type").alias("line_id"), F.floor((F.unix_timestamp("ts") - X.EPOCH) / 21600).cast("int").alias("frame"), F.floor(F.col("value") / 10).cast("int").alias("bin"), F.col("value").alias("freq_hz"), F.lit(1.0).alias("snr_db"))
-    clips = X.read(spark, d, "events").select("user_id").distinct().select("user_id", F.lit(32).alias("nf"), F.lit(120).alias("nt"))
-    grid = E.patch_grid(clips, "user_id", "nf", "nt", 16, 10)
-    return E.patch_labels(E.truth_in_patches(truth, grid, "user_id", 16, 10, 2.0), grid, "user_id")
+    grid = E.patch_grid(X.month_clips(spark, d), "user_id", "nf", "nt", 16, 10)
+    return E.patch_labels(E.truth_in_patches(X.month_truth(spark, d), grid, "user_id", 16, 10, 2.0), grid, "user_id")
 
 
 Q["f22_patch_labels"] = f22_patch_labels
-SQL["f22_patch_labels"] = f"""WITH t AS (SELECT user_id, CAST(floor((floor(epoch(ts)) - {X.EPOCH}) / 21600) AS INTEGER) AS frame, CAST(floor(value / 10) AS INTEGER) AS bin FROM events WHERE value < 320 AND event_type = 'purchase'),
-g AS (SELECT user_id, CAST(a AS INTEGER) AS f_start, CAST(b AS INTEGER) AS t_start FROM (SELECT DISTINCT user_id FROM events), (VALUES (0), (10), (16)) x(a), (SELECT k * 10 AS b FROM range(0, 11) r(k) UNION SELECT 104) y)
-SELECT g.user_id, f_start, t_start, CAST(max(CASE WHEN t.user_id IS NULL THEN 0 ELSE 1 END) AS INTEGER) AS label FROM g LEFT JOIN t ON t.user_id = g.user_id AND bin >= f_start AND bin < f_start + 16 AND frame >= t_start AND frame < t_start + 16 GROUP BY ALL"""
+SQL["f22_patch_labels"] = f"""WITH {X.MONTH_TRUTH}, {X.MONTH_STARTS}, g AS (SELECT user_id, f_start, t_start FROM (SELECT DISTINCT user_id FROM events), ms)
+SELECT g.user_id, f_start, t_start, CAST(max(CASE WHEN mt.user_id IS NULL THEN 0 ELSE 1 END) AS INTEGER) AS label FROM g LEFT JOIN mt ON mt.user_id = g.user_id AND bin >= f_start AND bin < f_start + 16 AND frame >= t_start AND frame < t_start + 16 GROUP BY ALL"""
 
 
 def k11_far_table(spark: SparkSession, d: str) -> DataFrame:
-    g = X.read(spark, d, "events").filter("event_type in ('click', 'view')").groupBy(F.col("event_type").alias("persistence_s"), F.floor(F.col("value") / 100).cast("long").alias("snr_db")).agg(F.count("*").alias("per_hour"))
+    g = X.read(spark, d, "events").groupBy(F.col("event_type").alias("persistence_s"), F.floor(F.col("value") / 100).cast("long").alias("snr_db")).agg(F.count("*").alias("per_hour"))
     return K.far_table(g).na.fill(0)
 
 
 Q["k11_far_table"] = k11_far_table
-SQL["k11_far_table"] = "SELECT CAST(floor(value / 100) AS BIGINT) AS snr_db, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS view FROM events WHERE event_type IN ('click', 'view') GROUP BY 1"
+_KINDS = ("click", "view", "purchase", "signup", "error")
+SQL["k11_far_table"] = f"SELECT CAST(floor(value / 100) AS BIGINT) AS snr_db, {', '.join(f"count(*) FILTER (event_type = '{k}') AS {k}" for k in _KINDS)} FROM events GROUP BY 1"

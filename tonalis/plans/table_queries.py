@@ -228,11 +228,11 @@ SQL["k8_metrics_union"] = "SELECT n_nationkey AS epoch, 0.5::DOUBLE AS loss, NUL
 
 
 def k12_missing(spark: SparkSession, d: str) -> DataFrame:
-    return K.missing(X.read(spark, d, "customer").select("c_custkey"), X.read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return K.missing(X.read(spark, d, "customer").select("c_custkey"), X.read(spark, d, "events").select(F.col("user_id").alias("c_custkey")), "c_custkey")
 
 
 Q["k12_missing"] = k12_missing
-SQL["k12_missing"] = "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"
+SQL["k12_missing"] = "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)"
 
 
 def k13_conformal_json(spark: SparkSession, d: str) -> DataFrame:
@@ -274,20 +274,11 @@ SQL["p7_skip_reasons"] = "SELECT CASE WHEN event_type NOT IN ('click', 'view', '
 
 
 def p10_relative_time(spark: SparkSession, d: str) -> DataFrame:
-    e = X.read(spark, d, "events").filter("value > 200")
-    return e.select("event_id", C.seconds_between(F.timestamp_seconds(F.lit(X.EPOCH)), F.col("ts").cast("timestamp")).cast("long").alias("s"))
-
-
-Q["p10_relative_time"] = p10_relative_time
-SQL["p10_relative_time"] = f"SELECT event_id, CAST(trunc(epoch(ts) - {X.EPOCH}) AS BIGINT) AS s FROM events WHERE value > 200"
-
-
-def p10_relative_time_all(spark: SparkSession, d: str) -> DataFrame:
-    """Times of every event; p10_relative_time has the part that its SQL covers."""
     return X.read(spark, d, "events").select("event_id", C.seconds_between(F.timestamp_seconds(F.lit(X.EPOCH)), F.col("ts").cast("timestamp")).cast("long").alias("s"))
 
 
-Q["p10_relative_time_all"] = p10_relative_time_all
+Q["p10_relative_time"] = p10_relative_time
+SQL["p10_relative_time"] = f"SELECT event_id, CAST(trunc(epoch(ts) - {X.EPOCH}) AS BIGINT) AS s FROM events"
 
 
 def f1_windows(spark: SparkSession, d: str) -> DataFrame:

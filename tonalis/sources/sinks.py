@@ -30,11 +30,24 @@ def provenance(df: DataFrame, key: list[str], snapshot: dict, source: str | None
     return df.withColumns({"correlation_id": F.md5(F.concat_ws("/", F.lit(said), *[F.col(k).cast("string") for k in key])), "created_at": F.current_timestamp(), "parameter_snapshot": F.lit(said), "source_recording_path": F.col(source) if source else F.lit(None).cast("string"), "code_commit_hash": F.lit(commit).cast("string")})
 
 
+def digest_of_rows(df: DataFrame, columns: list[str]) -> DataFrame:
+    """manifest_sha256, n_files: a digest that depends on the rows but not on their order or layout.
+
+    Two levels: the sorted digests of the rows' JSON lines, by their first four digits, give
+    65,536 digests at most, and those in order give the whole.
+    """
+    line = df.select(sha256_of(F.to_json(F.struct(*columns))).alias("_h")).groupBy(F.substring("_h", 1, 4).alias("_b"))
+    part = line.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_h")), "").cast("binary"), 256).alias("_h"), F.count("*").alias("_n"))
+    both = F.transform(F.array_sort(F.collect_list(F.struct("_b", "_h"))), lambda x: x["_h"])
+    return part.agg(F.sha2(F.array_join(both, "").cast("binary"), 256).alias("manifest_sha256"), F.coalesce(F.sum("_n"), F.lit(0)).alias("n_files"))
+
+
 def manifest(df: DataFrame, path: str, columns: list[str]) -> DataFrame:
-    """Writes rows as JSON lines and returns one row: the data set's digest over sorted line digests (per partition sums of digests would depend on the layout)."""
-    line = F.to_json(F.struct(*columns))
+    """Writes rows as JSON lines below ``path``, and the data set's digest as a table beside it (``<path>.sha256``); returns that one row."""
     df.select(*columns).write.mode("overwrite").json(path)
-    return df.select(line.alias("_l")).transform(lambda d: hash_files(d, [], "_l"))
+    digest = digest_of_rows(df.sparkSession.read.schema(df.select(*columns).schema).json(path), columns)
+    digest.write.mode("overwrite").json(f"{path}.sha256")
+    return df.sparkSession.read.schema("manifest_sha256 string, n_files long").json(f"{path}.sha256")
 
 
 def lines_jsonl(lines: DataFrame, path: str) -> None:
