@@ -625,6 +625,67 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r["doc_id"] for r in P.run(spark, str(tmp_path)).collect()} == seen["packing"]
 
 
+def test_pipeline_stages_of_odd_rows(spark, tmp_path):
+    import corpus_pipeline as P
+
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    odd = docs(spark, [(1, None), (1, None), (None, ""), (2, "one two"), (2, "one two"), (None, "x " * 20_000), (3, " "), (4, "a b c d e f")], 3)
+    for name, stage in P.STAGES:
+        got = stage(spark, odd, str(tmp_path))
+        assert stage(spark, docs(spark, []), str(tmp_path)).count() == 0
+        n = {"quality": 8, "exact": 4, "near": 6, "packing": None, "mixture": None}[name]
+        assert got.count() == n if n else got.count() > 0
+        if name != "packing":
+            assert got.columns == P.COLUMNS
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def _brute_stages(rows, labels, spark, P):
+    """What the first three stages keep, by their definitions; scores as the classifier gives them."""
+    scored = quality.score(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), quality.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), labels)).collect()
+    left = [(r["doc_id"], r["text"]) for r in scored if r["score"] >= quality.THRESHOLD]
+    best = {}
+    for i, t in left:
+        k = re.sub(r"[\x20\x09-\x0D]", "", t)
+        best[k] = min(best.get(k, (1, 0, "")), (-len(t), i, t))
+    left = sorted((i, t) for _, i, t in best.values())
+    exact = {i for i, _ in left}
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (re.findall(r"\w+", t.lower()) for _, t in left)]
+    root = list(range(len(left)))
+    for a in range(len(left)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) * 10 >= 8 * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]))
+                root = [x if r == y else r for r in root]
+    return {r["doc_id"] for r in scored if r["score"] >= quality.THRESHOLD}, exact, {left[r][0] for r in root}
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import corpus_pipeline as P
+
+    rng = np.random.default_rng(18)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
+    rows = []
+    for i in range(150):
+        t = " ".join(word() for _ in range(50)) if i % 4 else "SPAM!! " * 40
+        rows.append((i, t, "en", f"s{i % 2}", 1))
+    for i in range(150, 230):
+        w = rows[int(rng.integers(0, 150))][1].split(" ")
+        w[int(rng.integers(len(w)))] = word() if i % 3 else w[0]
+        rows.append((i, ("  " if i % 5 else " ").join(w), "en", "s0", 1))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(150)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    want = _brute_stages(rows, labels, spark, P)
+    df = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for (name, f), ids in zip(P.STAGES[:3], want, strict=False):
+        f(spark, df, str(tmp_path)).write.parquet(str(tmp_path / name))
+        df = spark.read.parquet(str(tmp_path / name))
+        assert {r["doc_id"] for r in df.collect()} == ids, name
+    assert len(want[2]) < len(want[1]) < len(want[0]) < len(rows)
+
+
 def test_registered_queries_match_the_contract():
     import __spark_entry__ as e
 
