@@ -1,6 +1,7 @@
 """Operators on small rows: edge cases, orders, errors; round trips."""
 
 import math
+import time
 
 import numpy as np
 import pandas as pd
@@ -262,6 +263,7 @@ def test_wav_tree_round_trip(spark, tmp_path):
     (tmp_path / "Tug" / "bad.wav").write_bytes(b"nothing")
     (tmp_path / "Tug" / "short.wav").write_bytes(K.wav_bytes(np.zeros(10), 8000))
     files = R.audio_files(spark, str(tmp_path))
+    assert R.listing(files).select("path").toPandas()["path"].is_monotonic_increasing
     rows = {r["recording_id"]: r for r in R.class_tree(R.probe(files), str(tmp_path)).collect()}
     assert set(rows) == {"a", "b", "c"} and rows["a"]["vessel_id"] == "v1" and rows["c"]["vessel_id"] == "c" and rows["a"]["duration_s"] == 4.0
     x = R.decode(files.filter("path like '%a.wav'"), 4000).first()
@@ -298,6 +300,145 @@ def test_generator_is_seeded_and_marks_negatives(spark):
     assert all(np.allclose(x, np.float32(amb)) for x in quiet["samples"])
 
 
+def _clips(spark, n=8):
+    rng = np.random.default_rng(30)
+    amb = (rng.standard_normal(16000) * 0.01).tolist()
+    birds = [{"species": "a", "low_hz": 200.0, "high_hz": 400.0, "samples": (rng.standard_normal(500) * 0.1).tolist()}, {"species": "b", "low_hz": 200.0, "high_hz": 400.0, "samples": [0.0] * 20_000}, {"species": "c", "low_hz": 200.0, "high_hz": 400.0, "samples": [0.0] * 100}]
+    rows = [(f"c{i}", i, 2000, amb, birds if i else None) for i in range(n)] + [("none", 99, 2000, None, None)]
+    return spark.createDataFrame(rows, "clip_id string, seed long, sample_rate_hz int, ambient array<float>, confuser_clips array<struct<species:string,low_hz:double,high_hz:double,samples:array<float>>>")
+
+
+def test_generator_lays_confusers_and_writes_truth(spark):
+    import json
+
+    plan = _clips(spark)
+    priors = Y.TonalPriors(n_sources={1: 0.5, 0: 0.5}, f0_primary_hz=(50.0, 400.0), f0_secondary_hz=(400.0, 800.0), snr_mean_db=20.0)
+    made = Y.generate(plan, priors, Y.GeometryPriors(), Y.ConfuserPriors((1, 3))).cache()
+    got = {r["clip_id"]: r for r in made.collect()}
+    assert set(got) == {f"c{i}" for i in range(8)} and got["c0"]["generator_version"] == "1+tonals+channel+confusers"
+    laid = [c for r in got.values() for c in json.loads(r["confusers"])]
+    assert laid and {c["species"] for c in laid} == {"a"} and json.loads(got["c0"]["confusers"]) == []  # too long and silent ones are skipped
+    lines = Y.truth_lines(made, 256, 128, 2000).cache()
+    want = {f"{r['clip_id']}_s{k}_h{h}" for r in got.values() for k, s in enumerate(json.loads(r["sources"])) for h in range(s["n_harmonics"]) if (h + 1) * s["f0_hz"] < 1000}
+    rows = lines.collect()
+    assert {r["line_id"] for r in rows} == want and all(r["geometry"]["speed"] == 1500.0 for r in rows)
+    assert all(len(r["freq_curve_hz"]) == len(r["snr_curve_db"]) == len(r["mask_bin_indices"]) for r in rows) and any(r["freq_curve_hz"] for r in rows)
+    docs = {r["clip_id"]: json.loads(r["manifest"]) for r in Y.truth_manifest(made, lines).collect()}
+    assert all(docs[k]["negative_label"] == r["negative"] and len(docs[k]["lines"]) == sum(x["clip_id"] == k for x in rows) for k, r in got.items())
+    assert sum(len(d["confuser_labels"]) for d in docs.values()) == len(laid)
+
+
+def test_truth_manifests_are_read_back(spark, tmp_path):
+    made = Y.generate(_clips(spark, 4), Y.TonalPriors(n_sources={1: 1.0}, f0_primary_hz=(50.0, 400.0), f0_secondary_hz=(400.0, 800.0)))
+    lines = Y.truth_lines(made, 256, 128, 2000)
+    for r in Y.truth_manifest(made, lines).collect():
+        (tmp_path / f"{r['clip_id']}.json").write_text(r["manifest"])
+    back = R.truth_manifests(spark, str(tmp_path)).select("clip_id", "line_id", "f0_hz", F.size("mask_bin_indices").alias("n"))
+    assert {tuple(r) for r in back.collect()} == {tuple(r) for r in lines.select("clip_id", "line_id", "f0_hz", F.size("mask_bin_indices").alias("n")).collect()}
+
+
+def test_explicit_injection_reaches_its_snr(spark):
+    plan = _clips(spark, 2)
+    tonals = spark.createDataFrame([("c1", 200.0, 20.0, 0.0, 8.0, 1, 0.5)], "clip_id string, f_hz double, snr_db double, t_start_s double, t_end_s double, harmonics int, decay double")
+    got = {r["clip_id"]: r for r in Y.inject_ambient(plan, explicit=tonals).collect()}
+    amb = np.array(plan.first()["ambient"])
+    assert got["c0"]["n_sources"] == 0 and np.allclose(got["c0"]["samples"], amb) and set(got) == {"c0", "c1"}
+    from tonalis.functions import kernels as B
+
+    added = np.array(got["c1"]["samples"]) - amb
+    assert 20 * np.log10(np.sqrt(np.mean(added[2000:14000] ** 2)) / B.band_rms(amb, 2000, 200.0)) == pytest.approx(20.0, abs=0.1)
+    for bad in ({}, {"priors": Y.TonalPriors(), "explicit": tonals}):
+        with pytest.raises(ValueError, match="either"):
+            Y.inject_ambient(plan, **bad)
+
+
+def test_augmented_rows_by_seed(spark):
+    p = np.arange(36.0).reshape(6, 6)
+    df = spark.createDataFrame([(k, "keep", p.tolist(), p.tolist()) for k in range(6)], "seed long, other string, patch array<array<double>>, target array<array<double>>")
+    a, b = (Y.augmented(df, noise=0.0).orderBy("seed").collect() for _ in range(2))
+    assert a == b and all(r["patch"] == r["target"] and r["other"] == "keep" for r in a) and len({str(r["patch"]) for r in a}) > 2
+
+
+def test_patch_labels_of_all_kinds(spark):
+    truth = spark.createDataFrame([(1, "l", 3, 2, 5.0, 1.0), (1, "l", 9, 2, 5.0, 1.0), (1, "m", 19, 11, 5.0, 1.0)], "clip int, line_id string, frame int, bin int, freq_hz double, snr_db double")
+    grid = E.patch_grid(spark.createDataFrame([(1, 12, 20)], "clip int, nf int, nt int"), "clip", "nf", "nt", 8, 4)
+    cells = {tuple(r)[1:] for r in E.patch_mask(truth, grid, "clip", 8, 4).collect()}
+    want = {(f, t, b - f, x - t) for f in (0, 4) for t in (0, 4, 8, 12) for x, b in ((3, 2), (9, 2), (19, 11)) if f <= b < f + 8 and t <= x < t + 8}
+    assert cells == want
+    heat = {(r["f_start"], r["t_start"]): r["heat"] for r in E.patch_heatmap(truth, grid, "clip", 8, 4).collect()}
+    assert heat == {(f, t): [int(any((f, t, h, w) in want for w in range(8))) for h in range(8)] for f in (0, 4) for t in (0, 4, 8, 12)}
+
+
+def test_stitching_moments_and_reflection(spark):
+    p = spark.createDataFrame([(0, 0, 0, 0, 0, 0.2), (0, 0, 0, 0, 1, 0.4), (0, 0, 1, 0, 0, 0.8)], "k int, f0 int, t0 int, h int, w int, p double")
+    got = {(r["freq_bin"], r["time_bin"]): (r["mean"], r["variance"], r["n"]) for r in E.stitch(p, "k", "f0", "t0", "h", "w", "p", 1, 2, "moments").collect()}
+    assert got[0, 0] == (0.2, 0.0, 1) and got[0, 1] == pytest.approx((0.6, 0.04, 2))
+    x = np.arange(12.0).reshape(3, 4)
+    cells = spark.createDataFrame([(7, i, j, float(x[i, j])) for i in range(3) for j in range(4)], "k int, f int, t int, v double")
+    pad = E.reflect_pad(cells, ["k"], "f", "t", 3, 4, 8).collect()
+    want = np.pad(x, ((0, 5), (0, 4)), mode="reflect")
+    assert {(r["f"], r["t"]): r["v"] for r in pad} == {(i, j): want[i, j] for i in range(8) for j in range(8)}
+
+
+def test_components_by_mean_row(spark):
+    m = spark.createDataFrame([(0, 0, 0, 0.9), (0, 1, 0, 0.9), (0, 1, 1, 0.6), (0, 3, 3, 0.9)], "k int, h int, w int, p double")
+    got = E.component_lines(m, "k", "h", "w", "p", centre="mean").orderBy("row").collect()
+    assert [(round(r["row"], 6), r["col_min"], r["col_max"], r["n_cells"]) for r in got] == [(0.666667, 0, 1, 3), (3.0, 3, 3, 1)]
+    with pytest.raises(ValueError):
+        E.component_lines(m, "k", "h", "w", "p", centre="mode")
+
+
+def test_band_of_lines_and_hop(spark):
+    d = spark.createDataFrame([("a", [10.0, 20.0]), ("b", [90.0]), ("c", []), ("d", None)], "k string, f array<double>")
+    assert [r["k"] for r in T.in_band(d, 15.0, 50.0, "f").collect()] == ["a"]
+    assert [r["k"] for r in T.in_band(spark.createDataFrame([("x", 15.0), ("y", 51.0)], "k string, frequency_hz double"), 15.0, 50.0).collect()] == ["x"]
+    r = spark.range(1).select(C.hop_seconds(F.array(F.lit(1.0), F.lit(1.25)), 100, 50).alias("a"), C.hop_seconds(F.array(F.lit(1.0)), 100, 50).alias("b")).first()
+    assert (r["a"], r["b"]) == (0.25, 0.5)
+
+
+def test_parameters_from_text():
+    c = R.parameters("sample_rate: 8000\nfreq_max_hz: 900.0\n", G.LofarConfig)
+    assert (c.sample_rate, c.freq_max_hz, c.n_fft) == (8000, 900.0, 16384)
+    d = R.parameters('{"method": "two_d", "neighbourhood": [3, 7], "persistence": {"max_gap_bins": 9}}', T.DetectionConfig)
+    assert d.neighbourhood == (3, 7) and d.persistence.max_gap_bins == 9 and d.snr_db == 8.0
+    with pytest.raises(ValueError, match="no typo"):
+        R.parameters("typo: 1", G.LofarConfig)
+
+
+def test_gram_cache_makes_what_is_missing(spark, tmp_path):
+    made = []
+
+    def make(df):
+        made.append(sorted(r["recording_id"] for r in df.collect()))
+        return df.select("recording_id", F.lit(0).alias("time_bin"), F.array(F.lit(1.0)).alias("power_db"))
+
+    at = str(tmp_path / "grams")
+    rec = lambda *k: spark.createDataFrame([(x,) for x in k], "recording_id string")
+    assert R.cached_grams(spark, rec("a", "b"), at, make).count() == 2
+    assert R.cached_grams(spark, rec("b", "c"), at, make).count() == 2
+    assert R.cached_grams(spark, rec("a"), at, make).count() == 1
+    assert made == [["a", "b"], ["c"]]
+
+
+def test_confuser_library_siblings_and_windows(spark, tmp_path):
+    (tmp_path / "m.json").write_text('{"species_counts":{"a":1},"clips":[{"clip_id":"x","species":"a","path":"/p/x.wav","sample_rate_hz":2000,"duration_s":5.0,"low_hz":1.0,"high_hz":2.0}]}')
+    assert [tuple(r)[:3] for r in R.confuser_library(spark, str(tmp_path / "m.json")).collect()] == [("x", "a", "/p/x.wav")]
+    f = lambda *p: spark.createDataFrame([(x,) for x in p], "path string")
+    got = R.siblings(f("/d/a.wav", "/d/b.wav"), f("/d/a.truth.json", "/d/c.truth.json")).collect()
+    assert [(r["path"], r["sibling"]) for r in got] == [("/d/a.wav", "/d/a.truth.json")]
+    s = spark.createDataFrame([([1.0, 2.0, 3.0],)], "x array<float>")
+    assert s.select(R.read_window(F.col("x"), F.lit(1), 4).alias("w")).first()["w"] == [2.0, 3.0, 0.0, 0.0]
+    keys, files = spark.createDataFrame([("k",)], "compound_key string"), spark.createDataFrame([("k", "/f")], "compound_key string, path string")
+    assert R.resolve(keys, files).first()["path"] == "/f"
+    with pytest.raises(Exception, match="no file"):
+        R.resolve(keys, files.filter("false")).collect()
+    cells = R.sweep_cells(f("/s/unet_seed7_ratio0.25", "/s/other")).collect()
+    assert [(r["seed"], r["ratio"]) for r in cells] == [(7, 0.25)]
+    (tmp_path / "run.json").write_text('{"seed":"3","augmentation":{"ratio":"0.5"}}')
+    r = R.run_metadata(spark, str(tmp_path / "run.json"), ["seed", "ratio"]).first()
+    assert (r["seed"], r["ratio"]) == ("3", "0.5")
+
+
 def test_priors_and_channel():
     with pytest.raises(ValueError):
         Y.TonalPriors(n_sources={0: 0.5, 1: 0.4})
@@ -342,6 +483,64 @@ def test_live_tracks_equal_batch(spark, tmp_path):
     assert {tuple(r) for r in spark.sql("select * from live").collect()} == want
 
 
+def _streamed(spark, df, order, parts, tmp_path, make, name):
+    """What ``make`` gives of the rows of df that come in ``parts`` batches in this order, and a last row far off that closes all before it."""
+    rows = df.orderBy(*order).collect()
+    for k in range(parts):
+        spark.createDataFrame(rows[k * len(rows) // parts : (k + 1) * len(rows) // parts], df.schema).repartition(1).write.parquet(str(tmp_path / "in" / f"{k:02d}"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(str(tmp_path / "in"))
+    q = make(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
+    until = time.monotonic() + 60
+    while sum(p["numInputRows"] for p in q.recentProgress) < len(rows) and time.monotonic() < until:
+        time.sleep(0.2)
+    q.stop()
+    return [tuple(r) for r in spark.sql(f"select * from {name}").collect()]
+
+
+def test_live_peaks_equal_batch(spark, tmp_path):
+    rng = np.random.default_rng(40)
+    x = np.r_[rng.integers(0, 12, (60, 4)), np.zeros((10, 4))].astype(float)
+    x[20:25, 1] = 11
+    df = _frames(spark, x)
+    want = {(r["rec"], r["freq_bin"], r["t"], r["value"]) for r in T.peaks_per_bin(df, "rec", "t", "power", 8.0, 4).collect()}
+    got = _streamed(spark, df, ["t"], 6, tmp_path, lambda s: L.live_peaks(s, "rec", "t", "power", 8.0, 4), "live_p")
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+
+
+def test_live_merge_equals_batch(spark, tmp_path):
+    rng = np.random.default_rng(41)
+    rows = [_line(i, float(rng.integers(40, 60)), int(rng.integers(0, 100)), float(rng.integers(1, 4)), float(rng.random()), [None, 2.0][i % 2]) for i in range(60)]
+    df = spark.createDataFrame(rows, T.LINE)
+    want = {tuple(r) for r in T.merge_nearby(df, 2.0).collect()}
+    last = spark.createDataFrame([_line(999, 50.0, 10_000, 1.0, 1.0, 1.0)], T.LINE)
+    got = _streamed(spark, df.unionByName(last), ["timestamp"], 5, tmp_path, lambda s: L.live_merge(s, 2.0), "live_m")
+    assert set(got) == want and len(want) < 60
+
+
+def test_live_normalisation_equals_batch(spark, tmp_path):
+    df = _frames(spark, np.random.default_rng(42).standard_normal((12, 40)) * 5)
+    norm = lambda d: N.tpsw(d.withColumn("one", N.split_window(F.col("power"))), "power", "two").select("t", "one", "two")
+    assert sorted(map(str, _streamed(spark, df, ["t"], 3, tmp_path, norm, "live_n"))) == sorted(str(tuple(r)) for r in norm(df).collect())
+
+
+def test_command_line(spark, tmp_path):
+    from tonalis.__main__ import main
+
+    for p in ("Cargo/v1/a.wav", "Tug/c.wav"):
+        f = tmp_path / "audio" / p
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_bytes(K.wav_bytes(_signal("steady"), 2000))
+    (tmp_path / "gram.yaml").write_text("{sample_rate: 2000, n_fft: 512, hop: 128, window_length: 512, freq_min_hz: 1.0, freq_max_hz: 900.0}".replace("{", '{"').replace(": ", '": ').replace(", ", ', "'))
+    main(["index", str(tmp_path / "audio"), str(tmp_path / "index")], spark)
+    assert spark.read.parquet(str(tmp_path / "index")).count() == 2
+    main(["detect", str(tmp_path / "audio"), str(tmp_path / "lines"), "--gram", str(tmp_path / "gram.yaml")], spark)
+    got = spark.read.parquet(str(tmp_path / "lines")).collect()
+    assert {r["array_id"].rsplit("/", 1)[-1] for r in got if abs(r["frequency_hz"] - 200) < 12} == {"a.wav", "c.wav"}
+    main(["recordings", str(tmp_path / "index"), "--class-label", "Tug"], spark)
+    main(["query", "f1_windows", "/root/testdata/sf0.001", str(tmp_path / "q")], spark)
+    assert spark.read.parquet(str(tmp_path / "q")).count() == 25
+
+
 def test_whole_tables_of_grids_and_times(spark):
     from tonalis.plans import inputs as X
     from tonalis.plans import queries

@@ -87,6 +87,19 @@ def binary_entropy(p: Column) -> Column:
     return -(c * F.ln(c) + (1.0 - c) * F.ln(1.0 - c))
 
 
+def reflected(i: Column, n: int) -> Column:
+    """Place in 0..n-1 of the i-th cell beyond the start of an axis that is reflected at its ends."""
+    if n == 1:
+        return i * 0
+    k = F.pmod(i, F.lit(2 * n - 2))
+    return F.when(k < n, k).otherwise(F.lit(2 * n - 2) - k)
+
+
+def hop_seconds(times: Column, sample_rate: int, hop: int) -> Column:
+    """Hop of a gram from its time axis (array of seconds), or from the configuration where the axis has fewer than two entries."""
+    return F.when(F.size(times) >= 2, F.get(times, F.lit(1)) - F.get(times, F.lit(0))).otherwise(F.lit(hop / sample_rate))
+
+
 def thorpe_db_per_km(f_hz: Column) -> Column:
     """Thorpe's volume absorption of sound in sea water (1967)."""
     f2 = F.pow(f_hz / 1000.0, F.lit(2.0))

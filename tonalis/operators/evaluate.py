@@ -81,21 +81,35 @@ def patch_grid(clips: DataFrame, ident: str, n_freq: str, n_time: str, patch: in
     return clips.select(ident, F.explode(patch_starts(F.col(n_freq), patch, stride)).alias("f_start"), n_time).select(ident, "f_start", F.explode(patch_starts(F.col(n_time), patch, stride)).alias("t_start"))
 
 
-def truth_in_patches(truth: DataFrame, grid: DataFrame, clip: str, patch: int, stride: int, hop_s: float) -> DataFrame:
-    """Truth samples (clip, line_id, frame, bin, freq_hz, snr_db) cut by patches: one row per (clip, f_start, t_start, line_id) with mean frequency, first and last time, peak SNR and number of samples.
-
-    A sample lies in few patches; samples and patches meet on (clip, stride cell), not by a
-    range condition.
-    """
+def _in_patches(truth: DataFrame, grid: DataFrame, clip: str, patch: int, stride: int) -> DataFrame:
+    """Truth samples (clip, frame, bin, ...) by the patches that hold them. A sample lies in few patches; they meet on (clip, stride cell), not by a range condition."""
     reach = -(-patch // stride)
     cell = lambda c: F.floor(F.col(c) / F.lit(stride)).cast("int")
     spread = lambda c: F.explode(F.sequence(cell(c) - reach, cell(c)))
     s = truth.withColumn("_fc", spread("bin")).withColumn("_tc", spread("frame"))
     g = grid.withColumn("_fc", cell("f_start")).withColumn("_tc", cell("t_start"))
-    hit = s.join(g, [clip, "_fc", "_tc"]).filter((F.col("bin") >= F.col("f_start")) & (F.col("bin") < F.col("f_start") + patch) & (F.col("frame") >= F.col("t_start")) & (F.col("frame") < F.col("t_start") + patch))
+    return s.join(g, [clip, "_fc", "_tc"]).filter((F.col("bin") >= F.col("f_start")) & (F.col("bin") < F.col("f_start") + patch) & (F.col("frame") >= F.col("t_start")) & (F.col("frame") < F.col("t_start") + patch))
+
+
+def truth_in_patches(truth: DataFrame, grid: DataFrame, clip: str, patch: int, stride: int, hop_s: float) -> DataFrame:
+    """Truth samples (clip, line_id, frame, bin, freq_hz, snr_db) cut by patches: one row per (clip, f_start, t_start, line_id) with mean frequency, first and last time, peak SNR and number of samples."""
+    hit = _in_patches(truth, grid, clip, patch, stride)
     return hit.groupBy(clip, "f_start", "t_start", "line_id").agg(F.avg("freq_hz").alias("freq_hz"), (F.min("frame") * hop_s).alias("t_start_s"), ((F.max("frame") + 1) * hop_s).alias("t_end_s"), F.max("snr_db").alias("peak_snr_db"), F.count("*").alias("n"))
 
 
+def patch_mask(truth: DataFrame, grid: DataFrame, clip: str, patch: int, stride: int) -> DataFrame:
+    """Cells (clip, f_start, t_start, h, w) of each patch that hold truth: the mask label, sparse."""
+    hit = _in_patches(truth, grid, clip, patch, stride)
+    return hit.select(clip, "f_start", "t_start", (F.col("bin") - F.col("f_start")).alias("h"), (F.col("frame") - F.col("t_start")).alias("w")).distinct()
+
+
+def patch_heatmap(truth: DataFrame, grid: DataFrame, clip: str, patch: int, stride: int) -> DataFrame:
+    """Every patch of the grid with ``heat`` array<int>: over its frequency bins, 1 where there is truth at any time."""
+    rows = patch_mask(truth, grid, clip, patch, stride).groupBy(clip, "f_start", "t_start").agg(F.collect_set("h").alias("_h"))
+    heat = F.transform(F.sequence(F.lit(0), F.lit(patch - 1)), lambda h: F.coalesce(F.array_contains("_h", h), F.lit(False)).cast("int"))
+    return grid.join(rows, [clip, "f_start", "t_start"], "left").select(*grid.columns, heat.alias("heat"))
+
+
 def patch_labels(in_patches: DataFrame, grid: DataFrame, clip: str) -> DataFrame:
     """label 1 for patches with any truth."""
     some = in_patches.select(clip, "f_start", "t_start").distinct().withColumn("label", F.lit(1))
@@ -107,8 +121,11 @@ def heatmap_lines(heat: DataFrame, key: str, class_prob: str, bins: str, first_h
     return heat.filter(F.col(class_prob) >= class_threshold).select(key, F.posexplode(bins).alias("bin", "confidence")).filter(F.col("confidence") > bin_threshold).select(key, (F.lit(first_hz) + F.col("bin") * bin_hz).alias("freq_hz"), F.lit(t0).alias("t_start"), F.lit(t1).alias("t_end"), "confidence")
 
 
-def component_lines(masks: DataFrame, key: str, h: str, w: str, p: str, threshold: float = 0.5, least: int = 1) -> DataFrame:
-    """4-connected components of cells above ``threshold`` per patch: median row (truncated), column extent, mean probability, size. A patch is one bounded group."""
+def component_lines(masks: DataFrame, key: str, h: str, w: str, p: str, threshold: float = 0.5, least: int = 1, centre: str = "median") -> DataFrame:
+    """4-connected components of cells above ``threshold`` per patch: median row (truncated), or with ``centre`` "mean" the mean row, column extent, mean probability, size. A patch is one bounded group."""
+    if centre not in ("median", "mean"):
+        raise ValueError(f"unknown centre {centre!r}; one of median, mean")
+    middle = (lambda x: int(np.median(x))) if centre == "median" else (lambda x: float(np.mean(x)))
     kind = dict(masks.dtypes)[key]
 
     def run(t: pa.Table) -> pa.Table:
@@ -117,20 +134,34 @@ def component_lines(masks: DataFrame, key: str, h: str, w: str, p: str, threshol
         img[rows, cols] = True
         lab, n = K.label_4(img)
         own = lab[rows, cols]
-        out = [(int(np.median(rows[own == k])), int(cols[own == k].min()), int(cols[own == k].max()), float(v[own == k].mean()), int((own == k).sum())) for k in range(1, n + 1)]
+        out = [(middle(rows[own == k]), int(cols[own == k].min()), int(cols[own == k].max()), float(v[own == k].mean()), int((own == k).sum())) for k in range(1, n + 1)]
         out = [r for r in out if r[4] >= least]
         parts = list(zip(*out, strict=True)) or [()] * 5
-        kinds = [pa.int32()] * 3 + [pa.float64(), pa.int32()]
+        kinds = [pa.int32() if centre == "median" else pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.int32()]
         first = pa.array([t[key][0].as_py()] * len(out), t.schema.field(key).type)
         return pa.table([first, *(pa.array(c, k) for c, k in zip(parts, kinds, strict=True))], names=[key, "row", "col_min", "col_max", "confidence", "n_cells"])
 
-    return masks.filter(F.col(p) > threshold).select(key, h, w, F.col(p).cast("double").alias(p)).groupBy(key).applyInArrow(run, f"{key} {kind}, row int, col_min int, col_max int, confidence double, n_cells int")
+    return masks.filter(F.col(p) > threshold).select(key, h, w, F.col(p).cast("double").alias(p)).groupBy(key).applyInArrow(run, f"{key} {kind}, row {'int' if centre == 'median' else 'double'}, col_min int, col_max int, confidence double, n_cells int")
 
 
-def stitch(patches: DataFrame, key: str, f_start: str, t_start: str, h: str, w: str, p: str, n_freq: int, n_time: int) -> DataFrame:
-    """Largest value per gram cell over all patches that cover it; cells beyond the gram (padding) are cropped."""
+def stitch(patches: DataFrame, key: str, f_start: str, t_start: str, h: str, w: str, p: str, n_freq: int, n_time: int, how: str = "max") -> DataFrame:
+    """Per gram cell over all patches that cover it: the largest value, or with ``how`` "moments" the mean, the variance over patches and their number. Cells beyond the gram (padding) are cropped."""
+    if how not in ("max", "moments"):
+        raise ValueError(f"unknown way to stitch {how!r}; one of max, moments")
+    v = F.col(p).cast("double")
+    out = [F.max(p).alias(p)] if how == "max" else [F.avg(v).alias("mean"), F.var_pop(v).alias("variance"), F.count("*").alias("n")]
     cell = patches.select(key, (F.col(f_start) + F.col(h)).alias("freq_bin"), (F.col(t_start) + F.col(w)).alias("time_bin"), p)
-    return cell.filter((F.col("freq_bin") < n_freq) & (F.col("time_bin") < n_time)).groupBy(key, "freq_bin", "time_bin").agg(F.max(p).alias(p))
+    return cell.filter((F.col("freq_bin") < n_freq) & (F.col("time_bin") < n_time)).groupBy(key, "freq_bin", "time_bin").agg(*out)
+
+
+def reflect_pad(cells: DataFrame, keys: list[str], freq: str, time: str, n_freq: int, n_time: int, patch: int) -> DataFrame:
+    """Cells of a gram of n_freq by n_time, and the reflected ones that fill it up to ``patch`` on either axis where it is smaller (the edge itself isn't repeated)."""
+    out = cells
+    for c, n in ((freq, n_freq), (time, n_time)):
+        if n < patch:
+            places = F.filter(F.sequence(F.lit(0), F.lit(patch - 1)), lambda i: C.reflected(i, n) == F.col(c))  # noqa: B023
+            out = out.withColumn(c, F.explode(places))
+    return out.select(*keys, freq, time, *[c for c in cells.columns if c not in (*keys, freq, time)])
 
 
 def seed_aggregate(runs: DataFrame, keys: list[str], seed: str, metric: str) -> DataFrame:

@@ -14,8 +14,10 @@ from dataclasses import asdict, dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tonalis.functions import kernels as K
+from tonalis.operators import grams as G
 
 
 @dataclass(frozen=True)
@@ -66,6 +68,18 @@ class GeometryPriors:
             raise ValueError("the speed of sound must be positive")
 
 
+@dataclass(frozen=True)
+class ConfuserPriors:
+    """How many confuser clips are laid over a recording, and at what SNR."""
+
+    n_clips: tuple[int, int] = (0, 3)
+    snr_db: tuple[float, float] = (0.0, 15.0)
+
+    def __post_init__(self) -> None:
+        if not 0 <= self.n_clips[0] <= self.n_clips[1] or self.snr_db[0] > self.snr_db[1]:
+            raise ValueError(f"ranges must be ordered and counts not negative: {self}")
+
+
 @dataclass(frozen=True)
 class Tonal:
     f0_hz: float
@@ -192,16 +206,23 @@ def overlay(rng: np.random.Generator, x: np.ndarray, ambient: np.ndarray, sample
     return out, at / sample_rate
 
 
-CLIP = "clip_id string, seed long, sample_rate_hz int, samples array<float>, n_sources int, negative boolean, sources string, geometry string"
+CLIP = "clip_id string, seed long, sample_rate_hz int, samples array<float>, n_sources int, negative boolean, sources string, geometry string, confusers string, generator_version string"
+
 
+def version(priors: TonalPriors | None, geometry: GeometryPriors | None, confusers: ConfuserPriors | None) -> str:
+    """Names what a clip was made with."""
+    return "1" + "".join(f"+{n}" for n, x in (("tonals", priors), ("channel", geometry), ("confusers", confusers)) if x is not None)
 
-def generate(plan: DataFrame, priors: TonalPriors = TonalPriors(), geometry: GeometryPriors | None = None) -> DataFrame:
-    """plan: clip_id, seed, sample_rate_hz, ambient array<float>. Adds sources to each ambient; ``sources`` and ``geometry`` are JSON.
+
+def generate(plan: DataFrame, priors: TonalPriors = TonalPriors(), geometry: GeometryPriors | None = None, confusers: ConfuserPriors | None = None) -> DataFrame:
+    """plan: clip_id, seed, sample_rate_hz, ambient array<float>; with ``confusers`` also confuser_clips array<struct<species string, low_hz double, high_hz double, samples array<float>>>. Adds sources to each ambient; ``sources``, ``geometry`` and ``confusers`` are JSON.
 
     Amplitudes refer to the ambient before anything is added. With a geometry each source passes
     the three-path channel, raised so that its fundamental arrives at its target SNR. An ambient
-    that is null or silent around a fundamental has that source left out.
+    that is null or silent around a fundamental has that source left out. Confusers come last, drawn
+    from the row's clips (none: none is laid over); they don't make a clip positive.
     """
+    names, said = ["clip_id", "seed", "sample_rate_hz", "ambient", *(["confuser_clips"] if confusers else [])], version(priors, geometry, confusers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -223,9 +244,96 @@ def generate(plan: DataFrame, priors: TonalPriors = TonalPriors(), geometry: Geo
                         wave = apply_channel(wave, sr, place) / abs(response(np.array([s.f0_hz]), place)[0])
                     out += wave
                     made.append({**asdict(s), "amplitude": a, "local_rms": rms, "onsets": onsets})
-                yield pa.record_batch([pa.array([v], t) for v, t in ((r["clip_id"], pa.string()), (r["seed"], pa.int64()), (sr, pa.int32()), (out.astype(np.float32), pa.list_(pa.float32())), (len(made), pa.int32()), (not made, pa.bool_()), (json.dumps(made), pa.string()), (json.dumps(place) if place else None, pa.string()))], names=[c.split()[0] for c in CLIP.split(", ")])
+                laid = []
+                clips = (r.get("confuser_clips") or []) if confusers else []
+                for _ in range(int(rng.integers(confusers.n_clips[0], confusers.n_clips[1] + 1)) if clips else 0):
+                    c, snr = clips[int(rng.integers(len(clips)))], float(rng.uniform(*confusers.snr_db))
+                    out, at = overlay(rng, out, amb, sr, np.asarray(c["samples"], float), (c["low_hz"], c["high_hz"]), snr)
+                    if at is not None:
+                        laid.append({"species": c["species"], "t_start_s": at, "t_end_s": at + len(c["samples"]) / sr, "snr_db": snr})
+                values = (r["clip_id"], r["seed"], sr, out.astype(np.float32), len(made), not made, json.dumps(made), json.dumps(place) if place else None, json.dumps(laid), said)
+                kinds = (pa.string(), pa.int64(), pa.int32(), pa.list_(pa.float32()), pa.int32(), pa.bool_(), *[pa.string()] * 4)
+                yield pa.record_batch([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=[c.split()[0] for c in CLIP.split(", ")])
+
+    return plan.select(*names).mapInArrow(run, CLIP)
+
+
+def inject_explicit(recordings: DataFrame, tonals: DataFrame) -> DataFrame:
+    """Steady tonals of stated parameters laid into recordings (clip_id, sample_rate_hz, ambient).
+
+    tonals: clip_id, f_hz, snr_db, t_start_s, t_end_s, harmonics, decay; a clip's are added one
+    after the other, each against the ambient as it was. Returns clip_id, sample_rate_hz, samples,
+    n_sources; a clip without tonals comes back as it is, one without samples not at all.
+    """
+    per = tonals.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("f_hz", "t_start_s", "t_end_s", "snr_db", "harmonics", "decay"))).alias("tonals"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                if r["ambient"] is None:
+                    continue
+                amb = np.asarray(r["ambient"], float)
+                out = amb.copy()
+                for t in r["tonals"] or []:
+                    out += steady_tonal(amb, r["sample_rate_hz"], t["f_hz"], t["snr_db"], t["t_start_s"], t["t_end_s"], t["harmonics"], t["decay"]) - amb
+                yield pa.record_batch([pa.array([r["clip_id"]]), pa.array([r["sample_rate_hz"]], pa.int32()), pa.array([out.astype(np.float32)], pa.list_(pa.float32())), pa.array([len(r["tonals"] or [])], pa.int32())], names=["clip_id", "sample_rate_hz", "samples", "n_sources"])
+
+    joined = recordings.select("clip_id", "sample_rate_hz", "ambient").join(per, "clip_id", "left")
+    return joined.mapInArrow(run, "clip_id string, sample_rate_hz int, samples array<float>, n_sources int")
+
+
+def inject_ambient(plan: DataFrame, priors: TonalPriors | None = None, explicit: DataFrame | None = None) -> DataFrame:
+    """Sources straight into real ambients, without propagation: drawn from priors, or of stated parameters; exactly one of the two."""
+    if (priors is None) == (explicit is None):
+        raise ValueError("give either priors or explicit tonals")
+    return generate(plan, priors) if priors is not None else inject_explicit(plan, explicit)
+
+
+SOURCE = "array<struct<f0_hz:double,n_harmonics:int,harmonic_decay:double,decay_per_s:double,persistence_s:double,drift:double,snr_db:double,onset_s:double,amplitude:double,local_rms:double,onsets:array<double>>>"
+GEOMETRY = "struct<water_m:double,source_m:double,receiver_m:double,range_m:double,speed:double,loss_db:double>"
+
+
+def truth_lines(clips: DataFrame, n_fft: int, hop: int, sample_rate: int) -> DataFrame:
+    """Truth lines of generated clips: one row per (clip, source, harmonic) with curves and mask cells over the frames in which the source sounds, and the clip's geometry (null without one).
+
+    clips: as from ``generate``. Frames are those of a gram of ``n_fft`` and ``hop`` at ``sample_rate``.
+    """
+    src = clips.select("clip_id", F.size("samples").alias("_n"), F.posexplode(F.from_json("sources", SOURCE)).alias("_k", "s")).select("clip_id", "_n", F.concat_ws("_s", "clip_id", F.col("_k").cast("string")).alias("source_id"), "s.*")
+    times = G.frame_times(src.select("source_id", "_n"), "source_id", "_n", n_fft, hop, sample_rate)
+    pulses = src.select("source_id", F.col("decay_per_s").alias("gamma"), F.explode("onsets").alias("onset_s"))
+    envelope = G.active_envelope(times.select("source_id", "time_s"), pulses, "source_id", "gamma").join(times, ["source_id", "time_s"]).select("source_id", "time_bin", "time_s", "envelope")
+    each = src.withColumn("h", F.explode(F.sequence(F.lit(0), F.col("n_harmonics") - 1)))
+    harmonics = each.select("source_id", "h", "f0_hz", "drift", "onset_s", (F.col("amplitude") * F.pow("harmonic_decay", F.col("h"))).alias("amplitude"), "local_rms")
+    lines = G.frame_truth(envelope, harmonics, "source_id", sample_rate, n_fft, hop)
+    # Each line with its clip and that clip's geometry: a left join, as a clip may have none.
+    where = clips.select("clip_id", F.from_json("geometry", GEOMETRY).alias("geometry"))
+    return lines.join(src.select("source_id", "clip_id"), "source_id").join(where, "clip_id", "left")
+
+
+def truth_manifest(clips: DataFrame, lines: DataFrame) -> DataFrame:
+    """One JSON document per clip: clip_id, negative_label, generator_version, lines, confuser_labels. Clips without lines have an empty list."""
+    own = F.struct("line_id", "source_id", "harmonic_id", "f0_hz", "freq_curve_hz", "snr_curve_db", "mask_bin_indices", "t_start_s", "t_end_s", "persistence_s", "drift_rate_hz_per_s")
+    per = lines.groupBy("clip_id").agg(F.array_sort(F.collect_list(own)).alias("lines"))  # as many as a clip's sources and harmonics
+    kind = "array<struct<species:string,t_start_s:double,t_end_s:double,snr_db:double>>"
+    none = F.from_json(F.lit("[]"), per.schema["lines"].dataType)
+    doc = F.struct("clip_id", F.col("negative").alias("negative_label"), "generator_version", F.coalesce("lines", none).alias("lines"), F.from_json("confusers", kind).alias("confuser_labels"))
+    return clips.drop("lines").join(per, "clip_id", "left").select("clip_id", F.to_json(doc).alias("manifest"))
+
+
+def augmented(patches: DataFrame, patch: str = "patch", target: str = "target", seed: str = "seed", flip: float = 0.5, shift: int = 2, noise: float = 0.05) -> DataFrame:
+    """Patch rows with ``patch`` and ``target`` (array<array<double>>) augmented alike, by the row's seed; other columns pass through."""
+    names = patches.columns
+    i, j, k = (names.index(c) for c in (patch, target, seed))
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in patches.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            done = [augment(np.random.default_rng(s), np.array(x), np.array(y), flip, shift, noise) for x, y, s in zip(b.column(i).to_pylist(), b.column(j).to_pylist(), b.column(k).to_pylist(), strict=True)]
+            cols = list(b.columns)
+            cols[i], cols[j] = (pa.array([d[n].tolist() for d in done], pa.list_(pa.list_(pa.float64()))) for n in (0, 1))
+            yield pa.record_batch(cols, names=names)
 
-    return plan.select("clip_id", "seed", "sample_rate_hz", "ambient").mapInArrow(run, CLIP)
+    return patches.mapInArrow(run, types)
 
 
 def augment(rng: np.random.Generator, patch: np.ndarray, target: np.ndarray, flip: float = 0.5, shift: int = 2, noise: float = 0.05) -> tuple[np.ndarray, np.ndarray]:

@@ -170,6 +170,13 @@ def merge_nearby(lines: DataFrame, tolerance: float, keys: tuple[str, ...] = ("a
     return cut.drop("_end").groupBy(*keys, "_stretch").applyInArrow(run, LINE.replace("timestamp timestamp", "timestamp long")).withColumn("timestamp", F.timestamp_micros("timestamp"))
 
 
+def in_band(lines: DataFrame, low_hz: float, high_hz: float, freq: str = "frequency_hz") -> DataFrame:
+    """Lines whose frequency (a number, or an array of which the mean counts) lies in the band, ends included; those without one are left out."""
+    array = dict(lines.dtypes)[freq].startswith("array")
+    mean = F.try_divide(F.aggregate(freq, F.lit(0.0), lambda a, x: a + x), F.size(freq)) if array else F.col(freq)
+    return lines.filter((mean >= low_hz) & (mean <= high_hz))
+
+
 def anchor_dedupe(preds: DataFrame, keys: list[str], tolerance: float = 5.0, freq: str = "freq_hz", start: str = "t_start", end: str = "t_end", conf: str = "confidence") -> DataFrame:
     """Predictions grouped along frequency by distance to the group's first: mean frequency, hull in time, largest confidence.
 

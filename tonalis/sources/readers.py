@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import io
+import re
 import wave
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,47 @@ FLAT_NAME = r"^(\d+)[_-]+([A-Za-z]+)[_-]+([A-Za-z0-9]+)"
 CELL_DIR = r"unet_seed(\d+)_ratio([\d.]+)$"
 
 
+def listing(files: DataFrame) -> DataFrame:
+    """Files in order of path, as a report; a sort of what is listed."""
+    return files.orderBy("path")
+
+
+def parameters(text: str, kind: type) -> object:
+    """A configuration dataclass (LofarConfig, DetectionConfig, ...) from YAML or JSON text; nested ones from nested mappings, lists for pairs. Unknown names fail."""
+    try:
+        import yaml
+
+        said = yaml.safe_load(text)
+    except ModuleNotFoundError:
+        import json
+
+        said = json.loads(text)
+    return _configured(said or {}, kind)
+
+
+def _configured(said: dict, kind: type) -> object:
+    from dataclasses import fields, is_dataclass
+
+    known = {f.name: f for f in fields(kind)}
+    if bad := set(said) - set(known):
+        raise ValueError(f"{kind.__name__} has no {', '.join(sorted(bad))}")
+    made = {}
+    for name, v in said.items():
+        default = known[name].default
+        made[name] = _configured(v, type(default)) if isinstance(v, dict) and is_dataclass(default) else tuple(v) if isinstance(v, list) else v
+    return kind(**made)
+
+
+def cached_grams(spark: SparkSession, recordings: DataFrame, path: str, make, ident: str = "recording_id") -> DataFrame:  # noqa: ANN001
+    """Frame table of the recordings from the Parquet cache at ``path``; those that it lacks are made by ``make(recordings)`` and added to it first."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    known = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+    new = recordings.join(spark.read.parquet(path).select(ident).distinct(), ident, "left_anti") if known else recordings
+    if not known or new.limit(1).count():
+        make(new).write.mode("append").parquet(path)
+    return spark.read.parquet(path).join(recordings.select(ident).distinct(), ident, "left_semi")
+
+
 def audio_files(spark: SparkSession, root: str) -> DataFrame:
     """path, content of audio files below ``root`` (suffix in either case). Content is read only where it is used."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
@@ -33,19 +76,29 @@ def _open(raw: bytes) -> wave.Wave_read | None:
         return None  # not a readable WAV (FLAC included: no decoder here)
 
 
+def _header(path: str) -> tuple[int, float, int] | tuple[None, None, None]:
+    """Rate, seconds and channels of a file, of which only the chunk headers before the samples are read."""
+    if path.startswith(("file:", "/")):
+        fs, name = pafs.LocalFileSystem(), re.sub("^file:/*", "/", path)
+    else:
+        fs, name = pafs.FileSystem.from_uri(path)
+    try:
+        with fs.open_input_file(name) as f, wave.open(f) as w:
+            return (w.getframerate(), w.getnframes() / w.getframerate(), w.getnchannels()) if w.getframerate() else (None, None, None)
+    except (wave.Error, EOFError, OSError):
+        return (None, None, None)
+
+
 def probe(files: DataFrame) -> DataFrame:
-    """path, sample_rate_hz, duration_s, n_channels from the headers; nulls for what can't be read."""
+    """path, sample_rate_hz, duration_s, n_channels from the headers; nulls for what can't be read. Only ``path`` of ``files`` is used, so that Spark doesn't load the content; tasks read the headers from the file system."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for raw in b.column(1).to_pylist():
-                w = _open(raw)
-                rows.append((w.getframerate(), w.getnframes() / w.getframerate(), w.getnchannels()) if w and w.getframerate() else (None, None, None))
+            rows = [_header(p) for p in b.column(0).to_pylist()]
             rate, dur, ch = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.record_batch([b.column(0), pa.array(rate, pa.int32()), pa.array(dur, pa.float64()), pa.array(ch, pa.int32())], names=["path", "sample_rate_hz", "duration_s", "n_channels"])
 
-    return files.select("path", F.substring("content", 1, 1 << 30).alias("content")).mapInArrow(run, "path string, sample_rate_hz int, duration_s double, n_channels int")
+    return files.select("path").mapInArrow(run, "path string, sample_rate_hz int, duration_s double, n_channels int")
 
 
 def decode(files: DataFrame, target_rate: int | None = None) -> DataFrame:
