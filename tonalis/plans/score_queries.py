@@ -85,6 +85,10 @@ Q["a5_conformal_fit"] = a5_conformal_fit
 SQL["a5_conformal_fit"] = f"WITH {_FIT} SELECT alpha, round(q_positive, 8) AS q_positive, round(q_negative, 8) AS q_negative, n_cal_positive, n_cal_negative FROM f"
 
 
+#: The same after a round trip through JSON.
+SQL["k13_conformal_json"] = SQL["a5_conformal_fit"]
+
+
 def f20_prediction_sets(spark: SparkSession, d: str) -> DataFrame:
     return _sets(spark, d).select("doc_id", "alpha", "in_positive", "in_negative", "set_size", "verdict")
 
@@ -173,6 +177,16 @@ k AS (SELECT patch_id, member, id, min(root) AS root FROM r GROUP BY ALL)
 SELECT patch_id, member, CAST(floor(quantile_cont(h, 0.5)) AS INTEGER) AS row, min(w) AS col_min, max(w) AS col_max, round(avg(p), 8) AS confidence, CAST(count(*) AS INTEGER) AS n_cells FROM k JOIN c USING (patch_id, member, id) GROUP BY patch_id, member, root HAVING count(*) >= 2"""
 
 
+def a25_mean_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Components with their mean row instead of the median."""
+    m = X.masks(spark, d).withColumn("_k", F.col("patch_id") * 4 + F.col("member"))
+    return E.component_lines(m, "_k", "h", "w", "p", 0.6, 1, "mean").select(F.shiftright("_k", 2).alias("patch_id"), F.pmod("_k", F.lit(4)).cast("int").alias("member"), _r("row"), "col_min", "col_max", _r("confidence"), "n_cells")
+
+
+Q["a25_mean_rows"] = a25_mean_rows
+SQL["a25_mean_rows"] = SQL["a25_components"].replace("p > 0.5", "p > 0.6").replace("CAST(floor(quantile_cont(h, 0.5)) AS INTEGER) AS row", "round(avg(h), 8) AS row").replace("count(*) >= 2", "count(*) >= 1")
+
+
 def a26_heatmap_lines(spark: SparkSession, d: str) -> DataFrame:
     h = X.read(spark, d, "embeddings").select(F.col("vec_id").alias("patch"), (1.0 / (1.0 + F.exp(-8.0 * F.col("embedding")[0].cast("double")))).alias("cls"), F.transform("embedding", lambda v: 1.0 / (1.0 + F.exp(-8.0 * v.cast("double")))).alias("heat"))
     return E.heatmap_lines(h, "patch", "cls", "heat", 3.0, 2.0, 0.0, 32.0, 0.5, 0.7).select("patch", "freq_hz", "t_start", "t_end", _r("confidence"))
@@ -191,6 +205,16 @@ def a27_stitch(spark: SparkSession, d: str) -> DataFrame:
 Q["a27_stitch"] = a27_stitch
 SQL["a27_stitch"] = f"WITH {X.MASKS} SELECT patch_id % 50 AS rec, member, CAST(patch_id % 5 * 2 + h AS INTEGER) AS freq_bin, CAST(patch_id % 7 * 2 + w AS INTEGER) AS time_bin, round(max(p), 8) AS p FROM m WHERE patch_id % 5 * 2 + h < 11 AND patch_id % 7 * 2 + w < 14 GROUP BY ALL"
 
+
+def a27_moments(spark: SparkSession, d: str) -> DataFrame:
+    """Mean and variance over the patches that cover a cell."""
+    m = X.masks(spark, d).select((F.col("patch_id") % 50 * 4 + F.col("member")).alias("_k"), ((F.col("patch_id") % 5) * 2).cast("int").alias("f0"), ((F.col("patch_id") % 7) * 2).cast("int").alias("t0"), "h", "w", "p")
+    return E.stitch(m, "_k", "f0", "t0", "h", "w", "p", 11, 14, "moments").select(F.shiftright("_k", 2).alias("rec"), F.pmod("_k", F.lit(4)).cast("int").alias("member"), "freq_bin", "time_bin", _r("mean"), _r("variance"), "n")
+
+
+Q["a27_moments"] = a27_moments
+SQL["a27_moments"] = SQL["a27_stitch"].replace("round(max(p), 8) AS p", "round(avg(p), 8) AS mean, round(var_pop(p), 8) AS variance, count(*) AS n")
+
 _IOU = """CASE WHEN abs(p.freq_hz - t.freq_hz) <= 2 * 15.0 THEN 1.0::DOUBLE WHEN abs(p.freq_hz - t.freq_hz) <= 4 * 15.0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END * greatest(0.0::DOUBLE, (least(p.t_end, t.t_end) - greatest(p.t_start, t.t_start)) / (greatest(p.t_end, t.t_end) - least(p.t_start, t.t_start)))"""
 _LINES = f"{X.sql_spans('p', 'click')}, {X.sql_spans('t', 'view')}"
 

@@ -45,6 +45,26 @@ SQL["f22_patch_labels"] = f"""WITH {X.MONTH_TRUTH}, {X.MONTH_STARTS}, g AS (SELE
 SELECT g.user_id, f_start, t_start, CAST(max(CASE WHEN mt.user_id IS NULL THEN 0 ELSE 1 END) AS INTEGER) AS label FROM g LEFT JOIN mt ON mt.user_id = g.user_id AND bin >= f_start AND bin < f_start + 16 AND frame >= t_start AND frame < t_start + 16 GROUP BY ALL"""
 
 
+def f22_heatmaps(spark: SparkSession, d: str) -> DataFrame:
+    grid = E.patch_grid(X.month_clips(spark, d), "user_id", "nf", "nt", 16, 10)
+    heat = E.patch_heatmap(X.month_truth(spark, d), grid, "user_id", 16, 10)
+    return heat.select("user_id", "f_start", "t_start", F.posexplode("heat").alias("h", "heat"))
+
+
+Q["f22_heatmaps"] = f22_heatmaps
+SQL["f22_heatmaps"] = f"""WITH {X.MONTH_TRUTH}, {X.MONTH_STARTS}, g AS (SELECT user_id, f_start, t_start, CAST(h AS INTEGER) AS h FROM (SELECT DISTINCT user_id FROM events), ms, range(0, 16) r(h))
+SELECT g.user_id, f_start, t_start, h, CAST(max(CASE WHEN mt.user_id IS NULL THEN 0 ELSE 1 END) AS INTEGER) AS heat FROM g LEFT JOIN mt ON mt.user_id = g.user_id AND bin = f_start + h AND frame >= t_start AND frame < t_start + 16 GROUP BY ALL"""
+
+
+def f22_masks(spark: SparkSession, d: str) -> DataFrame:
+    grid = E.patch_grid(X.month_clips(spark, d), "user_id", "nf", "nt", 16, 10)
+    return E.patch_mask(X.month_truth(spark, d), grid, "user_id", 16, 10)
+
+
+Q["f22_masks"] = f22_masks
+SQL["f22_masks"] = f"WITH {X.MONTH_TRUTH}, {X.MONTH_STARTS} SELECT DISTINCT user_id, f_start, t_start, CAST(bin - f_start AS INTEGER) AS h, CAST(frame - t_start AS INTEGER) AS w FROM mt JOIN ms ON bin >= f_start AND bin < f_start + 16 AND frame >= t_start AND frame < t_start + 16"
+
+
 def k11_far_table(spark: SparkSession, d: str) -> DataFrame:
     g = X.read(spark, d, "events").groupBy(F.col("event_type").alias("persistence_s"), F.floor(F.col("value") / 100).cast("long").alias("snr_db")).agg(F.count("*").alias("per_hour"))
     return K.far_table(g).na.fill(0)

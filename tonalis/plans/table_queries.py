@@ -281,6 +281,39 @@ Q["p10_relative_time"] = p10_relative_time
 SQL["p10_relative_time"] = f"SELECT event_id, CAST(trunc(epoch(ts) - {X.EPOCH}) AS BIGINT) AS s FROM events"
 
 
+def p8_lines_in_band(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as frequency curves; those whose mean lies in the band."""
+    from tonalis.operators import tracks as T
+
+    v = X.read(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 100.0).alias("curve"))
+    return T.in_band(v, -1.0, 1.0, "curve").select("vec_id")
+
+
+Q["p8_lines_in_band"] = p8_lines_in_band
+SQL["p8_lines_in_band"] = "SELECT vec_id FROM (SELECT vec_id, avg(CAST(embedding[i] AS DOUBLE) * 100.0::DOUBLE) AS m FROM embeddings, range(1, 65) r(i) GROUP BY vec_id) WHERE m BETWEEN -1 AND 1"
+
+
+def s12_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Eight samples from a place of each vector on, zeros beyond its end."""
+    v = X.read(spark, d, "embeddings").select("vec_id", R.read_window(F.col("embedding"), F.pmod("vec_id", F.lit(70)).cast("int"), 8).alias("w"))
+    return v.select("vec_id", F.posexplode("w").alias("i", "x")).select("vec_id", "i", F.round(F.col("x").cast("double"), 7).alias("x"))
+
+
+Q["s12_windows"] = s12_windows
+SQL["s12_windows"] = "SELECT vec_id, CAST(k AS INTEGER) AS i, round(coalesce(CAST(embedding[vec_id % 70 + k + 1] AS DOUBLE), 0.0::DOUBLE), 7) AS x FROM embeddings, range(0, 8) r(k)"
+
+
+def f23_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Patches per hour and merge tolerances over the sizes of parts; hop of an axis or of the configuration."""
+    p = X.read(spark, d, "part")
+    axis = F.when(F.col("p_size") % 2 == 0, F.array(F.lit(0.5), F.lit(0.5) + F.col("p_size") / 8.0)).otherwise(F.array(F.lit(0.5)))
+    return p.select("p_partkey", F.lit(C.patches_per_hour(128, 4096, 32000)).alias("per_hour"), F.lit(C.merge_tolerance(2, 1.5, 10)).alias("tolerance"), F.lit(C.merge_tolerance(2, 1.5, 1)).alias("single"), C.hop_seconds(axis, 1000, 250).alias("hop_s"))
+
+
+Q["f23_rates"] = f23_rates
+SQL["f23_rates"] = "SELECT p_partkey, 3600.0::DOUBLE / (128 * 4096 / 32000.0::DOUBLE) AS per_hour, 6.0::DOUBLE AS tolerance, 0.0::DOUBLE AS single, CASE WHEN p_size % 2 = 0 THEN p_size / 8.0::DOUBLE ELSE 0.25::DOUBLE END AS hop_s FROM part"
+
+
 def f1_windows(spark: SparkSession, d: str) -> DataFrame:
     i = X.read(spark, d, "nation").select(F.col("n_nationkey").alias("i"))
     return i.select("i", *[(F.round(C.window_value(k, F.col("i"), 25), 9) + 0.0).alias(k) for k in ("hann", "hamming", "blackman")])
