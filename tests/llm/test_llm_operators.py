@@ -132,34 +132,52 @@ def test_extraction_against_brute_force(spark, parts):
 # 2: language
 
 
-def test_kneser_ney_sums_to_one_and_backs_off():
+def _brute_kneser_ney(words):
+    """p(character, context) of a language by the definition, from its words."""
+    order, pad = language_id.ORDER, language_id.START
+    levels = [Counter() for _ in range(order + 1)]
+    for w in words:
+        s = pad * (order - 1) + w + language_id.STOP
+        levels[order].update(s[i : i + order] for i in range(len(s) - order + 1))
+    for k in range(order - 1, 0, -1):  # below the top, how many characters stand before
+        levels[k].update(g[1:] for g in levels[k + 1] if g[-1] != pad)
+    size = len(levels[1]) + 1
+
+    def p(c, context):
+        k = len(context) + 1
+        own = {g[-1]: n for g, n in levels[k].items() if g[:-1] == context}
+        lower = p(c, context[1:]) if context else 1 / size
+        if not own:
+            return lower
+        ones, twos = (sum(n == m for n in levels[k].values()) for m in (1, 2))
+        d = min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
+        return max(own.get(c, 0) - d, 0) / sum(own.values()) + d * len(own) / sum(own.values()) * lower
+
+    return p, sorted(levels[1])
+
+
+def test_kneser_ney_against_brute_force():
     import pandas as pd
 
-    c = Counter()
-    for w in ("abba", "abab", "bab"):
-        s = language_id.START * 3 + w + language_id.STOP
-        c.update(s[i : i + 4] for i in range(len(s) - 3))
-    m = language_id.build(pd.DataFrame([("x", g, n) for g, n in c.items()], columns=["lang", "gram", "n"]))
-    for ctx in ("", "a", "ab", "bb"):
-        p = [np.exp(m.words([ctx + ch])[0, 0] - (m.words([ctx])[0, 0] - _stop(m, ctx)) - _stop(m, ctx + ch)) for ch in "ab"]
-        assert sum(p) + np.exp(_stop(m, ctx)) == pytest.approx(1, abs=0.12)  # the rest is left for characters not seen
-
-
-def _stop(m, w):
-    """Log-probability of the end after w, by difference: word minus its letters."""
-    cp, said = language_id._codes([w])
-    del said
-    h = language_id._hashes(cp)
-    for k in range(language_id.ORDER, 0, -1):
-        i, hit = language_id._look(m.grams[k - 1][0], h[k - 1][-1:])
-        if hit[0]:
-            return float(m.grams[k - 1][1][i[0], 0]) + sum(_back(m, h, j) for j in range(k, language_id.ORDER))
-    return float(m.unseen[0])
-
-
-def _back(m, h, k):
-    i, hit = language_id._look(m.backs[k - 1][0], h[k - 1][-2:-1])
-    return float(m.backs[k - 1][1][i[0], 0]) if hit[0] else 0.0
+    corpus = {"x": ["abba", "abab", "bab", "bab", "caab"], "y": ["dada", "add", "bad", "dab", "dad", "dad"]}
+    rows = []
+    for lang, words in corpus.items():
+        c = Counter()
+        for w in words:
+            s = language_id.START * (language_id.ORDER - 1) + w + language_id.STOP
+            c.update(s[i : i + language_id.ORDER] for i in range(len(s) - language_id.ORDER + 1))
+        rows += [(lang, g, n) for g, n in c.items()]
+    m = language_id.build(pd.DataFrame(rows, columns=["lang", "gram", "n"]))
+    probe = ["abba", "dad", "bad", "zzz", "azb", "c", "ddddd", "abcabcabc"]
+    got = m.words(probe)
+    for i, lang in enumerate(m.langs):
+        p, seen = _brute_kneser_ney(corpus[lang])
+        for k, w in enumerate(probe):
+            s = language_id.START * (language_id.ORDER - 1) + w + language_id.STOP
+            want = sum(np.log(p(s[j], s[j - language_id.ORDER + 1 : j])) for j in range(language_id.ORDER - 1, len(s)))
+            assert got[k, i] == pytest.approx(want, abs=1e-4)
+        for context in ("\x02\x02\x02", "\x02ab", "bab", "zzz", "dad"):
+            assert sum(p(c, context) for c in seen) + p("?", context) == pytest.approx(1)
 
 
 def test_language_of_small_corpus(spark):
@@ -437,6 +455,35 @@ def test_trees_learn_and_flatten():
     assert np.allclose(_trees.fit(x[:0], y[:0]).score(one), 0.5)
 
 
+def test_a_split_is_the_best_of_all():
+    rng = np.random.default_rng(19)
+    for _ in range(5):
+        x = np.round(rng.random((300, 3)), 1)
+        y = (x[:, 1] + 0.3 * rng.standard_normal(300) > 0.6).astype(float)
+        f = _trees.fit(x, y, rounds=1, depth=1, bins=16, rate=1.0, ridge=1.0, least=20)
+        p = 1 / (1 + np.exp(-f.base))
+        g, h = p - y, np.full(300, p * (1 - p))
+        leaf = lambda m: (g[m].sum() ** 2 / (h[m].sum() + 1), -g[m].sum() / (h[m].sum() + 1))
+        best = max((leaf(x[:, k] <= c)[0] + leaf(x[:, k] > c)[0], k, c) for k in range(3) for c in np.unique(np.quantile(x[:, k], np.linspace(0, 1, 17)[1:-1])) if 20 <= (x[:, k] <= c).sum() <= 280)
+        root = f.roots[0]
+        low = x[:, f.feature[root]] <= f.cut[root]
+        assert leaf(low)[0] + leaf(~low)[0] == pytest.approx(best[0])
+        assert np.allclose(f.score(x), 1 / (1 + np.exp(-f.base - np.where(low, leaf(low)[1], leaf(~low)[1]))))
+
+
+def test_quality_scores_are_those_of_one_pass(spark):
+    rng = np.random.default_rng(22)
+    texts = [(i, " ".join("".join(rng.choice(list("abc!"), 4)) for _ in range(int(rng.integers(1, 50))))) for i in range(300)]
+    labels = spark.createDataFrame([(i, int("!!" not in t)) for i, t in texts], "doc_id long, quality int")
+    forest = quality.fit(docs(spark, texts), labels)
+    used = [(i, t) for i, t in texts if zlib.crc32(str(i).encode()) % 5]
+    x, y = quality.statistics([t for _, t in used]), np.array([float("!!" not in t) for _, t in used])
+    order = np.lexsort([*x.T[:3], np.array([i for i, _ in used])])
+    one = _trees.fit(x[order], y[order])
+    got = by_id(quality.score(docs(spark, texts), forest))
+    assert np.allclose([got[i]["score"] for i, _ in texts], one.score(quality.statistics([t for _, t in texts])))
+
+
 def test_the_top_word_is_counted_over_the_whole_text():
     top = quality.NAMES.index("top")
     a = ["stop", "top", *[f"w{i}" for i in range(7)], "top"]  # 640 words: every place at a stride of 10 holds "stop"
