@@ -63,9 +63,9 @@ def rake(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, te
         share = cells.groupBy(f"_{dim}").agg(F.sum("tokens").alias("_own")).withColumn("_share", _share(dim, targets, temper))
         whole = share.agg(F.sum("_share")).first()[0] or 1.0
         out = out.join(share.select(f"_{dim}", (F.col("_share") * F.lit(total / whole)).alias(f"_goal_{dim}")), f"_{dim}")
-    # Few cells are one partition, so that a round needs no shuffle.
-    out, done = cut(out.coalesce(1) if cells.count() <= MOST_CELLS else out), 0
+    out, done, few = cut(out), 0, cells.count() <= MOST_CELLS
     while True:
+        out = out.coalesce(1) if few else out  # few cells are one partition, so that a round needs no shuffle
         for _ in range(STEP):
             moved = F.lit(0.0)
             for dim in DIMS:
