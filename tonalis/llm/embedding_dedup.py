@@ -139,14 +139,15 @@ def _unit(raw: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=-1, keepdims=True))
 
 
-def _vectors(col: pa.Array) -> list[np.ndarray | None]:
-    """Vectors as they are; None for what links with nothing."""
-    out: list[np.ndarray | None] = []
-    for v in col:
-        values = v.values if v.is_valid else None
-        x = None if values is None or not len(values) or values.null_count else values.to_numpy(zero_copy_only=False)
-        out.append(x if x is not None and np.isfinite(x).all() and x.any() else None)
-    return out
+def _vectors(col: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and rows of the vectors that can link, by their length; those that are null, empty, zero or hold null or non-finite components are left out."""
+    flat, at = col.values.to_numpy(zero_copy_only=False), col.offsets.to_numpy()
+    width = np.where(col.is_valid().to_numpy(zero_copy_only=False), np.diff(at), 0)
+    for n in np.unique(width[width > 0]):
+        rows = np.flatnonzero(width == n)
+        x = flat[at[rows][:, None] + np.arange(n)]
+        ok = np.isfinite(x).all(axis=1) & x.any(axis=1)
+        yield rows[ok], x[ok]
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, layout: Plan | None = None, block: int = BLOCK) -> DataFrame:
@@ -167,15 +168,18 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, layout: Plan
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h1, h2, raw = [], [], []
-            for v in _vectors(b.column(2)):
+            size = b.num_rows
+            known, h1, h2, raw = np.zeros(size, bool), np.zeros(size, np.int64), np.zeros(size, np.int64), [None] * size
+            for rows, x in _vectors(b.column(2)):
                 # Multiples of a vector differ in the last bits at most: equal after rounding.
-                k = None if v is None else np.r_[np.rint(_unit(v) * (1 << 40)).astype(np.int64), len(v)].view(np.uint64)
-                place = None if k is None else np.arange(1, len(k) + 1, dtype=np.uint64)
-                h1.append(None if k is None else int(mixed(k ^ mixed(place)).sum(dtype=np.uint64).view(np.int64)))
-                h2.append(None if k is None else int(mixed(mixed(k + place * np.uint64(0xC2B2AE3D27D4EB4F))).sum(dtype=np.uint64).view(np.int64)))
-                raw.append(None if v is None else v.astype(kind).tobytes())
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(raw, pa.binary())], names=["vec_id", "part", *KEY, "raw"])
+                k = np.c_[np.rint(_unit(x) * (1 << 40)).astype(np.int64), np.full(len(x), x.shape[1])].view(np.uint64)
+                place = np.arange(1, k.shape[1] + 1, dtype=np.uint64)
+                known[rows] = True
+                h1[rows] = mixed(k ^ mixed(place)).sum(axis=1, dtype=np.uint64).view(np.int64)
+                h2[rows] = mixed(mixed(k + place * np.uint64(0xC2B2AE3D27D4EB4F))).sum(axis=1, dtype=np.uint64).view(np.int64)
+                for i, v in zip(rows.tolist(), x.astype(kind, copy=False), strict=True):
+                    raw[i] = v.tobytes()
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(h1, mask=~known), pa.array(h2, mask=~known), pa.array(raw, pa.binary())], names=["vec_id", "part", *KEY, "raw"])
 
     printed = own.mapInArrow(prints, "vec_id long, part int, h1 long, h2 long, raw binary")
     light = cut(printed.drop("raw"))  # again below: cheaper than to keep the vectors twice
