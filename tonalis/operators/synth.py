@@ -125,10 +125,16 @@ def sample_geometry(rng: np.random.Generator, priors: GeometryPriors) -> dict[st
     return None
 
 
+# Fixed values of the absorption law (Thorpe 1967) and of the time after which a decaying pulse is out (80 dB, in decay times).
+THORPE = (3.3e-3, 0.11, 1.0, 44.0, 4100.0, 3e-4)
+DECAY_SPAN = 9.2
+
+
 def response(f: np.ndarray, g: dict[str, float]) -> np.ndarray:
     """Complex response of the three-path channel."""
     f2 = (np.asarray(f, float) / 1000) ** 2
-    alpha = 3.3e-3 + 0.11 * f2 / (1 + f2) + 44 * f2 / (4100 + f2) + 3e-4 * f2
+    a, b, b0, c, c0, d = THORPE
+    alpha = a + b * f2 / (b0 + f2) + c * f2 / (c0 + f2) + d * f2
     legs = np.hypot(g["range_m"], np.array([g["source_m"] - g["receiver_m"], g["source_m"] + g["receiver_m"], 2 * g["water_m"] - g["source_m"] - g["receiver_m"]]))
     gains = np.array([1.0, -1.0, 10 ** (-g["loss_db"] / 20)])
     return sum(a / r * 10 ** (-alpha * r / 20000) * np.exp(-2j * np.pi * np.asarray(f, float) * r / g["speed"]) for a, r in zip(gains, legs, strict=True))
@@ -166,7 +172,7 @@ def pulse_onsets(rng: np.random.Generator, onset: float, persistence: float, per
 def render_tonal(rng: np.random.Generator, n: int, sample_rate: int, s: Tonal, amplitude: float, pulses: tuple[int, int] = (1, 5), fade_s: float = 0.1) -> tuple[np.ndarray, list[float]]:
     """Decaying harmonic pulses with linear drift over the source's life; harmonics that would alias are left out."""
     out, onsets = np.zeros(n), pulse_onsets(rng, s.onset_s, s.persistence_s, s.cluster_period_s, pulses)
-    life, fade = 9.2 / max(s.decay_per_s, 1e-3), max(1, int(fade_s * sample_rate))
+    life, fade = DECAY_SPAN / max(s.decay_per_s, 1e-3), max(1, int(fade_s * sample_rate))
     for t0 in onsets:
         a, b = max(0, round(t0 * sample_rate)), min(n, round((t0 + life) * sample_rate))
         phases = rng.uniform(0, 2 * np.pi, s.n_harmonics)
