@@ -80,21 +80,21 @@ def domain_weights(df: DataFrame, ratios: dict[str, float], domain: str = "domai
     return df.join(F.broadcast(counts), [domain, label]).crossJoin(F.broadcast(total)).withColumn("weight", w).drop("_n", "_t")
 
 
-def draw_with_replacement(df: DataFrame, weight: str, key: str, n: int, seed: int = 0, strata: int = 1024) -> DataFrame:
+def draw_with_replacement(df: DataFrame, weight: str, key: str, n: int, seed: int = 0) -> DataFrame:
     """n draws with probability in proportion to ``weight``: rows (draw, key).
 
-    Cumulative weights are prefix sums within hash strata plus the strata's offsets, so that no
-    window runs over all rows. A stratum is divided into as many equal cells as it has rows; a row
+    Cumulative weights are prefix sums within 4,096 strata by a hash of the key plus the strata's
+    offsets, so that no window runs over all rows. A stratum is divided into as many equal cells as it has rows; a row
     stands in the cells that its interval touches (two a row on average) and a draw falls into one,
     so that they meet by equality and a draw sees few rows, whatever the weights.
     """
-    s = df.withColumn("_s", F.pmod(F.xxhash64(key), F.lit(strata))).filter(F.col(weight) > 0)
+    s = df.withColumn("_s", F.substring(F.md5(F.col(key).cast("string")), 1, 3)).filter(F.col(weight) > 0)
     sums = s.groupBy("_s").agg(F.sum(weight).cast("double").alias("_w"), F.count("*").alias("_m"))
     w0 = Window.partitionBy(F.lit(0)).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_from", F.coalesce(F.sum("_w").over(w0), F.lit(0.0)))  # ``strata`` rows
+    sums = sums.withColumn("_from", F.coalesce(F.sum("_w").over(w0), F.lit(0.0)))  # a row a stratum
     w1 = Window.partitionBy("_s").orderBy(key)
     cell = lambda x: F.least(F.floor(x / F.col("_w") * F.col("_m")), F.col("_m") - 1)
-    cum = s.withColumn("_hi", F.sum(weight).over(w1)).withColumn("_lo", F.col("_hi") - F.col(weight)).join(F.broadcast(sums), "_s")  # ``strata`` rows
+    cum = s.withColumn("_hi", F.sum(weight).over(w1)).withColumn("_lo", F.col("_hi") - F.col(weight)).join(F.broadcast(sums), "_s")  # a row a stratum
     last = F.lead(key).over(w1).isNull()  # ends where the draws do, whatever the rounding
     cum = cum.withColumn("_hi", F.when(last, F.greatest("_hi", F.col("_w") * 2)).otherwise(F.col("_hi")))
     cum = cum.select(key, "_s", "_lo", "_hi", F.explode(F.sequence(cell(F.col("_lo")), cell(F.col("_hi")))).alias("_c"))

@@ -114,6 +114,10 @@ def t6_weighted_draws(spark: SparkSession, d: str) -> DataFrame:
 
 
 Q["t6_weighted_draws"] = t6_weighted_draws
+SQL["t6_weighted_draws"] = f"""WITH {X.SCORES}, k AS MATERIALIZED (SELECT doc_id, label, 1.0::DOUBLE / count(*) OVER (PARTITION BY label) AS weight, substr(md5(CAST(doc_id AS VARCHAR)), 1, 3) AS st FROM s),
+z AS MATERIALIZED (SELECT st, sum(weight) AS sw FROM k GROUP BY st), zf AS (SELECT *, coalesce(sum(sw) OVER (ORDER BY st ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) AS f FROM z),
+c AS (SELECT *, sum(weight) OVER (PARTITION BY st ORDER BY doc_id) AS hi FROM k), d AS (SELECT k AS draw, {X.sql_hashed("5/", "k")} * (SELECT sum(sw) FROM z) AS u FROM range(0, 500) r(k))
+SELECT draw, doc_id, label FROM d JOIN zf ON u >= f AND u < f + sw JOIN c ON c.st = zf.st AND u - f >= hi - weight AND u - f < hi"""
 
 
 def t8_species_weights(spark: SparkSession, d: str) -> DataFrame:
