@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonalis.llm import embedding_dedup, exact_dedup, html_text, language_id, mixing, ngram_join, packing, quality, secret_scan, token_counts
+from tonalis.llm import centroid_clustering, collocations, embedding_dedup, exact_dedup, html_text, language_id, mixing, ngram_join, packing, quality, secret_scan, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest_url_extraction": html_text.op1_nearest_url_extraction,
@@ -19,5 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_trees": quality.op8_quality_trees,
     "op9_raked_mixture": mixing.op9_raked_mixture,
     "op10_lattice_near_dedup": embedding_dedup.op10_lattice_near_dedup,
+    "op11_phrase_collocations": collocations.op11_phrase_collocations,
+    "op12_url_filter": url_filter.op12_url_filter,
+    "op13_zone_map_clusters": centroid_clustering.op13_zone_map_clusters,
 }
-ORACLE: dict[str, str] = {**exact_dedup.ORACLE, **mixing.ORACLE}
+ORACLE: dict[str, str] = {**exact_dedup.ORACLE, **mixing.ORACLE, **collocations.ORACLE, **centroid_clustering.ORACLE}
