@@ -187,7 +187,7 @@ def _borders(texts: DataFrame, n: int, each: int = 128, most: int = 4000) -> lis
         for lang, r in _chunks(batches, CHUNK):
             at = np.unique(np.linspace(0, len(r.n), each, endpoint=False).astype(int)) if len(r.n) else []
             weight = len(r.n) / max(1, len(at))
-            yield pa.record_batch([pa.array([lang] * len(at)), pa.array([r.key(i) for i in at], pa.binary()), pa.array([weight] * len(at), pa.float64())], names=["lang", "key", "weight"])
+            yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array([r.key(i) for i in at], pa.binary()), pa.array([weight] * len(at), pa.float64())], names=["lang", "key", "weight"])
 
     found = sorted((x.lang, bytes(x.key), x.weight) for x in some.coalesce(max(1, n // 4)).mapInArrow(run, "lang string, key binary, weight double").collect())
     return _cuts(found, n)

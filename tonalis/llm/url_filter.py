@@ -148,14 +148,13 @@ def statistics(urls: DataFrame) -> np.ndarray:
 
 
 def fit(urls: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    """``urls``: url, host, path, _y (1 blocked, 0 allowed, null unknown). Statistics of all rows; trees of about ``max_rows`` labelled ones at most, drawn by a hash of the URL."""
+    """``urls``: url, host, path, _y (1 blocked, 0 allowed, null unknown). Statistics of all rows; trees of about ``max_rows`` different labelled ones at most, drawn by a hash of the URL."""
     seen = statistics(urls)
     n = int(seen[0, :, 1].sum())
     share = min(1.0, max_rows / max(n, 1))
     drawn = urls.filter(F.col("_y").isNotNull() & (F.crc32(F.concat(F.lit("fit/"), F.coalesce("url", F.lit("")))) < int(share * 2**32)))
-    if share < 1:  # one URL on a third of all rows is drawn as often as the bound allows
-        drawn = drawn.withColumn("_r", F.rand(7)).orderBy("_r").limit(2 * max_rows).drop("_r")
-    rows = drawn.select(F.coalesce("url", F.lit("")).alias("url"), "host", "path", "_y").toArrow().to_pylist()
+    # A URL counts once, however many rows repeat it.
+    rows = drawn.select(F.coalesce("url", F.lit("")).alias("url"), "host", "path", "_y").distinct().toArrow().to_pylist()
     rows.sort(key=lambda r: (r["url"], r["_y"]))
     y = np.array([r["_y"] for r in rows], float)
     model = Model(_trees.fit(np.zeros((0, 1)), np.zeros(0)), seen)
