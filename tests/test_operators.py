@@ -110,6 +110,43 @@ def test_tracks_and_merging_by_stretches_equal_the_whole(spark):
     assert got == sorted(whole) and len(whole) < lines.count()
 
 
+@pytest.mark.parametrize("kind", ["steady", "crossing", "noise", "sparse"])
+@pytest.mark.parametrize("chunk", [5, 40])
+def test_tracks_of_a_recording_without_pause_spread_over_chunks(spark, kind, chunk):
+    """Peaks in every frame: chunks that agree at once, runs that want one peak at borders, and runs over all chunks."""
+    rng = np.random.default_rng(8)
+    n = 300
+    rows = {
+        "steady": {(t, f): 5.0 + f for t in range(n) for f in (3, 20, 50)},
+        "crossing": {(t, f): 1.0 + t % 7 for t in range(n) for f in (20 + int(15 * np.sin(t / 9)), 20 - int(15 * np.sin(t / 9)), 18 + t % 5)},
+        "noise": {(int(t), int(f)): float(v) for t, f, v in zip(rng.integers(0, n, 1500), rng.integers(0, 30, 1500), rng.normal(2, 3, 1500), strict=True)},
+        "sparse": {(t, int(rng.integers(0, 9))): 1.0 for t in range(-60, n, 3)},
+    }[kind]
+    peaks = spark.createDataFrame([(r, t, f, v) for (t, f), v in rows.items() for r in ("a", None)], "rec string, t int, f int, v double").repartition(3)
+    got = T.persistent_lines(peaks, "rec", "t", "f", "v", 1.0, T.PersistenceConfig(4.0, 2, 3), chunk=chunk)
+    t, f, v = (np.array(x) for x in zip(*((t, f, v) for (t, f), v in rows.items()), strict=True))
+    want = T.K.track(t, f, v, 2, 3, 4.0)
+    rounded = lambda x: (*x[:5], round(x[5], 9), x[6])
+    for rec in ("a", None):
+        assert sorted(rounded(tuple(r)[1:]) for r in got.filter(F.col("rec").eqNullSafe(rec)).collect()) == sorted(map(rounded, want))
+    assert want and T.persistent_lines(peaks.limit(0), "rec", "t", "f", "v", 1.0).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [6, 50])
+def test_thinning_of_a_series_without_pause_spreads_over_chunks(spark, chunk):
+    """Heights that fall by and by, so that what stays depends on peaks far away, and random ones."""
+    rng = np.random.default_rng(9)
+    n = 400
+    x = np.zeros((n, 4))
+    x[1::2, 0] = 300 - np.arange(1, n, 2) * 0.5  # one chain over the whole series
+    x[1::2, 1] = 100 + np.arange(1, n, 2) * 0.5
+    x[1::2, 2] = rng.random(n // 2) * 50 + 9
+    x[1::2, 3] = 9 + rng.integers(0, 2, n // 2)  # ties
+    for gap in (3, 7.5):
+        got = {(r["t"], r["freq_bin"], r["value"]) for r in T.peaks_per_bin(_frames(spark, x), "rec", "t", "power", 8.0, gap, chunk=chunk).collect()}
+        assert got == {(int(t), f, x[t, f]) for f in range(4) for t in T.K.find_peaks(x[:, f], 8.0, gap)}
+
+
 def test_detection_publishes_its_lines(spark):
     topics, seen = L.Topics(), []
     topics.subscribe("line.detected", lambda df: seen.append(df.count()))

@@ -277,6 +277,96 @@ def track(time: np.ndarray, freq: np.ndarray, snr: np.ndarray, drift_bins: int,
     return out
 
 
+def thin_within(at: np.ndarray, height: np.ndarray, gap: int, first: float, last: float) -> tuple[np.ndarray, np.ndarray]:
+    """``thin`` of part of a series, of which all peaks at ``first`` to ``last`` are given: which stay, and of which that can't be told without the peaks beyond."""
+    keep, unknown = np.zeros(len(at), bool), np.zeros(len(at), bool)
+    low, high = np.searchsorted(at, at - gap + 1), np.searchsorted(at, at + gap)
+    for i in np.argsort(height, kind="stable")[::-1]:  # whatever is taller is settled before
+        if keep[low[i] : high[i]].any():
+            continue
+        unknown[i] = unknown[low[i] : high[i]].any() or at[i] - gap + 1 < first or at[i] + gap - 1 > last
+        keep[i] = not unknown[i]
+    return keep, unknown
+
+
+#: Of a part of a run: place among the runs before and after the chunk (-1: begun, ended inside), number of peaks, first and last time, lowest and highest bin, largest SNR, sums of bin times weight, weight and bin, last bin.
+PART = (("i", int), ("o", int), ("n", int), ("a", int), ("b", int), ("lo", int), ("hi", int), ("top", float), ("fw", float), ("w", float), ("fs", float), ("f", int))
+
+
+def sweep(time: np.ndarray, freq: np.ndarray, snr: np.ndarray, state: list[tuple[int, int]], drift_bins: int, gap_bins: int, end: int) -> tuple[list[tuple], bool]:
+    """``track`` as a sweep in time over one chunk of a series (times before ``end``).
+
+    Runs extend in the order of their first peaks whether each is followed to its end before the
+    next begins, as there, or all of them step by step, so a chunk needs no more of what is before it than the
+    runs still open, in order: ``state``, their last bin and time. Returns a PART of each run of
+    the chunk, and whether two runs of ``state`` wanted one peak, so that their order matters.
+    """
+    order = np.lexsort((freq, time))
+    t_, f_, v_ = time[order].tolist(), freq[order].tolist(), snr[order].tolist()
+    taken = [-2] * len(t_)  # place of the run that has the peak; -1 for one begun here
+    run = lambda i, f, t: [i, -1, 0, 0, t, 1 << 30, -(1 << 30), -np.inf, 0.0, 0.0, 0.0, f]
+    runs = [run(i, f, t) for i, (f, t) in enumerate(state)]
+    done, contended = [], False
+
+    def add(r: list, k: int) -> None:
+        w = max(v_[k], 0.0)
+        if not r[2]:
+            r[3] = t_[k]
+        r[2] += 1
+        r[4], r[5], r[6], r[7] = t_[k], min(r[5], f_[k]), max(r[6], f_[k]), max(r[7], v_[k])
+        r[8], r[9], r[10], r[11] = r[8] + f_[k] * w, r[9] + w, r[10] + f_[k], f_[k]
+        taken[k] = r[0]
+
+    a = 0
+    while a < len(t_):
+        b = a
+        while b < len(t_) and t_[b] == t_[a]:
+            b += 1
+        alive = []
+        for r in runs:
+            if t_[a] - r[4] > gap_bins:
+                done.append(r)
+                continue
+            alive.append(r)
+            best = wish = None
+            for k in range(a, b):
+                d = abs(f_[k] - r[11])
+                if d <= drift_bins:
+                    if wish is None or d < abs(f_[wish] - r[11]):
+                        wish = k
+                    if taken[k] == -2 and (best is None or d < abs(f_[best] - r[11])):
+                        best = k
+            if r[0] >= 0 and wish is not None and taken[wish] >= 0:
+                contended = True
+            if best is not None:
+                add(r, best)
+        for k in range(a, b):
+            if taken[k] == -2:
+                alive.append(run(-1, 0, 0))
+                add(alive[-1], k)
+        runs, a = alive, b
+    out = 0
+    for r in runs:
+        if end - r[4] <= gap_bins:
+            r[1], out = out, out + 1
+    return [tuple(r) for r in done + runs], contended
+
+
+def joined(a: tuple, b: tuple) -> tuple:
+    """PART of a run from those of two chunks that follow each other."""
+    if not b[2]:
+        return (a[0], b[1], *a[2:])
+    if not a[2]:
+        return (a[0], *b[1:])
+    return (a[0], b[1], a[2] + b[2], a[3], b[4], min(a[5], b[5]), max(a[6], b[6]), max(a[7], b[7]), a[8] + b[8], a[9] + b[9], a[10] + b[10], b[11])
+
+
+def line_of(p: tuple) -> tuple[int, int, int, int, int, float, int]:
+    """The row of ``track`` of a whole run."""
+    centre = p[8] / p[9] if p[9] > 0 else p[10] / p[2]
+    return (int(np.rint(centre)), p[5], p[6], p[3], p[4], p[7], p[2])
+
+
 def label_4(mask: np.ndarray) -> tuple[np.ndarray, int]:
     """4-connected components of a boolean image: labels from 1 in order of their first cell, and how many."""
     n = mask.size

@@ -1,9 +1,10 @@
 """From peaks to lines: thinning, persistence tracking, cluster merge, anchor dedupe, and the whole detection.
 
-Thinning, tracking and merging follow an order and are grouped kernels. None of them can see past
-a pause: peaks further apart than the distance or the gap, or lines that don't meet in time, have
-nothing to do with each other. So a recording (or beam) is cut at its pauses first, natively, and a
-group is one stretch between two of them, not a whole recording.
+Thinning, tracking and merging follow an order and are kernels, called on many groups at a time.
+A recording of any length without a pause spreads over tasks: its peaks are cut into chunks of
+time bins. Thinning gives a chunk the peaks around it, more of them where that doesn't settle
+it. Tracking gives a chunk the runs that the chunk before leaves open, and repeats chunks until what each got
+is what the one before gave. Merging, of far fewer rows, is cut at pauses.
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +22,10 @@ from pyspark.sql import functions as F
 from tonalis.functions import columns as C
 from tonalis.functions import kernels as K
 from tonalis.operators import normalize as N
+from tonalis.operators.batches import cut, grouped
+
+#: Time bins of a chunk of peaks.
+CHUNK = 8192
 
 TRACK = "freq_bin_center int, freq_bin_min int, freq_bin_max int, t_start_bin int, t_end_bin int, peak_snr_db double, n_peaks int"
 LINE = "correlation_id string, array_id string, beam_id string, timestamp timestamp, frequency_hz double, bandwidth_hz double, snr_db double, persistence_s double, detection_method string, confidence double"
@@ -60,42 +67,139 @@ def _stretches(df: DataFrame, keys: list[str], starts: Column, order: list[str])
     return df.withColumn("_stretch", F.sum(F.when(starts, 1).otherwise(0)).over(Window.partitionBy(*keys).orderBy(*order)))
 
 
-def peaks_per_bin(frames: DataFrame, recording: str, time: str, power: str, threshold: float = 8.0, separation: float = 4) -> DataFrame:
+def peaks_per_bin(frames: DataFrame, recording: str, time: str, power: str, threshold: float = 8.0, separation: float = 4, chunk: int = CHUNK) -> DataFrame:
     """Peaks (recording, freq_bin, time, value) along time per frequency bin, thinned so that none is nearer than ``separation`` to a taller one.
 
-    Candidates are found natively; only stretches of several within the separation are thinned.
+    Candidates are found natively. A chunk of a bin's candidates gets those around it as well, as far as
+    ``halo`` bins; where that doesn't settle which stay, it is thinned again with twice as many.
     """
+    keys, gap = [recording, "freq_bin"], -int(-separation // 1)
     found = N.peak_candidates(frames, recording, time, power, threshold)
-    keys = [recording, "freq_bin"]
-    gap = -int(-separation // 1)
-    before = F.lag(time).over(Window.partitionBy(*keys).orderBy(time))
-    cut = _stretches(found, keys, before.isNull() | (F.col(time) - before >= gap), [time])
-    cut = cut.withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "_stretch")))
-    names = [*keys, time, "value"]
-    kinds = dict(found.dtypes)
+    if gap < 2:
+        return found.select(*keys, time, "value")
+    kinds, names = dict(found.dtypes), [*keys, time, "value"]
+    schema = ", ".join(f"{c} {kinds[c]}" for c in names) + ", _chunk long, _open boolean"
+    found, out, halo, open_ = cut(found.select(*names)), None, 4 * gap, None
+    while True:
+        dealt = _with_halo(found, time, chunk, halo)
+        if open_ is not None:
+            dealt = dealt.join(open_, [*keys, "_chunk"], "left_semi")
+
+        def run(t: pa.Table, starts: np.ndarray, halo: int = halo) -> pa.Table:
+            at, height, own = (t[c].to_numpy() for c in (time, "value", "_chunk"))
+            stay, unclear = np.zeros(len(at), bool), np.zeros(len(at), bool)
+            for a, b in pairwise(starts.tolist()):
+                low = own[a] * chunk
+                keep, unknown = K.thin_within(at[a:b], height[a:b], gap, low - halo, low + chunk + halo - 1)
+                mine = (at[a:b] >= low) & (at[a:b] < low + chunk)
+                if (unknown & mine).any():
+                    unclear[a + np.flatnonzero(mine)[0]] = True  # one row says so for the chunk
+                else:
+                    stay[a:b] = keep & mine
+            t = t.append_column("_open", pa.array(unclear))
+            return t.filter(pa.array(stay | unclear)).select([*names, "_chunk", "_open"])
+
+        got = cut(grouped(dealt, [*keys, "_chunk"], [time], run, schema))
+        done = got.filter("not _open").select(names)
+        out = done if out is None else out.unionByName(done)
+        open_ = got.filter("_open").select(*keys, "_chunk")
+        if open_.isEmpty():
+            return out
+        halo *= 2
+
 
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by(time)
-        return t.take(pa.array(K.thin(t[time].to_numpy(), t["value"].to_numpy(), gap))).select(names)
+def _with_halo(df: DataFrame, time: str, chunk: int, halo: int) -> DataFrame:
+    """Rows by the chunks (``_chunk``) that they lie in or no further than ``halo`` from."""
+    cell = lambda c: F.floor(c / F.lit(chunk)).cast("long")
+    return df.withColumn("_chunk", F.explode(F.sequence(cell(F.col(time) - halo), cell(F.col(time) + halo))))
 
-    crowded = cut.filter("_n > 1").select(*names, "_stretch").groupBy(*keys, "_stretch").applyInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names))
-    return cut.filter("_n = 1").select(*names).unionByName(crowded)
 
+_PARTS = "array<struct<" + ",".join(f"{n}:{'bigint' if k is int else 'double'}" for n, k in K.PART) + ">>"
+_STATE = "array<struct<f:bigint,t:bigint>>"
+_PART_TYPE = pa.list_(pa.struct([(n, pa.int64() if k is int else pa.float64()) for n, k in K.PART]))
+_STATE_TYPE = pa.list_(pa.struct([("f", pa.int64()), ("t", pa.int64())]))
 
-def persistent_lines(peaks: DataFrame, recording: str, time: str, freq: str, value: str, hop_s: float, config: PersistenceConfig = PersistenceConfig()) -> DataFrame:
-    """Tracks per recording, from sparse peak rows. A group is a stretch of peaks without a pause longer than the gap, which no run can cross."""
-    kind = dict(peaks.dtypes)[recording]
 
-    def run(t: pa.Table) -> pa.Table:
-        got = K.track(t[time].to_numpy(), t[freq].to_numpy(), t[value].to_numpy(), config.max_drift_bins, config.max_gap_bins, config.min_persistence_s / hop_s)
-        cols = list(zip(*got, strict=True)) or [()] * 7
+def persistent_lines(peaks: DataFrame, recording: str, time: str, freq: str, value: str, hop_s: float, config: PersistenceConfig = PersistenceConfig(), chunk: int = CHUNK) -> DataFrame:
+    """Tracks per recording, from sparse peak rows.
+
+    Peaks are dealt by (recording, chunk of time bins) and swept with no open runs before. Then the chunks'
+    open runs are put together per recording, in order; a chunk that was swept with others than
+    the one before leaves is swept again, and so on until they agree, mostly after one repeat.
+    Only runs that cross a border, and those long enough, leave their chunk. A peak without time or
+    frequency says nothing, one without a value weighs nothing; a null recording is one like any other.
+    """
+    kind, least, gap = dict(peaks.dtypes)[recording], config.min_persistence_s / hop_s, config.max_gap_bins
+    rows = peaks.select(recording, F.col(time).cast("long").alias("t"), F.col(freq).cast("long").alias("f"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("v")).dropna(subset=["t", "f"]).withColumn("_chunk", F.floor(F.col("t") / chunk).cast("long"))
+    rows = cut(rows)
+
+    def sweep(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        at, f, v, own = (t[c].to_numpy() for c in ("t", "f", "v", "_chunk"))
+        states = t["_state"].take(pa.array(starts[:-1])).to_pylist()
+        parts, fought = [], []
+        for (a, b), state in zip(pairwise(starts.tolist()), states, strict=True):
+            got, contended = K.sweep(at[a:b], f[a:b], v[a:b], [(s["f"], s["t"]) for s in state], config.max_drift_bins, gap, (int(own[a]) + 1) * chunk)
+            parts.append([dict(zip(PART_NAMES, p, strict=True)) for p in got if p[0] >= 0 or p[1] >= 0 or p[4] - p[3] >= least])
+            fought.append(contended)
+        first = t.take(pa.array(starts[:-1]))
+        return pa.table([first[recording], first["_chunk"], pa.array(states, _STATE_TYPE), pa.array(fought, pa.bool_()), pa.array(parts, _PART_TYPE)], names=[recording, "_chunk", "_state", "_fought", "_parts"])
+
+    def scan(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        place, own, state, fought, parts = (t[c].to_pylist() for c in (recording, "_chunk", "_state", "_fought", "_parts"))
+        again, lines = [], []
+        for a, b in pairwise(starts.tolist()):
+            some, ended = _along(own[a:b], state[a:b], fought[a:b], parts[a:b], chunk, gap)
+            again += [(place[a], c, [{"f": f, "t": u} for f, u in s]) for c, s in some]
+            if not some:
+                lines += [(place[a], *K.line_of(p)) for p in ended if p[4] - p[3] >= least]
+        head = pa.array([x[0] for x in again] + [x[0] for x in lines], t.schema.field(recording).type)
+        pad = lambda kind, n: pa.nulls(n, kind)
+        cols = list(zip(*(x[1:] for x in lines), strict=True)) or [()] * 7
         kinds = [pa.int32()] * 5 + [pa.float64(), pa.int32()]
-        first = pa.array([t[recording][0].as_py()] * len(got), t.schema.field(recording).type)
-        return pa.table([first, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[recording, *(c.split()[0] for c in TRACK.split(", "))])
+        left = [pa.concat_arrays([pa.array([x[k] for x in again], kind), pad(kind, len(lines))]) for k, kind in ((1, pa.int64()), (2, _STATE_TYPE))]
+        right = [pa.concat_arrays([pad(k, len(again)), pa.array(c, k)]) for c, k in zip(cols, kinds, strict=True)]
+        return pa.table([head, *left, *right], names=[recording, "_chunk", "_state", *(c.split()[0] for c in TRACK.split(", "))])
 
-    before = F.lag(time).over(Window.partitionBy(recording).orderBy(time, freq))
-    cut = _stretches(peaks.select(recording, time, freq, value), [recording], before.isNull() | (F.col(time) - before > config.max_gap_bins), [time, freq])
-    return cut.groupBy(recording, "_stretch").applyInArrow(run, f"{recording} {kind}, {TRACK}")
+    none = F.lit(None).cast(_STATE)
+    swept = f"{recording} {kind}, _chunk long, _state {_STATE}, _fought boolean, _parts {_PARTS}"
+    known = cut(grouped(rows.withColumn("_state", F.coalesce(none, F.array().cast(_STATE))), [recording, "_chunk"], ["t", "f"], sweep, swept))
+    while True:
+        got = cut(grouped(known, [recording], ["_chunk"], scan, f"{recording} {kind}, _chunk long, _state {_STATE}, {TRACK}"))
+        again = got.filter("_chunk is not null").select(recording, "_chunk", "_state")
+        if again.isEmpty():
+            return got.select(recording, *(c.split()[0] for c in TRACK.split(", ")))
+        same = rows[recording].eqNullSafe(again[recording]) & (rows["_chunk"] == again["_chunk"])
+        new = grouped(rows.join(again, same).select(rows[recording], rows["t"], rows["f"], rows["v"], rows["_chunk"], again["_state"]), [recording, "_chunk"], ["t", "f"], sweep, swept)
+        same = known[recording].eqNullSafe(again[recording]) & (known["_chunk"] == again["_chunk"])
+        known = cut(known.join(again, same, "left_anti").unionByName(new))
+
+
+PART_NAMES = [n for n, _ in K.PART]
+
+
+def _along(own: list[int], states: list[list], fought: list[bool], parts: list[list], chunk: int, gap: int) -> tuple[list[tuple[int, list]], list[tuple]]:
+    """The chunks of one recording in order: those to be swept again, with the open runs that the one before leaves (as far as is known), and the runs put together."""
+    again, ended, open_ = [], [], []  # open_: PARTs in order
+    for c, state, f, raw in zip(own, states, fought, parts, strict=True):
+        alive = [p for p in open_ if c * chunk - p[4] <= gap]
+        ended += [p for p in open_ if c * chunk - p[4] > gap]
+        want, had = [(p[11], p[4]) for p in alive], [(s["f"], s["t"]) for s in state]
+        if want != had and (f or sorted(want) != sorted(had)):
+            again.append((c, want))
+        at = {s: k for k, s in enumerate(had)}
+        here = [tuple(p[n] for n in PART_NAMES) for p in raw]
+        of = {p[0]: p for p in here if p[0] >= 0}
+        open_ = []
+        for p in alive:  # in the order that is right, whatever order they were swept in
+            mine = of.get(at.get((p[11], p[4]), -1))
+            if mine is not None:
+                (open_ if mine[1] >= 0 else ended).append(K.joined(p, mine))
+        if again and again[-1][0] == c:  # a guess, from what this chunk left when it was swept
+            open_ = [p for p in sorted(here, key=lambda p: p[1]) if p[1] >= 0]
+            continue
+        open_ += sorted((p for p in here if p[0] < 0 and p[1] >= 0), key=lambda p: p[1])
+        ended += [p for p in here if p[0] < 0 and p[1] < 0]
+    return again, ended + open_
 
 
 def to_lines(tracks: DataFrame, array_id: Column, beam_id: Column, start: Column, first_hz: float, bin_hz: float, hop_s: float, first_s: float = 0.0, method: str = "classical") -> DataFrame:
@@ -151,14 +255,17 @@ def merge_nearby(lines: DataFrame, tolerance: float, keys: tuple[str, ...] = ("a
         raise ValueError(f"the tolerance can't be negative: {tolerance}")
     columns = [c.split()[0] for c in LINE.split(", ")]
 
-    def run(t: pa.Table) -> pa.Table:
-        rows = t.to_pylist()
-        zero = min(r["timestamp"] for r in rows)
-        got = merge_rows([{**r, "start": (r["timestamp"] - zero) / 1e6} for r in rows], tolerance)
-        for r in got:
-            if "ids" in r:
-                r["correlation_id"] = hashlib.md5("+".join(r["ids"]).encode()).hexdigest()
-            r["timestamp"] = zero + round(r["start"] * 1e6)
+    def run(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        rows, got = t.to_pylist(), []
+        for a, b in pairwise(starts.tolist()):
+            zero = rows[a]["timestamp"]
+            some = merge_rows([{**r, "start": (r["timestamp"] - zero) / 1e6} for r in rows[a:b]], tolerance)
+            for r in some:
+                if "ids" in r:
+                    r["correlation_id"] = hashlib.md5("+".join(r["ids"]).encode()).hexdigest()
+                if "start" in r:
+                    r["timestamp"] = zero + round(r["start"] * 1e6)
+            got += some
         return pa.table({c: pa.array([r[c] for r in got], t.schema.field(c).type) for c in columns})
 
     # Times cross to the kernel as whole microseconds.
@@ -166,8 +273,8 @@ def merge_nearby(lines: DataFrame, tolerance: float, keys: tuple[str, ...] = ("a
     order = ["timestamp", "frequency_hz", "correlation_id"]
     ended = F.max("_end").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     # A microsecond of slack, as the kernel compares seconds.
-    cut = _stretches(own, list(keys), ended.isNull() | (F.col("timestamp") > ended + 1), order)
-    return cut.drop("_end").groupBy(*keys, "_stretch").applyInArrow(run, LINE.replace("timestamp timestamp", "timestamp long")).withColumn("timestamp", F.timestamp_micros("timestamp"))
+    dealt = _stretches(own, list(keys), ended.isNull() | (F.col("timestamp") > ended + 1), order)
+    return grouped(dealt.drop("_end"), [*keys, "_stretch"], order, run, LINE.replace("timestamp timestamp", "timestamp long")).withColumn("timestamp", F.timestamp_micros("timestamp"))
 
 
 def in_band(lines: DataFrame, low_hz: float, high_hz: float, freq: str = "frequency_hz") -> DataFrame:
