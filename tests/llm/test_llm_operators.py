@@ -3,6 +3,7 @@
 import hashlib
 import json
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -94,19 +95,29 @@ def test_differencing_of_pages_that_are_mostly_template(spark):
 
 
 def _brute_pages(rows):
-    """Texts by the definition, of pages none of which is a copy of another: each is aligned with the page before and after it on its host."""
+    """Texts by the definition, and how many lines differencing deletes, of pages none of which is a copy of another: each is aligned with the page before and after it on its host."""
     at = sorted((html_text._address(u), i, u, h) for i, u, h in rows)
     page = {i: html_text.scan(h or "") for _, i, _, h in at}
     out = {}
     for k, (where, i, _, _) in enumerate(at):
         lines, marks = page[i]
-        gone = [m == html_text.OUT for m in marks]
+        hits, articles = [], []
         for o in (k - 1, k + 1):
             if 0 <= o < len(at) and at[o][0][0] == where[0]:
-                code = {x: n for n, x in enumerate({*lines, *page[at[o][1]][0]})}
-                hit = html_text.common(*(np.array([code[x] for x in z], int) for z in (lines, page[at[o][1]][0])))
-                gone = [g or h and m != html_text.INSIDE for g, h, m in zip(gone, hit, marks, strict=True)]
-        out[i] = "\n".join(x for x, g in zip(lines, gone, strict=True) if not g)
+                other = page[at[o][1]]
+                code = {x: n for n, x in enumerate({*lines, *other[0]})}
+                hits.append(html_text.common(*(np.array([code[x] for x in z], int) for z in (lines, other[0]))))
+                articles.append({x for x, m in zip(*other, strict=True) if m == html_text.INSIDE})
+        gone = {j for j, m in enumerate(marks) if m == html_text.OPEN and any(h[j] for h in hits)}
+        own = [j for j, m in enumerate(marks) if m == html_text.INSIDE]
+        ends = [len(hits) == 2 and bool(hits[0][j] and hits[1][j]) and lines[j] in articles[0] & articles[1] for j in own]
+        if not all(ends):
+            for order in (list(zip(own, ends, strict=True)), list(zip(own, ends, strict=True))[::-1]):
+                for j, e in order:
+                    if not e:
+                        break
+                    gone.add(j)
+        out[i] = "\n".join(x for j, x in enumerate(lines) if marks[j] != html_text.OUT and j not in gone), len(gone)
     return out
 
 
@@ -116,17 +127,68 @@ def test_extraction_against_brute_force(spark, parts):
     word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 5000, n))
     menu = [f"menu entry {k}" for k in range(12)]
     rows = []
-    for i in range(80):
+    for i in range(120):
         own = [f"<p>{word(30)}</p>" for _ in range(rng.integers(1, 5))]
         shared = [f"<div>{m}</div>" for m in menu if rng.random() < 0.7]
-        inside = [f"<article><p>{word(30)}</p><p>menu entry 3</p><div class='ad'>{word(3)}</div></article>"] if i % 3 == 0 else []
+        inside = [f"<article><p>Written by us</p><p>{word(30)}</p><p>menu entry 3</p><p>{word(3)}</p><p>Tell a friend</p><div class='ad'>{word(3)}</div></article>"] if i % 3 == 0 or i > 60 else []
         rows.append((i, f"http://h{i % 4}.com/{rng.integers(0, 30):02d}/{i}", f"<nav>{word(1)}<li>home</nav>{''.join(shared[:5])}{''.join(own)}{''.join(inside)}{''.join(shared[5:])}<footer>by us</footer>"))
     rows += [(900, None, None), (901, "http://[bad", ""), (902, "http://lone.net/x", "<p>menu entry 1</p>" + "".join(f"<p>line {k % 40}</p>" for k in range(3000)))]
     got = by_id(html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("row", F.lit(1)).repartition(parts)), "page_id")
     want = _brute_pages(rows)
-    assert {i: r["text"] for i, r in got.items()} == want
-    assert all("menu entry 3" in want[i].split("\n") for i in range(0, 80, 3))
-    assert sum(r["n_shared"] > 0 for r in got.values()) == 80
+    assert {i: (r["text"], r["n_shared"]) for i, r in got.items()} == want
+    assert all("menu entry 3" in want[i][0].split("\n") for i in range(120) if i % 3 == 0 or i > 60)
+    cut = [i for i in range(120) if (i % 3 == 0 or i > 60) and "Tell a friend" not in want[i][0]]
+    assert len(cut) > 10 and all("Written by us" not in want[i][0] for i in cut) and sum(n > 0 for _, n in want.values()) > 60
+
+
+@pytest.mark.parametrize("wrap", ["div", "main", "main class='menu-less'"])
+def test_differencing_inside_main(spark, wrap):
+    """A main element shields nothing: text, menu and footer in it are told apart by the neighbours."""
+    page = lambda k: f"<{wrap}><div>Home and sections</div><h1>Title {k}</h1><p>own words {k} and more of them here</p><div>All rights by us</div></{wrap.split()[0]}>"
+    got = by_id(html_text.extract(spark.createDataFrame([(k, f"http://h.com/{k}", page(k)) for k in range(6)], "page_id long, url string, html string").repartition(3)), "page_id")
+    assert all(r["text"] == f"Title {k}\nown words {k} and more of them here" and r["n_shared"] == 2 for k, r in got.items())
+
+
+def test_what_stands_beside_the_article_goes_without_names():
+    page = "<body><div>advert of today</div><article><h1>T</h1><p>text of the article, long enough</p></article><div>more links</div></body>"
+    assert html_text.parse(page)[0] == ["T", "text of the article, long enough"]
+    assert html_text.parse("<h1>Title</h1>" + page)[0][0] == "Title"
+    cards = "<div>the text of this page stands outside its small cards</div><article>card</article>"
+    assert html_text.parse(cards)[0] == ["the text of this page stands outside its small cards", "card"]
+
+
+@pytest.mark.parametrize("kind", ["equal", "two", "mixed", "shuffled"])
+def test_alignment_of_very_many_equal_lines(kind):
+    """50,000 lines that repeat, in seconds; as long as the exact one where that is known."""
+    rng, n = np.random.default_rng(5), 50_000
+    if kind == "equal":
+        a, b, want = np.r_[1, np.zeros(n, int), 2, 0, 0], np.r_[3, np.zeros(n - 7, int), 4], n - 7
+    elif kind == "two":
+        a, b, want = np.tile([0, 1], n // 2), np.r_[9, np.tile([1, 0], n // 2)], n - 1
+    elif kind == "mixed":
+        a, b, want = np.r_[np.zeros(n // 2, int), np.arange(1, n // 2)], np.r_[5, np.zeros(n // 2, int), np.arange(1, n // 2)[::-1]], n // 2 + 1
+    else:
+        a, b, want = rng.integers(0, 50, 3000), rng.integers(0, 50, 3000), None
+    began = time.monotonic()
+    hit = html_text.common(a, b)
+    assert time.monotonic() - began < 20
+    it = iter(b.tolist())
+    assert all(x in it for x in a[hit].tolist())
+    t = np.zeros(len(b) + 1, int)
+    if want is None:
+        for x in a.tolist():
+            t = np.maximum.accumulate(np.maximum(t, np.r_[0, t[:-1] + (b == x)]))
+        want = t[-1]
+    assert hit.sum() == want
+
+
+def test_alignment_by_bits_is_a_longest_one():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        a, b = (rng.integers(0, rng.integers(1, 6), rng.integers(1, 30)).tolist() for _ in range(2))
+        got, other = html_text._by_bits(a, b), html_text._by_matches([x for x in a if x in b], [x for x in b if x in a]) if set(a) & set(b) else []
+        it = iter(b)
+        assert len(got) == len(other) == _lcs(a, b) and all(a[i] in it for i in got)
 
 
 # 2: language
@@ -219,6 +281,13 @@ def test_exact_dedup_against_brute_force(spark, fan):
     assert sorted((str(r["doc_id"]), str(r["keep_id"]), r["kept"]) for r in odd) == [("4", "4", True), ("5", "4", False), ("None", "4", False), ("None", "None", True)]
 
 
+def test_exact_dedup_keeps_the_longest_though_unnamed(spark):
+    rows = [(None, "ab   "), (5, "ab"), (7, "a b"), (None, "xy "), (None, "xy  "), (8, "xy"), (9, "q "), (9, "q "), (None, "q"), (None, "r "), (None, "r ")]
+    got = sorted((str(r["doc_id"]), r["group_size"], str(r["keep_id"]), r["kept"]) for r in exact_dedup.exact_dedup(docs(spark, rows, 4)).collect())
+    assert got == sorted([("None", 3, "None", True), ("5", 3, "None", False), ("7", 3, "None", False), *[("None", 3, "None", True)] * 2, ("8", 3, "None", False), *[("9", 3, "9", True)] * 2, ("None", 3, "9", False), *[("None", 2, "None", True)] * 2])
+    assert exact_dedup.kept_rows(docs(spark, rows, 4)).count() == 1 + 1 + 2 + 2  # rows that repeat are all listed
+
+
 # 4, 7: tokens
 
 

@@ -93,13 +93,14 @@ def exact_dedup(docs: DataFrame, fan: int = 16) -> DataFrame:
     Null and empty texts are equal to each other and to texts of white space only, and form a
     group like any other. Rows that repeat a doc_id are rows of their own: each is counted,
     and ``kept`` is true for those whose doc_id is keep_id. A null doc_id yields to any other of
-    the same length. An empty table gives no rows.
+    the same length; where a longer text has one, it stays, keep_id is null, and ``kept`` is true for the
+    rows of the group with a null doc_id. An empty table gives no rows.
     Other columns of ``docs`` are ignored, whatever their names.
     """
     light = cut(digests(docs))
     merged = merge_runs(light, max(1, light.rdd.getNumPartitions()), fan).filter("n > 1")
-    found = merged.select(*KEY, "n", F.col("best.doc_id").alias("_keep"))
-    keep = F.coalesce("_keep", "doc_id")
+    found = merged.select(*KEY, "n", F.col("best.doc_id").alias("_keep"), F.lit(True).alias("_grouped"))
+    keep = F.when(F.col("_grouped"), F.col("_keep")).otherwise(F.col("doc_id"))  # the one that stays may have a null doc_id
     return assign(light, found, KEY).select(
         "doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )

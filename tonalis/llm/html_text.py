@@ -1,8 +1,7 @@
 """HTML extraction: nearest-URL page differencing.
 
-1. Each page is parsed into text lines, one per block, in page order, menus and footers and all.
-   Markup gives hints: a line stands inside an article element, or in an element that says it
-   is a menu, header, footer, sidebar, notice, advert, form or reader comment, or neither (open).
+1. Each page is parsed into text lines, one per block, in page order, menus and footers and all,
+   with what its structure says of each (``scan``): inside an article element, open, or ruled out.
 2. Pages are put in order of host and URL path by a range shuffle of light rows (hashes of
    lines, no text), so that the nearest pages by path stand next to each other; the pages at
    the ends of each partition go to the driver and its neighbours (four light rows a partition).
@@ -10,11 +9,14 @@
    copies. Own text is what isn't among the lines common to the two neighbours of the host
    that have least in common; a host all of whose neighbours share over 0.9 of the text is one
    run, as nothing tells its template from its text. Each page's lines are aligned with those of the page before and the page
-   after its run, however far, by longest common subsequence; lines in the common subsequence
-   are the site's template and are deleted, but for those inside the article.
-4. Of the lines that no neighbour shares, those that markup calls a menu, advert, comment and so
-   on go as well: adverts, comments and related links differ from page to page. (On the test
-   pages, whose menus differ on every page, most lines go by this.)
+   after its run, however far, by longest common subsequence. Lines in the common subsequence
+   are the site's template and are deleted; those inside an article element are if they are common to both
+   neighbours' articles and stand at its head or foot, with text of its own between.
+4. What no neighbour shares goes by structure: elements that aren't text (menus, footers, asides,
+   forms), and all that stands beside the article where article or main elements hold most of the text.
+   Names that authors give to elements (``HINT``) count only where no structure says more: inside
+   the article, and on pages without one. Adverts and menus that differ from page to page, as all do on
+   the test pages, can go by this step alone.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from __future__ import annotations
 import html as entities
 import pickle
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -80,7 +83,7 @@ def _ends(page: str, name: str) -> dict[int, int]:
     return out
 
 
-#: What markup says of a line: nothing, inside the article, ruled out.
+#: What markup says of a line: nothing, inside an article element, ruled out.
 OPEN, INSIDE, OUT = 0, 1, 2
 
 
@@ -91,14 +94,19 @@ def parse(page: str) -> tuple[list[str], list[bool]]:
 
 
 def scan(page: str) -> tuple[list[str], list[int]]:
-    """All lines of the page, and what markup says of each. What is ruled out inside a line is a line of its own, behind it."""
+    """All lines of the page, and what markup says of each. What is ruled out inside a line is a line of its own, behind it.
+
+    Where article and main elements hold at least half of the text that isn't ruled out, lines beside them, but
+    for headings of the first rank, are ruled out. A main element makes no line INSIDE: sites put menus and footers in it.
+    """
     lines: list[str] = []
     marks: list[int] = []
+    beside: list[bool] = []  # outside article and main, and no first heading
     piece: list[str] = []
     aside: list[str] = []
     stack: list[tuple[str, bool]] = []  # open block or boilerplate elements: name, and whether it is ruled out
     ends: dict[str, dict[int, int]] = {}
-    out = inside = at = 0
+    out = inside = main = at = 0
 
     def flush() -> None:
         for held, mark in ((piece, INSIDE if inside else OPEN), (aside, OUT)):
@@ -106,13 +114,15 @@ def scan(page: str) -> tuple[list[str], list[int]]:
                 if s := " ".join(entities.unescape("".join(held)).split()):
                     lines.append(s)
                     marks.append(mark)
+                    beside.append(not inside and not main and not any(n == "h1" for n, _ in stack))
                 held.clear()
 
     def pop() -> None:
-        nonlocal out, inside
+        nonlocal out, inside, main
         name, bad = stack.pop()
         out -= bad
-        inside -= name in MAIN and not bad
+        inside -= name == "article" and not bad
+        main -= name == "main" and not bad
 
     for m in TOKEN.finditer(page):
         if m.start() < at:
@@ -149,16 +159,22 @@ def scan(page: str) -> tuple[list[str], list[int]]:
         else:
             if stack and (name in CLOSES and stack[-1][0] in CLOSES[name] or block and stack[-1][0] == "p"):
                 pop()
-            bad = _boiler(name, m[3], inside > 0)
+            bad = _boiler(name, m[3], inside + main > 0)
             if (block or bad or out and any(s[0] == name for s in stack)) and name not in VOID and not m[3].endswith("/"):
                 if bad and not block and not out:
                     piece.append(" ")
                 stack.append((name, bad))
                 out += bad
-                inside += name in MAIN and not bad
+                inside += name == "article" and not bad
+                main += name == "main" and not bad
     if at < len(page):
         (aside if out else piece).append(page[at:])
     flush()
+    size = [0, 0]
+    for x, m, b in zip(lines, marks, beside, strict=True):
+        size[b] += len(x) * (m != OUT)
+    if size[0] and size[0] >= size[1]:
+        marks = [OUT if b else m for m, b in zip(marks, beside, strict=True)]
     return lines, marks
 
 
@@ -179,28 +195,80 @@ def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x, y = x[i], y[j]
     if not len(x) or not len(y):
         return out
-    # Hunt and Szymanski: longest increasing run of matching places, in (matches) log (lines).
+    n = np.unique(x, return_counts=True)[1].astype(float) @ np.unique(y, return_counts=True)[1]
+    found = _by_bits(x.tolist(), y.tolist()) if n > FEW * (len(x) + len(y)) else _by_matches(x.tolist(), y.tolist())
+    out[head + i[found]] = True
+    return out
+
+
+#: Pairs of equal lines, as a multiple of the lines, up to which an alignment lists them.
+FEW = 8
+
+
+def _by_matches(x: list[int], y: list[int]) -> list[int]:
+    """Places in x of a longest common subsequence. After Hunt and Szymanski: the longest rising run of matching places, in (matches) log (lines)."""
     places: dict[int, list[int]] = {}
-    for k, v in enumerate(y.tolist()):
+    for k, v in enumerate(y):
         places.setdefault(v, []).append(k)
     ends: list[int] = []
-    links: list[tuple[int, int, object]] = []
-    from bisect import bisect_left
-
-    for r, v in enumerate(x.tolist()):
+    links: list[tuple[int, object]] = []
+    for r, v in enumerate(x):
         for k in reversed(places[v]):
             p = bisect_left(ends, k)
-            link = (r, k, links[p - 1] if p else None)
+            link = (r, links[p - 1] if p else None)
             if p == len(ends):
                 ends.append(k)
                 links.append(link)
             elif k < ends[p]:
                 ends[p], links[p] = k, link
-    link = links[-1] if links else None
+    out, link = [], links[-1] if links else None
     while link:
-        out[head + i[link[0]]] = True
-        link = link[2]
-    return out
+        out.append(link[0])
+        link = link[1]
+    return out[::-1]
+
+
+def _by_bits(x: list[int], y: list[int]) -> list[int]:
+    """The same for lines that repeat: after Hirschberg, y is halved at the best place in x, in linear space; the lengths that this takes are a sum over words of bits (after Crochemore and others), whatever repeats."""
+    out, parts = [], [(0, len(x), 0, len(y))]
+    while parts:
+        a, z, b, w = parts.pop()
+        while a < z and b < w and x[a] == y[b]:
+            out.append(a)
+            a, b = a + 1, b + 1
+        while a < z and b < w and x[z - 1] == y[w - 1]:
+            z, w = z - 1, w - 1
+            out.append(z)
+        if w - b == 1 or z - a == 1:
+            if (k := next((i for i in range(a, z) if x[i] in y[b:w]), None) if z - a == 1 else next((i for i in range(a, z) if x[i] == y[b]), None)) is not None:
+                out.append(k)
+        elif a < z and b < w:
+            mid = (b + w) // 2
+            k = a + int((_lengths(x[a:z], y[b:mid]) + _lengths(x[a:z][::-1], y[mid:w][::-1])[::-1]).argmax())
+            parts += [(a, k, b, mid), (k, z, mid, w)]
+    return sorted(out)
+
+
+def _lengths(x: list[int], y: list[int]) -> np.ndarray:
+    """Lengths of the longest common subsequence of y and the first 0, 1, ... lines of x."""
+    n, wanted = len(x), set(y)
+    places: dict[int, list[int]] = {}
+    for i, v in enumerate(x):
+        if v in wanted:
+            places.setdefault(v, []).append(i)
+    often = {}
+    for v, at in places.items():
+        if len(at) > 16:
+            bits = np.zeros(n, bool)
+            bits[at] = True
+            often[v] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    full = row = (1 << n) - 1
+    for v in y:
+        if v in places:
+            hit = row & (often[v] if v in often else sum(1 << i for i in places[v]))
+            row = (row + hit | row - hit) & full
+    rises = np.unpackbits(np.frombuffer(row.to_bytes(-(-n // 8), "little"), np.uint8), bitorder="little")[:n] == 0
+    return np.r_[0, np.cumsum(rises)]
 
 
 def _address(url: str | None) -> tuple[str, str]:
@@ -325,8 +393,21 @@ def _beyond(parts: list[dict], p: int, side: int, copy: float) -> Page | None:
     return None
 
 
+def _shared(me: Page, left: Page | None, right: Page | None) -> np.ndarray:
+    """Lines to delete: those common with the page on either side. Of an article's, those common with the articles of both that lead to its head or foot, if lines of its own are left."""
+    hits = [common(me[0], o[0]) if o is not None else np.zeros(len(me[0]), bool) for o in (left, right)]
+    drop = (hits[0] | hits[1]) & (me[1] != INSIDE)
+    own = np.flatnonzero(me[1] == INSIDE)
+    if left is not None and right is not None and len(own):
+        both = (hits[0] & hits[1])[own] & np.isin(me[0][own], np.intersect1d(left[0][left[1] == INSIDE], right[0][right[1] == INSIDE]))
+        if not both.all():
+            drop[own[: both.argmin()]] = True
+            drop[own[len(own) - both[::-1].argmin() :]] = True
+    return drop
+
+
 def templates(pages: DataFrame, copy: float = 0.5) -> DataFrame:
-    """page_id, row, drop array<int>, n_shared: places of template lines among those that markup doesn't rule out, and the number of all template lines, for pages that have some."""
+    """page_id, row, drop array<int>, n_shared: places of template lines among those that markup doesn't rule out, and how many they are, for pages that have some."""
     light = cut(_light(pages).filter("size(lines) > 0"))  # parsed once, not once more for the bounds of the ranges
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     near = light.repartitionByRange(n, "host", "path", "page_id", "row").sortWithinPartitions("host", "path", "page_id", "row").withColumn("part", F.spark_partition_id())
@@ -365,12 +446,8 @@ def templates(pages: DataFrame, copy: float = 0.5) -> DataFrame:
             for i in range(a, z):
                 me = t.page(i)
                 if last is None or not (np.array_equal(me[0], last[0]) and np.array_equal(me[1], last[1])):
-                    drop = np.zeros(len(me[0]), bool)
-                    for other in (left, right):
-                        if other is not None:
-                            drop |= common(me[0], other[0])
-                    drop &= me[1] != INSIDE
-                    shared, drop = int(drop.sum()), np.flatnonzero(drop[me[1] != OUT]).tolist()
+                    drop = _shared(me, left, right)[me[1] != OUT]
+                    shared, drop = int(drop.sum()), np.flatnonzero(drop).tolist()
                 last = me
                 if shared:
                     out.append((t.ids[i], t.rows[i], drop, shared))
@@ -382,7 +459,7 @@ def templates(pages: DataFrame, copy: float = 0.5) -> DataFrame:
 
 
 def extract(pages: DataFrame, copy: float = 0.5) -> DataFrame:
-    """Per page: page_id, url, text, n_chars, n_shared (lines that page differencing deleted).
+    """Per page: page_id, url, text, n_chars, n_shared (lines that page differencing deleted and markup alone would keep).
 
     Character references are decoded, white space inside a block is one space, blocks are joined
     by a line feed; nothing is capped: a page of any length is aligned whole. A null or empty
