@@ -141,6 +141,15 @@ def test_extraction_against_brute_force(spark, parts):
     assert len(cut) > 10 and all("Written by us" not in want[i][0] for i in cut) and sum(n > 0 for _, n in want.values()) > 60
 
 
+def test_articles_stay_whole_in_the_query(spark):
+    """Lines at the foot of articles that other articles have too are deleted on request only."""
+    page = lambda k: f"<div>Home</div><article><p>own words {k} and more of them here</p><p>Ends alike</p></article>"
+    df = spark.createDataFrame([(k, f"http://h.com/{k}", page(k)) for k in range(5)], "page_id long, url string, html string")
+    texts = lambda **x: [by_id(html_text.extract(df, **x), "page_id")[k]["text"] for k in range(1, 4)]
+    own = [f"own words {k} and more of them here" for k in range(1, 4)]
+    assert texts() == own and texts(articles=False) == [f"{t}\nEnds alike" for t in own]
+
+
 @pytest.mark.parametrize("wrap", ["div", "main", "main class='menu-less'"])
 def test_differencing_inside_main(spark, wrap):
     """A main element shields nothing: text, menu and footer in it are told apart by the neighbours."""

@@ -393,12 +393,12 @@ def _beyond(parts: list[dict], p: int, side: int, copy: float) -> Page | None:
     return None
 
 
-def _shared(me: Page, left: Page | None, right: Page | None) -> np.ndarray:
+def _shared(me: Page, left: Page | None, right: Page | None, articles: bool) -> np.ndarray:
     """Lines to delete: those common with the page on either side. Of an article's, those common with the articles of both that lead to its head or foot, if lines of its own are left."""
     hits = [common(me[0], o[0]) if o is not None else np.zeros(len(me[0]), bool) for o in (left, right)]
     drop = (hits[0] | hits[1]) & (me[1] != INSIDE)
     own = np.flatnonzero(me[1] == INSIDE)
-    if left is not None and right is not None and len(own):
+    if articles and left is not None and right is not None and len(own):
         both = (hits[0] & hits[1])[own] & np.isin(me[0][own], np.intersect1d(left[0][left[1] == INSIDE], right[0][right[1] == INSIDE]))
         if not both.all():
             drop[own[: both.argmin()]] = True
@@ -406,7 +406,7 @@ def _shared(me: Page, left: Page | None, right: Page | None) -> np.ndarray:
     return drop
 
 
-def templates(pages: DataFrame, copy: float = 0.5) -> DataFrame:
+def templates(pages: DataFrame, copy: float = 0.5, articles: bool = True) -> DataFrame:
     """page_id, row, drop array<int>, n_shared: places of template lines among those that markup doesn't rule out, and how many they are, for pages that have some."""
     light = cut(_light(pages).filter("size(lines) > 0"))  # parsed once, not once more for the bounds of the ranges
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -446,7 +446,7 @@ def templates(pages: DataFrame, copy: float = 0.5) -> DataFrame:
             for i in range(a, z):
                 me = t.page(i)
                 if last is None or not (np.array_equal(me[0], last[0]) and np.array_equal(me[1], last[1])):
-                    drop = _shared(me, left, right)[me[1] != OUT]
+                    drop = _shared(me, left, right, articles)[me[1] != OUT]
                     shared, drop = int(drop.sum()), np.flatnonzero(drop).tolist()
                 last = me
                 if shared:
@@ -458,9 +458,10 @@ def templates(pages: DataFrame, copy: float = 0.5) -> DataFrame:
     return near.mapInArrow(run, "page_id long, row long, drop array<int>, n_shared long")
 
 
-def extract(pages: DataFrame, copy: float = 0.5) -> DataFrame:
+def extract(pages: DataFrame, copy: float = 0.5, articles: bool = True) -> DataFrame:
     """Per page: page_id, url, text, n_chars, n_shared (lines that page differencing deleted and markup alone would keep).
 
+    With ``articles`` false, article elements are left whole, whatever their heads and feet share.
     Character references are decoded, white space inside a block is one space, blocks are joined
     by a line feed; nothing is capped: a page of any length is aligned whole. A null or empty
     page, or one without article text, gives an empty text. A null url belongs to the host "".
@@ -471,7 +472,7 @@ def extract(pages: DataFrame, copy: float = 0.5) -> DataFrame:
     """
     prepare(pages.sparkSession)
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    drop = templates(own, copy)
+    drop = templates(own, copy, articles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -488,4 +489,5 @@ def extract(pages: DataFrame, copy: float = 0.5) -> DataFrame:
 
 
 def op1_nearest_url_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(table(spark, sf_dir, "pages"))
+    """Every page; articles stay whole, as texts in the table end in lines that other texts have too."""
+    return extract(table(spark, sf_dir, "pages"), articles=False)
