@@ -81,15 +81,32 @@ def _sections(z: np.ndarray, p: np.ndarray, k: float) -> np.ndarray:
 
 def sos_filter(sos: np.ndarray, x: np.ndarray, zi: np.ndarray | None = None) -> np.ndarray:
     """One pass of the cascade. The recursion runs over blocks by its impulse response (a block at a time, whole-array work inside)."""
-    y = np.asarray(x, np.float64)
+    return sos_run(sos, x, np.zeros((len(sos), 2)) if zi is None else zi)[0]
+
+
+def sos_run(sos: np.ndarray, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One pass from the sections' ``state`` (rows of two numbers), and the state that it ends in."""
+    y, end = np.asarray(x, np.float64), np.array(state, np.float64)
     for s, (b0, b1, b2, _, a1, a2) in enumerate(sos):
-        y = _biquad(y, b0, b1, b2, a1, a2, None if zi is None else zi[s])
-    return y
+        y, end[s] = _biquad(y, b0, b1, b2, a1, a2, end[s])
+    return y, end
+
+
+def sos_step(sos: np.ndarray, n: int) -> np.ndarray:
+    """The matrix that takes the cascade's state over n samples of silence."""
+    size = 2 * len(sos)
+    one = np.stack([sos_run(sos, np.zeros(1), unit.reshape(-1, 2))[1].ravel() for unit in np.eye(size)], axis=1)
+    return np.linalg.matrix_power(one, n)
+
+
+def padding(sos: np.ndarray) -> int:
+    """Samples of odd extension at either end of a zero-phase pass."""
+    return 3 * (2 * len(sos) + 1 - int(min((sos[:, 2] == 0).sum(), (sos[:, 5] == 0).sum())))
 
 
-def _biquad(x: np.ndarray, b0: float, b1: float, b2: float, a1: float, a2: float, state: np.ndarray | None, block: int = 256) -> np.ndarray:
+def _biquad(x: np.ndarray, b0: float, b1: float, b2: float, a1: float, a2: float, state: np.ndarray, block: int = 256) -> tuple[np.ndarray, tuple[float, float]]:
     n = len(x)
-    s1, s2 = (0.0, 0.0) if state is None else (float(state[0]), float(state[1]))
+    s1, s2 = float(state[0]), float(state[1])
     # State-space over a block: outputs are a Toeplitz product of inputs plus the response to the state.
     h, r1, r2 = np.zeros(block), np.zeros(block), np.zeros(block)
     for out, (i0, q1, q2) in ((h, (1.0, 0.0, 0.0)), (r1, (0.0, 1.0, 0.0)), (r2, (0.0, 0.0, 1.0))):
@@ -113,10 +130,10 @@ def _biquad(x: np.ndarray, b0: float, b1: float, b2: float, a1: float, a2: float
         else:
             s1n, s2n = b1 * u[-1] - a1 * v[-1] + s2, b2 * u[-1] - a2 * v[-1]
         s1, s2 = s1n, s2n
-    return y
+    return y, (s1, s2)
 
 
-def _steady(sos: np.ndarray) -> np.ndarray:
+def steady(sos: np.ndarray) -> np.ndarray:
     """Section states for a constant input of 1."""
     zi, scale = np.zeros((len(sos), 2)), 1.0
     for s, (b0, b1, b2, _, a1, a2) in enumerate(sos):
@@ -129,10 +146,9 @@ def _steady(sos: np.ndarray) -> np.ndarray:
 def zero_phase(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Forward and backward pass with odd extension, so that the filter shifts nothing."""
     x = np.asarray(x, np.float64)
-    ends = int(min((sos[:, 2] == 0).sum(), (sos[:, 5] == 0).sum()))
-    pad = min(3 * (2 * len(sos) + 1 - ends), len(x) - 1)
+    pad = min(padding(sos), len(x) - 1)
     ext = np.r_[2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]] if pad > 0 else x
-    zi = _steady(sos)
+    zi = steady(sos)
     y = sos_filter(sos, ext, zi * ext[0])
     y = sos_filter(sos, y[::-1], zi * y[-1])[::-1]
     return y[pad : len(y) - pad] if pad > 0 else y
@@ -177,27 +193,34 @@ def resample(x: np.ndarray, source: int, target: int) -> np.ndarray:
         raise ValueError(f"sample rates must be positive: {source}, {target}")
     if source == target:
         return x
+    up, down, _, _ = ratio(source, target)
+    return resample_part(x, 0, source, target, 0, -(-len(x) * up // down)).astype(x.dtype if x.dtype.kind == "f" else np.float64)
+
+
+def ratio(source: int, target: int) -> tuple[int, int, int, int]:
+    """Up and down factors, half the filter's length, and how many samples a result takes in."""
     g = math.gcd(source, target)
     up, down = target // g, source // g
+    half = 10 * max(up, down)
+    return up, down, half, -(-(2 * half + 1) // up)
+
+
+def resample_part(x: np.ndarray, start: int, source: int, target: int, a: int, b: int) -> np.ndarray:
+    """Results a to b (exclusive) of a recording of which x is the part from ``start`` on; beyond x is silence."""
+    up, down, half, taps = ratio(source, target)
     top = max(up, down)
-    half = 10 * top
     t = np.arange(-half, half + 1)
     h = np.sinc(t / top) / top * np.kaiser(2 * half + 1, 5.0)
     h *= up / h.sum()
-    n_out = -(-len(x) * up // down)
-    out = np.empty(n_out)
-    taps = -(-len(h) // up)
-    src = np.r_[np.zeros(taps), np.asarray(x, np.float64), np.zeros(taps + 1)]
-    step = 1 << 14
-    for a in range(0, n_out, step):
-        pos = np.arange(a, min(a + step, n_out)) * down + half
+    x, out, step, k = np.asarray(x, np.float64), np.empty(b - a), 1 << 14, np.arange(taps)
+    for at in range(a, b, step):
+        pos = np.arange(at, min(at + step, b)) * down + half
         first, phase = pos // up, pos % up
-        k = np.arange(taps)
         idx = phase[:, None] + k[None, :] * up
         coef = np.where(idx < len(h), h[np.minimum(idx, len(h) - 1)], 0.0)
-        at = first[:, None] - k[None, :] + taps
-        out[a : a + len(pos)] = (coef * np.where((at >= 0) & (at < len(src)), src[np.clip(at, 0, len(src) - 1)], 0.0)).sum(axis=1)
-    return out.astype(x.dtype if x.dtype.kind == "f" else np.float64)
+        src = first[:, None] - k[None, :] - start
+        out[at - a : at - a + len(pos)] = (coef * np.where((src >= 0) & (src < len(x)), x[np.clip(src, 0, max(len(x) - 1, 0))] if len(x) else 0.0, 0.0)).sum(axis=1)
+    return out
 
 
 def demon_power_db(x: np.ndarray, sample_rate: int, band: tuple[float, float], lowpass: float, factor: int, n_fft: int, hop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -10,8 +10,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-#: Rows from which a batch of whole groups goes to the kernel.
-ROWS = 16_384
+#: Rows, or bytes, from which a batch of whole groups goes to the kernel.
+ROWS, BYTES = 16_384, 64 << 20
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -44,22 +44,23 @@ def grouped(rows: DataFrame, keys: list[str], order: list[str], fn: Callable[[pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        n = 0
+        n = size = 0
         for b in batches:
             if not b.num_rows:
                 continue
             held.append(b)
-            n += b.num_rows
-            if n >= most:
+            n, size = n + b.num_rows, size + b.nbytes
+            if n >= most or size >= BYTES:
                 t = pa.Table.from_batches(held).combine_chunks()
                 stop = int(starts(t, keys)[-2])  # the last group may go on in the next batch
                 if stop:
                     whole = t.slice(0, stop)
                     yield from fn(whole, starts(whole, keys)).to_batches()
                 held = t.slice(stop).to_batches()
-                n -= stop
+                n, size = n - stop, sum(x.nbytes for x in held)
         if n:
             t = pa.Table.from_batches(held).combine_chunks()
             yield from fn(t, starts(t, keys)).to_batches()
 
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES // 4))  # rows may be long arrays
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonalis.functions import columns as C
+from tonalis.operators import blocks as B
 from tonalis.operators import evaluate as E
 from tonalis.operators import grams as G
 from tonalis.operators import intervals as I
@@ -214,6 +215,43 @@ def c2_demon(spark: SparkSession, d: str) -> DataFrame:
 Q["c2_demon"] = c2_demon
 
 
+#: Overlapping frames of all samples: 32 of them, 16 apart; blocks of 1,024.
+_HOP, _BLOCK = 16, 1024
+_OVERLAP = _DFT.replace("* 256", f"* {_HOP}")
+
+
+def w6_dft_overlap(spark: SparkSession, d: str) -> DataFrame:
+    f = G.frames(X.waveform(spark, d), "rec", "i", "x", 32, _HOP)
+    return G.dft_power(f, "rec", "x", 32, 32).select("rec", "time_bin", "freq_bin", (F.round(C.power_db(F.col("power")), 4) + 0.0).alias("db"))
+
+
+Q["w6_dft_overlap"] = w6_dft_overlap
+SQL["w6_dft_overlap"] = _OVERLAP + " SELECT rec, time_bin, freq_bin, round(10 * log10(re * re + im * im + 1e-10::DOUBLE), 4) + 0.0::DOUBLE AS db FROM p"
+
+
+def c1_lofar_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Recordings in blocks of samples, each framed where it lies, and the background taken off."""
+    cfg = G.LofarConfig(32, 32, _HOP, 32, freq_min_hz=2.0, freq_max_hz=12.0, train=9, central=1, gap=1)
+    g = B.lofar_blocks(B.from_samples(X.waveform(spark, d), "rec", "i", "x", 32, _BLOCK), cfg, "rec", size=_BLOCK)
+    cell = F.posexplode(F.arrays_zip("power_db", "normalized_power_db")).alias("k", "z")
+    return g.select("rec", F.col("time_bin").cast("long").alias("time_bin"), cell).select("rec", "time_bin", (F.col("k") + 2).alias("freq_bin"), *[(F.round(F.col(f"z.{c}"), 4) + 0.0).alias(a) for c, a in (("power_db", "db"), ("normalized_power_db", "normalized_db"))])
+
+
+Q["c1_lofar_blocks"] = c1_lofar_blocks
+SQL["c1_lofar_blocks"] = _OVERLAP + """, db AS MATERIALIZED (SELECT rec, time_bin, freq_bin, 10 * log10(re * re + im * im + 1e-10::DOUBLE) AS db FROM p WHERE freq_bin BETWEEN 2 AND 12),
+o AS (SELECT k FROM range(-4, 5) q(k) WHERE abs(k) > 1)
+SELECT c.rec, c.time_bin, c.freq_bin, round(any_value(c.db), 4) + 0.0::DOUBLE AS db, round(any_value(c.db) - sum(n.db) / 6.0::DOUBLE, 4) + 0.0::DOUBLE AS normalized_db
+FROM db c, o JOIN db n ON n.rec = c.rec AND n.time_bin = c.time_bin AND n.freq_bin = greatest(2, least(12, c.freq_bin + o.k)) GROUP BY c.rec, c.time_bin, c.freq_bin"""
+
+
+def c2_demon_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Recordings in blocks; the filters' states go through all blocks of one."""
+    return B.demon_blocks(B.from_samples(X.waveform(spark, d), "rec", "i", "x", 1000, _BLOCK), G.DemonConfig(1000, 100.0, 400.0, 50.0, 5, 32, 8), "rec", _BLOCK)
+
+
+Q["c2_demon_blocks"] = c2_demon_blocks
+
+
 def w8_frame_times(spark: SparkSession, d: str) -> DataFrame:
     n = X.waveform(spark, d).groupBy("rec").agg((F.max("i") + 1).alias("n"))
     return G.frame_times(n, "rec", "n", 64, 32, 1000)

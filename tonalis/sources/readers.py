@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import io
-import re
-import wave
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tonalis.functions import columns as C
+from tonalis.sources import audio
 
 AUDIO = r"\.(wav|flac)$"
 #: Names of the second layout: number, class word, vessel word, with dashes or underscores between.
@@ -69,24 +65,14 @@ def audio_files(spark: SparkSession, root: str) -> DataFrame:
     return files.filter(F.lower("path").rlike(AUDIO)).select("path", "content")
 
 
-def _open(raw: bytes) -> wave.Wave_read | None:
-    try:
-        return wave.open(io.BytesIO(raw))
-    except (wave.Error, EOFError):
-        return None  # not a readable WAV (FLAC included: no decoder here)
-
-
 def _header(path: str) -> tuple[int, float, int] | tuple[None, None, None]:
-    """Rate, seconds and channels of a file, of which only the chunk headers before the samples are read."""
-    if path.startswith(("file:", "/")):
-        fs, name = pafs.LocalFileSystem(), re.sub("^file:/*", "/", path)
-    else:
-        fs, name = pafs.FileSystem.from_uri(path)
+    """Rate, seconds and channels of a file, of which only the headers before the samples are read."""
     try:
-        with fs.open_input_file(name) as f, wave.open(f) as w:
-            return (w.getframerate(), w.getnframes() / w.getframerate(), w.getnchannels()) if w.getframerate() else (None, None, None)
-    except (wave.Error, EOFError, OSError):
+        with audio.opened(path) as f:
+            at = audio.layout(f)
+    except (audio.Unreadable, OSError, ValueError):
         return (None, None, None)
+    return at.rate, at.n / at.rate, at.channels
 
 
 def probe(files: DataFrame) -> DataFrame:
@@ -102,33 +88,26 @@ def probe(files: DataFrame) -> DataFrame:
 
 
 def decode(files: DataFrame, target_rate: int | None = None) -> DataFrame:
-    """path, sample_rate_hz, samples array<float>: mean over channels, resampled to ``target_rate`` if given. Unreadable files give no row."""
+    """path, sample_rate_hz, samples array<float>: mean over channels, resampled to ``target_rate`` if given. Unreadable files give no row. For files of any length see ``audio.wav_blocks``."""
     from tonalis.functions import kernels as K
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if (w := _open(raw)) is None:
+                try:
+                    at = audio.layout(pa.BufferReader(raw))
+                    if at.kind == "flac":
+                        continue
+                    x = audio.samples(raw[at.offset : at.offset + at.n * at.frame], at)
+                except audio.Unreadable:
                     continue
-                x = _samples(w.readframes(w.getnframes()), w.getsampwidth(), w.getnchannels())
-                rate = target_rate or w.getframerate()
-                x = K.resample(x, w.getframerate(), rate)
+                rate = target_rate or at.rate
+                x = K.resample(x, at.rate, rate)
                 yield pa.record_batch([pa.array([path]), pa.array([rate], pa.int32()), pa.array([x], pa.list_(pa.float32()))], names=["path", "sample_rate_hz", "samples"])
 
     return files.select("path", "content").mapInArrow(run, "path string, sample_rate_hz int, samples array<float>")
 
 
-def _samples(raw: bytes, width: int, channels: int) -> np.ndarray:
-    if width == 1:
-        x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
-    elif width == 3:
-        b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
-        x = ((b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16) << 8 >> 8).astype(np.float32) / (1 << 23)
-    else:
-        x = np.frombuffer(raw, {2: "<i2", 4: "<i4"}[width]).astype(np.float32) / (1 << (8 * width - 1))
-    return x.reshape(-1, channels).mean(axis=1).astype(np.float32)
-
-
 def read_window(samples: Column, start: Column, length: int) -> Column:
     """length samples from ``start`` on, a short tail filled with zeros."""
     got = F.slice(samples, start + 1, F.lit(length))
