@@ -231,6 +231,17 @@ def merge_rows(rows: list[dict], tolerance: float) -> list[dict]:
         rows = out
 
 
+def merged_rows(rows: list[dict], tolerance: float) -> list[dict]:
+    """``merge_rows`` of lines in order, with starts in whole microseconds (``timestamp``) and identifiers of what was merged."""
+    zero, out = rows[0]["timestamp"], []
+    for r in merge_rows([{**r, "start": (r["timestamp"] - zero) / 1e6} for r in rows], tolerance):
+        if "ids" in r:
+            r["correlation_id"] = hashlib.md5("+".join(r["ids"]).encode()).hexdigest()
+        r["timestamp"] = zero + round(r["start"] * 1e6)
+        out.append(r)
+    return out
+
+
 def _touch(a: dict, b: dict, tolerance: float) -> bool:
     apart = a["start"] + a["persistence_s"] < b["start"] or b["start"] + b["persistence_s"] < a["start"]
     return not apart and abs(a["frequency_hz"] - b["frequency_hz"]) <= tolerance
@@ -256,16 +267,8 @@ def merge_nearby(lines: DataFrame, tolerance: float, keys: tuple[str, ...] = ("a
     columns = [c.split()[0] for c in LINE.split(", ")]
 
     def run(t: pa.Table, starts: np.ndarray) -> pa.Table:
-        rows, got = t.to_pylist(), []
-        for a, b in pairwise(starts.tolist()):
-            zero = rows[a]["timestamp"]
-            some = merge_rows([{**r, "start": (r["timestamp"] - zero) / 1e6} for r in rows[a:b]], tolerance)
-            for r in some:
-                if "ids" in r:
-                    r["correlation_id"] = hashlib.md5("+".join(r["ids"]).encode()).hexdigest()
-                if "start" in r:
-                    r["timestamp"] = zero + round(r["start"] * 1e6)
-            got += some
+        rows = t.to_pylist()
+        got = [r for a, b in pairwise(starts.tolist()) for r in merged_rows(rows[a:b], tolerance)]
         return pa.table({c: pa.array([r[c] for r in got], t.schema.field(c).type) for c in columns})
 
     # Times cross to the kernel as whole microseconds.
