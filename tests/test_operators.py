@@ -425,6 +425,52 @@ def test_components_by_mean_row(spark):
         E.component_lines(m, "k", "h", "w", "p", centre="mode")
 
 
+@pytest.mark.parametrize("tile", [1, 3, 8, 256])
+@pytest.mark.parametrize("centre", ["median", "mean"])
+def test_components_of_whole_grams_by_tiles(spark, tile, centre):
+    """Random masks, a snake through all tiles, and a null patch, against the labels of the whole."""
+    from tonalis.functions import kernels as B
+
+    rng = np.random.default_rng(31)
+    snake = np.zeros((20, 30))
+    snake[::2] = 0.9
+    snake[1::4, -1] = snake[3::4, 0] = 0.8
+    images = {"a": rng.random((23, 31)), "s": snake, None: np.pad(rng.random((5, 5)), ((10, 0), (12, 0)))}
+    rows = [(k, h, w, float(x[h, w])) for k, x in images.items() for h in range(x.shape[0]) for w in range(x.shape[1])]
+    got = E.component_lines(spark.createDataFrame(rows + [("a", None, 3, 0.9)], "k string, h int, w int, p double").repartition(4), "k", "h", "w", "p", 0.5, 2, centre, tile)
+    want = []
+    for k, x in images.items():
+        lab, n = B.label_4(x > 0.5)
+        for c in range(1, n + 1):
+            h, w = np.nonzero(lab == c)
+            if len(h) >= 2:
+                want.append((str(k), int(np.median(h)) if centre == "median" else round(float(h.mean()), 9), int(w.min()), int(w.max()), round(float(x[h, w].mean()), 9), len(h)))
+    rounded = [(str(r["k"]), r["row"] if centre == "median" else round(r["row"], 9), r["col_min"], r["col_max"], round(r["confidence"], 9), r["n_cells"]) for r in got.collect()]
+    assert sorted(rounded) == sorted(want) and sum(w[0] == "s" for w in want) == 1
+
+
+def test_matching_of_a_crowded_patch(spark):
+    """20,000 lines of one patch: few meet, and the total is that of the whole assignment where that can be solved."""
+    from tonalis.functions import kernels as B
+
+    rng = np.random.default_rng(32)
+    line = lambda n, f, t: [(1, i, float(rng.uniform(0, f)), *sorted(rng.uniform(0, t, 2).tolist())) for i in range(n)]
+    schema = "k int, id long, freq_hz double, t_start double, t_end double"
+    for n, f, t in ((60, 40.0, 50.0), (60, 200.0, 5000.0), (10_000, 1e5, 3000.0)):
+        p, q = line(n, f, t), line(n, f, t)
+        got = E.match_lines(spark.createDataFrame(p, schema), spark.createDataFrame(q, schema), "k", 1.0, 0.0)
+        both = [(r["pred_id"], r["truth_id"], r["iou"]) for r in got.collect() if r["iou"] is not None]
+        assert got.filter("pred_id is null").count() == got.filter("truth_id is null").count() == n - len(both)
+        if n < 100:
+            a, b = (np.array([r[2:] for r in x]) for x in (p, q))
+            d = np.abs(a[:, None, 0] - b[None, :, 0])
+            near = np.where(d <= 2, 1.0, np.where(d <= 4, 0.5, 0.0))
+            both_t = np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 1], b[None, :, 1])
+            iou = near * np.maximum(both_t, 0) / (np.maximum(a[:, None, 2], b[None, :, 2]) - np.minimum(a[:, None, 1], b[None, :, 1]))
+            assert sum(x for *_, x in both) == pytest.approx(iou[B.assign(1 - iou)].sum())
+        assert len(both) == len({x for x, *_ in both}) == len({x for _, x, _ in both}) > 10
+
+
 def test_band_of_lines_and_hop(spark):
     d = spark.createDataFrame([("a", [10.0, 20.0]), ("b", [90.0]), ("c", []), ("d", None)], "k string, f array<double>")
     assert [r["k"] for r in T.in_band(d, 15.0, 50.0, "f").collect()] == ["a"]

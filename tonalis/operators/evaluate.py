@@ -3,54 +3,88 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonalis.functions import columns as C
 from tonalis.functions import kernels as K
+from tonalis.operators.batches import cut, grouped
+from tonalis.operators.components import component_lines as component_lines
 
 
-def line_iou_pairs(preds: DataFrame, truths: DataFrame, key: str, resolution: float) -> DataFrame:
-    """All (prediction, truth) pairs of a patch that overlap at all, with their IoU: an equi-join on the patch. Both have <key>, id, freq_hz, t_start, t_end."""
-    p, t = preds.alias("p"), truths.alias("t")
+
+def line_iou_pairs(preds: DataFrame, truths: DataFrame, key: str, resolution: float, width: float = 600.0) -> DataFrame:
+    """All (prediction, truth) pairs of a patch that overlap at all, with their IoU. Both have <key>, id, freq_hz, t_start, t_end.
+
+    Lines further apart than four times the resolution have none, nor have those that don't meet
+    in time, so they meet by (patch, frequency bucket, time bucket of ``width``): a prediction in its own frequency bucket, a
+    truth in its own and those beside it, both in all time buckets that they touch; the pair counts in the bucket where the later one begins.
+    """
+    cell, time = (lambda c: F.floor(F.col(c) / F.lit(4.0 * resolution))), (lambda c: F.floor(F.col(c) / F.lit(width)))
+    spread = F.explode(F.sequence(time("t_start"), F.greatest(time("t_start"), time("t_end"))))
+    p = preds.dropna(subset=["freq_hz", "t_start", "t_end"]).withColumn("_f", cell("freq_hz")).withColumn("_t", spread).alias("p")
+    t = truths.dropna(subset=["freq_hz", "t_start", "t_end"]).withColumn("_f", F.explode(F.sequence(cell("freq_hz") - 1, cell("freq_hz") + 1))).withColumn("_t", spread).alias("t")
     c = F.col
     iou = C.line_iou(c("p.freq_hz"), c("p.t_start"), c("p.t_end"), c("t.freq_hz"), c("t.t_start"), c("t.t_end"), resolution)
-    return p.join(t, c(f"p.{key}") == c(f"t.{key}")).select(c(f"p.{key}").alias(key), c("p.id").alias("pred_id"), c("t.id").alias("truth_id"), iou.alias("iou")).filter("iou > 0")
+    meet = (c(f"p.{key}") == c(f"t.{key}")) & (c("p._f") == c("t._f")) & (c("p._t") == c("t._t")) & (c("p._t") == F.floor(F.greatest("p.t_start", "t.t_start") / F.lit(width)))
+    return p.join(t, meet).select(c(f"p.{key}").alias(key), c("p.id").alias("pred_id"), c("t.id").alias("truth_id"), iou.alias("iou")).filter("iou > 0")
 
 
 def match_lines(preds: DataFrame, truths: DataFrame, key: str, resolution: float, threshold: float = 0.1) -> DataFrame:
     """Optimal one-to-one matching per patch: rows (key, pred_id, truth_id, iou); an unmatched prediction or truth has null on the other side.
 
     The assignment minimises the sum of 1 - IoU; pairs under ``threshold`` are undone afterwards.
-    Pairs without overlap add nothing to the optimum, so only overlapping pairs are made; a patch
-    in which no line has two of them needs no solver, and only the rest goes to the kernel.
+    Pairs without overlap add nothing to the optimum, so only overlapping pairs are made. A patch
+    falls into parts that share no pair; a part of one pair needs no solver, and the others
+    are solved each for itself. Pairs are made once.
     """
     kind = dict(preds.dtypes)[key]
-    pairs = line_iou_pairs(preds, truths, key, resolution)
-    per = lambda side: F.count("*").over(Window.partitionBy(key, side))
-    pairs = pairs.withColumn("_k", F.greatest(per("pred_id"), per("truth_id"))).withColumn("_k", F.max("_k").over(Window.partitionBy(key)))
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, i = np.unique(pdf["pred_id"], return_inverse=True)
-        t, j = np.unique(pdf["truth_id"], return_inverse=True)
-        iou = np.zeros((len(p), len(t)))
-        iou[i, j] = pdf["iou"]
-        a, b = K.assign(1 - iou)
-        return pd.DataFrame({key: pdf[key].iloc[0], "pred_id": p[a], "truth_id": t[b], "iou": iou[a, b]})
-
-    names = [key, "pred_id", "truth_id", "iou"]
-    hard = pairs.filter("_k > 1").select(names).groupBy(key).applyInPandas(solve, f"{key} {kind}, pred_id long, truth_id long, iou double")
-    good = pairs.filter("_k = 1").select(names).unionByName(hard).filter((F.col("iou") >= threshold) & (F.col("iou") > 0))
+
+    def solve(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        pred, truth, iou = (t[c].to_numpy() for c in ("pred_id", "truth_id", "iou"))
+        rows = [a + np.array(x, int) for a, b in pairwise(starts.tolist()) for x in (_matched(pred[a:b], truth[a:b], iou[a:b]),)]
+        return t.take(pa.array(np.concatenate(rows) if rows else np.zeros(0, int)))
+
+    pairs = line_iou_pairs(preds, truths, key, resolution).withColumns({c: F.col(c).cast("long") for c in ("pred_id", "truth_id")})
+    solved = grouped(pairs, [key], ["pred_id", "truth_id"], solve, f"{key} {kind}, pred_id long, truth_id long, iou double")
+    good = cut(solved.filter((F.col("iou") >= threshold) & (F.col("iou") > 0)))
     none = lambda t, a: F.lit(None).cast(t).alias(a)
     loose_p = preds.select(key, F.col("id").alias("pred_id")).join(good.select(key, "pred_id"), [key, "pred_id"], "left_anti").select(key, "pred_id", none("long", "truth_id"), none("double", "iou"))
     loose_t = truths.select(key, F.col("id").alias("truth_id")).join(good.select(key, "truth_id"), [key, "truth_id"], "left_anti").select(key, none("long", "pred_id"), "truth_id", none("double", "iou"))
     return good.unionByName(loose_p).unionByName(loose_t)
 
 
+def _matched(pred: np.ndarray, truth: np.ndarray, iou: np.ndarray) -> list[int]:
+    """Places of the pairs of an optimal matching of one patch, part by part of the graph of pairs."""
+    p, i = np.unique(pred, return_inverse=True)
+    j = np.unique(truth, return_inverse=True)[1] + len(p)
+    root = np.arange(j.max() + 1)
+    while True:
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, root[i], low)
+        np.minimum.at(new, root[j], low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    order = np.argsort(root[i], kind="stable")
+    out = []
+    for at in np.split(order, np.flatnonzero(np.diff(root[i][order])) + 1):
+        if len(at) == 1:
+            out.append(int(at[0]))
+            continue
+        (a, x), (b, y) = (np.unique(v[at], return_inverse=True) for v in (i, j))
+        cost, place = np.ones((len(a), len(b))), np.full((len(a), len(b)), -1)
+        cost[x, y], place[x, y] = 1 - iou[at], at
+        out += [int(k) for k in place[K.assign(cost)] if k >= 0]
+    return sorted(out)
+
+
 def bucket_table(spark: SparkSession, buckets: Sequence = C.SNR_BUCKETS) -> DataFrame:
     return spark.createDataFrame([(k, b[0], b[1]) for k, b in enumerate(buckets)], "ord int, bucket string, lo double")
 
@@ -121,29 +155,6 @@ def heatmap_lines(heat: DataFrame, key: str, class_prob: str, bins: str, first_h
     return heat.filter(F.col(class_prob) >= class_threshold).select(key, F.posexplode(bins).alias("bin", "confidence")).filter(F.col("confidence") > bin_threshold).select(key, (F.lit(first_hz) + F.col("bin") * bin_hz).alias("freq_hz"), F.lit(t0).alias("t_start"), F.lit(t1).alias("t_end"), "confidence")
 
 
-def component_lines(masks: DataFrame, key: str, h: str, w: str, p: str, threshold: float = 0.5, least: int = 1, centre: str = "median") -> DataFrame:
-    """4-connected components of cells above ``threshold`` per patch: median row (truncated), or with ``centre`` "mean" the mean row, column extent, mean probability, size. A patch is one bounded group."""
-    if centre not in ("median", "mean"):
-        raise ValueError(f"unknown centre {centre!r}; one of median, mean")
-    middle = (lambda x: int(np.median(x))) if centre == "median" else (lambda x: float(np.mean(x)))
-    kind = dict(masks.dtypes)[key]
-
-    def run(t: pa.Table) -> pa.Table:
-        rows, cols, v = t[h].to_numpy(), t[w].to_numpy(), t[p].to_numpy()
-        img = np.zeros((rows.max() + 1, cols.max() + 1), bool)
-        img[rows, cols] = True
-        lab, n = K.label_4(img)
-        own = lab[rows, cols]
-        out = [(middle(rows[own == k]), int(cols[own == k].min()), int(cols[own == k].max()), float(v[own == k].mean()), int((own == k).sum())) for k in range(1, n + 1)]
-        out = [r for r in out if r[4] >= least]
-        parts = list(zip(*out, strict=True)) or [()] * 5
-        kinds = [pa.int32() if centre == "median" else pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.int32()]
-        first = pa.array([t[key][0].as_py()] * len(out), t.schema.field(key).type)
-        return pa.table([first, *(pa.array(c, k) for c, k in zip(parts, kinds, strict=True))], names=[key, "row", "col_min", "col_max", "confidence", "n_cells"])
-
-    return masks.filter(F.col(p) > threshold).select(key, h, w, F.col(p).cast("double").alias(p)).groupBy(key).applyInArrow(run, f"{key} {kind}, row {'int' if centre == 'median' else 'double'}, col_min int, col_max int, confidence double, n_cells int")
-
-
 def stitch(patches: DataFrame, key: str, f_start: str, t_start: str, h: str, w: str, p: str, n_freq: int, n_time: int, how: str = "max") -> DataFrame:
     """Per gram cell over all patches that cover it: the largest value, or with ``how`` "moments" the mean, the variance over patches and their number. Cells beyond the gram (padding) are cropped."""
     if how not in ("max", "moments"):
