@@ -503,6 +503,68 @@ def test_gram_cache_makes_what_is_missing(spark, tmp_path):
     assert made == [["a", "b"], ["c"]]
 
 
+def test_gram_cache_is_addressed_by_content(spark, tmp_path):
+    """Changed parameters and changed files make grams anew; unchanged ones don't, and what was made before is still there."""
+    made = []
+
+    def make(df):
+        rows = df.collect()
+        made.append(sorted(r["recording_id"] for r in rows))
+        return df.select("recording_id", F.col("size").alias("time_bin"), F.array(F.lit(1.0)).alias("power_db"))
+
+    at = str(tmp_path / "grams")
+    rec = lambda *k: spark.createDataFrame(list(k), "recording_id string, size int")
+    get = lambda r, p: sorted(tuple(x) for x in R.cached_grams(spark, r, at, make, parameters=p, source=["size"]).select("recording_id", "time_bin").collect())
+    one, two = G.LofarConfig(hop=64), G.LofarConfig(hop=32)
+    assert get(rec(("a", 1), ("b", 1)), one) == [("a", 1), ("b", 1)] == get(rec(("a", 1), ("b", 1)), one)
+    assert get(rec(("a", 1), ("b", 1)), two) == [("a", 1), ("b", 1)]
+    assert get(rec(("a", 2), ("b", 1)), one) == [("a", 2), ("b", 1)]
+    assert get(rec(("a", 1)), one) == [("a", 1)]
+    assert made == [["a", "b"], ["a", "b"], ["a"]]
+
+
+@pytest.mark.parametrize("q", [0.0, 0.37, 0.99, 1.0])
+def test_quantiles_by_cells_are_exact(spark, q):
+    rng = np.random.default_rng(33)
+    groups = {"normal": rng.normal(0, 1, 2000), "ties": rng.integers(0, 3, 500).astype(float), "one": np.array([4.0]), "skewed": np.r_[rng.random(900), 1e12], None: np.arange(7.0)}
+    rows = [(k, float(v)) for k, x in groups.items() for v in x] + [("one", None), ("one", float("nan")), ("nulls", None)]
+    got = {r["k"]: r["quantile"] for r in G.exact_quantile(spark.createDataFrame(rows, "k string, v double").repartition(4), ["k"], "v", q, 64).collect()}
+    assert set(got) == set(groups) and all(got[k] == pytest.approx(np.quantile(x, q), rel=1e-12) for k, x in groups.items())
+
+
+def test_skeletons_and_their_loss(spark):
+    rng = np.random.default_rng(34)
+
+    def near(x, f):
+        return np.stack([f(x[max(i - 1, 0) : i + 2], axis=0) for i in range(len(x))])
+
+    def skeleton(x, n):
+        left = lambda y: np.maximum(y - near(near(y, np.min), np.max), 0)
+        s = left(x)
+        for _ in range(n):
+            x = near(x, np.min)
+            s = s + np.maximum(left(x) - s * left(x), 0)
+        return s
+
+    masks = {k: (rng.random((9, 5)), (rng.random((9, 5)) > 0.5).astype(float)) for k in range(3)}
+    cells = spark.createDataFrame([(k, h, w, float(p[h, w]), float(t[h, w])) for k, (p, t) in masks.items() for h in range(9) for w in range(5)], "k int, h int, w int, p double, t double").repartition(3)
+    for n in (0, 4):
+        for r in E.centreline_dice(cells, ["k"], "h", "w", "p", "t", n).collect():
+            p, t = masks[r["k"]]
+            a, b = skeleton(p, n), skeleton(t, n)
+            x, y = (a * t).sum() / (a.sum() + 1), (b * p).sum() / (b.sum() + 1)
+            assert (r["precision"], r["sensitivity"], r["loss"]) == pytest.approx((x, y, 1 - 2 * x * y / (x + y + 1e-6)))
+
+
+def test_digest_of_files_in_order(spark):
+    import hashlib
+
+    rows = [("a", x) for x in ("x", "y", "x", None)] + [(None, "z")]
+    got = {r["k"]: (r["manifest_sha256"], r["n_files"]) for r in K.hash_files(spark.createDataFrame(rows, "k string, t string").repartition(3), ["k"], "t").collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert got == {"a": (sha("".join(sorted([sha("x"), sha("x"), sha("y")]))), 4), None: (sha(sha("z")), 1)}
+
+
 def test_confuser_library_siblings_and_windows(spark, tmp_path):
     (tmp_path / "m.json").write_text('{"species_counts":{"a":1},"clips":[{"clip_id":"x","species":"a","path":"/p/x.wav","sample_rate_hz":2000,"duration_s":5.0,"low_hz":1.0,"high_hz":2.0}]}')
     assert [tuple(r)[:3] for r in R.confuser_library(spark, str(tmp_path / "m.json")).collect()] == [("x", "a", "/p/x.wav")]

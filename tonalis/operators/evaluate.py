@@ -14,6 +14,7 @@ from tonalis.functions import columns as C
 from tonalis.functions import kernels as K
 from tonalis.operators.batches import cut, grouped
 from tonalis.operators.components import component_lines as component_lines
+from tonalis.operators.normalize import let
 
 
 
@@ -155,6 +156,37 @@ def heatmap_lines(heat: DataFrame, key: str, class_prob: str, bins: str, first_h
     return heat.filter(F.col(class_prob) >= class_threshold).select(key, F.posexplode(bins).alias("bin", "confidence")).filter(F.col("confidence") > bin_threshold).select(key, (F.lit(first_hz) + F.col("bin") * bin_hz).alias("freq_hz"), F.lit(t0).alias("t_start"), F.lit(t1).alias("t_end"), "confidence")
 
 
+def _three(x: Column, pick) -> Column:  # noqa: ANN001
+    """Least or largest of each element and its neighbours; beyond the ends is nothing."""
+    return F.transform(x, lambda v, i: pick(v, F.coalesce(F.get(x, i - 1), v), F.coalesce(F.get(x, i + 1), v)))
+
+
+def soft_skeleton(column: Column, n_iter: int = 10) -> Column:
+    """Soft skeleton of a mask's column (an array along frequency, which alone is thinned): what opening takes away, of the mask and of it eroded 1, 2, ... ``n_iter`` times, joined by a soft or."""
+    def left(x: Column) -> Column:
+        opened = let(_three(x, F.least), lambda e: _three(e, F.greatest))
+        return let(opened, lambda o: F.zip_with(x, o, lambda a, b: F.greatest(a - b, F.lit(0.0))))
+
+    def step(acc: Column, _: Column) -> Column:
+        more = lambda e, d: F.struct(e.alias("x"), F.zip_with(acc["s"], d, lambda s, v: s + F.greatest(v - s * v, F.lit(0.0))).alias("s"))
+        return let(_three(acc["x"], F.least), lambda e: let(left(e), lambda d: more(e, d)))
+
+    return let(column, lambda x: F.aggregate(F.sequence(F.lit(1), F.lit(n_iter)), F.struct(x.alias("x"), left(x).alias("s")), step)["s"]) if n_iter else let(column, left)
+
+
+def centreline_dice(cells: DataFrame, keys: list[str], h: str, w: str, pred: str, target: str, n_iter: int = 10, smooth: float = 1.0) -> DataFrame:
+    """keys, precision, sensitivity, loss: 1 - clDice of masks by cell. A column of a mask is one array; columns are summed up apart, so a mask may be of any length in time. Nulls count as 0."""
+    z = F.struct(F.col(h).alias("h"), F.coalesce(F.col(pred).cast("double"), F.lit(0.0)).alias("p"), F.coalesce(F.col(target).cast("double"), F.lit(0.0)).alias("t"))
+    columns = cells.groupBy(*keys, w).agg(F.array_sort(F.collect_list(z)).alias("_z"))
+    both = columns.select(*keys, *[F.col("_z")[c].alias(c) for c in "pt"])
+    both = both.withColumns({"_p": soft_skeleton(F.col("p"), n_iter), "_t": soft_skeleton(F.col("t"), n_iter)})
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+    times = lambda a, b: total(F.zip_with(a, b, lambda x, y: x * y))
+    sums = both.groupBy(*keys).agg(F.sum(times("_p", "t")).alias("a"), F.sum(total("_p")).alias("b"), F.sum(times("_t", "p")).alias("c"), F.sum(total("_t")).alias("d"))
+    precise, sensitive = F.col("a") / (F.col("b") + smooth), F.col("c") / (F.col("d") + smooth)
+    return sums.select(*keys, precise.alias("precision"), sensitive.alias("sensitivity"), (1.0 - 2.0 * precise * sensitive / (precise + sensitive + 1e-6)).alias("loss"))
+
+
 def stitch(patches: DataFrame, key: str, f_start: str, t_start: str, h: str, w: str, p: str, n_freq: int, n_time: int, how: str = "max") -> DataFrame:
     """Per gram cell over all patches that cover it: the largest value, or with ``how`` "moments" the mean, the variance over patches and their number. Cells beyond the gram (padding) are cropped."""
     if how not in ("max", "moments"):

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonalis.functions import columns as C
@@ -188,6 +188,32 @@ def frame_truth(envelope: DataFrame, harmonics: DataFrame, source: str, sample_r
     )
 
 
+def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float, cells: int = 4096) -> DataFrame:
+    """keys, quantile: exactly, with linear interpolation, of groups of any size, without gathering one.
+
+    Equal values become one row with a count. The range of a group is divided into ``cells``; their counts tell which
+    one or two hold the order statistics, and only values of those are ranked. Nulls and NaN are left out.
+    """
+    v = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    own = v.groupBy(*keys, "_v").agg(F.count("*").alias("_m"))
+    ends = own.groupBy(*keys).agg(F.min("_v").alias("_a"), F.max("_v").alias("_z"), F.sum("_m").alias("_n"))
+    same = lambda right: [F.col(f"o.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]  # noqa: E731, ARG005
+    share = F.when(F.col("_z") > F.col("_a"), (F.col("_v") - F.col("_a")) / (F.col("_z") - F.col("_a"))).otherwise(0.0)
+    placed = own.alias("o").join(ends.alias("r"), same(ends)).select("o.*", "_a", "_z", "_n").withColumn("_c", F.least(F.floor(share * cells), F.lit(cells - 1)))
+    count = placed.groupBy(*keys, "_c").agg(F.sum("_m").alias("_s"), F.first("_n").alias("_n"))
+    count = count.withColumn("_b", F.sum("_s").over(Window.partitionBy(*keys).orderBy("_c")) - F.col("_s"))  # ``cells`` rows a group
+    at = (F.col("_n") - 1) * F.lit(float(q))
+    holds = lambda k, lo, hi: (k >= lo) & (k < hi)
+    wanted = count.filter(holds(F.floor(at), F.col("_b"), F.col("_b") + F.col("_s")) | holds(F.ceil(at), F.col("_b"), F.col("_b") + F.col("_s"))).select(*keys, F.col("_c").alias("_cell"), "_b")
+    inside = placed.alias("o").join(wanted.alias("r"), [*same(wanted), F.col("_c") == F.col("_cell")]).select("o.*", "_b")
+    upto = F.sum("_m").over(Window.partitionBy(*keys, "_c").orderBy("_v"))
+    ranked = inside.withColumn("_hi", F.col("_b") + upto).withColumn("_lo", F.col("_hi") - F.col("_m"))
+    pick = lambda k: F.max(F.when(holds(k, F.col("_lo"), F.col("_hi")), F.col("_v")))
+    part = at - F.floor(at)
+    got = ranked.groupBy(*keys).agg(pick(F.floor(at)).alias("_low"), pick(F.ceil(at)).alias("_high"), F.first(part).alias("_part"))
+    return got.select(*keys, (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part")).alias("quantile"))
+
+
 def display_ceiling(cell: DataFrame, keys: list[str], value: str, span_db: float = 40.0) -> DataFrame:
     """99th percentile and floor of the display range per gram."""
-    return cell.groupBy(*keys).agg(F.percentile(value, 0.99).alias("vmax")).withColumn("vmin", F.col("vmax") - span_db)
+    return exact_quantile(cell, keys, value, 0.99).select(*keys, F.col("quantile").alias("vmax"), (F.col("quantile") - span_db).alias("vmin"))

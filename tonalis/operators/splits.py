@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tonalis.operators.batches import cut
+
 
 def draw(seed: int, *keys: str | Column) -> Column:
     """Hexadecimal digest that orders rows at random but fixed."""
@@ -80,6 +82,10 @@ def domain_weights(df: DataFrame, ratios: dict[str, float], domain: str = "domai
     return df.join(F.broadcast(counts), [domain, label]).crossJoin(F.broadcast(total)).withColumn("weight", w).drop("_n", "_t")
 
 
+#: Equal parts of all weights by which draws find their stratum; strata are as many.
+PARTS = 4096
+
+
 def draw_with_replacement(df: DataFrame, weight: str, key: str, n: int, seed: int = 0) -> DataFrame:
     """n draws with probability in proportion to ``weight``: rows (draw, key).
 
@@ -88,7 +94,8 @@ def draw_with_replacement(df: DataFrame, weight: str, key: str, n: int, seed: in
     stands in the cells that its interval touches (two a row on average) and a draw falls into one,
     so that they meet by equality and a draw sees few rows, whatever the weights.
     """
-    s = df.withColumn("_s", F.substring(F.md5(F.col(key).cast("string")), 1, 3)).filter(F.col(weight) > 0)
+    s = cut(df.select(key, F.col(weight).alias("_weight")).filter("_weight > 0").withColumn("_s", F.substring(F.md5(F.col(key).cast("string")), 1, 3)))  # read three times
+    weight = "_weight"
     sums = s.groupBy("_s").agg(F.sum(weight).cast("double").alias("_w"), F.count("*").alias("_m"))
     w0 = Window.partitionBy(F.lit(0)).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_from", F.coalesce(F.sum("_w").over(w0), F.lit(0.0)))  # a row a stratum
@@ -99,8 +106,12 @@ def draw_with_replacement(df: DataFrame, weight: str, key: str, n: int, seed: in
     cum = cum.withColumn("_hi", F.when(last, F.greatest("_hi", F.col("_w") * 2)).otherwise(F.col("_hi")))
     cum = cum.select(key, "_s", "_lo", "_hi", F.explode(F.sequence(cell(F.col("_lo")), cell(F.col("_hi")))).alias("_c"))
     total = sums.agg(F.sum("_w").alias("_t"))
-    draws = df.sparkSession.range(n).withColumnRenamed("id", "draw").crossJoin(F.broadcast(total)).withColumn("_u", uniform(seed, F.col("draw").cast("string")) * F.col("_t"))
-    at = draws.join(F.broadcast(sums), (F.col("_u") >= F.col("_from")) & (F.col("_u") < F.col("_from") + F.col("_w"))).withColumn("_v", F.col("_u") - F.col("_from")).withColumn("_c", cell(F.col("_v")))
+    # Draws meet strata by equal parts of the whole: a stratum stands in those that it touches, two a stratum on average.
+    part = lambda x: F.least(F.floor(x / F.col("_t") * F.lit(PARTS)), F.lit(PARTS - 1))
+    strata = sums.crossJoin(F.broadcast(total)).withColumn("_p", F.explode(F.sequence(part(F.col("_from")), part(F.col("_from") + F.col("_w"))))).drop("_t")
+    draws = df.sparkSession.range(n).withColumnRenamed("id", "draw").crossJoin(F.broadcast(total)).withColumn("_u", uniform(seed, F.col("draw").cast("string")) * F.col("_t")).withColumn("_p", part(F.col("_u"))).drop("_t")
+    at = draws.join(F.broadcast(strata), "_p").filter((F.col("_u") >= F.col("_from")) & (F.col("_u") < F.col("_from") + F.col("_w")))  # 2 * PARTS rows at most
+    at = at.withColumn("_v", F.col("_u") - F.col("_from")).withColumn("_c", cell(F.col("_v")))
     return at.select("draw", "_s", "_c", "_v").join(cum, ["_s", "_c"]).filter("_v >= _lo and _v < _hi").select("draw", key)
 
 

@@ -288,24 +288,29 @@ def in_band(lines: DataFrame, low_hz: float, high_hz: float, freq: str = "freque
 
 
 def anchor_dedupe(preds: DataFrame, keys: list[str], tolerance: float = 5.0, freq: str = "freq_hz", start: str = "t_start", end: str = "t_end", conf: str = "confidence") -> DataFrame:
-    """Predictions grouped along frequency by distance to the group's first: mean frequency, hull in time, largest confidence.
+    """Predictions grouped along frequency by distance to the group's first: mean frequency, hull in time, largest confidence. One pass in order of frequency over each group of ``keys``, many to a call; a prediction without frequency is left out."""
+    kinds = dict(preds.dtypes)
+    names = [freq, start, end, conf]
+    own = preds.select(*keys, *[F.col(c).cast("double").alias(c) for c in names]).dropna(subset=[freq])
 
-    The fold carries only the current head, so each group of ``keys`` is one ordered array fold
-    on the JVM: no Python.
-    """
-    item = F.struct(F.col(freq).cast("double").alias("f"), F.col(start).cast("double").alias("a"), F.col(end).cast("double").alias("b"), F.col(conf).cast("double").alias("c"))
-    per = preds.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_x"))
-    empty = F.expr("cast(array() as array<struct<head:double,s:double,a:double,b:double,c:double,n:int>>)")
-
-    def fold(acc: Column, x: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        fresh = F.struct(x["f"].alias("head"), x["f"].alias("s"), x["a"].alias("a"), x["b"].alias("b"), x["c"].alias("c"), F.lit(1).alias("n"))
-        more = F.struct(last["head"].alias("head"), (last["s"] + x["f"]).alias("s"), F.least(last["a"], x["a"]).alias("a"), F.greatest(last["b"], x["b"]).alias("b"), F.greatest(last["c"], x["c"]).alias("c"), (last["n"] + 1).alias("n"))
-        new = F.size(acc) == 0
-        return F.when(new, F.array(fresh)).when(F.abs(x["f"] - last["head"]) > F.lit(tolerance), F.concat(acc, F.array(fresh))).otherwise(F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(more)))
-
-    groups = per.select(*keys, F.explode(F.aggregate("_x", empty, fold)).alias("g"))
-    return groups.select(*keys, (F.col("g.s") / F.col("g.n")).alias(freq), F.col("g.a").alias(start), F.col("g.b").alias(end), F.col("g.c").alias(conf), F.col("g.n").alias("n"))
+    def run(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        f = t[freq].to_pylist()
+        first = []
+        for a, b in pairwise(starts.tolist()):
+            head = None
+            for i in range(a, b):
+                if head is None or abs(f[i] - head) > tolerance:
+                    first.append(i)
+                    head = f[i]
+        at = np.array(first, int)
+        if not len(at):
+            return pa.table({c: t[c].slice(0, 0) for c in [*keys, *names]} | {"n": pa.array([], pa.int32())})
+        n = np.diff(np.r_[at, t.num_rows])
+        one = lambda c, empty: t[c].fill_null(empty).to_numpy()
+        hull = (np.add.reduceat(one(freq, 0.0), at) / n, np.minimum.reduceat(one(start, np.inf), at), np.maximum.reduceat(one(end, -np.inf), at), np.maximum.reduceat(one(conf, -np.inf), at))
+        return pa.table({**{k: t[k].take(pa.array(at)) for k in keys}, **{c: pa.array(v, mask=~np.isfinite(v)) for c, v in zip(names, hull, strict=True)}, "n": pa.array(n, pa.int32())})
+
+    return grouped(own, keys, names, run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), *(f"{c} double" for c in names), "n int"]))
 
 
 def detect(frames: DataFrame, recording: str, time: str, power: str, first_hz: float, bin_hz: float, hop_s: float, config: DetectionConfig = DetectionConfig(), start: Column | None = None, first_s: float = 0.0, publish: Callable[[DataFrame], object] | None = None) -> DataFrame:
@@ -325,17 +330,25 @@ def detect(frames: DataFrame, recording: str, time: str, power: str, first_hz: f
 
 
 def false_alarm_grid(normal: DataFrame, recording: str, time: str, power: str, hop_s: float, snrs: list[float], persistences: list[float], first_hz: float, bin_hz: float, config: DetectionConfig = DetectionConfig()) -> DataFrame:
-    """Lines per hour for each (snr, persistence): peaks once per SNR, tracks once per SNR at the least persistence (it only filters the result), merge per cell of the grid."""
+    """Lines per hour for each (snr, persistence), in one pass over the frames.
+
+    Peaks are found once at the least SNR: thinning goes by height, so those that reach a larger
+    one are its peaks. They are tracked for every SNR that they reach, at the least persistence, which only filters
+    tracks, and merged per cell of the grid.
+    """
+    spark, gap = normal.sparkSession, config.persistence
     hours = normal.agg((F.count("*") * F.lit(hop_s) / 3600.0).alias("hours"))
-    out = None
-    for snr in snrs:
-        peaks = peaks_per_bin(normal, recording, time, power, snr, config.separation)
-        every = persistent_lines(peaks, recording, time, "freq_bin", "value", hop_s, PersistenceConfig(min(persistences), config.persistence.max_drift_bins, config.persistence.max_gap_bins))
-        grid = every.join(F.broadcast(normal.sparkSession.createDataFrame([(float(p),) for p in persistences], "persistence_s double")), (F.col("t_end_bin") - F.col("t_start_bin")) >= F.col("persistence_s") / hop_s)
-        lines = to_lines(grid, F.concat_ws("|", F.col(recording).cast("string"), F.col("persistence_s").cast("string")), F.lit("0"), F.timestamp_micros(F.lit(0).cast("long")), first_hz, bin_hz, hop_s)
-        merged = merge_nearby(lines, C.merge_tolerance(config.persistence.max_drift_bins, bin_hz, 2) if config.tolerance_hz is None else config.tolerance_hz) if config.merge else lines
-        n = merged.groupBy(F.substring_index("array_id", "|", -1).cast("double").alias("persistence_s")).agg(F.count("*").alias("n_lines")).withColumn("snr_db", F.lit(float(snr)))
-        out = n if out is None else out.unionByName(n)
-    spark = normal.sparkSession
-    every = spark.createDataFrame([(float(s), float(p)) for s in snrs for p in persistences], "snr_db double, persistence_s double")
-    return every.join(F.broadcast(out), ["snr_db", "persistence_s"], "left").crossJoin(F.broadcast(hours)).select("snr_db", "persistence_s", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), (F.coalesce("n_lines", F.lit(0)) / F.col("hours")).alias("per_hour"))
+    peaks = peaks_per_bin(normal, recording, time, power, min(snrs), config.separation)
+    each = peaks.withColumn("_snr", F.explode(F.filter(F.array(*[F.lit(float(x)) for x in snrs]), lambda x: x <= F.col("value"))))
+    each = each.withColumn("_key", F.concat_ws("|", F.col("_snr").cast("string"), F.col(recording).cast("string")))
+    every = persistent_lines(each, "_key", time, "freq_bin", "value", hop_s, PersistenceConfig(min(persistences), gap.max_drift_bins, gap.max_gap_bins))
+    lasts = F.filter(F.array(*[F.lit(float(x)) for x in persistences]), lambda x: F.col("t_end_bin") - F.col("t_start_bin") >= x / hop_s)
+    grid = every.withColumn("_p", F.explode(lasts))
+    lines = to_lines(grid, F.concat_ws("|", F.col("_p").cast("string"), "_key"), F.lit("0"), F.timestamp_micros(F.lit(0).cast("long")), first_hz, bin_hz, hop_s)
+    if config.merge:
+        lines = merge_nearby(lines, C.merge_tolerance(gap.max_drift_bins, bin_hz, 2) if config.tolerance_hz is None else config.tolerance_hz)
+    cell = F.split("array_id", r"\|", 3)
+    n = lines.groupBy(cell[0].cast("double").alias("persistence_s"), cell[1].cast("double").alias("snr_db")).agg(F.count("*").alias("n_lines"))
+    cells = spark.createDataFrame([(float(s), float(p)) for s in snrs for p in persistences], "snr_db double, persistence_s double")
+    # n has a row a cell at most.
+    return cells.join(F.broadcast(n), ["snr_db", "persistence_s"], "left").crossJoin(F.broadcast(hours)).select("snr_db", "persistence_s", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), (F.coalesce("n_lines", F.lit(0)) / F.col("hours")).alias("per_hour"))

@@ -21,9 +21,13 @@ def sql_hashed(salt: str, key: str) -> str:
 
 
 def gram(spark: SparkSession, d: str) -> DataFrame:
-    """rec, t, power: the vectors of a label as the frames of one recording, in dB-like units."""
-    t = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    return read(spark, d, "embeddings").select(F.col("label").alias("rec"), t.alias("t"), F.transform("embedding", lambda v: v.cast("double") * 40.0).alias("power"))
+    """rec, t, power: the vectors of a label as the frames of one recording, in dB-like units. They are numbered within ranges of identifiers and by the counts of the ranges before, so that a label spreads over tasks."""
+    own = read(spark, d, "embeddings").withColumn("_r", F.floor(F.col("vec_id") / 1024))
+    count = own.groupBy(F.col("label").alias("_l"), F.col("_r").alias("_q")).agg(F.count("*").alias("_n"))
+    before = count.withColumn("_n", F.coalesce(F.sum("_n").over(Window.partitionBy("_l").orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    t = F.row_number().over(Window.partitionBy("label", "_r").orderBy("vec_id")) - 1
+    numbered = own.withColumn("_t", t).join(before, F.col("label").eqNullSafe(F.col("_l")) & (F.col("_r") == F.col("_q")))
+    return numbered.select(F.col("label").alias("rec"), (F.col("_t") + F.col("_n")).cast("int").alias("t"), F.transform("embedding", lambda v: v.cast("double") * 40.0).alias("power"))
 
 
 GRAM = """cell AS MATERIALIZED (SELECT rec, t, CAST(i - 1 AS INTEGER) AS f, CAST(embedding[i] AS DOUBLE) * 40.0::DOUBLE AS x

@@ -323,3 +323,30 @@ def l1_score_losses(spark: SparkSession, d: str) -> DataFrame:
 Q["l1_score_losses"] = l1_score_losses
 SQL["l1_score_losses"] = f"""WITH {X.SCORES}, c AS (SELECT label AS y, confidence AS r, greatest(1e-12::DOUBLE, least(1 - 1e-12::DOUBLE, confidence)) AS p FROM s)
 SELECT round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 6) AS bce, round(avg(-CASE WHEN y = 1 THEN 0.25 * pow(1 - p, 2) * ln(p) ELSE 0.75 * pow(p, 2) * ln(1 - p) END), 6) AS focal, round(1 - (2 * sum(r * y) + 1) / (sum(r) + sum(y) + 1), 6) AS dice FROM c"""
+
+
+def m1_centreline_dice(spark: SparkSession, d: str) -> DataFrame:
+    """Every mask against where it is above 0.6, thinned three times."""
+    m = X.masks(spark, d).withColumn("target", (F.col("p") > 0.6).cast("double"))
+    out = E.centreline_dice(m, ["patch_id", "member"], "h", "w", "p", "target", 3)
+    return out.select("patch_id", "member", *[_r(c) for c in ("precision", "sensitivity", "loss")])
+
+
+def _skeleton_sql(source: str, v: str, n_iter: int) -> str:
+    """CTEs that end in <v>s (patch_id, member, h, w, s): the soft skeleton of column ``v`` of ``source``."""
+    win = "PARTITION BY patch_id, member, w ORDER BY h ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING"
+    cell = "patch_id, member, h, w"
+    parts = [f"{v}x0 AS (SELECT {cell}, {v} AS x FROM {source})"]
+    for k in range(n_iter + 1):
+        if k:
+            parts.append(f"{v}x{k} AS MATERIALIZED (SELECT {cell}, min(x) OVER ({win}) AS x FROM {v}x{k - 1})")
+        parts.append(f"{v}e{k} AS (SELECT {cell}, x, min(x) OVER ({win}) AS e FROM {v}x{k})")
+        parts.append(f"{v}d{k} AS MATERIALIZED (SELECT {cell}, greatest(x - max(e) OVER ({win}), 0) AS d FROM {v}e{k})")
+        parts.append(f"{v}s{k} AS MATERIALIZED (SELECT {cell}, d AS s FROM {v}d0)" if not k else f"{v}s{k} AS MATERIALIZED (SELECT {cell}, s + greatest(d - s * d, 0) AS s FROM {v}s{k - 1} JOIN {v}d{k} USING ({cell}))")
+    return ", ".join([*parts, f"{v}s AS (SELECT * FROM {v}s{n_iter})"])
+
+
+Q["m1_centreline_dice"] = m1_centreline_dice
+SQL["m1_centreline_dice"] = f"""WITH {X.MASKS}, src AS MATERIALIZED (SELECT *, CASE WHEN p > 0.6 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS t FROM m), {_skeleton_sql("src", "p", 3)}, {_skeleton_sql("src", "t", 3)},
+z AS (SELECT patch_id, member, sum(ps.s * t) / (sum(ps.s) + 1) AS a, sum(ts.s * p) / (sum(ts.s) + 1) AS b FROM src JOIN ps USING (patch_id, member, h, w) JOIN ts USING (patch_id, member, h, w) GROUP BY patch_id, member)
+SELECT patch_id, member, round(a, 8) + 0.0::DOUBLE AS precision, round(b, 8) + 0.0::DOUBLE AS sensitivity, round(1 - 2 * a * b / (a + b + 1e-6::DOUBLE), 8) + 0.0::DOUBLE AS loss FROM z"""

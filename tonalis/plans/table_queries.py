@@ -186,9 +186,7 @@ SQL["s10_name_times"] = "SELECT '/a/site_' || strftime(ts, '%y%m%d_%H%M%S') || '
 
 
 def s16_manifest_keys(spark: SparkSession, d: str) -> DataFrame:
-    split = t4_split_stratified(spark, d)
-    arrays = split.groupBy().agg(*[F.array_sort(F.collect_list(F.when(F.col("partition") == p, F.col("compound_key")))).alias(f"{p}_vessels") for p in ("train", "val", "test")])
-    return R.manifest_keys(arrays, "val")
+    return R.partition_keys(t4_split_stratified(spark, d), "val")
 
 
 Q["s16_manifest_keys"] = s16_manifest_keys

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonalis.functions import columns as C
@@ -49,14 +50,23 @@ def _configured(said: dict, kind: type) -> object:
     return kind(**made)
 
 
-def cached_grams(spark: SparkSession, recordings: DataFrame, path: str, make, ident: str = "recording_id") -> DataFrame:  # noqa: ANN001
-    """Frame table of the recordings from the Parquet cache at ``path``; those that it lacks are made by ``make(recordings)`` and added to it first."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+def cached_grams(spark: SparkSession, recordings: DataFrame, path: str, make, ident: str = "recording_id", parameters: object = None, source: Sequence[str] = ()) -> DataFrame:  # noqa: ANN001
+    """Frame table of the recordings from the Parquet cache at ``path``; those that it lacks are made by ``make(recordings)`` and added to it first.
+
+    The cache is addressed by content: a folder for each value of ``parameters`` (a configuration), and in it grams
+    by a digest of the recording's identifier and ``source`` columns (path, size, time, ...). Changed parameters
+    or sources make grams anew; what was made before stays for those who still ask for it.
+    """
+    at = f"{path}/parameters={hashlib.sha256(repr(parameters).encode()).hexdigest()[:16]}"
+    address = F.sha2(F.to_json(F.struct(ident, *source), {"ignoreNullFields": "false"}), 256)
+    own = recordings.withColumn("source_sha256", address)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(at)
     known = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    new = recordings.join(spark.read.parquet(path).select(ident).distinct(), ident, "left_anti") if known else recordings
-    if not known or new.limit(1).count():
-        make(new).write.mode("append").parquet(path)
-    return spark.read.parquet(path).join(recordings.select(ident).distinct(), ident, "left_semi")
+    new = own.join(spark.read.parquet(at).select("source_sha256").distinct(), "source_sha256", "left_anti") if known else own
+    if not known or not new.isEmpty():
+        grams = make(new.drop("source_sha256"))
+        grams.join(new.select(ident, "source_sha256").distinct(), ident).write.mode("append").parquet(at)
+    return spark.read.parquet(at).join(own.select("source_sha256").distinct(), "source_sha256", "left_semi").drop("source_sha256")
 
 
 def audio_files(spark: SparkSession, root: str) -> DataFrame:
@@ -122,7 +132,8 @@ def class_tree(files: DataFrame, root: str, dataset: str = "tree", min_duration_
     inside = F.regexp_replace("path", "^.*?" + _quoted(root.rstrip("/")) + "/", "")
     parts = F.split(inside, "/")
     d = files.withColumn("_p", parts).withColumn("class_label", F.col("_p")[0]).withColumn("_n", F.size("_p"))
-    deep = F.max("_n").over(Window.partitionBy("class_label")) > 2
+    d = d.join(d.groupBy("class_label").agg((F.max("_n") > 2).alias("_deep")), "class_label")  # a row a class
+    deep = F.col("_deep")
     stem = F.regexp_replace(F.element_at("_p", -1), r"\.[^.]*$", "")
     d = d.withColumn("recording_id", stem).withColumn("vessel_id", F.when(deep & (F.col("_n") > 2), F.col("_p")[1]).otherwise(F.when(~deep, stem)))
     return d.filter((F.col("duration_s") >= min_duration_s) & (F.col("_n") > 1)).select("recording_id", "vessel_id", F.lit(dataset).alias("dataset"), "class_label", "sample_rate_hz", "duration_s", "n_channels", "path", F.lit(None).cast("string").alias("notes"))
@@ -170,6 +181,14 @@ def manifest_keys(manifest: DataFrame, partition: str) -> DataFrame:
     return d.select("compound_key", cls.alias("class_label"), ident.alias("vessel_id"))
 
 
+def partition_keys(split: DataFrame, partition: str, key: str = "compound_key") -> DataFrame:
+    """The same from a split in rows (key, partition), so that no document holds all keys."""
+    if partition not in ("train", "val", "test"):
+        raise ValueError(f"unknown partition {partition!r}; one of train, val, test")
+    cls, ident = C.split_key(F.col(key))
+    return split.filter(F.col("partition") == partition).select(F.col(key).alias("compound_key"), cls.alias("class_label"), ident.alias("vessel_id"))
+
+
 def resolve(keys: DataFrame, files: DataFrame, key: str = "compound_key") -> DataFrame:
     """keys with their path; fails on a key without a file."""
     d = keys.join(files.select(key, "path"), key, "left")

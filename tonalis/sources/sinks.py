@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import wave
 from collections.abc import Iterator
@@ -10,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def sha256_of(content: Column) -> Column:
@@ -17,9 +19,29 @@ def sha256_of(content: Column) -> Column:
 
 
 def hash_files(df: DataFrame, keys: list[str], content: str) -> DataFrame:
-    """Per group: digest over the sorted digests of its files, joined without a separator. Digests are 64 characters a file; the group must be a data set's file list, not its rows."""
-    h = df.select(*keys, sha256_of(F.col(content)).alias("_h"))
-    return h.groupBy(*keys).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_h")), "").cast("binary"), 256).alias("manifest_sha256"), F.count("*").alias("n_files"))
+    """manifest_sha256, n_files per group: digest over the sorted digests of its files, joined without a separator. That order makes a group one stream, of 64 characters a file; it is hashed as it passes and never held."""
+    kinds = dict(df.dtypes)
+    own = df.select(*keys, sha256_of(F.col(content)).alias("_h")).repartition(*keys).sortWithinPartitions(*keys, "_h")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, digest, n, done = None, hashlib.sha256(), 0, []
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[:-1] != now:
+                    if now is not None:
+                        done.append((*now, digest.hexdigest(), n))
+                    now, digest, n = row[:-1], hashlib.sha256(), 0
+                if row[-1] is not None:
+                    digest.update(row[-1].encode())
+                n += 1
+        if now is not None:
+            done.append((*now, digest.hexdigest(), n))
+        for a in range(0, len(done), 10_000):
+            cols = list(zip(*done[a : a + 10_000], strict=True))
+            yield pa.record_batch([*(pa.array(c, t) for c, t in zip(cols, [*types, pa.string(), pa.int64()], strict=True))], names=[*keys, "manifest_sha256", "n_files"])
+
+    types = to_arrow_schema(own.select(*keys).schema).types
+    return own.mapInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "manifest_sha256 string, n_files long"]))
 
 
 def provenance(df: DataFrame, key: list[str], snapshot: dict, source: str | None = None, commit: str | None = None) -> DataFrame:
