@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tonalis.llm import _trees, embedding_dedup, exact_dedup, html_text, language_id, mixing, ngram_join, packing, quality, secret_scan, token_counts
+from tonalis.llm import _trees, _util, embedding_dedup, exact_dedup, html_text, language_id, mixing, ngram_join, packing, quality, secret_scan, token_counts
 from tonalis.llm._components import components
 from tonalis.llm._tokens import encoder
 
@@ -377,6 +377,44 @@ def test_separator_scan_of_documents(spark, tmp_path):
     assert token_counts.op7_separator_scan(spark, str(tmp_path / "none")).count() == 0
 
 
+@pytest.mark.parametrize("group", [1, 3])
+def test_separator_scan_in_runs_of_blocks(spark, monkeypatch, group):
+    """Documents over any number of blocks and runs of blocks, one giant file among small ones."""
+    monkeypatch.setattr(token_counts, "GROUP", group)
+    rng = np.random.default_rng(12)
+    files = {"big": rng.integers(0, 40, 3000), "open": np.ones(500, int), "ends": np.full(20, 7), None: np.r_[7, np.ones(90), 7, 1, 1]}
+    rows = [(f, k, x[k * 8 : k * 8 + 8].astype("<u2").tobytes()) for f, x in files.items() for k in range(-(-len(x) // 8))]
+    got = token_counts.separator_scan(spark.createDataFrame(rows, "file string, block long, ids binary").repartition(4), end_id=7)
+    want = set()
+    for f, x in files.items():
+        at = 0
+        for no, e in enumerate([*np.flatnonzero(x == 7).tolist(), None]):
+            stop = len(x) if e is None else e + 1
+            if stop > at:
+                want.add((f, no, at, stop - at, e is not None))
+            at = stop
+    assert {(r["file"], r["doc_no"], r["start"], r["n_tokens"], r["closed"]) for r in got.collect()} == want
+
+
+def test_shared_folder_has_the_scheme_of_its_file_system(spark):
+    """A path without scheme belongs to the default file system, here a mount table, not to the machine."""
+    conf = spark._jsc.hadoopConfiguration()
+    was = conf.get("fs.defaultFS")
+    try:
+        conf.set("fs.viewfs.mounttable.other.link./ckpt", "file:///tmp")
+        conf.set("fs.defaultFS", "viewfs://other/")
+        assert _util.qualified(spark, "/ckpt/x") == "viewfs://other/ckpt/x" and _util.qualified(spark, "file:///ckpt/x") == "file:/ckpt/x"
+    finally:
+        conf.set("fs.defaultFS", was or "file:///")
+    assert _util.shared_dir(spark).startswith("file:/")
+
+
+def test_first_rows_of_partitions(spark):
+    df = spark.createDataFrame([(1, "a", 5), (1, "b", 6), (None, "c", 7), (None, "d", 8), (2, "e", 9)], "k long, text string, `odd name` int").coalesce(1)
+    assert [tuple(r) for r in _util.first_rows(df, ["k"]).collect()] == [(1, "a", 5), (None, "c", 7), (2, "e", 9)]
+    assert _util.first_rows(df.limit(0), ["k"]).count() == 0
+
+
 def test_separator_scan_of_odd_blocks(spark):
     row = lambda f, k, ids: (f, k, None if ids is None else np.array(ids, "<u2").tobytes(), 1, 2)
     rows = [row("a", 0, [1, 2]), row("a", 1, []), row("a", 2, None), row("a", 3, [1] * 5000), row("a", 4, [7, 7, 1]), row("b", 0, [7])]

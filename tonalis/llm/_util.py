@@ -36,9 +36,33 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, for tables between stages."""
+    """The folder that driver and executors share, for tables between stages, with the scheme of its file system."""
     prepare(spark)
-    return spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    return qualified(spark, spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir())
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` as Spark reads it: one without a scheme is in the default file system, which need not be the machine's own."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
+def first_rows(df: DataFrame, key: list[str]) -> DataFrame:
+    """The first row of each ``key`` in each partition, so that a key on a third of all rows goes on as one row a partition. No shuffle; a task remembers the keys of its partition."""
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    at = [df.columns.index(k) for k in key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
+        for b in batches:
+            new = []
+            for k in zip(*(b.column(i).to_pylist() for i in at), strict=True):
+                new.append(k not in seen)
+                seen.add(k)
+            yield b.filter(pa.array(new, pa.bool_()))
+
+    prepare(df.sparkSession)
+    return df.mapInArrow(run, types)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -4,7 +4,7 @@ A file is a run of fixed-width ids in which an end id closes each document; noth
 documents begin. Blocks of a file are scanned alone: one vectorised search for the end id gives
 the complete documents inside the block, the length before the first end and the length after
 the last. A prefix scan over the blocks' two numbers (ends seen, tokens still open) then stitches
-documents that cross blocks and numbers them: within a file, over the per-block summaries only.
+documents that cross blocks and numbers them: in two levels, over the per-block summaries only.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from tonalis.llm._util import cut, prepare, remove, shared_dir, table, with_part
 
 #: Ids per block, and the end-of-document id of the byte-level vocabulary.
 BLOCK, END = 1 << 18, 50256
+#: Blocks of a file whose sums are scanned together.
+GROUP = 4096
 
 
 def read_blocks(spark: SparkSession, path: str, width: int = 2, block: int = BLOCK) -> DataFrame:
@@ -116,13 +118,19 @@ def separator_scan(blocks: DataFrame, file: str = "file", end_id: int = END, wid
             yield pa.record_batch([b.column(0), b.column(1), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], names=[file, "block", "n", "ends"])
 
     light = cut(blocks.select(file, "block", "ids").mapInArrow(run, f"{file} {types[file]}, block long, n long, ends array<long>"))
-    # Prefix scan over blocks: one light row per block (a block is 512 KB of ids).
-    before = Window.partitionBy(file).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0).cast("long")
-    ends = F.size("ends").cast("long")
-    head = light.select(file, "block", "n", ends.alias("k"), F.when(ends > 0, F.col("ends")[0]).alias("first"), F.when(ends > 0, F.element_at("ends", -1)).alias("last_end"))
-    head = head.withColumn("base", F.coalesce(F.sum("n").over(before), zero)).withColumn("doc_base", F.coalesce(F.sum("k").over(before), zero))
-    head = head.withColumn("open_from", F.coalesce(F.max(F.when(F.col("k") > 0, F.col("base") + F.col("last_end") + 1)).over(before), zero))
+    # Prefix scan over blocks, one light row each (a block is 512 KB of ids), in two levels: within
+    # runs of GROUP blocks of a file, and over the file's runs.
+    zero, ends = F.lit(0).cast("long"), F.size("ends").cast("long")
+    head = light.select(file, "block", "n", ends.alias("k"), F.when(ends > 0, F.element_at("ends", -1)).alias("last_end"), F.floor(F.col("block") / GROUP).alias("_g"))
+    before = Window.partitionBy(file, "_g").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    head = head.withColumn("_n", F.coalesce(F.sum("n").over(before), zero)).withColumn("_k", F.coalesce(F.sum("k").over(before), zero)).withColumn("_end", F.when(F.col("k") > 0, F.col("_n") + F.col("last_end") + 1))
+    head = cut(head.withColumn("_open", F.max("_end").over(before)))
+    runs = head.groupBy(file, "_g").agg(F.sum("n").alias("_gn"), F.sum("k").alias("_gk"), F.max("_end").alias("_ge"))
+    above = Window.partitionBy(file).orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumns({"_base": F.coalesce(F.sum("_gn").over(above), zero), "_docs": F.coalesce(F.sum("_gk").over(above), zero)})
+    runs = runs.withColumn("_before", F.coalesce(F.max(F.col("_base") + F.col("_ge")).over(above), zero)).select(F.col(file).alias("_f"), F.col("_g").alias("_h"), "_base", "_docs", "_before")
+    head = head.join(runs, F.col(file).eqNullSafe(F.col("_f")) & (F.col("_g") == F.col("_h")))
+    head = head.select(file, "block", "n", "k", "last_end", (F.col("_base") + F.col("_n")).alias("base"), (F.col("_docs") + F.col("_k")).alias("doc_base"), F.coalesce(F.col("_base") + F.col("_open"), "_before").alias("open_from"))
     scanned = light.drop("n").join(head.select(file, "block", "base", "doc_base", "open_from"), [file, "block"])
     k = F.size("ends")
     starts = F.concat(F.array("open_from"), F.transform(F.slice("ends", 1, F.greatest(k - 1, F.lit(0))), lambda e: e + F.col("base") + 1))
@@ -139,7 +147,11 @@ def _scan(ids: np.ndarray, end_id: int) -> tuple[int, np.ndarray]:
 
 
 def op7_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as flat token files, one per partition, and those scanned; the documents' order is kept aside only to name them again."""
+    """documents as flat token files, one per partition, and those scanned; the documents' order is kept aside only to name them again.
+
+    A null or empty text has the end id alone; rows that repeat, and those with a null doc_id, have a result each; an empty
+    table gives no rows. Other columns are ignored, whatever their names.
+    """
     at = f"{shared_dir(spark)}/flat-{uuid.uuid4().hex}"
     names = write_flat(table(spark, sf_dir, "documents").select("doc_id", "text"), at)
     if not names.limit(1).count():
