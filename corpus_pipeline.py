@@ -18,16 +18,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonalis.llm import exact_dedup, mixing, ngram_join, packing, quality
-from tonalis.llm._util import ROW, remove, row_hashes, shared_dir
+from tonalis.llm._util import ROW, first_rows, remove, row_hashes, shared_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def _only(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The documents of these rows (doc_id, which may be null, and ROW); rows that repeat both doc_id and text are one. Texts are shuffled once."""
+    """The documents of these rows (doc_id, which may be null, and ROW); rows that repeat both doc_id and text are one, and are one a partition before texts are shuffled, once."""
     key = ["_id", "_unnamed", *ROW]
     keyed = lambda d: d.withColumns({"_id": F.coalesce("doc_id", F.lit(0)), "_unnamed": F.col("doc_id").isNull()})
-    own = keyed(docs.select("*", *row_hashes()))
+    own = first_rows(keyed(docs.select("*", *row_hashes())), key)
     return own.join(keyed(rows).select(*key).distinct(), key, "left_semi").dropDuplicates(key).drop(*key)
 
 
