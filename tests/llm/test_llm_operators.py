@@ -386,6 +386,7 @@ def test_separator_scan_in_runs_of_blocks(spark, monkeypatch, group):
     rows = [(f, k, x[k * 8 : k * 8 + 8].astype("<u2").tobytes()) for f, x in files.items() for k in range(-(-len(x) // 8))]
     got = token_counts.separator_scan(spark.createDataFrame(rows, "file string, block long, ids binary").repartition(4), end_id=7)
     want = set()
+    del files[None]  # blocks of no file say nothing
     for f, x in files.items():
         at = 0
         for no, e in enumerate([*np.flatnonzero(x == 7).tolist(), None]):

@@ -104,8 +104,8 @@ def write_flat(docs: DataFrame, at: str, end_id: int = END, path: str | None = N
 def separator_scan(blocks: DataFrame, file: str = "file", end_id: int = END, width: int = 2) -> DataFrame:
     """Per document of each file: <file>, doc_no long (from 0), start long (its first id in the file), n_tokens long (with the end id), closed boolean.
 
-    Ids after the last end of a file form a last document with ``closed`` false. Empty blocks
-    and null ids say nothing. No row of ids leaves the scan: only lengths do. A document may
+    Ids after the last end of a file form a last document with ``closed`` false. Empty blocks,
+    null ids, and blocks without file or number say nothing. No row of ids leaves the scan: only lengths do. A document may
     span any number of blocks; repeated documents are counted each; an empty table gives no
     rows; other columns are ignored.
     """
@@ -117,7 +117,7 @@ def separator_scan(blocks: DataFrame, file: str = "file", end_id: int = END, wid
             rows = [_scan(np.frombuffer(x or b"", kind), end_id) for x in b.column(2).to_pylist()]
             yield pa.record_batch([b.column(0), b.column(1), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], names=[file, "block", "n", "ends"])
 
-    light = cut(blocks.select(file, "block", "ids").mapInArrow(run, f"{file} {types[file]}, block long, n long, ends array<long>"))
+    light = cut(blocks.select(file, "block", "ids").dropna(subset=[file, "block"]).mapInArrow(run, f"{file} {types[file]}, block long, n long, ends array<long>"))
     # Prefix scan over blocks, one light row each (a block is 512 KB of ids), in two levels: within
     # runs of GROUP blocks of a file, and over the file's runs.
     zero, ends = F.lit(0).cast("long"), F.size("ends").cast("long")
@@ -129,7 +129,7 @@ def separator_scan(blocks: DataFrame, file: str = "file", end_id: int = END, wid
     above = Window.partitionBy(file).orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumns({"_base": F.coalesce(F.sum("_gn").over(above), zero), "_docs": F.coalesce(F.sum("_gk").over(above), zero)})
     runs = runs.withColumn("_before", F.coalesce(F.max(F.col("_base") + F.col("_ge")).over(above), zero)).select(F.col(file).alias("_f"), F.col("_g").alias("_h"), "_base", "_docs", "_before")
-    head = head.join(runs, F.col(file).eqNullSafe(F.col("_f")) & (F.col("_g") == F.col("_h")))
+    head = head.join(runs, (F.col(file) == F.col("_f")) & (F.col("_g") == F.col("_h")))
     head = head.select(file, "block", "n", "k", "last_end", (F.col("_base") + F.col("_n")).alias("base"), (F.col("_docs") + F.col("_k")).alias("doc_base"), F.coalesce(F.col("_base") + F.col("_open"), "_before").alias("open_from"))
     scanned = light.drop("n").join(head.select(file, "block", "base", "doc_base", "open_from"), [file, "block"])
     k = F.size("ends")
