@@ -116,6 +116,11 @@ def patch_grid(clips: DataFrame, ident: str, n_freq: str, n_time: str, patch: in
     return clips.select(ident, F.explode(patch_starts(F.col(n_freq), patch, stride)).alias("f_start"), n_time).select(ident, "f_start", F.explode(patch_starts(F.col(n_time), patch, stride)).alias("t_start"))
 
 
+def patch_starts_in(clips: DataFrame, ident: str, n_time: str, patch: int, stride: int) -> DataFrame:
+    """(ident, t_start): the grid's starts in time alone."""
+    return clips.select(ident, F.explode(patch_starts(F.col(n_time), patch, stride)).alias("t_start"))
+
+
 def _in_patches(truth: DataFrame, grid: DataFrame, clip: str, patch: int, stride: int) -> DataFrame:
     """Truth samples (clip, frame, bin, ...) by the patches that hold them. A sample lies in few patches; they meet on (clip, stride cell), not by a range condition."""
     reach = -(-patch // stride)

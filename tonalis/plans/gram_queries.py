@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,6 +144,21 @@ w AS (SELECT patch, k, freq_hz AS head, 1 AS g FROM s WHERE k = 1
 SELECT patch, round(sum(freq_hz) / count(*), 6) AS freq_hz, min(t_start) AS t_start, max(t_end) AS t_end, round(max(peak_snr_db), 9) AS confidence, CAST(count(*) AS INTEGER) AS n FROM w JOIN s USING (patch, k) GROUP BY patch, g"""
 
 
+def a8_anchor_dedupe_all(spark: SparkSession, d: str) -> DataFrame:
+    """Events of all kinds, each kind of a user's day apart."""
+    kinds = [X.spans(spark, d, k).select(F.lit(k).alias("kind"), "patch", "freq_hz", "t_start", "t_end", F.col("peak_snr_db").alias("confidence")) for k in X.KINDS]
+    out = T.anchor_dedupe(reduce(DataFrame.unionByName, kinds), ["kind", "patch"], 50.0)
+    return out.select("kind", "patch", F.round("freq_hz", 6).alias("freq_hz"), "t_start", "t_end", F.round("confidence", 9).alias("confidence"), "n")
+
+
+Q["a8_anchor_dedupe_all"] = a8_anchor_dedupe_all
+SQL["a8_anchor_dedupe_all"] = f"""WITH RECURSIVE {", ".join(X.sql_spans(f"p_{k}", k) for k in X.KINDS)}, p AS ({" UNION ALL ".join(f"SELECT '{k}' AS kind, * FROM p_{k}" for k in X.KINDS)}),
+s AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY kind, patch ORDER BY freq_hz, t_start, t_end, peak_snr_db) AS k FROM p),
+w AS (SELECT kind, patch, k, freq_hz AS head, 1 AS g FROM s WHERE k = 1
+ UNION ALL SELECT s.kind, s.patch, s.k, CASE WHEN abs(s.freq_hz - w.head) > 50 THEN s.freq_hz ELSE w.head END, CASE WHEN abs(s.freq_hz - w.head) > 50 THEN w.g + 1 ELSE w.g END FROM w JOIN s ON s.kind = w.kind AND s.patch = w.patch AND s.k = w.k + 1)
+SELECT kind, patch, round(sum(freq_hz) / count(*), 6) AS freq_hz, min(t_start) AS t_start, max(t_end) AS t_end, round(max(peak_snr_db), 9) AS confidence, CAST(count(*) AS INTEGER) AS n FROM w JOIN s USING (kind, patch, k) GROUP BY kind, patch, g"""
+
+
 def c3_detect_lines(spark: SparkSession, d: str) -> DataFrame:
     cfg = T.DetectionConfig(method="two_d", snr_db=6.0, persistence=T.PersistenceConfig(2.0, 3, 4), tolerance_hz=4.0)
     return _seconds(T.detect(X.gram(spark, d), "rec", "t", "power", 0.0, 1.0, 1.0, cfg))
@@ -320,6 +337,16 @@ Q["w11_top_snr"] = w11_top_snr
 SQL["w11_top_snr"] = f"WITH {X.sql_spans('p', 'view')} SELECT id, round(peak_snr_db, 9) AS peak_snr_db FROM p ORDER BY 2 DESC, 1 LIMIT 3"
 
 
+def w11_top_snr_all(spark: SparkSession, d: str) -> DataFrame:
+    """The three strongest events of all kinds."""
+    snr = F.round(X.hashed("snr/", F.col("event_id")) * 30.0 - 5.0, 9)
+    return I.top_k(X.read(spark, d, "events").select(F.col("event_id").alias("id"), snr.alias("peak_snr_db")), 3, F.desc("peak_snr_db"), F.asc("id"))
+
+
+Q["w11_top_snr_all"] = w11_top_snr_all
+SQL["w11_top_snr_all"] = f"SELECT event_id AS id, round({X.sql_hashed('snr/', 'event_id')} * 30.0::DOUBLE - 5.0::DOUBLE, 9) AS peak_snr_db FROM events ORDER BY 2 DESC, 1 LIMIT 3"
+
+
 def w7_patch_grid(spark: SparkSession, d: str) -> DataFrame:
     clips = X.read(spark, d, "orders").select("o_orderkey", F.lit(20).alias("nf"), (F.pmod("o_custkey", F.lit(40)) + 4).cast("int").alias("nt"))
     return E.patch_grid(clips, "o_orderkey", "nf", "nt", 8, 5)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EPOCH = 1704067200  # 2024-01-01 00:00 UTC
+#: Kinds of events in the test tables.
+KINDS = ("click", "view", "purchase", "signup", "error")
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

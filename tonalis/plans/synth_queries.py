@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tonalis.operators import datasets as DS
 from tonalis.operators import evaluate as E
 from tonalis.operators import synth as Y
+from tonalis.operators.batches import cut
 from tonalis.plans import inputs as X
 from tonalis.sources import sinks as K
 
@@ -35,6 +37,54 @@ def c11_inject_ambient(spark: SparkSession, d: str) -> DataFrame:
 Q["c11_inject_ambient"] = c11_inject_ambient
 
 
+def c12_vessel_set(spark: SparkSession, d: str) -> DataFrame:
+    """Two clips of each supplier's waveform with sources laid in, and their truth lines; waveforms below half a second are skipped."""
+    own = _ambient(spark, d).select(F.concat(F.lit("s/"), "clip_id").alias("compound_key"), F.concat(F.lit("/f/"), "clip_id").alias("path"), "sample_rate_hz", F.col("ambient").alias("samples"), F.col("seed").alias("number"))
+    vessels = own.select("compound_key", "number", (F.size("samples") / F.col("sample_rate_hz")).alias("duration_s"))
+    clips = DS.inject_vessels(DS.vessel_clips(vessels, 2, 9, shortest_s=0.5), own, VESSEL_PRIORS)
+    clips = cut(clips)  # read by lines and index
+    return DS.clip_index(clips, Y.truth_lines(clips, 64, 16, 1000))
+
+
+VESSEL_PRIORS = Y.TonalPriors(f0_primary_hz=(10.0, 200.0), f0_secondary_hz=(200.0, 450.0), persistence_s=(0.1, 1.0), cluster_period_s=(0.1, 1.0))
+Q["c12_vessel_set"] = c12_vessel_set
+
+
+def _patch_rows(spark: SparkSession, d: str, target: str) -> DataFrame:
+    """Patches of the whole gram; its cells of 12 and more are the truth."""
+    g = X.gram(spark, d)
+    truth = g.select("rec", F.col("t").alias("frame"), F.posexplode("power").alias("bin", "x")).filter("x >= 12")
+    return DS.patch_table(g.select("rec", F.col("t").alias("time_bin"), "power"), truth, "rec", 16, 10, target)
+
+
+def c13_patch_table(spark: SparkSession, d: str) -> DataFrame:
+    """Patches with masks as targets, a row a cell's row: sums that tell where values and truth stand."""
+    rows = _patch_rows(spark, d, "mask").select("rec", "f_start", "t_start", "label", F.posexplode(F.arrays_zip("patch", "target")).alias("h", "z"))
+    weighed = lambda c: F.aggregate(F.transform(F.col(c), lambda v, w: v * (w + 1)), F.lit(0.0), lambda a, v: a + v)
+    return rows.select("rec", "f_start", "t_start", "label", "h", F.round(weighed("z.patch"), 4).alias("cells"), weighed("z.target").cast("long").alias("truth"))
+
+
+Q["c13_patch_table"] = c13_patch_table
+_GRID = """n AS (SELECT rec, max(t) + 1 AS nt FROM cell GROUP BY rec), ts AS (SELECT rec, CAST(k AS INTEGER) AS t_start FROM n, range(0, 100000, 10) r(k) WHERE k <= nt - 16 UNION SELECT rec, CAST(nt - 16 AS INTEGER) FROM n WHERE nt >= 16),
+fs AS (SELECT CAST(a AS INTEGER) AS f_start FROM (VALUES (0), (10), (20), (30), (40), (48)) x(a))"""
+SQL["c13_patch_table"] = f"""WITH {X.GRAM}, {_GRID},
+q AS (SELECT ts.rec, f_start, t_start, CAST(f - f_start AS INTEGER) AS h, sum(x * (t - t_start + 1)) AS cells, sum(CASE WHEN x >= 12 THEN t - t_start + 1 ELSE 0 END) AS truth
+ FROM ts, fs, cell c WHERE c.rec = ts.rec AND t >= t_start AND t < t_start + 16 AND f >= f_start AND f < f_start + 16 GROUP BY ALL)
+SELECT rec, f_start, t_start, CAST(CASE WHEN sum(truth) OVER (PARTITION BY rec, f_start, t_start) > 0 THEN 1 ELSE 0 END AS INTEGER) AS label, h, round(cells, 4) AS cells, CAST(truth AS BIGINT) AS truth FROM q"""
+
+
+def c13_patch_heatmaps(spark: SparkSession, d: str) -> DataFrame:
+    """The same patches with heatmaps as targets."""
+    return _patch_rows(spark, d, "heatmap").select("rec", "f_start", "t_start", "label", F.posexplode("target").alias("h", "heat"))
+
+
+Q["c13_patch_heatmaps"] = c13_patch_heatmaps
+SQL["c13_patch_heatmaps"] = f"""WITH {X.GRAM}, {_GRID},
+q AS (SELECT ts.rec, f_start, t_start, CAST(f - f_start AS INTEGER) AS h, CASE WHEN max(x) >= 12 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS heat
+ FROM ts, fs, cell c WHERE c.rec = ts.rec AND t >= t_start AND t < t_start + 16 AND f >= f_start AND f < f_start + 16 GROUP BY ALL)
+SELECT rec, f_start, t_start, CAST(max(heat) OVER (PARTITION BY rec, f_start, t_start) AS INTEGER) AS label, h, heat FROM q"""
+
+
 def f22_patch_labels(spark: SparkSession, d: str) -> DataFrame:
     grid = E.patch_grid(X.month_clips(spark, d), "user_id", "nf", "nt", 16, 10)
     return E.patch_labels(E.truth_in_patches(X.month_truth(spark, d), grid, "user_id", 16, 10, 2.0), grid, "user_id")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonalis.functions import columns as C
+from tonalis.operators import datasets as DS
 from tonalis.operators import intervals as I
 from tonalis.operators import splits as S
 from tonalis.plans import inputs as X
@@ -139,8 +140,7 @@ SQL["t9_clip_plan"] = "SELECT s_suppkey, CAST(floor(CAST(('0x' || substr(md5('10
 def c12_vessel_clips(spark: SparkSession, d: str) -> DataFrame:
     """Plan of vessels by clips with their seeds; short ones are skipped with a reason."""
     v = X.read(spark, d, "customer").select(F.col("c_custkey").alias("vessel"), (F.abs(F.col("c_acctbal").cast("double")) / 100.0).alias("duration_s"))
-    plan = v.withColumn("clip", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("seed", F.lit(9) + 1000 * F.col("vessel") + F.col("clip"))
-    return plan.select("vessel", "clip", "seed", (F.col("duration_s") < 35.0).alias("skipped"))
+    return DS.vessel_clips(v, 3, 9, "vessel").select("vessel", "clip", "seed", "skipped")
 
 
 Q["c12_vessel_clips"] = c12_vessel_clips
@@ -222,7 +222,8 @@ SQL["k3_correlation_ids"] = """SELECT s_suppkey, md5('{"n_fft": 16384}/' || s_su
 
 def k8_metrics_union(spark: SparkSession, d: str) -> DataFrame:
     r = X.read(spark, d, "nation")
-    return r.select(F.col("n_nationkey").alias("epoch"), F.lit(0.5).alias("loss")).unionByName(r.select((F.col("n_nationkey") + 25).alias("epoch"), F.lit(0.25).alias("recall")), allowMissingColumns=True)
+    old = r.select(F.col("n_nationkey").alias("epoch"), F.lit(0.5).alias("loss"))
+    return K.metrics_union(old, r.select((F.col("n_nationkey") + 25).alias("epoch"), F.lit(0.25).alias("recall")))
 
 
 Q["k8_metrics_union"] = k8_metrics_union

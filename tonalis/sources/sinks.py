@@ -52,6 +52,13 @@ def provenance(df: DataFrame, key: list[str], snapshot: dict, source: str | None
     return df.withColumns({"correlation_id": F.md5(F.concat_ws("/", F.lit(said), *[F.col(k).cast("string") for k in key])), "created_at": F.current_timestamp(), "parameter_snapshot": F.lit(said), "source_recording_path": F.col(source) if source else F.lit(None).cast("string"), "code_commit_hash": F.lit(commit).cast("string")})
 
 
+def audited(df: DataFrame, key: list[str], snapshot: dict, own: list[str], source: str | None = None, commit: str | None = None) -> DataFrame:
+    """Adds ``audit``, a JSON document of the row's provenance: timestamp, correlation_id, source_recording_path, dataset_manifest_hash, code_commit_hash and parameter_snapshot, which holds the parameters (``configuration``, JSON) and the row's ``own`` columns. Unknown fields are null."""
+    p = provenance(df.select(*df.columns), key, snapshot, source, commit)
+    doc = F.struct(F.col("created_at").alias("timestamp"), "correlation_id", "source_recording_path", F.lit(None).cast("string").alias("dataset_manifest_hash"), "code_commit_hash", F.struct(F.col("parameter_snapshot").alias("configuration"), *own).alias("parameter_snapshot"))
+    return p.select(*df.columns, F.to_json(doc, {"ignoreNullFields": "false"}).alias("audit"))
+
+
 def digest_of_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     """manifest_sha256, n_files: a digest that depends on the rows but not on their order or layout.
 
@@ -77,9 +84,14 @@ def lines_jsonl(lines: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").json(path)
 
 
+def metrics_union(old: DataFrame | None, new: DataFrame) -> DataFrame:
+    """Rows of both, columns in order of first appearance, missing ones null."""
+    return new if old is None else old.unionByName(new, allowMissingColumns=True)
+
+
 def metrics_csv(old: DataFrame | None, new: DataFrame, path: str) -> DataFrame:
-    """Rows of both, columns in order of first appearance, missing ones empty."""
-    both = new if old is None else old.unionByName(new, allowMissingColumns=True)
+    """Writes the rows of both with a header, missing values empty; returns them."""
+    both = metrics_union(old, new)
     both.write.mode("overwrite").option("header", "true").csv(path)
     return both
 
