@@ -1,4 +1,4 @@
-"""Audio files by byte ranges: headers, and blocks of samples of WAV files of any length.
+"""Audio files by byte ranges: headers, and blocks of samples of WAV and FLAC files of any length.
 
 Spark lists the files, with the scheme of the file system that they are on; tasks read headers,
 and each block of samples is a row whose task reads its own bytes.
@@ -17,6 +17,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tonalis.sources import flac
+
 #: Format tags of WAV; fixed values.
 PCM, FLOAT, EXTENSIBLE = 1, 3, 0xFFFE
 
@@ -141,3 +143,91 @@ def wav_blocks(files: DataFrame, ident: str = "path", size: int = 1 << 16) -> Da
     each = head.withColumn("last", last).withColumn("block", F.explode(F.sequence(F.lit(0), "last")))
     n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return each.repartition(n, "path", "block").mapInArrow(read, f"{ident} string, sample_rate_hz int, n long, block int, start long, samples array<double>")
+
+
+def decoded(raw: bytes) -> tuple[int, np.ndarray]:
+    """Rate and samples (mean over channels) of a whole file's bytes."""
+    at = layout(pa.BufferReader(raw))
+    if at.kind != "flac":
+        return at.rate, samples(raw[at.offset : at.offset + at.n * at.frame], at)
+    read = lambda n, offset: raw[offset : offset + n]
+    try:
+        s = flac.stream(read, len(raw))
+    except flac.Broken as e:
+        raise Unreadable(str(e)) from None
+    x = np.zeros(flac.length(read, len(raw), s), np.float32)
+    for start, part in flac.frames(read, len(raw), s, 0, len(raw)):
+        x[start : start + len(part)] = part[: max(0, len(x) - start)]
+    return s.rate, x
+
+
+def flac_blocks(files: DataFrame, ident: str = "path", size: int = 1 << 16, chunk: int = 1 << 18) -> DataFrame:
+    """The same blocks of FLAC files; others, and those without a whole frame, give none.
+
+    A task reads ``chunk`` bytes: it looks for the first frame that begins there and reads the frames
+    from there on, one at a time; frames say which samples they hold, and blocks are put together
+    from them. A file ends with its last whole frame; samples of damaged frames before it are 0.
+    """
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for path in b.column(0).to_pylist():
+                try:
+                    with opened(path) as f:
+                        s = flac.stream(f.read_at, f.size())
+                        n = flac.length(f.read_at, f.size(), s)
+                        if n:
+                            rows.append((path, s.rate, n, s.first, f.size()))
+                except (flac.Broken, OSError, ValueError):
+                    continue
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["path", "rate", "n", "first", "bytes"])
+
+    def piece(path: str, block: int, start: int, parts: list[np.ndarray]) -> pa.RecordBatch:
+        x = np.concatenate(parts).astype(np.float64)
+        return pa.record_batch([pa.array([path]), pa.array([block], pa.int32()), pa.array([start], pa.int64()), pa.array([x], pa.list_(pa.float64()))], names=["path", "block", "start", "samples"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                path, n, last = r["path"], r["n"], r["last"]
+                begin = r["first"] + r["k"] * chunk
+                with opened(path) as f:
+                    now, parts, till = (0, 0), [], -1  # block and start of what is gathered, and where it ends
+                    for start, x in flac.frames(f.read_at, r["bytes"], flac.stream(f.read_at, r["bytes"]), begin, begin + chunk):
+                        x = x[: max(0, n - start)]
+                        while len(x):
+                            block = min(start // size, last)
+                            m = len(x) if block == last else min(len(x), (block + 1) * size - start)
+                            if parts and (block, start) != (now[0], till):
+                                yield piece(path, *now, parts)
+                                parts = []
+                            if not parts:
+                                now = (block, start)
+                            parts.append(x[:m])
+                            start, x = start + m, x[m:]
+                            till = start
+                    if parts:
+                        yield piece(path, *now, parts)
+
+    last = (F.greatest(F.floor(F.col("n") / size), F.lit(1)) - 1).cast("int")
+    head = files.select("path").mapInArrow(heads, "path string, rate int, n long, first long, bytes long").withColumn("last", last)
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = head.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("bytes") - F.col("first") - 1) / chunk))))
+    got = ranges.repartition(n, "path", "k").mapInArrow(read, "path string, block int, start long, samples array<double>")
+    got = got.groupBy("path", "block").agg(F.array_sort(F.collect_list(F.struct("start", "samples"))).alias("_z"))  # a block's samples
+    grid = head.select("path", "rate", "n", "last", F.explode(F.sequence(F.lit(0), "last")).alias("block")).withColumn("_from", F.col("block").cast("long") * size)
+    none = lambda k: F.array_repeat(F.lit(0.0), k.cast("int"))
+    before = lambda i: F.coalesce(F.get("_z", i - 1)["start"] + F.size(F.get("_z", i - 1)["samples"]), F.col("_from"))
+    filled = F.flatten(F.transform("_z", lambda p, i: F.concat(none(p["start"] - before(i)), p["samples"])))
+    long = F.when(F.col("block") == F.col("last"), F.col("n") - F.col("_from")).otherwise(F.lit(size))
+    each = grid.join(got, ["path", "block"], "left").withColumn("_x", F.coalesce(filled, F.expr("cast(array() as array<double>)")))
+    return each.select(F.col("path").alias(ident), F.col("rate").alias("sample_rate_hz"), "n", "block", F.col("_from").alias("start"), F.concat("_x", none(long - F.size("_x"))).alias("samples"))
+
+
+def recording_blocks(files: DataFrame, ident: str = "path", size: int = 1 << 16) -> DataFrame:
+    """Blocks of all files that can be read, WAV and FLAC."""
+    named = F.lower("path").rlike(r"\.flac$")
+    return wav_blocks(files.filter(~named), ident, size).unionByName(flac_blocks(files.filter(named), ident, size))

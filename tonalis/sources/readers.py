@@ -98,21 +98,18 @@ def probe(files: DataFrame) -> DataFrame:
 
 
 def decode(files: DataFrame, target_rate: int | None = None) -> DataFrame:
-    """path, sample_rate_hz, samples array<float>: mean over channels, resampled to ``target_rate`` if given. Unreadable files give no row. For files of any length see ``audio.wav_blocks``."""
+    """path, sample_rate_hz, samples array<float>: mean over channels, resampled to ``target_rate`` if given. Unreadable files give no row. For files of any length see ``audio.recording_blocks``."""
     from tonalis.functions import kernels as K
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
-                    at = audio.layout(pa.BufferReader(raw))
-                    if at.kind == "flac":
-                        continue
-                    x = audio.samples(raw[at.offset : at.offset + at.n * at.frame], at)
+                    own, x = audio.decoded(raw)
                 except audio.Unreadable:
                     continue
-                rate = target_rate or at.rate
-                x = K.resample(x, at.rate, rate)
+                rate = target_rate or own
+                x = K.resample(x, own, rate)
                 yield pa.record_batch([pa.array([path]), pa.array([rate], pa.int32()), pa.array([x], pa.list_(pa.float32()))], names=["path", "sample_rate_hz", "samples"])
 
     return files.select("path", "content").mapInArrow(run, "path string, sample_rate_hz int, samples array<float>")
