@@ -38,8 +38,8 @@ def inject_vessels(plan: DataFrame, ambients: DataFrame, priors: Y.TonalPriors,
 
     plan: compound_key, clip, seed, skipped. ambients: compound_key, path, sample_rate_hz, samples,
     one row a vessel. A clip is the ambient's first ``clip_s`` seconds (all of it if None), with
-    sources straight into it. An ambient meets its vessel's plan once and is copied within the
-    task. A vessel of the plan without ambient fails; an ambient without samples gives no clip.
+    sources straight into it. An ambient meets its vessel's plan once; its clips, which take far longer to make
+    than to move, are dealt to tasks one by one. A vessel of the plan without ambient fails; an ambient without samples gives no clip.
     """
     own = plan.filter(~F.col("skipped")).groupBy("compound_key").agg(F.collect_list(F.struct("clip", F.col("seed").cast("long").alias("seed"))).alias("_clips"))  # at most 1,000
     both = own.join(ambients.select("compound_key", "path", F.col("sample_rate_hz").cast("int").alias("sample_rate_hz"), "samples", F.lit(True).alias("_has")), "compound_key", "left")
@@ -48,6 +48,7 @@ def inject_vessels(plan: DataFrame, ambients: DataFrame, priors: Y.TonalPriors,
     both = both.withColumn("_has", F.coalesce("_has", F.raise_error(F.concat(F.lit("no ambient for "), F.col("compound_key")))))
     each = both.filter("_has").select("compound_key", "path", "sample_rate_hz", first.cast("array<float>").alias("ambient"), F.explode("_clips").alias("_c"))
     each = each.select("compound_key", "path", "sample_rate_hz", "ambient", F.col("_c.clip").alias("clip"), F.col("_c.seed").alias("seed"), F.concat_ws("_", F.lit(prefix), name, F.concat(F.lit("c"), F.lpad(F.col("_c.clip").cast("string"), 2, "0"))).alias("clip_id"))
+    each = each.repartition(int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")), "clip_id")
     # The generator knows clips by one name; key, path and number travel in it and are taken apart again.
     tag = F.to_json(F.struct("clip_id", "compound_key", "path", "clip"))
     made = Y.generate(each.select(tag.alias("clip_id"), "seed", "sample_rate_hz", "ambient"), priors)
