@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -290,6 +291,40 @@ def test_exact_dedup_against_brute_force(spark, fan):
     assert sorted((str(r["doc_id"]), str(r["keep_id"]), r["kept"]) for r in odd) == [("4", "4", True), ("5", "4", False), ("None", "4", False), ("None", "None", True)]
 
 
+@pytest.mark.parametrize("held", [1, 5, 40, 10_000])
+def test_blocks_of_runs_are_merged_in_lockstep(held):
+    rng = np.random.default_rng(held)
+    want, blocks = {}, []
+    for node in (0, 3):
+        for _ in range(6):
+            own = {}
+            for x in rng.integers(0, 60, rng.integers(1, 50)):
+                key, best = bytes([x]) * 40 + bytes(8), (-int(rng.integers(0, 3)), False, int(rng.integers(0, 9)))
+                n, old = own.get(key, (0, best))
+                own[key] = (n + 1, min(old, best))
+            for key, (n, best) in own.items():
+                m, old = want.get((node, key), (0, best))
+                want[node, key] = (m + n, min(old, best))
+            rows = sorted(own)
+            run = pa.table({"key": pa.array(rows, pa.binary(48)), "neg_len": [own[k][1][0] for k in rows], "unnamed": [False] * len(rows), "doc_id": [own[k][1][2] for k in rows], "n": [own[k][0] for k in rows]})
+            blocks += [(node, r["first"][0].as_py(), r["block"][0].as_py()) for r in exact_dedup._blocks(run, node, 1, 0, 1, 4)]
+    blocks.sort()
+    batches = [pa.record_batch([pa.array(c) for c in zip(*blocks[a : a + 5], strict=True)], names=["node", "first", "block"]) for a in range(0, len(blocks), 5)]
+    got = [(node, r["key"], (r["n"], (r["neg_len"], r["unnamed"], r["doc_id"]))) for node, t in exact_dedup.merge_blocks(iter(batches), held) for r in t.to_pylist()]
+    assert [x[:2] for x in got] == sorted(want) and {x[:2]: x[2] for x in got} == want
+
+
+@pytest.mark.parametrize("rows", [False, True])
+def test_runs_of_many_blocks_and_rounds(spark, rows):
+    texts = [(i, f"text {i % 700}" + " " * (i % 5)) for i in range(4000)] + [(None, "text 3       ")]
+    light = _util.cut(exact_dedup.digests(docs(spark, texts, 9), rows=rows))
+    got = exact_dedup.merge_runs(light, light.rdd.getNumPartitions(), 2, rows, size=100, block=7, held=50).collect()
+    want = {}
+    for i, t in texts:
+        want.setdefault(hashlib.sha256(t.replace(" ", "").encode()).digest(), []).append((-len(t), i is None, i))
+    assert {bytes(r["digest"]): (r["n"], tuple(r["best"])[:3]) for r in got} == {k: (len(v), min(v)) for k, v in want.items()} and len(got) == len(want)
+
+
 def test_exact_dedup_keeps_the_longest_though_unnamed(spark):
     rows = [(None, "ab   "), (5, "ab"), (7, "a b"), (None, "xy "), (None, "xy  "), (8, "xy"), (9, "q "), (9, "q "), (None, "q"), (None, "r "), (None, "r ")]
     got = sorted((str(r["doc_id"]), r["group_size"], str(r["keep_id"]), r["kept"]) for r in exact_dedup.exact_dedup(docs(spark, rows, 4)).collect())
