@@ -726,16 +726,16 @@ def test_lattice_points():
 @pytest.mark.parametrize("layout", [p for _, p in embedding_dedup.PLANS])
 def test_lattice_recall(layout):
     rng = np.random.default_rng(10)
-    x = rng.standard_normal((800, 64))
+    x = rng.standard_normal((3000, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    z = rng.standard_normal((800, 64))
+    z = rng.standard_normal((3000, 64))
     z -= (z * x).sum(axis=1)[:, None] * x
     z /= np.linalg.norm(z, axis=1)[:, None]
     lat = embedding_dedup.Lattice(64, *layout)
     near = 0.9 * x + np.sqrt(1 - 0.81) * z
     a, b = lat.cells(x), lat.cells(near)
     met = ((a == b[:, :, :1]).any(axis=2) | (b == a[:, :, :1]).any(axis=2)).any(axis=1)
-    assert met.mean() >= 0.96
+    assert met.mean() >= 0.98 - 3 * (0.98 * 0.02 / len(x)) ** 0.5  # 0.98 is claimed; three standard errors
     far = np.bitwise_count(lat.sketches(x) ^ lat.sketches(near)).sum(axis=1)
     assert far.max() <= embedding_dedup.far_apart(0.9) < 80
 
