@@ -749,3 +749,20 @@ def test_masks_of_every_member(spark):
     got = [(r["patch_id"], r["member"], r["row"], r["col_min"], r["col_max"], r["n_cells"]) for r in queries.QUERIES["a25_components"](spark, d).collect()]
     assert sorted(got) == sorted(want) and {r[1] for r in got} == {0, 1, 2, 3}
     assert {(r["rec"], r["member"], r["freq_bin"], r["time_bin"]): r["p"] for r in queries.QUERIES["a27_stitch"](spark, d).collect()} == pytest.approx(gram)
+
+
+def test_frames_of_an_envelope_are_never_broadcast(spark):
+    """Frames are exploded from few rows and look small to the optimizer."""
+    hours = F.explode(F.sequence(F.lit(0), F.lit(719)))
+    own = spark.range(20).repartition(2).select("id").distinct().select("id", hours.alias("time_bin")).withColumn("time_s", F.col("time_bin") + 0.5)
+    pulses = spark.createDataFrame([(i, i + 0.25, 0.5) for i in range(20)], "id long, onset_s double, gamma double")
+    envelope = G.active_envelope(own.select("id", "time_s"), pulses, "id", "gamma")
+    harmonics = pulses.select("id", F.lit(0).alias("h"), F.lit(10.0).alias("f0_hz"), F.lit(0.0).alias("drift"), "onset_s", F.lit(1.0).alias("amplitude"), F.lit(0.1).alias("local_rms"))
+    truth = G.frame_truth(envelope.withColumn("time_bin", F.floor("time_s").cast("int")), harmonics, "id", 800, 512, 800)
+    clips = spark.createDataFrame([("a", [0.0] * 4000, '[{"f0_hz": 50, "n_harmonics": 1, "harmonic_decay": 0.5, "decay_per_s": 1, "persistence_s": 2, "drift": 0, "snr_db": 6, "onset_s": 0.5, "amplitude": 1, "local_rms": 0.1, "onsets": [0.5]}]', None)], "clip_id string, samples array<float>, sources string, geometry string")
+    for df, n in ((envelope, 20 * 720), (truth, 20), (Y.truth_lines(clips, 64, 16, 1000).select("line_id"), 1)):
+        assert len(df.collect()) == n
+        joins = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        # What is broadcast may be rows of sources, never frames.
+        assert not [line for line in joins.splitlines() if "BroadcastHashJoin" in line and "time_s" in line], joins
+    assert truth.agg(F.sum(F.size("mask_bin_indices"))).first()[0] == envelope.filter("envelope > 0").count() > 200

@@ -151,10 +151,12 @@ def active_envelope(times: DataFrame, pulses: DataFrame, key: str, gamma: str, t
     """Per frame the largest exp(-gamma * age) over pulses younger than ln(1/ratio) / max(gamma, 0.001), else 0.
 
     Pulses spread over buckets of ``width`` seconds that their life covers; frames meet them by
-    (key, bucket).
+    (key, bucket). Frames are mostly exploded from few rows, which Spark's estimate of their size doesn't see:
+    they are never broadcast.
     """
+    times = times.hint("merge")
     life = -np.log(max(ratio, 1e-12)) / F.greatest(F.col(gamma), F.lit(1e-3))
-    p = pulses.withColumn("_life", life).withColumn("_b", F.explode(F.sequence(F.floor(F.col(onset) / width), F.floor((F.col(onset) + F.col("_life")) / width))))
+    p = pulses.withColumn("_life", life).withColumn("_b", F.explode(F.sequence(F.floor(F.col(onset) / width), F.floor((F.col(onset) + F.col("_life")) / width)))).hint("merge")
     t = times.withColumn("_b", F.floor(F.col(time) / width))
     age = F.col(time) - F.col(onset)
     hit = t.join(p, [key, "_b"]).filter((age >= 0) & (age < F.col("_life"))).groupBy(key, time).agg(F.max(F.exp(-F.col(gamma) * age)).alias("envelope"))
@@ -170,7 +172,7 @@ def frame_truth(envelope: DataFrame, harmonics: DataFrame, source: str, sample_r
     """
     top = n_fft // 2 - 1
     own = harmonics.filter((F.col("h") + 1) * F.col("f0_hz") < sample_rate / 2)
-    e = own.join(envelope.filter("envelope > 0"), source, "left")
+    e = own.join(envelope.filter("envelope > 0").hint("merge"), source, "left")
     f = (F.col("h") + 1) * (F.col("f0_hz") + F.col("drift") * (F.col("time_s") - F.col("onset_s")))
     inside = F.least(F.greatest(f, F.lit(1e-3)), F.lit(sample_rate / 2 - 1.0))
     bin_ = F.least(F.greatest(F.rint(inside / (sample_rate / n_fft)), F.lit(0.0)), F.lit(float(top))).cast("int")
