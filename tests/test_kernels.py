@@ -145,3 +145,22 @@ def test_track_follows_drift_bridges_gaps_and_uses_peaks_once():
 def test_track_prefers_the_nearest_then_the_lower():
     got = K.track(np.array([0, 1, 1]), np.array([10, 9, 11]), np.array([9.0, 9, 9]), 2, 2, 1)
     assert got[0][1:3] == (9, 10)
+
+
+def test_a_filters_response_is_made_once():
+    """A recording costs its samples, not the response of the filter anew in each section and pass; results are those of the plain recursion."""
+    rng = np.random.default_rng(8)
+    sos = K.butter_sos(4, (0.1, 0.3))
+    K._block_response.cache_clear()
+    for n in (1, 2, 255, 256, 257, 700):
+        x, state = rng.normal(2, 1, n), rng.normal(0, 1, (len(sos), 2))
+        y, end = K.sos_run(sos, x, state)
+        want, z = x.copy(), state.copy()
+        for s, (b0, b1, b2, _, a1, a2) in enumerate(sos):
+            for t in range(n):
+                u = want[t]
+                want[t] = b0 * u + z[s, 0]
+                z[s] = b1 * u - a1 * want[t] + z[s, 1], b2 * u - a2 * want[t]
+        assert np.allclose(y, want, rtol=0, atol=1e-12) and np.allclose(end, z, rtol=0, atol=1e-12)
+        K.zero_phase(sos, x)
+    assert K._block_response.cache_info().misses == len(sos)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 
@@ -104,32 +105,38 @@ def padding(sos: np.ndarray) -> int:
     return 3 * (2 * len(sos) + 1 - int(min((sos[:, 2] == 0).sum(), (sos[:, 5] == 0).sum())))
 
 
+@lru_cache(maxsize=32)
+def _block_response(b0: float, b1: float, b2: float, a1: float, a2: float, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Over a block from rest: the matrix from inputs to outputs; and the responses to either state."""
+
+    def free(v: float, p1: float, p2: float) -> np.ndarray:
+        out = [v]
+        for _ in range(block - 1):
+            v = p1
+            p1, p2 = p2 - a1 * v, -a2 * v
+            out.append(v)
+        return np.array(out)
+
+    h, r1 = free(b0, b1 - a1 * b0, b2 - a2 * b0), free(1.0, -a1, -a2)
+    toeplitz = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(np.r_[h[::-1], np.zeros(block - 1)], block)[::-1])
+    return toeplitz, r1, np.r_[0.0, r1[:-1]]  # the second state is the first one a sample later
+
+
 def _biquad(x: np.ndarray, b0: float, b1: float, b2: float, a1: float, a2: float, state: np.ndarray, block: int = 256) -> tuple[np.ndarray, tuple[float, float]]:
     n = len(x)
     s1, s2 = float(state[0]), float(state[1])
     # State-space over a block: outputs are a Toeplitz product of inputs plus the response to the state.
-    h, r1, r2 = np.zeros(block), np.zeros(block), np.zeros(block)
-    for out, (i0, q1, q2) in ((h, (1.0, 0.0, 0.0)), (r1, (0.0, 1.0, 0.0)), (r2, (0.0, 0.0, 1.0))):
-        p1, p2 = q1, q2
-        for t in range(block):
-            u = i0 if t == 0 else 0.0
-            v = b0 * u + p1
-            p1, p2 = b1 * u - a1 * v + p2, b2 * u - a2 * v
-            out[t] = v
-    lower = np.subtract.outer(np.arange(block), np.arange(block))
-    toeplitz = np.where(lower >= 0, h[np.maximum(lower, 0)], 0.0)
+    b0, b1, b2, a1, a2 = map(float, (b0, b1, b2, a1, a2))
+    toeplitz, r1, r2 = _block_response(b0, b1, b2, a1, a2, block)
     y = np.empty(n)
     for at in range(0, n, block):
         u = x[at : at + block]
         m = len(u)
         v = toeplitz[:m, :m] @ u + s1 * r1[:m] + s2 * r2[:m]
         y[at : at + m] = v
-        if m >= 2:
-            s2n = b2 * u[-1] - a2 * v[-1]
-            s1n = b1 * u[-1] - a1 * v[-1] + b2 * u[-2] - a2 * v[-2]
-        else:
-            s1n, s2n = b1 * u[-1] - a1 * v[-1] + s2, b2 * u[-1] - a2 * v[-1]
-        s1, s2 = s1n, s2n
+        u1, v1 = float(u[-1]), float(v[-1])
+        s1 = b1 * u1 - a1 * v1 + b2 * float(u[-2]) - a2 * float(v[-2]) if m >= 2 else b1 * u1 - a1 * v1 + s2
+        s2 = b2 * u1 - a2 * v1
     return y, (s1, s2)
 
 
