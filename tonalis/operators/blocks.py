@@ -8,7 +8,7 @@ frames again, equal to what the kernel gives for the whole recording:
 * **Framing and resampling** need some samples beyond a block: blocks around send them (a halo), one
   shuffle.
 * **Recursive filters** carry a state through the whole recording, in which they are linear. Every
-  block is filtered from rest; a scan over the blocks' end states, a few numbers each, gives
+  block but the last is filtered from rest; a scan over the blocks' end states, a few numbers each, gives
   the state that each really begins in; then each is filtered from that. A zero-phase pass
   is two of those, the second from the end, with the odd extension in the first and last block.
 
@@ -213,17 +213,15 @@ def _pass(blocks: DataFrame, sos: np.ndarray, ident: str, size: int, back: bool)
             yield pa.record_batch([b.column(0).take(pa.array(i, pa.int64())), pa.array(k, pa.int32()), pa.array(n, pa.int64()), pa.array(s, pa.list_(pa.float64()))], names=[ident, "block", "n", "end"])
 
     def scan(t: pa.Table, starts: np.ndarray) -> pa.Table:
-        """From the end states of blocks filtered from rest, in order, to the states that they begin in."""
-        ends, block, n = np.array(t["end"].to_pylist()).reshape(-1, width), t["block"].to_numpy(), t["n"].to_numpy()
+        """From the end states of blocks filtered from rest, in order, to the states that the blocks after them begin in."""
+        ends, block = np.array(t["end"].to_pylist()).reshape(-1, width), t["block"].to_numpy()
         out = np.zeros_like(ends)
         for a, b in pairwise(starts.tolist()):
             order = range(b - 1, a - 1, -1) if back else range(a, b)
             now = None
             for i in order:
-                if now is not None:
-                    out[i] = now
-                now = ends[i] if now is None else ends[i] + steps @ now
-        return pa.table([t[ident], pa.array(block, pa.int32()), pa.array(out.tolist(), pa.list_(pa.float64()))], names=[ident, "block", "state"])
+                out[i] = now = ends[i] if now is None else ends[i] + steps @ now
+        return pa.table([t[ident], pa.array(block + (-1 if back else 1), pa.int32()), pa.array(out.tolist(), pa.list_(pa.float64()))], names=[ident, "block", "state"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -240,9 +238,11 @@ def _pass(blocks: DataFrame, sos: np.ndarray, ident: str, size: int, back: bool)
             yield pa.record_batch([*(b.column(i) for i in range(5)), _arrays(out)], names=[ident, *COLUMNS])
 
     own = blocks.select(ident, *COLUMNS)
-    ends = own.mapInArrow(rest, f"{ident} {kind}, block int, n long, end array<double>")  # a few numbers a block
+    # Nothing begins in the state that a pass ends in, so its last block, the only one of a short recording, isn't run from rest.
+    last = F.lit(0) if back else F.greatest(F.floor(F.col("n") / size), F.lit(1)) - 1
+    ends = own.filter(F.col("block") != last).mapInArrow(rest, f"{ident} {kind}, block int, n long, end array<double>")  # a few numbers a block
     states = grouped(ends, [ident], ["block"], scan, f"{ident} {kind}, block int, state array<double>")
-    told = own.join(states, [ident, "block"]).select(ident, *COLUMNS, "state")
+    told = own.join(states, [ident, "block"], "left").select(ident, *COLUMNS, "state")
     return cut(told.mapInArrow(run, f"{ident} {kind}, {SCHEMA}"))
 
 
