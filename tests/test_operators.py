@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tonalis.functions import columns as C
+from tonalis.functions import kernels as Kn
 from tonalis.operators import calibrate as A
 from tonalis.operators import evaluate as E
 from tonalis.operators import grams as G
@@ -766,3 +767,22 @@ def test_frames_of_an_envelope_are_never_broadcast(spark):
         # What is broadcast may be rows of sources, never frames.
         assert not [line for line in joins.splitlines() if "BroadcastHashJoin" in line and "time_s" in line], joins
     assert truth.agg(F.sum(F.size("mask_bin_indices"))).first()[0] == envelope.filter("envelope > 0").count() > 200
+
+
+@pytest.mark.parametrize(("n_fft", "bins"), [(32, None), (128, None), (128, (3, 50))])
+def test_a_frame_is_one_row_while_its_bins_are_summed(spark, n_fft, bins):
+    """Against the transform; bins are columns of the sums, strips of them keys where they are many."""
+    rng = np.random.default_rng(5)
+    x = {r: rng.normal(0, 1, n) for r, n in ((0, 300), (1, 129), (2, 20))}
+    long = spark.createDataFrame([(r, i, float(v)) for r, y in x.items() for i, v in enumerate(y)], "rec int, i long, x double").repartition(3)
+    df = G.dft_power(G.frames(long, "rec", "i", "x", n_fft, 16), "rec", "x", n_fft, n_fft, bins=bins)
+    got = {(r.rec, r.time_bin, r.freq_bin): r.power for r in df.collect()}
+    lo, hi = bins or (0, n_fft // 2)
+    want = {(r, t, f): p[t, f] for r, y in x.items() for p in [_stft(y, n_fft)] for t in range(len(p)) for f in range(lo, hi + 1)}
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-12 for k, v in want.items())
+    keys = [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "HashAggregate(keys" in line]
+    assert keys and not [line for line in keys if "freq_bin" in line]
+
+
+def _stft(x, n):
+    return Kn.stft_power(x, 1000, n, 16)[2]

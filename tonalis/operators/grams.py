@@ -88,15 +88,24 @@ def frames(samples: DataFrame, ident: str, index: str, value: str, length: int,
     return out.join(n, ident).filter(F.col("time_bin") <= whole).select(ident, "time_bin", (F.col(index) - F.col("time_bin") * hop).cast("int").alias("pos"), value)
 
 
+#: Bins whose sums one row of ``dft_power`` holds while samples are added up.
+STRIP = 32
+
+
 def dft_power(framed: DataFrame, ident: str, value: str, n_fft: int, length: int, window: str = "hanning", bins: tuple[int, int] | None = None) -> DataFrame:
-    """(ident, time_bin, freq_bin, power) of framed samples by sums of cosines and sines: the native form of the transform, for short windows."""
+    """(ident, time_bin, freq_bin, power) of framed samples by sums of cosines and sines: the native form of the transform, for short windows.
+
+    A frame's bins are summed side by side, ``STRIP`` at a time: samples aren't multiplied by the number of bins, nor is the table of sums."""
     lo, hi = bins or (0, n_fft // 2)
     w = K.window(window, length).sum()
     x = F.col(value) * C.window_value(window, F.col("pos"), length) / F.lit(float(w))
-    by = framed.withColumn("_x", x).withColumn("freq_bin", F.explode(F.sequence(F.lit(lo), F.lit(hi))))
-    angle = F.lit(2.0) * F.pi() * F.pmod(F.col("freq_bin") * F.col("pos"), F.lit(n_fft)) / F.lit(float(n_fft))
-    s = by.groupBy(ident, "time_bin", "freq_bin").agg(F.sum(F.col("_x") * F.cos(angle)).alias("_re"), F.sum(F.col("_x") * F.sin(angle)).alias("_im"))
-    return s.select(ident, "time_bin", "freq_bin", (F.col("_re") * F.col("_re") + F.col("_im") * F.col("_im")).alias("power"))
+    width = min(STRIP, hi - lo + 1)
+    by = framed.withColumn("_x", x).withColumn("_b", F.explode(F.sequence(F.lit(lo), F.lit(hi), F.lit(width))) if width < hi - lo + 1 else F.lit(lo))
+    angle = lambda k: F.lit(2.0) * F.pi() * F.pmod((F.col("_b") + k) * F.col("pos"), F.lit(n_fft)) / F.lit(float(n_fft))
+    s = by.groupBy(ident, "time_bin", "_b").agg(*[F.sum(F.col("_x") * f(angle(k))).alias(f"_{c}{k}") for k in range(width) for c, f in (("re", F.cos), ("im", F.sin))])
+    power = F.array(*[F.col(f"_re{k}") * F.col(f"_re{k}") + F.col(f"_im{k}") * F.col(f"_im{k}") for k in range(width)])
+    out = s.select(ident, "time_bin", "_b", F.posexplode(power).alias("_k", "power")).withColumn("freq_bin", F.col("_b") + F.col("_k"))
+    return out.filter(F.col("freq_bin") <= hi).select(ident, "time_bin", "freq_bin", "power")
 
 
 def _per_recording(recordings: DataFrame, ident: str, rate: str, samples: str, one) -> DataFrame:  # noqa: ANN001
