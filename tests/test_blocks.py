@@ -5,11 +5,14 @@ import struct
 import wave
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tonalis.functions import kernels as K
 from tonalis.operators import blocks as B
 from tonalis.operators import grams as G
+from tonalis.operators.batches import grouped
 from tonalis.plans import gram_queries as Q
 from tonalis.plans import inputs as X
 from tonalis.sources import audio, readers
@@ -191,3 +194,15 @@ def test_wave_module_agrees():
     at = audio.layout(audio.pa.BufferReader(raw.getvalue()))
     assert (at.rate, at.channels, at.n) == (22050, 1, 1000)
     assert np.allclose(audio.samples(raw.getvalue()[at.offset :], at) * 32768, np.arange(-500, 500))
+
+
+def test_kernels_get_a_few_mb_at_a_time(spark):
+    """Groups of long arrays: what a task holds doesn't grow with its partition, but for a group that is larger, which comes whole."""
+
+    def size(t, starts):
+        return pa.table([t["k"].slice(0, 1), pa.array([t.nbytes]), pa.array([len(starts) - 1])], names=["k", "bytes", "groups"])
+
+    rows = spark.range(5000).select(F.when(F.col("id") < 2500, F.lit(-1)).otherwise(F.col("id")).alias("k"), "id", F.array_repeat(F.lit(1.0), 1000).alias("samples")).coalesce(1)
+    got = grouped(rows, ["k"], ["id"], size, "k long, bytes long, groups long").collect()
+    assert sum(r.groups for r in got) == 2501
+    assert max(r.bytes for r in got if r.k != -1) < 16 << 20 and sum(r.bytes for r in got) > 39_000_000 and sum(r.k == -1 for r in got) == 1

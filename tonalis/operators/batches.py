@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Rows, or bytes, from which a batch of whole groups goes to the kernel.
-ROWS, BYTES = 16_384, 64 << 20
+ROWS, BYTES = 16_384, 8 << 20
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -45,12 +45,13 @@ def grouped(rows: DataFrame, keys: list[str], order: list[str], fn: Callable[[pa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         n = size = 0
+        times = 1  # of the limits, for a group that goes beyond them
         for b in batches:
             if not b.num_rows:
                 continue
             held.append(b)
             n, size = n + b.num_rows, size + b.nbytes
-            if n >= most or size >= BYTES:
+            if n >= most * times or size >= BYTES * times:
                 t = pa.Table.from_batches(held).combine_chunks()
                 stop = int(starts(t, keys)[-2])  # the last group may go on in the next batch
                 if stop:
@@ -58,9 +59,10 @@ def grouped(rows: DataFrame, keys: list[str], order: list[str], fn: Callable[[pa
                     yield from fn(whole, starts(whole, keys)).to_batches()
                 held = t.slice(stop).to_batches()
                 n, size = n - stop, sum(x.nbytes for x in held)
+                times = 1 if stop else 2 * times
         if n:
             t = pa.Table.from_batches(held).combine_chunks()
             yield from fn(t, starts(t, keys)).to_batches()
 
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES // 4))  # rows may be long arrays
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES // 2))  # rows may be long arrays
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
