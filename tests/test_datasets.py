@@ -162,3 +162,21 @@ def test_wav_lines_and_metrics_are_read_back(spark, tmp_path):
     K.metrics_csv(old, new, str(tmp_path / "m"))
     back = spark.read.option("header", "true").csv(str(tmp_path / "m"))
     assert back.columns == ["clip_id", "x", "y"] and {tuple(r) for r in back.collect()} == {("a", "1", None), ("b", "1", None), ("a", None, "2"), ("b", None, "2")}
+
+
+def test_a_vessel_set_makes_each_ambient_once(spark, monkeypatch):
+    """Plan and clips read what was made once."""
+    from tonalis.plans import synth_queries as Q
+
+    n = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            n.add(b.num_rows)
+            yield b
+
+    plain = Q._ambient
+    monkeypatch.setattr(Q, "_ambient", lambda spark, d: plain(spark, d).mapInArrow(counted, plain(spark, d).schema))
+    got = Q.c12_vessel_set(spark, "/root/testdata/sf0.001").collect()
+    vessels = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_suppkey").distinct().count()
+    assert n.value == vessels and len(got) == 2 * vessels

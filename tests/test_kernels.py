@@ -164,3 +164,19 @@ def test_a_filters_response_is_made_once():
         assert np.allclose(y, want, rtol=0, atol=1e-12) and np.allclose(end, z, rtol=0, atol=1e-12)
         K.zero_phase(sos, x)
     assert K._block_response.cache_info().misses == len(sos)
+
+
+def test_short_recordings_are_filtered_side_by_side(monkeypatch):
+    """No block response is made for a filter that is used once; a result doesn't depend on what stands beside it."""
+    rng = np.random.default_rng(4)
+    waves = [rng.uniform(0, 10, n) for n in (600, 1, 2, 30, 599, 700, 600)] + [np.zeros(500), np.r_[rng.normal(size=3), np.zeros(400)]]
+    rates, fs = [1000] * 8 + [900], [10.0, 20.0, 33.0, 445.0, 110.0, 490.0, 2.0, 60.0, 250.0]
+    K._block_response.cache_clear()
+    got = K.band_rms_each(waves, rates, fs)
+    assert K._block_response.cache_info().misses == 0
+    assert np.allclose(got, [K.band_rms(*x) for x in zip(waves, rates, fs, strict=True)], rtol=1e-9, atol=0) and got[7] == 0
+    assert got == [K.band_rms_each([x], [r], [f])[0] for x, r, f in zip(waves, rates, fs, strict=True)]
+    monkeypatch.setattr(K, "SHORT", 600)
+    assert K.band_rms_each(waves, rates, fs)[5] == K.band_rms(waves[5], 1000, 490.0)
+    cuts = np.array([(0.02, 0.03), (1e-6, 1 - 1e-6), (0.3, 0.9), (0.4, 0.41)])
+    assert np.allclose(K.butter_bands(4, cuts), np.stack([K.butter_sos(4, tuple(c)) for c in cuts], axis=2), rtol=1e-12, atol=1e-14)

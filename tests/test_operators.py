@@ -786,3 +786,18 @@ def test_a_frame_is_one_row_while_its_bins_are_summed(spark, n_fft, bins):
 
 def _stft(x, n):
     return Kn.stft_power(x, 1000, n, 16)[2]
+
+
+def test_truth_lines_are_made_on_the_row(spark):
+    """Against frames and pulses as rows; frames meet pulses without a shuffle."""
+    made = Y.generate(_clips(spark), Y.TonalPriors(n_sources={0: 0.2, 3: 0.8}, f0_primary_hz=(50.0, 400.0), f0_secondary_hz=(400.0, 1200.0), persistence_s=(0.1, 1.0), cluster_period_s=(0.1, 1.0), decay_per_s=(1.0, 60.0)), Y.GeometryPriors()).cache()
+    lines = Y.truth_lines(made, 256, 128, 2000)
+    assert "Exchange" not in lines._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+    src = made.select("clip_id", F.size("samples").alias("n"), F.posexplode(F.from_json("sources", Y.SOURCE)).alias("k", "s")).select("n", F.concat_ws("_s", "clip_id", F.col("k").cast("string")).alias("id"), "s.*")
+    times = G.frame_times(src, "id", "n", 256, 128, 2000)
+    envelope = G.active_envelope(times.select("id", "time_s"), src.select("id", F.explode("onsets").alias("onset_s"), F.col("decay_per_s").alias("gamma")), "id", "gamma").join(times, ["id", "time_s"])
+    each = src.withColumn("h", F.explode(F.sequence(F.lit(0), F.col("n_harmonics") - 1))).withColumn("amplitude", F.col("amplitude") * F.pow("harmonic_decay", F.col("h")))
+    want = G.frame_truth(envelope, each, "id", 2000, 256, 128)
+    own = [c for c in want.columns if c != "id"]
+    rows = sorted(map(tuple, want.select(own).collect()))
+    assert sorted(map(tuple, lines.select(own).collect())) == rows and len({len(r[3]) for r in rows}) > 3

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 
@@ -46,6 +46,28 @@ def butter_sos(order: int, cut: float | tuple[float, float]) -> np.ndarray:
     return _sections(*_bilinear(z, p, k))
 
 
+def butter_bands(order: int, cuts: np.ndarray) -> np.ndarray:
+    """Sections of many band passes, cuts[k] a pair: those of ``butter_sos``, side by side along the third axis."""
+    poles = np.exp(1j * np.pi * (2 * np.arange(1, order + 1) + order - 1) / (2 * order))[:, None]
+    lo, hi = 4 * np.tan(np.pi * np.asarray(cuts, float).T / 2)
+    bw, w0 = hi - lo, np.sqrt(hi * lo)
+    half = poles * bw / 2
+    root = np.sqrt(half**2 - w0**2 + 0j)
+    p = np.concatenate([half + root, half - root])
+    # Not np.prod: its last digits depend on how many cascades there are.
+    gain, p = np.real((4.0 * bw) ** order / reduce(np.multiply, 4 - p)), (4 + p) / (4 - p)
+    plain = (np.count_nonzero(p.imag > 1e-12, axis=0) == order) & (np.count_nonzero(p.imag < -1e-12, axis=0) == order)
+    # Of a conjugate pair the upper pole; sections in order of their poles, each with a zero at either end of the circle.
+    p = np.where(p.imag > 0, p, np.inf)
+    p = np.take_along_axis(p, np.lexsort((np.abs(p.imag), p.real), axis=0)[:order], axis=0)
+    sos = np.zeros((order, 6, len(gain)))
+    sos[:, 0], sos[:, 2], sos[:, 3], sos[:, 4], sos[:, 5] = 1.0, -1.0, 1.0, -2 * p.real, np.abs(p) ** 2
+    sos[0, :3] *= gain
+    for k in np.flatnonzero(~plain):  # real poles among them
+        sos[:, :, k] = butter_sos(order, (float(cuts[k][0]), float(cuts[k][1])))
+    return sos
+
+
 def _bilinear(z: np.ndarray, p: np.ndarray, k: float) -> tuple[np.ndarray, np.ndarray, float]:
     k = k * np.real(np.prod(4 - z) / np.prod(4 - p))
     zd = np.r_[(4 + z) / (4 - z), -np.ones(len(p) - len(z))]
@@ -141,8 +163,8 @@ def _biquad(x: np.ndarray, b0: float, b1: float, b2: float, a1: float, a2: float
 
 
 def steady(sos: np.ndarray) -> np.ndarray:
-    """Section states for a constant input of 1."""
-    zi, scale = np.zeros((len(sos), 2)), 1.0
+    """Section states for a constant input of 1; cascades side by side stand along a third axis."""
+    zi, scale = np.zeros((len(sos), 2, *sos.shape[2:])), 1.0
     for s, (b0, b1, b2, _, a1, a2) in enumerate(sos):
         gain = (b0 + b1 + b2) / (1 + a1 + a2)
         zi[s] = scale * np.array([gain - b0, b2 - a2 * gain])
@@ -152,30 +174,94 @@ def steady(sos: np.ndarray) -> np.ndarray:
 
 def zero_phase(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Forward and backward pass with odd extension, so that the filter shifts nothing."""
-    x = np.asarray(x, np.float64)
-    pad = min(padding(sos), len(x) - 1)
-    ext = np.r_[2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]] if pad > 0 else x
+    ext, pad = _extended(sos, x)
     zi = steady(sos)
     y = sos_filter(sos, ext, zi * ext[0])
     y = sos_filter(sos, y[::-1], zi * y[-1])[::-1]
     return y[pad : len(y) - pad] if pad > 0 else y
 
 
+def _extended(sos: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, int]:
+    """x with its odd extension, and how long that is at either end."""
+    x = np.asarray(x, np.float64)
+    pad = min(padding(sos), len(x) - 1)
+    return (np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]]) if pad > 0 else x), pad
+
+
+def zero_phase_each(sos: np.ndarray, waves: list[np.ndarray]) -> list[np.ndarray]:
+    """``zero_phase`` of many short recordings, each by its own cascade sos[:, :, k]. All run side by side, sample by sample: a filter used once isn't worth a block response."""
+    ext, pads = zip(*(_extended(sos[:, :, k], x) for k, x in enumerate(waves)), strict=True)
+    zi, n = steady(sos), max(map(len, ext))
+    for _ in range(2):  # forward, then backward over what came out; beyond its end a recording repeats, which changes nothing before
+        y = _cascades(sos, np.array([np.resize(e, n) for e in ext]).T, zi * np.array([e[0] for e in ext]))
+        ext = [y[: len(e), k][::-1] for k, e in enumerate(ext)]
+    return [e[p : len(e) - p] for e, p in zip(ext, pads, strict=True)]
+
+
+def _cascades(sos: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """One pass of cascades side by side: sos[section, :, k] over x[:, k] from state[section, :, k]. A section works one sample behind the section before it, so that a step takes all of them at once."""
+    (n, m), k = x.shape, len(sos)
+    b0, b1, b2, _, a1, a2 = (np.ascontiguousarray(sos[:, i]) for i in range(6))
+    s1, s2 = (np.ascontiguousarray(state[:, i]) for i in range(2))
+    x, out = np.concatenate([x, np.zeros((k - 1, m))]), np.empty((n + k - 1, m))
+    u, y, w = np.zeros((k, m)), np.zeros((k, m)), np.empty((k, m))
+    for t in range(n + k - 1):
+        if t < k:  # later sections have not begun
+            c = slice(0, t + 1)
+            b0_, b1_, b2_, a1_, a2_, s1_, s2_, u_, y_, w_ = (v[c] for v in (b0, b1, b2, a1, a2, s1, s2, u, y, w))
+        u_[1:] = y_[: len(u_) - 1]
+        u_[0] = x[t]
+        np.multiply(b0_, u_, out=y_)
+        y_ += s1_
+        np.multiply(b1_, u_, out=s1_)
+        s1_ -= np.multiply(a1_, y_, out=w_)
+        s1_ += s2_
+        np.multiply(b2_, u_, out=s2_)
+        s2_ -= np.multiply(a2_, y_, out=w_)
+        out[t] = y[-1]
+    return out[k - 1 :]
+
+
 def bandpass(x: np.ndarray, sample_rate: float, low: float, high: float, order: int = 4) -> np.ndarray:
+    return zero_phase(butter_sos(order, _band(sample_rate, low, high)), x)
+
+
+def _band(sample_rate: float, low: float, high: float) -> tuple[float, float]:
+    """A band in units of the Nyquist rate."""
     nyq = sample_rate / 2
     lo, hi = max(low / nyq, 1e-6), min(high / nyq, 1 - 1e-6)
     if lo >= hi:
         raise ValueError(f"invalid band [{low}, {high}] at {sample_rate} Hz")
-    return zero_phase(butter_sos(order, (lo, hi)), x)
+    return lo, hi
+
+
+def _around(f: float, sample_rate: float, factor: float, least: float) -> tuple[float, float]:
+    bw = max(factor * f, least)
+    return max(f - bw, 1.0), min(f + bw, sample_rate / 2 - 1.0)
 
 
 def band_rms(x: np.ndarray, sample_rate: float, f: float, factor: float = 0.1, least: float = 4.0) -> float:
     """RMS around f, over f plus and minus max(factor * f, least)."""
-    bw = max(factor * f, least)
-    y = bandpass(x, sample_rate, max(f - bw, 1.0), min(f + bw, sample_rate / 2 - 1.0))
+    y = bandpass(x, sample_rate, *_around(f, sample_rate, factor, least))
     return float(np.sqrt(np.mean(y * y)))
 
 
+#: Samples up to which recordings are filtered side by side; longer ones go by blocks, one at a time.
+SHORT = 4096
+
+
+def band_rms_each(waves: list[np.ndarray], sample_rates: list[float], fs: list[float], factor: float = 0.1, least: float = 4.0) -> list[float]:
+    """``band_rms`` of many recordings, each around its own frequency. How one is filtered follows from its length alone, not from what stands beside it."""
+    out = [band_rms(x, r, f, factor, least) if len(x) > SHORT else 0.0 for x, r, f in zip(waves, sample_rates, fs, strict=True)]
+    short = [k for k, x in enumerate(waves) if len(x) <= SHORT]
+    if short:
+        sos = butter_bands(4, np.array([_band(sample_rates[k], *_around(fs[k], sample_rates[k], factor, least)) for k in short]))
+        for k, y in zip(short, zero_phase_each(sos, [waves[k] for k in short]), strict=True):
+            y = np.ascontiguousarray(y)
+            out[k] = float(np.sqrt(np.mean(y * y)))
+    return out
+
+
 def cheby1_sos(order: int, ripple_db: float, cut: float) -> np.ndarray:
     eps = math.sqrt(10 ** (0.1 * ripple_db) - 1)
     mu = math.asinh(1 / eps) / order

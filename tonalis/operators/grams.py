@@ -179,24 +179,53 @@ def frame_truth(envelope: DataFrame, harmonics: DataFrame, source: str, sample_r
     amplitude, local_rms. Harmonics from the Nyquist rate up are left out; inactive sources give
     a row with empty curves.
     """
-    top = n_fft // 2 - 1
     own = harmonics.filter((F.col("h") + 1) * F.col("f0_hz") < sample_rate / 2)
     e = own.join(envelope.filter("envelope > 0").hint("merge"), source, "left")
-    f = (F.col("h") + 1) * (F.col("f0_hz") + F.col("drift") * (F.col("time_s") - F.col("onset_s")))
-    inside = F.least(F.greatest(f, F.lit(1e-3)), F.lit(sample_rate / 2 - 1.0))
-    bin_ = F.least(F.greatest(F.rint(inside / (sample_rate / n_fft)), F.lit(0.0)), F.lit(float(top))).cast("int")
-    snr = 20.0 * F.log10(F.greatest(F.col("amplitude") * F.col("envelope") / F.sqrt(F.lit(2.0)), F.lit(1e-12)) / F.col("local_rms"))
-    e = e.withColumn("_s", F.when(F.col("time_bin").isNotNull(), F.struct("time_bin", "time_s", f.alias("f"), snr.alias("snr"), bin_.alias("bin"))))
+    sample = _truth_sample(F.col("time_bin"), F.col("time_s"), F.col("envelope"), sample_rate, n_fft)
+    e = e.withColumn("_s", F.when(F.col("time_bin").isNotNull(), sample))
     g = e.groupBy(source, "h", "f0_hz", "drift", "onset_s").agg(F.array_sort(F.collect_list("_s")).alias("_a"))
+    return g.select(*_truth_line(source, sample_rate, hop))
+
+
+def source_truth(sources: DataFrame, source: str, n_samples: str, sample_rate: int, n_fft: int, hop: int, ratio: float = 1e-3) -> DataFrame:
+    """``active_envelope`` and ``frame_truth`` of sources that are rows with their pulses, on the row: nothing is shuffled. A line's curves are no longer than its recording.
+
+    sources: source, samples of its recording, f0_hz, n_harmonics, harmonic_decay, decay_per_s, drift,
+    onset_s, amplitude, local_rms, onsets array<double>; other columns pass through, after the line's.
+    """
+    used = {source, n_samples, "f0_hz", "n_harmonics", "harmonic_decay", "decay_per_s", "drift", "onset_s", "amplitude", "local_rms", "onsets"}
+    gamma = F.col("decay_per_s")
+    life = -np.log(max(ratio, 1e-12)) / F.greatest(gamma, F.lit(1e-3))
+    frame = F.transform(frame_starts(F.col(n_samples), n_fft, hop), lambda s, i: F.struct(i.alias("time_bin"), ((s + n_fft / 2) / float(sample_rate)).alias("time_s")))
+    # An envelope falls from pulse to pulse, so the youngest pulse is the largest.
+    aged = F.transform(frame, lambda x: F.struct(x["time_bin"].alias("time_bin"), x["time_s"].alias("time_s"), (x["time_s"] - F.array_max(F.filter("onsets", lambda o: o <= x["time_s"]))).alias("age")))
+    own = sources.withColumn("_f", F.filter(aged, lambda x: (x["age"] < life) & (F.exp(-gamma * x["age"]) > 0)))
+    own = own.withColumn("h", F.explode(F.sequence(F.lit(0), F.col("n_harmonics") - 1))).filter((F.col("h") + 1) * F.col("f0_hz") < sample_rate / 2)
+    own = own.withColumn("amplitude", F.col("amplitude") * F.pow("harmonic_decay", F.col("h")))
+    own = own.withColumn("_a", F.transform("_f", lambda x: _truth_sample(x["time_bin"], x["time_s"], F.exp(-gamma * x["age"]), sample_rate, n_fft)))
+    return own.select(*_truth_line(source, sample_rate, hop), *[c for c in sources.columns if c not in used])
+
+
+def _truth_sample(time_bin: Column, time_s: Column, envelope: Column, sample_rate: int, n_fft: int) -> Column:
+    """A harmonic (columns h, f0_hz, drift, onset_s, amplitude, local_rms) in one frame."""
+    f = (F.col("h") + 1) * (F.col("f0_hz") + F.col("drift") * (time_s - F.col("onset_s")))
+    inside = F.least(F.greatest(f, F.lit(1e-3)), F.lit(sample_rate / 2 - 1.0))
+    bin_ = F.least(F.greatest(F.rint(inside / (sample_rate / n_fft)), F.lit(0.0)), F.lit(float(n_fft // 2 - 1))).cast("int")
+    snr = 20.0 * F.log10(F.greatest(F.col("amplitude") * envelope / F.sqrt(F.lit(2.0)), F.lit(1e-12)) / F.col("local_rms"))
+    return F.struct(time_bin.alias("time_bin"), time_s.alias("time_s"), f.alias("f"), snr.alias("snr"), bin_.alias("bin"))
+
+
+def _truth_line(source: str, sample_rate: int, hop: int) -> list[Column]:
+    """The columns of a line, of its samples ``_a`` in time order."""
     none = F.size("_a") == 0
     start = F.when(none, F.col("onset_s")).otherwise(F.get("_a", F.lit(0))["time_s"])
     end = F.when(none, F.col("onset_s")).otherwise(F.get("_a", F.size("_a") - 1)["time_s"] + hop / sample_rate)
-    return g.select(
-        F.concat_ws("_h", F.col(source).cast("string"), F.col("h").cast("string")).alias("line_id"), source, F.col("h").alias("harmonic_id"), "f0_hz",
+    return [
+        F.concat_ws("_h", F.col(source).cast("string"), F.col("h").cast("string")).alias("line_id"), F.col(source), F.col("h").alias("harmonic_id"), F.col("f0_hz"),
         F.transform("_a", lambda x: x["f"]).alias("freq_curve_hz"), F.transform("_a", lambda x: x["snr"]).alias("snr_curve_db"),
         F.transform("_a", lambda x: F.struct(x["time_bin"].alias("frame"), x["bin"].alias("bin"))).alias("mask_bin_indices"),
         start.alias("t_start_s"), end.alias("t_end_s"), (end - start).alias("persistence_s"), F.col("drift").alias("drift_rate_hz_per_s"),
-    )
+    ]
 
 
 def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float, cells: int = 4096) -> DataFrame:

@@ -40,6 +40,7 @@ Q["c11_inject_ambient"] = c11_inject_ambient
 def c12_vessel_set(spark: SparkSession, d: str) -> DataFrame:
     """Two clips of each supplier's waveform with sources laid in, and their truth lines; waveforms below half a second are skipped."""
     own = _ambient(spark, d).select(F.concat(F.lit("s/"), "clip_id").alias("compound_key"), F.concat(F.lit("/f/"), "clip_id").alias("path"), "sample_rate_hz", F.col("ambient").alias("samples"), F.col("seed").alias("number"))
+    own = cut(own)  # read by plan and clips
     vessels = own.select("compound_key", "number", (F.size("samples") / F.col("sample_rate_hz")).alias("duration_s"))
     clips = DS.inject_vessels(DS.vessel_clips(vessels, 2, 9, shortest_s=0.5), own, VESSEL_PRIORS)
     clips = cut(clips)  # read by lines and index
