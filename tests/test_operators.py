@@ -801,3 +801,15 @@ def test_truth_lines_are_made_on_the_row(spark):
     own = [c for c in want.columns if c != "id"]
     rows = sorted(map(tuple, want.select(own).collect()))
     assert sorted(map(tuple, lines.select(own).collect())) == rows and len({len(r[3]) for r in rows}) > 3
+
+
+def test_a_gate_costs_its_edges(monkeypatch):
+    """Cosines are taken at the edges only; values are those of the formula."""
+    seen, cos = [], np.cos
+    monkeypatch.setattr(Y.np, "cos", lambda v: seen.append(np.size(v)) or cos(v))
+    Y.gate(100_000, 10, 90_000, 50)
+    assert sum(seen) <= 2 * 51
+    for n, a, b, fade in ((300, 20, 250, 40), (300, 20, 60, 40), (300, 20, 90, 40), (300, 20, 400, 500), (5, 0, 5, 0), (5, 4, 5, 1), (5, 3, 3, 2)):
+        i, fade, stop = np.arange(n), max(1, fade), min(b, n)
+        up, down = (0.5 * (1 - cos(np.pi * np.clip(x / fade, 0, 1))) for x in (i - a, stop - i))
+        assert np.array_equal(Y.gate(n, a, b, fade), np.where((i < a) | (i >= stop), 0.0, np.where(i >= stop - fade, down, up)))
