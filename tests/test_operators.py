@@ -813,3 +813,22 @@ def test_a_gate_costs_its_edges(monkeypatch):
         i, fade, stop = np.arange(n), max(1, fade), min(b, n)
         up, down = (0.5 * (1 - cos(np.pi * np.clip(x / fade, 0, 1))) for x in (i - a, stop - i))
         assert np.array_equal(Y.gate(n, a, b, fade), np.where((i < a) | (i >= stop), 0.0, np.where(i >= stop - fade, down, up)))
+
+
+def test_a_clips_channel_is_made_once(monkeypatch):
+    """Its response over the whole spectrum serves all sources of the clip."""
+    import pyarrow as pa
+
+    class Plan:  # hands out what would run in the tasks
+        select = lambda self, *names: self
+        mapInArrow = lambda self, run, schema: run  # noqa: E731, N815
+
+    seen, plain = [], Y.response
+    monkeypatch.setattr(Y, "response", lambda f, g: seen.append(len(f)) or plain(f, g))
+    x = np.random.default_rng(2).uniform(0, 10, (20, 600)).tolist()
+    rows = pa.record_batch([pa.array([f"c{i}" for i in range(20)]), pa.array(range(20), pa.int64()), pa.array([1000] * 20, pa.int32()), pa.array(x, pa.list_(pa.float32()))], names=["clip_id", "seed", "sample_rate_hz", "ambient"])
+    run = Y.generate(Plan(), Y.TonalPriors(n_sources={3: 1.0}, f0_primary_hz=(10.0, 200.0), f0_secondary_hz=(200.0, 450.0)), Y.GeometryPriors())
+    whole = pa.Table.from_batches(run(iter([rows])))
+    assert sum(whole["n_sources"].to_pylist()) == 60 and seen.count(301) == 20
+    # A clip is the same whatever it is made beside.
+    assert pa.Table.from_batches(b for i in range(20) for b in run(iter([rows.slice(i, 1)]))).equals(whole.combine_chunks())
