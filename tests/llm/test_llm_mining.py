@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tonalis.llm import centroid_clustering as Z
@@ -98,6 +99,31 @@ def test_collocations_of_nothing(spark):
     assert X.collocations(spark.createDataFrame([(1, None, None), (2, "a b", "en")], "doc_id long, text string, lang string")).count() == 0
 
 
+def test_blocks_that_begin_alike_are_merged_a_few_times(monkeypatch):
+    """A block of each of 200 runs, all from the range's beginning: nothing is complete before the last, and no window is merged with each that follows."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(300)], 120)).encode() for _ in range(200)]
+    batch = lambda *columns: pa.record_batch(list(columns), names=[str(i) for i in range(len(columns))])
+    runs = [r for t in texts for _, r in X._chunks(iter([batch(pa.array(["en"]), pa.array([t]))]), 10**6)]
+    rows = sorted((r.key(0), r.packed()) for r in runs)
+    whole, seen = X.merged, []
+    monkeypatch.setattr(X, "merged", lambda some: (seen.append(sum(len(r.n) for r in some)), whole(some))[1])
+    blocks = batch(pa.array([0] * 200), pa.array(["en"] * 200), pa.array([k for k, _ in rows]), pa.array([b for _, b in rows]))
+    got = Counter()
+    for b in X._merge(iter([blocks]), [], 1, 500):
+        for r in b.to_pylist():
+            got[r["phrase"]] += r["f"]
+    want = Counter(b"".join(x + b"\t" for x in w[i : i + m]) for w in map(bytes.split, texts) for i in range(len(w)) for m in range(6) if i + m <= len(w))
+    assert got == want and sum(seen) < 6 * 200 * 120
+
+
+def test_ranges_follow_the_text(spark):
+    """There are as many ranges as the words need, however few partitions a shuffle has."""
+    texts = X._texts(spark.createDataFrame([(i, f"a{i % 97} b{i % 89} c{i % 83} d{i} e{i}", "en") for i in range(2000)], "doc_id long, text string, lang string"))
+    borders = [X._borders(texts, 4, size) for size in (10**6, 500)]
+    assert len(borders[0]) <= 3 and 15 <= len(borders[1]) <= 20
+
+
 def test_scores_beyond_64_bits(spark):
     """Products of counts are decimals: a text of 20,000 equal words has 1000 a n over 2**38, and larger ones are cast alike."""
     got = X.collocations(spark.createDataFrame([(1, "w " * 20_000, "en")], "doc_id long, text string, lang string")).collect()

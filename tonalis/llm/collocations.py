@@ -7,9 +7,12 @@ order: ``f(phrase)`` is the sum over the windows that begin with it, a run in pr
 * A task sorts the windows of a chunk of words into a run, adds up equal ones, and cuts the run
   into blocks: at the borders of ranges and after every ``BLOCK`` windows. A block has a small
   vocabulary of its own, so that a window is five small numbers.
+* There are as many ranges as give each about ``RANGE`` windows (at least one for each partition
+  of a shuffle), so that a range stays as large as it is however many chunks there are.
 * Blocks go to their range, where Spark sorts them by their first window. A range is merged in
   lockstep: what lies before the first window of the next block is complete, and is added up and
-  let go. A task holds about ``HELD`` windows, and no more than a block of each chunk besides.
+  let go. A task holds about ``HELD`` windows, and no more than two blocks of each chunk besides.
+  What can't go yet is merged anew only when it has doubled, not with each block.
 * Phrases below the least count leave there, but for those that a border cuts, which are added up
   afterwards. No table of words or phrases is broadcast, and nothing is found by hashing.
 
@@ -24,6 +27,7 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -37,140 +41,206 @@ from tonalis.llm._util import cut, prepare, table, text_or_empty
 WORDS, LEAST, TOP = 5, 100, 2000
 #: Share of a phrase's count, in hundredths, from which a longer phrase replaces it.
 ABSORB = 100
-#: Words of a chunk, windows of a block, windows that a merging task lets gather.
-CHUNK, BLOCK, HELD = 1_500_000, 4096, 1_000_000
+#: Words of a chunk, windows of a block, windows of a range and windows that a merging task lets gather.
+CHUNK, BLOCK, RANGE, HELD = 3_000_000, 4096, 1_500_000, 2_000_000
 #: Lower-cases A-Z; ends of pieces become one byte that no text has, tabs become spaces.
-_END = b"\xff"
+_END, _SPACE = b"\xff", 32
 _TABLE = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\n\x0b\x0c\r\t", bytes(range(97, 123)) + _END * 10 + b" ")
 #: Ends a word in a key. As no word has it, keys in byte order are phrases in prefix order.
 _TAB = b"\t"
 
 
-class _Ids(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
-def tokens(text: bytes) -> list[bytes]:
-    """The words of a text, with _END after each piece."""
-    return text.translate(_TABLE).replace(_END, b" \xff ").split() + [_END]
-
-
 @dataclass
 class Run:
-    """Sorted distinct windows: a matrix (WORDS columns) of places in ``words`` plus 1, 0 beyond a window's end; their counts. ``words`` end in _TAB and are sorted."""
+    """Sorted distinct windows: ``at`` has a row for each of WORDS words, with places in ``words`` plus 1 (0 beyond a window's end), and a column for each window; their counts. ``words`` end in _TAB and are sorted."""
 
-    words: list[bytes]
+    words: pa.LargeBinaryArray
     at: np.ndarray
     n: np.ndarray
 
     def key(self, i: int, upto: int = WORDS) -> bytes:
-        return b"".join(self.words[x - 1] for x in self.at[i, :upto] if x)
+        return b"".join(self.words[int(x) - 1].as_py() for x in self.at[:upto, i] if x)
 
-    def place(self, key: bytes) -> int:
-        """Windows before ``key``."""
+    def places(self, keys: list[bytes]) -> list[int]:
+        """Windows before each of ``keys``."""
+        words = self.words.to_pylist()
+        return [self._place(words, key) for key in keys]
+
+    def _place(self, words: list[bytes], key: bytes) -> int:
         lo, hi = 0, len(self.n)
         for j, word in enumerate(key.split(_TAB)[:-1]):
             word += _TAB
-            rank = bisect_left(self.words, word)
-            column = self.at[lo:hi, j]
-            lo, hi = lo + int(np.searchsorted(column, rank + 1)), lo + int(np.searchsorted(column, rank + 2))
-            if rank == len(self.words) or self.words[rank] != word:
+            rank = bisect_left(words, word)
+            row = self.at[j, lo:hi]
+            lo, hi = lo + int(np.searchsorted(row, row.dtype.type(rank + 1))), lo + int(np.searchsorted(row, row.dtype.type(rank + 1), "right"))
+            if rank == len(words) or words[rank] != word:
                 return lo
         return lo
 
     def part(self, a: int, b: int) -> Run:
-        return Run(self.words, self.at[a:b], self.n[a:b])
+        return Run(self.words, self.at[:, a:b], self.n[a:b])
 
     def small(self) -> Run:
         """The same with no more words than it needs."""
-        used, back = np.unique(self.at, return_inverse=True)
-        back = back.reshape(self.at.shape) + (0 if len(used) and used[0] == 0 else 1)
-        return Run([self.words[x - 1] for x in used if x], back, self.n)
+        used, at = _used(self.at, len(self.words))
+        return Run(self.words.take(pa.array(used - 1)), at, self.n)
 
     def packed(self) -> bytes:
         own = self.small()
-        kind = np.uint16 if len(own.words) < 65535 else np.uint32
-        body = [np.array([len(own.n), len(own.words), kind().itemsize], np.int64).tobytes(), own.n.astype(np.int64).tobytes(), np.ascontiguousarray(own.at.T.astype(kind)).tobytes(), b"".join(own.words)]
+        n, at = (x.astype(np.min_scalar_type(most)) for x, most in ((own.n, int(own.n.max(initial=0))), (own.at, len(own.words))))
+        body = [np.array([len(n), n.itemsize, at.itemsize], np.int64).tobytes(), n.tobytes(), at.tobytes(), _bytes(own.words).tobytes()]
         return zstandard.ZstdCompressor(level=1).compress(b"".join(body))
 
     @staticmethod
     def unpacked(data: bytes) -> Run:
         raw = zstandard.ZstdDecompressor().decompress(data)
-        n, _, size = np.frombuffer(raw, np.int64, 3)
-        counts = np.frombuffer(raw, np.int64, n, 24)
-        at = np.frombuffer(raw, np.uint16 if size == 2 else np.uint32, n * WORDS, 24 + 8 * n).reshape(WORDS, n).T.astype(np.int64)
-        return Run([w + _TAB for w in raw[24 + 8 * n + n * WORDS * size :].split(_TAB)[:-1]], at, counts)
-
-
-def _sorted(words: list[bytes], at: np.ndarray, n: np.ndarray) -> Run:
-    """Windows in any order as a run. There are fewer than 2**21 words."""
-    a = at[:, 0] << 42 | at[:, 1] << 21 | at[:, 2]
-    b = at[:, 3] << 21 | at[:, 4]
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)])
-    return Run(words, at[order[first]], np.add.reduceat(n[order], first) if len(first) else n[:0])
-
-
-def windows(ids: np.ndarray, words: list[bytes], size: int) -> Iterator[Run]:
+        n, *sizes = (int(x) for x in np.frombuffer(raw, np.int64, 3))
+        counts = np.frombuffer(raw, f"u{sizes[0]}", n, 24)
+        at = np.frombuffer(raw, f"u{sizes[1]}", WORDS * n, 24 + counts.nbytes).reshape(WORDS, n)
+        words = np.frombuffer(raw, np.uint8, offset=24 + counts.nbytes + at.nbytes)
+        return Run(_array(words, np.flatnonzero(words == _TAB[0]) + 1), at, counts.astype(np.int64))
+
+
+def _array(data: np.ndarray, ends: np.ndarray) -> pa.LargeBinaryArray:
+    """Strings that lie one behind the other in ``data``."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.r_[0, ends].astype(np.int64)), pa.py_buffer(data)])
+
+
+def _ends(words: pa.LargeBinaryArray) -> np.ndarray:
+    return np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, 8 * words.offset)
+
+
+def _bytes(words: pa.LargeBinaryArray) -> np.ndarray:
+    ends = _ends(words)
+    return np.frombuffer(words.buffers()[2], np.uint8)[ends[0] : ends[-1]] if len(words) else np.zeros(0, np.uint8)
+
+
+def _used(at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places but 0 that ``at`` holds, of 1 to n; ``at`` as places in those, plus 1."""
+    if 16 * at.size < n:
+        used = np.unique(at)
+        used = used[used > 0]
+        return used, np.where(at > 0, np.searchsorted(used, at) + 1, 0).astype(np.int32)
+    has = np.zeros(n + 1, bool)
+    has[at] = True
+    has[0] = False
+    used = np.flatnonzero(has)
+    to = np.zeros(n + 1, np.int32)
+    to[used] = np.arange(1, len(used) + 1)
+    return used, to[at]
+
+
+def _ranked(words: pa.LargeBinaryArray) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+    """The distinct ones of ``words`` in order, and the place of each of ``words`` in them, plus 1; 0 for a lone _TAB, which is none."""
+    coded = words.dictionary_encode()
+    order = pc.array_sort_indices(coded.dictionary).to_numpy()
+    order = order[np.diff(_ends(coded.dictionary))[order] > 1]
+    place = np.zeros(len(coded.dictionary), np.int32)
+    place[order] = np.arange(1, len(order) + 1)
+    return coded.dictionary.take(pa.array(order)), place[coded.indices.to_numpy()]
+
+
+def _sorted(words: pa.LargeBinaryArray, at: np.ndarray, n: np.ndarray) -> Run:
+    """Windows in any order as a run: by their first three words, and by the other two where those are the same."""
+    bits = len(words).bit_length()
+    if not len(n):
+        return Run(words, at, n)
+    if 3 * bits > 63:
+        order = np.lexsort(at[::-1])
+        own = at[:, order]
+        first = np.r_[True, (own[:, 1:] != own[:, :-1]).any(axis=0)]
+    else:
+        head = at[0].astype(np.int64) << 2 * bits | at[1].astype(np.int64) << bits | at[2]
+        order = np.argsort(head, kind="stable")
+        head = head[order]
+        first = np.r_[True, head[1:] != head[:-1]]
+        tied = np.flatnonzero(~(first & np.r_[first[1:], True]))
+        group, own = np.cumsum(first[tied]), order[tied]
+        tail = at[3, own].astype(np.int64) << bits | at[4, own]
+        inner = np.argsort(group << 2 * bits | tail) if len(tied).bit_length() + 2 * bits < 64 else np.lexsort((tail, group))
+        order[tied], tail = own[inner], tail[inner]
+        first[tied[1:]] |= tail[1:] != tail[:-1]
+    start = np.flatnonzero(first)
+    return Run(words, at[:, order[start]], np.add.reduceat(n[order], start))
+
+
+def windows(ids: np.ndarray, words: pa.LargeBinaryArray, size: int) -> Iterator[Run]:
     """Runs of the windows of a text of ids (places in ``words`` plus 1; 0 ends a piece), at most ``size`` words each."""
     for a in range(0, len(ids), size):
-        own = ids[a : a + size + WORDS - 1]
-        used, own = np.unique(own, return_inverse=True)
-        own = own + (0 if used[0] == 0 else 1)
-        own = np.r_[own, np.zeros(WORDS - 1, np.int64)]
-        n = min(size, len(ids) - a)
-        at = np.zeros((n, WORDS), np.int64)
-        at[:, 0] = own[:n]
+        used, own = _used(ids[a : a + size + WORDS - 1], len(words))
+        begin = np.flatnonzero(own[:size])
+        own = np.r_[own, np.zeros(WORDS - 1, np.int32)]
+        at = np.empty((WORDS, len(begin)), np.int32)
+        at[0] = own[begin]
         for j in range(1, WORDS):
-            at[:, j] = np.where(at[:, j - 1] == 0, 0, own[j : n + j])
-        at = at[at[:, 0] > 0]
-        yield _sorted([words[x - 1] for x in used if x], at, np.ones(len(at), np.int64))
+            at[j] = own[begin + j] * (at[j - 1] > 0)
+        yield _sorted(words.take(pa.array(used - 1)), at, np.ones(len(begin), np.int64))
 
 
 def merged(runs: list[Run]) -> Run:
     """One run of several; a block's words are few, so those of about HELD windows fit."""
     if len(runs) == 1:
-        return runs[0]
-    words = sorted(set().union(*(r.words for r in runs)))
-    rank = {w: i for i, w in enumerate(words, 1)}
-    at = np.concatenate([np.fromiter((0, *map(rank.__getitem__, r.words)), np.int64, len(r.words) + 1)[r.at] for r in runs])
-    n = np.concatenate([r.n for r in runs])
-    if len(words) < 2**21:
-        return _sorted(words, at, n)
-    order = np.lexsort(at.T[::-1])
-    at, n = at[order], n[order]
-    first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]).any(axis=1)])
-    return Run(words, at[first], np.add.reduceat(n, first))
+        return Run(runs[0].words, runs[0].at.astype(np.int32), runs[0].n)
+    words, to = _ranked(pa.concat_arrays([r.words for r in runs]))
+    at, x, y = np.empty((WORDS, sum(len(r.n) for r in runs)), np.int32), 0, 0
+    for r in runs:
+        at[:, x : x + len(r.n)] = np.r_[np.int32(0), to[y : y + len(r.words)]][r.at]
+        x, y = x + len(r.n), y + len(r.words)
+    return _sorted(words, at, np.concatenate([r.n for r in runs]))
+
+
+def _slots(texts: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """Words (or nothing) with the byte behind each, a space or _END, which also ends each text; where each text's begin (and, last, the end)."""
+    data = np.frombuffer((_END.join(texts) + _END).translate(_TABLE), np.uint8)
+    ends = np.flatnonzero((data == _SPACE) | (data == _END[0])) + 1
+    return _array(data, ends).dictionary_encode(), np.r_[0, np.searchsorted(ends, np.cumsum([len(t) + 1 for t in texts]), "right")]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[str, Run]]:
     """Runs of (lang, text in UTF-8) batches, one language each."""
-    held, total, ids = {}, 0, _Ids({_END: 0})
+    held, vocabularies, total, read = {}, [], 0, 0  # slots by language, of a vocabulary each; slots and bytes
 
     def out() -> Iterator[tuple[str, Run]]:
-        order = sorted(ids, key=lambda w: w + _TAB if w != _END else b"")
-        rank = np.empty(len(order), np.int64)
-        rank[np.fromiter(map(ids.__getitem__, order), np.int64, len(order))] = np.arange(len(order))
-        words = [w + _TAB for w in order[1:]]
-        for lang, parts in held.items():
-            for run in windows(rank[np.concatenate(parts)], words, size):
+        words, place = _ranked_slots(vocabularies)
+        for lang in list(held):
+            ids = np.concatenate([place[v][:, x] for v, x in held.pop(lang)], axis=1).T.ravel()
+            for run in windows(ids[ids >= 0], words, size + size // 4):
                 yield lang, run
 
     for b in batches:
-        for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            own = tokens(text)
-            held.setdefault(lang, []).append(np.fromiter(map(ids.__getitem__, own), np.int64, len(own)))
-            total += len(own)
-            if total >= size:
+        langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+        order = sorted(range(len(langs)), key=langs.__getitem__)
+        while order:
+            # Some texts at a time, of at most an eighth of a chunk's words, but for a longer one.
+            upto = np.cumsum([len(texts[i]) + 1 for i in order])
+            n = max(1, int(np.searchsorted(upto, size // 4, "right")))
+            some, order = order[:n], order[n:]
+            coded, at = _slots([texts[i] for i in some])
+            codes, x = coded.indices.to_numpy(), 0
+            for lang, group in groupby(langs[i] for i in some):
+                y = x + sum(1 for _ in group)
+                held.setdefault(lang, []).append((len(vocabularies), codes[at[x] : at[y]]))
+                x = y
+            vocabularies.append(coded.dictionary)
+            total, read = total + len(codes), read + int(upto[n - 1])
+            if total >= size or read >= 16 * size:
                 yield from out()
-                held, total, ids = {}, 0, _Ids({_END: 0})
+                held, vocabularies, total, read = {}, [], 0, 0
     if total:
         yield from out()
 
 
+def _ranked_slots(vocabularies: list[pa.LargeBinaryArray]) -> tuple[pa.LargeBinaryArray, list[np.ndarray]]:
+    """The words of several vocabularies of slots, each with _TAB behind it; for each vocabulary the place of its words plus 1 (-1 for none) and, below, 0 where a piece ends (else -1)."""
+    slots = pa.concat_arrays(vocabularies)
+    data, ends = _bytes(slots).copy(), _ends(slots)[1:] - _ends(slots)[0]
+    stop = data[ends - 1] == _END[0]
+    data[ends - 1] = _TAB[0]
+    words, place = _ranked(_array(data, ends))
+    both = np.array([np.where(place > 0, place, -1), np.where(stop, 0, -1)], np.int32)
+    return words, np.split(both, np.cumsum([len(v) for v in vocabularies])[:-1], axis=1)
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_or_empty().cast("binary").alias("text"))
 
@@ -178,19 +248,20 @@ def _texts(docs: DataFrame) -> DataFrame:
 Border = tuple[str, bytes]
 
 
-def _borders(texts: DataFrame, n: int, each: int = 128, most: int = 4000) -> list[Border]:
-    """Up to n - 1 borders of ranges of about as many windows, by the windows of some ``most`` documents; they shape the work, not the result."""
-    rate = min(1.0, max(most, 20 * n) / max(1, texts.count()))
+def _borders(texts: DataFrame, n: int, size: int, each: int = 2048, most: int = 4000) -> list[Border]:
+    """Borders of n ranges of about as many windows, or of more where ranges would have over ``size``; by the windows of some ``most`` documents, or of one in 300. They shape the work, not the result."""
+    rows = texts.count()
+    rate = min(1.0, max(most, 20 * n, rows // 300) / max(1, rows))
     some = texts.filter((F.xxhash64("lang", "text").bitwiseAND(F.lit(2**31 - 1))) <= int(rate * 2**31))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, r in _chunks(batches, CHUNK):
-            at = np.unique(np.linspace(0, len(r.n), each, endpoint=False).astype(int)) if len(r.n) else []
+            at = np.unique(np.linspace(0, len(r.n), min(each, len(r.n) // 512 + 1), endpoint=False).astype(int)) if len(r.n) else []
             weight = len(r.n) / max(1, len(at))
             yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array([r.key(i) for i in at], pa.binary()), pa.array([weight] * len(at), pa.float64())], names=["lang", "key", "weight"])
 
     found = sorted((x.lang, bytes(x.key), x.weight) for x in some.coalesce(max(1, n // 4)).mapInArrow(run, "lang string, key binary, weight double").collect())
-    return _cuts(found, n)
+    return _cuts(found, max(n, int(sum(w for *_, w in found) / rate / size) + 1))
 
 
 def _cuts(found: list[tuple[str, bytes, float]], n: int) -> list[Border]:
@@ -199,19 +270,20 @@ def _cuts(found: list[tuple[str, bytes, float]], n: int) -> list[Border]:
     return sorted({found[i][:2] for i in at})
 
 
-def counts(docs: DataFrame, least: int = LEAST, chunk: int = CHUNK, block: int = BLOCK, held: int = HELD) -> DataFrame:
+def counts(docs: DataFrame, least: int = LEAST, chunk: int = CHUNK, block: int = BLOCK, size: int = RANGE, held: int = HELD) -> DataFrame:
     """lang, phrase (words, each followed by a tab), f: of phrases of 1 to WORDS words with f >= least, and of the empty phrase (f: all words)."""
     spark = docs.sparkSession
     prepare(spark)
     texts, n_parts = _texts(docs), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = spark.sparkContext.broadcast(_borders(texts, n_parts))  # fewer than there are ranges
+    sent = spark.sparkContext.broadcast(_borders(texts, n_parts, size))  # fewer than there are ranges
+    n_parts = max(n_parts, len(sent.value) + 1)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         borders = sent.value
         for lang, run in _chunks(batches, chunk):
             own = [(i, k) for i, (x, k) in enumerate(borders) if x == lang]
             part0 = bisect_right(borders, (lang, b""))
-            cuts = [(part0, 0), *((i + 1, run.place(k)) for i, k in own)]
+            cuts = [(part0, 0), *zip((i + 1 for i, _ in own), run.places([k for _, k in own]), strict=True)]
             rows = []
             for (part, a), b in zip(cuts, [*(c for _, c in cuts[1:]), len(run.n)], strict=True):
                 rows += [(part, x, min(x + block, b)) for x in range(a, b, block)]
@@ -231,23 +303,26 @@ def counts(docs: DataFrame, least: int = LEAST, chunk: int = CHUNK, block: int =
 
 
 def _merge(batches: Iterator[pa.RecordBatch], borders: list[Border], least: int, held: int) -> Iterator[pa.RecordBatch]:
-    lang, runs, total, part = None, [], 0, 0
+    lang, runs, total, part, most = None, [], 0, 0, held
     open_: dict[bytes, int] = {}  # counts so far of phrases that go on behind the last flush
 
     def flush(run: Run) -> pa.RecordBatch:
         cutting = {k[:i] for x, k in borders[max(0, part - 1) : part + 1] if x == lang for i in range(len(k) + 1) if not i or k[i - 1 : i] == _TAB}
         found = []
         last = {run.key(len(run.n) - 1, k) for k in range(WORDS + 1)}
+        alike = np.cumprod(run.at[:, 1:] == run.at[:, :-1], axis=0, dtype=np.int8).sum(axis=0, dtype=np.int8)  # words that a window begins with as the one before does
+        upto = np.r_[0, np.cumsum(run.n)]
         for k in range(WORDS + 1):
-            has = np.flatnonzero(run.at[:, k - 1] > 0) if k else np.arange(len(run.n))
-            if not len(has):
+            start = np.r_[0, np.flatnonzero(alike < k) + 1]
+            f = np.diff(upto[np.r_[start, len(run.n)]])
+            if k:
+                has = run.at[k - 1, start] > 0
+                start, f = start[has], f[has]
+            if not len(f):
                 continue
-            own = run.at[has, :k]
-            start = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]).any(axis=1)]) if k else np.array([0])
-            f = np.add.reduceat(run.n[has], start)
             # The first and last may be open or cut, whatever their count.
             for i in np.unique(np.r_[0, np.flatnonzero(f >= least), len(f) - 1]):
-                found.append((run.key(has[start[i]], k), int(f[i])))
+                found.append((run.key(start[i], k), int(f[i])))
         out = {}
         for key, f in found:
             f += open_.pop(key, 0)
@@ -274,14 +349,15 @@ def _merge(batches: Iterator[pa.RecordBatch], borders: list[Border], least: int,
                 if runs:
                     yield flush(merged(runs))
                     yield close()
-                lang, part, runs, total = x, p, [], 0
-            elif total >= held:
+                lang, part, runs, total, most = x, p, [], 0, held
+            elif total >= most:
                 whole = merged(runs)
-                done = whole.place(first)
+                done = whole.places([first])[0]
                 if done:
                     yield flush(whole.part(0, done))
                 rest = whole.part(done, len(whole.n)).small()
                 runs, total = [rest] if len(rest.n) else [], len(rest.n)
+                most = max(held, 2 * total)  # else what can't go yet is merged anew with each block
             runs.append(Run.unpacked(data))
             total += len(runs[-1].n)
     if runs:
